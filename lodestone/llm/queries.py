@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, simhash
+from lodestone.llm import bpe, quality, simhash
 from lodestone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,13 +25,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_bpe, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op6_bpe, op8_quality_rules, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
