@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, quality, simhash
+from lodestone.llm import bpe, pii, quality, simhash
 from lodestone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every document."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select(
+        "doc_id",
+        *(f"n_{k}" for k in pii.KINDS),
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,7 +48,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_bpe, op8_quality_rules, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op5_pii, op6_bpe, op8_quality_rules, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
