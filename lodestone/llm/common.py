@@ -131,3 +131,10 @@ def link_labels(labels, left, right):
             if (jumped == labels).all():
                 break
             labels[:] = jumped
+
+
+def plain(frame):
+    """A pandas frame with its strings as objects: Arrow-backed ones may lie in no chunk or in several, which Arrow serialisation refuses."""
+    import pandas as pd
+
+    return frame.astype({c: object for c, t in frame.dtypes.items() if isinstance(t, pd.StringDtype)})

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch
+from lodestone.llm.common import Scratch, plain
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information from which a term discloses it.
@@ -136,7 +136,8 @@ def _term_texts(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataFr
             for at in range(0, len(part), 500):
                 piece = part.iloc[at : at + 500]
                 found = [(t, k) for k, x in zip(piece["text_key"], piece["text"], strict=True) for t in _distinct_words(x, wanted.value if wanted else None)]
-                yield pd.DataFrame(found, columns=["term", "text_key"])
+                if found:
+                    yield plain(pd.DataFrame(found, columns=["term", "text_key"]))
 
     out = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).mapInPandas(rows, "term string, text_key long")
     return out if wanted else out.join(candidates, "term", "left_semi")
@@ -246,7 +247,7 @@ def redact(docs: DataFrame, detected: DataFrame, id_col: str = "doc_id", text_co
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             part[text_col] = [redacted(t, [] if s is None else list(s), remove_terms) for t, s in zip(part[text_col], part["__spans"], strict=True)]
-            yield part.drop(columns="__spans")
+            yield plain(part.drop(columns="__spans"))
 
     spans = detected.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
     return docs.join(spans, docs[id_col] == spans["__id"], "left").drop("__id").mapInPandas(rows, docs.schema)

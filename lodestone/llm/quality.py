@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch
+from lodestone.llm.common import Scratch, plain
 
 #: A line is above a host's limit if it is in more than this many of its distinct texts
 MIN_DOCS = 50
@@ -124,7 +124,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
             out.insert(2, "text_key", part["text_key"])
             out["base_failed"] = [base_failed(n, r) for n, r in zip(out["n_words"], out["n_repeat_words"], strict=True)]
             out["lines"] = [[{"key": k, "words": w} for k, w in line_words(t).items()] for t in texts]
-            yield out
+            yield plain(out)
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
@@ -245,6 +245,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
             part[text_col] = texts
             if has_chars:
                 part[chars_col] = [len(t) for t in texts]
-            yield part[keep]
+            if any(keep):
+                yield plain(part[keep])
 
     return tagged.mapInPandas(cleaned, docs.schema)
