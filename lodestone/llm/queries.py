@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, pii, quality, simhash
+from lodestone.llm import bpe, lines, pii, quality, simhash
 from lodestone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated lines of every document, each with the occurrence that stays."""
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms of every document."""
     found = pii.detect(table(spark, sf_dir, "documents"))
@@ -48,7 +53,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_pii, op6_bpe, op8_quality_rules, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_line_dedup, op5_pii, op6_bpe, op8_quality_rules, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
