@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, embeddings, lines, pii, quality, simhash
+from lodestone.llm import bpe, chat, embeddings, html, lines, pii, quality, simhash
 from lodestone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms of every document."""
     found = pii.detect(table(spark, sf_dir, "documents"))
@@ -75,7 +81,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_embedding_near_dedup, op5_pii, op6_bpe, op8_quality_rules, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_embedding_near_dedup, op4_html_extract, op5_pii, op6_bpe, op8_quality_rules, op9_simhash_near_dedup)}
 
 
 #: Control strings of the template, as one pattern of what escaping lengthens by a character.
