@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat, embeddings, html, lines, pii, quality, simhash
+from lodestone.llm import bpe, chat, embeddings, html, lines, mixing, pii, quality, simhash, tokens
 from lodestone.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors and fitted rate of every document; toxic text is wanted no more."""
+    labels = mixing.label_domains(table(spark, sf_dir, "labels"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), labels, mixing.TARGETS)
+    domain = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
+    return mixed.select("doc_id", "n_tokens", "posterior", F.element_at(F.array(*map(F.lit, mixing.DOMAINS)), domain + 1).alias("domain"), "rate")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return quality.assess(table(spark, sf_dir, "documents"))
@@ -80,8 +88,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokens.section_tokens(docs, bpe.build(docs))
+    return counted.select("doc_id", "n_tokens", F.size("section_tokens").cast("long").alias("n_sections"), "section_tokens", "n_crossing")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_embedding_near_dedup, op4_html_extract, op5_pii, op6_bpe, op8_quality_rules, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_line_dedup, op3_embedding_near_dedup, op4_html_extract, op5_pii, op6_bpe, op7_mixing, op8_quality_rules, op9_simhash_near_dedup, op10_token_counts)}
 
 
 #: Control strings of the template, as one pattern of what escaping lengthens by a character.
