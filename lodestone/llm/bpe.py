@@ -65,10 +65,18 @@ class Vocabulary:
         self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.ids: dict[str, int] = model["vocab"]
         self.letters = _byte_characters()
+        self.translation = dict(enumerate(self.letters))
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         by_length = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile("|".join(map(re.escape, by_length))) if by_length else None
         self.pattern = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{SPACE}\\p{{L}}\\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+        none = len(self.ranks)
+        self.byte_ids = np.array([self.ids[c] for c in self.letters], np.int32)
+        self.byte_ranks = np.array([self.ranks.get((a, b), none) for a in self.letters for b in self.letters], np.int32)
+        self.joined = np.array([self.ids[a + b] for a, b in self.ranks], np.int32)
+        codes = np.array([self.ids[a] << 20 | self.ids[b] for a, b in self.ranks], np.int64)
+        order = np.argsort(codes)
+        self.pair_codes, self.pair_ranks = codes[order], order.astype(np.int32)
         byte_of = {c: b for b, c in enumerate(self.letters)}
         size = max(chain(self.ids.values(), self.special.values())) + 1
         self.bytes: list[bytes] = [b""] * size
@@ -79,7 +87,7 @@ class Vocabulary:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the lowest-ranked pair is joined, leftmost first, until none is left."""
-        parts = [self.letters[b] for b in piece]
+        parts = list(piece.decode("latin-1").translate(self.translation))
         parts = self._merge_short(parts) if len(parts) <= 64 else self._merge_long(parts)
         return [self.ids[p] for p in parts]
 
@@ -88,12 +96,12 @@ class Vocabulary:
         found = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
         while found and (best := min(found)) < none:
             i = found.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del found[i]
+            parts[i] = joined = parts[i] + parts[i + 1]
+            del parts[i + 1], found[i]
             if i:
-                found[i - 1] = rank((parts[i - 1], parts[i]), none)
+                found[i - 1] = rank((parts[i - 1], joined), none)
             if i < len(found):
-                found[i] = rank((parts[i], parts[i + 1]), none)
+                found[i] = rank((joined, parts[i + 1]), none)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -117,9 +125,76 @@ class Vocabulary:
                     heapq.heappush(heap, (r, left, parts[left], parts[right]))
         return [p for p in parts if p]
 
+    def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """:meth:`merge` of many pieces: those of like length step by step together, in arrays."""
+        out: list[tuple[int, ...]] = [()] * len(pieces)
+        by_size: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            if len(piece) < 2 or len(piece) > 64:
+                out[i] = tuple(self.merge(piece))
+            else:
+                by_size.setdefault(-(-len(piece) // 4) * 4, []).append(i)
+        for size, rows in by_size.items():
+            for at in range(0, len(rows), 20_000):
+                part = rows[at : at + 20_000]
+                for i, ids in zip(part, self._merge_rows([pieces[i] for i in part], size), strict=True):
+                    out[i] = ids
+        return out
+
+    def _merge_rows(self, pieces: list[bytes], size: int) -> list[tuple[int, ...]]:
+        none = len(self.ranks)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(-1, size)
+        inside = np.arange(size) < length[:, None]
+        rank = np.where(inside[:, 1:], self.byte_ranks[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]], none)
+        symbol = np.where(inside, self.byte_ids[raw], -1)
+        row = np.arange(len(pieces))
+        done: list[tuple[int, ...]] = [()] * len(pieces)
+        while len(row):
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(row)), at]
+            over = best == none
+            if over.any():
+                ended = symbol[over]
+                for i, ids, n in zip(row[over].tolist(), ended.tolist(), (ended >= 0).sum(axis=1).tolist(), strict=True):
+                    done[i] = tuple(ids[:n])
+                row, rank, symbol, at, best = (x[~over] for x in (row, rank, symbol, at, best))
+                if not len(row):
+                    break
+            n, width = symbol.shape
+            each = np.arange(n)
+            # the symbol after the merged pair's first goes: all to its right move up
+            keep = np.ones((n, width), bool)
+            keep[each, at + 1] = False
+            symbol = symbol[keep].reshape(n, width - 1)
+            symbol[each, at] = self.joined[best]
+            if width == 2:
+                rank = np.full((n, 1), none, np.int32)
+                continue
+            keep = np.ones((n, width - 1), bool)
+            keep[each, at] = False
+            rank = rank[keep].reshape(n, width - 2)
+            left = at > 0
+            rank[each[left], at[left] - 1] = self._pair_ranks(symbol[each[left], at[left] - 1], symbol[each[left], at[left]])
+            right = at < width - 2
+            rank[each[right], at[right]] = self._pair_ranks(symbol[each[right], at[right]], symbol[each[right], at[right] + 1])
+        return done
+
+    def _pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids; the number of merges if there is none."""
+        code = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
+        return np.where((self.pair_codes[at] == code) & (b >= 0), self.pair_ranks[at], len(self.ranks))
+
+    def pieces(self, unit: str) -> list[str]:
+        """The parts of one word that merges don't leave."""
+        if unit.isalpha() or (unit[:1] == " " and unit[1:].isalpha()):
+            return [unit]
+        return self.pattern.findall(unit)
+
     def unit(self, unit: str) -> list[int]:
         """Ids of one word, by merging."""
-        return [i for piece in self.pattern.findall(unit) for i in self.merge(piece.encode())]
+        return [i for piece in self.pieces(unit) for i in self.merge(piece.encode())]
 
 
 # ---------------------------------------------------------------- the automaton
@@ -205,8 +280,23 @@ class Lexicon:
         self._labels_at = ends[7]
         self._root = head[0]
         self.words = head[1]
+        self._sieve = bytearray(1 << 20)
+        for word in self:
+            self._sieve[hash(word) & 0xFFFFF] = 1
+
+    def __iter__(self) -> Iterator[bytes]:
+        """All words, in order."""
+        stack = [(self._root, b"")]
+        while stack:
+            state, word = stack.pop()
+            if self._final[state]:
+                yield word
+            for at in range(self._first[state + 1] - 1, self._first[state] - 1, -1):
+                stack.append((self._targets[at], word + self._map[self._labels_at + at : self._labels_at + at + 1]))
 
     def find(self, word: bytes) -> tuple[int, ...] | None:
+        if not self._sieve[hash(word) & 0xFFFFF]:  # spares the walk for nearly all words that aren't there
+            return None
         state, rank = self._root, 0
         first, targets, skips, find, base = self._first, self._targets, self._skips, self._map.find, self._labels_at
         for i in range(len(word)):
@@ -221,18 +311,39 @@ class Lexicon:
 
 
 class Encoder(dict):
-    """Texts to ids. The dict is its memory of words: word -> ids."""
+    """Texts to ids. The dict is its memory of words: word -> ids; ``parts`` that of the words' parts."""
 
     def __init__(self, vocabulary: bytes, lexicon: bytes):
         self.vocabulary, self.lexicon = Vocabulary(vocabulary), Lexicon(lexicon)
-
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = self.lexicon.find(unit.encode())
-        if ids is None:
-            ids = tuple(self.vocabulary.unit(unit))
-        if len(unit) <= MEMO_LENGTH and len(self) < MEMO_WORDS:
-            self[unit] = ids
-        return ids
+        self.parts: dict[str, tuple[int, ...]] = {}
+
+    def learn(self, units: set[str]) -> None:
+        """Put the ids of all ``units`` into memory, those of new parts merged together."""
+        fresh = [u for u in units if u not in self]  # in any order: ids don't depend on it
+        found = {u: self.lexicon.find(u.encode()) for u in fresh}
+        split = {u: self.vocabulary.pieces(u) for u in fresh if found[u] is None}
+        missing: dict[str, tuple[int, ...] | None] = {}
+        for pieces in split.values():
+            for piece in pieces:
+                if piece not in self.parts and piece not in missing:
+                    missing[piece] = self.lexicon.find(piece.encode())
+        unknown = [p for p, ids in missing.items() if ids is None]
+        missing.update(zip(unknown, self.vocabulary.merge_many([p.encode() for p in unknown]), strict=True))
+        self.parts |= missing
+        part = self.parts.__getitem__
+        for u, pieces in split.items():
+            found[u] = part(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(part, pieces)))
+        self |= found
+        self._fresh, self._fresh_parts = fresh, list(missing)
+
+    def forget(self) -> None:
+        """Keep the words learnt first, which frequent words are among, within bounds."""
+        for memory, fresh in ((self, self._fresh), (self.parts, self._fresh_parts)):
+            for key in fresh:
+                if len(key) > MEMO_LENGTH:
+                    del memory[key]
+            while len(memory) > MEMO_WORDS:
+                memory.popitem()
 
     def units(self, text: str) -> Iterator[tuple[list[str], int | None]]:
         """The words up to each special token of the text, and the token's id; last, the rest and None."""
@@ -243,13 +354,20 @@ class Encoder(dict):
                 at = m.end()
         yield UNIT.findall(text[at:] if at else text), None
 
-    def encode(self, text: str) -> np.ndarray:
-        parts = []
-        for units, special in self.units(text):
-            parts.append(np.fromiter(chain.from_iterable(map(self.__getitem__, units)), np.int32))
-            if special is not None:
-                parts.append(np.array([special], np.int32))
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [list(self.units(t)) for t in texts]
+        self.learn(set(chain.from_iterable(units for text in split for units, _ in text)))
+        out = []
+        for text in split:
+            parts = []
+            for units, special in text:
+                parts.append(np.fromiter(chain.from_iterable(map(self.__getitem__, units)), np.int32))
+                if special is not None:
+                    parts.append(np.array([special], np.int32))
+            out.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
+        self.forget()
+        return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ``ids``; ids that the vocabulary hasn't are passed over."""
@@ -351,7 +469,7 @@ def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", ids_col:
             texts = _texts(batch, text_col)
             for lo, hi in _sliced(batch, texts):
                 part = batch.slice(lo, hi - lo)
-                ids = [encoder.encode(t) for t in texts[lo:hi]]
+                ids = encoder.encode_many(texts[lo:hi])
                 columns = [*part.columns, _lists(ids)]
                 if decoded_col:
                     columns.append(pa.array([encoder.decode(x.tolist()) for x in ids], pa.string()))

@@ -50,6 +50,16 @@ def test_result_does_not_depend_on_the_lexicon(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
+def test_memory_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    whole = sorted(map(tuple, bpe.encode(docs, bpe.build(docs)).select("doc_id", "ids").collect()))
+    with open(bpe.default_vocabulary(), "rb") as f:
+        encoder = bpe.Encoder(f.read(), bpe.compile_lexicon({}))
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 20)
+    assert [(i, x.tolist()) for i, t in enumerate(corpus()) for x in encoder.encode_many([t])] == whole
+    assert len(encoder) <= 20 and len(encoder.parts) <= 20
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, bpe.build(docs)).count() == 0
@@ -62,6 +72,8 @@ def test_long_and_short_merging_agree():
     for _ in range(300):
         parts = [vocabulary.letters[b] for b in bytes(rnd.choice(b"aabcdehnrst ") for _ in range(rnd.randint(1, 40)))]
         assert vocabulary._merge_short(list(parts)) == vocabulary._merge_long(list(parts))
+    pieces = [bytes(rnd.choice(b"aabcdehnrst ,'e\xc3\xa9") for _ in range(rnd.randint(0, 80))) for _ in range(500)]
+    assert vocabulary.merge_many(pieces) == [tuple(vocabulary.merge(p)) for p in pieces]
 
 
 def test_word_counts_cover_everything(spark):
