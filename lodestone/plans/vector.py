@@ -1,3 +1,60 @@
-"""Vector search plans."""
+"""Vector search over ``embeddings``: every row whose id is divisible by 20 asks, all rows answer."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.operators import vector_search
+from lodestone.plans.registry import query
+from lodestone.sources import table
+
+
+def _pairs(where: str = "") -> str:
+    return f"""
+  SELECT q.vec_id AS query_id, c.vec_id AS id,
+    round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity
+  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id AND q.vec_id % 20 = 0 {where}"""
+
+
+def _ranked(k: int, threshold: float, where: str = "") -> str:
+    return f"""
+SELECT query_id, id, similarity, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM ({_pairs(where)}) p
+  WHERE similarity >= {threshold}) r
+WHERE rank <= {k}"""
+
+
+def _search(spark, sf_dir, k, threshold, group=None):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", *([group.alias("grp_key")] if group is not None else []))
+    return vector_search.topk(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", k, threshold, "grp_key" if group is not None else None)
+
+
+@query("vec_topk", _ranked(8, 0.1))
+def vec_topk(spark, sf_dir):
+    """Nearest eight vectors by cosine of at least 0.1."""
+    return _search(spark, sf_dir, 8, 0.1)
+
+
+@query("vec_topk_level", _ranked(5, 0.0, "AND q.vec_id % 4 = c.vec_id % 4"))
+def vec_topk_level(spark, sf_dir):
+    """The same among vectors of the query's level."""
+    return _search(spark, sf_dir, 5, 0.0, F.col("vec_id") % 4)
+
+
+@query("vec_topk_label", _ranked(5, 0.0, "AND q.label = c.label"))
+def vec_topk_label(spark, sf_dir):
+    """The same among vectors of the query's label, the tenant of this table."""
+    return _search(spark, sf_dir, 5, 0.0, F.col("label"))
+
+
+@query(
+    "vec_small_to_big",
+    f"""
+WITH hits AS ({_ranked(24, 0.05)}),
+g AS (SELECT query_id, id // 10 AS parent_id, count(*) AS n_children, max(similarity) AS best FROM hits GROUP BY 1, 2),
+s AS (SELECT query_id, parent_id, n_children, round(least(1.0, best + least(0.1 * (n_children - 1), 0.2)), 3) AS score FROM g)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, parent_id) AS rank FROM s) WHERE rank <= 8""",
+)
+def vec_small_to_big(spark, sf_dir):
+    """Small hits, three times as many as wanted, gathered into their parents."""
+    return vector_search.grouped_parents(_search(spark, sf_dir, 24, 0.05), F.floor(F.col("id") / 10), 8)
