@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lodestone.plans import costs, fusion, telemetry, vector  # noqa: F401
+    from lodestone.plans import costs, fusion, graph, telemetry, text, vector  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
