@@ -113,15 +113,15 @@ def chunks_to_documents(spark, sf_dir):
 
 @query(
     "query_terms",
-    r"""
-WITH e AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]{2,}')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]{2,}'), 1) AS i FROM benchmark),
-d AS (SELECT item_id, lower(w) AS w, min(i) AS i FROM e WHERE lower(w) NOT IN ('the', 'and', 'for', 'with', 'that') GROUP BY 1, 2),
+    rf"""
+WITH e AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]{{2,}}')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9_-]{{2,}}'), 1) AS i FROM benchmark),
+d AS (SELECT item_id, lower(w) AS w, min(i) AS i FROM e WHERE lower(w) NOT IN ({', '.join(repr(w) for w in classify.STOPWORDS)}) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(w) DESC, i) AS r FROM d)
 SELECT item_id, string_agg(w, ' ' ORDER BY r) AS terms FROM r WHERE r <= 6 GROUP BY 1""",
 )
 def query_terms(spark, sf_dir):
     """The six longest terms of each passage."""
-    found = text.longest(text.terms(F.col("text"), ("the", "and", "for", "with", "that")), 6)
+    found = text.longest(text.terms(F.col("text"), classify.STOPWORDS), 6)
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(found, " ").alias("terms")).where("terms <> ''")
 
 
@@ -174,15 +174,19 @@ def _list(words):
 
 
 _T = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
-_N = {k: f"len(list_intersect({_T}, {_list(v)}))" for k, v in {"rel": classify.RELATIONAL, "sem": classify.SEMANTIC, "hard": classify.COMPLEX, **classify.MARKERS}.items()}
+_PADDED = f"(' ' || array_to_string({_T}, ' ') || ' ')"
+
+
+def _hits(hints):
+    return "(" + " + ".join(f"CAST(contains({_PADDED}, ' {h} ') AS INT)" for h in hints) + ")"
 
 
 @query(
     "classify_turns",
     f"""
-WITH t AS (SELECT conv_id, turn, len({_T}) AS n, {_N['rel']} AS rel, {_N['sem']} AS sem, {_N['hard']} AS hard FROM conversations),
+WITH t AS (SELECT conv_id, turn, len({_T}) AS n, {_hits(classify.RELATIONAL)} > 0 AS rel, {_hits(classify.SEMANTIC)} > 0 AS sem, {_hits(classify.HYBRID)} > 0 AS hyb, {_hits(classify.COMPLEX)} AS hard FROM conversations),
 p AS (SELECT *, CASE WHEN n > 60 THEN 2 WHEN n > 25 THEN 1 ELSE 0 END + least(3, hard) AS points FROM t)
-SELECT conv_id, turn, CASE WHEN rel > 0 AND sem > 0 THEN 'hybrid' WHEN rel > 0 THEN 'graph' ELSE 'vector' END AS strategy,
+SELECT conv_id, turn, CASE WHEN (rel AND sem) OR (hyb AND (rel OR sem)) THEN 'hybrid' WHEN rel THEN 'graph' ELSE 'vector' END AS strategy,
   CASE WHEN points >= 5 THEN 'complex' WHEN points <= 2 THEN 'simple' ELSE 'medium' END AS complexity FROM p""",
 )
 def classify_turns(spark, sf_dir):
@@ -191,11 +195,34 @@ def classify_turns(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.strategy(said).alias("strategy"), classify.complexity(said).alias("complexity"))
 
 
+def _matches(patterns):
+    return "(" + " + ".join(f"CAST(regexp_matches(q, '(?i){p}') AS INT)" for p in patterns) + ")"
+
+
+@query(
+    "route_questions",
+    rf"""
+WITH t AS (SELECT conv_id, turn, 'what is the overview of ' || regexp_replace(text, '[^ -~]', ' ', 'g') AS q FROM conversations WHERE role = 'user'),
+m AS (SELECT conv_id, turn, {_matches(classify.GLOBAL)} AS wide, {_matches(classify.LOCAL)} AS narrow FROM t),
+s AS (SELECT *, wide / nullif(wide + narrow, 0) AS share FROM m)
+SELECT conv_id, turn, CASE WHEN share >= 0.7 THEN 'global' WHEN share <= 0.3 THEN 'local' ELSE 'hybrid' END AS route,
+  round(CASE WHEN share IS NULL THEN 0.3 WHEN share >= 0.7 THEN least(0.9, 0.6 + share * 0.3) WHEN share <= 0.3 THEN least(0.9, 0.6 + (1 - share) * 0.3) ELSE 0.6 END, 6) AS confidence FROM s""",
+)
+def route_questions(spark, sf_dir):
+    """Whether each user turn, asked as a question, is about the corpus or about one thing."""
+    asked = F.concat(F.lit("what is the overview of "), F.regexp_replace("text", "[^ -~]", " "))
+    kind, confidence = classify.route(asked)
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", kind.alias("route"), F.round(confidence, 6).alias("confidence"))
+
+
+_L = {k: f"len(list_intersect({_T}, {_list(v)}))" for k, v in classify.MARKERS.items()}
+
+
 @query(
     "classify_language",
     f"""
-WITH t AS (SELECT doc_id, {', '.join(f'{_N[k]} AS {k}' for k in classify.MARKERS)} FROM documents), b AS (SELECT *, greatest(en, es, fr, de) AS best FROM t)
-SELECT doc_id, CASE WHEN en = best THEN 'en' WHEN es = best THEN 'es' WHEN fr = best THEN 'fr' ELSE 'de' END AS language,
+WITH t AS (SELECT doc_id, {', '.join(f'{v} AS l_{k}' for k, v in _L.items())} FROM documents), b AS (SELECT *, greatest({', '.join(f'l_{k}' for k in _L)}) AS best FROM t)
+SELECT doc_id, CASE {' '.join(f"WHEN l_{k} = best THEN '{k}'" for k in _L)} END AS language,
   round(CASE WHEN best = 0 THEN 0.3 ELSE least(1.0, best / 5.0) END, 6) AS confidence FROM b""",
 )
 def classify_language(spark, sf_dir):
@@ -207,11 +234,19 @@ def classify_language(spark, sf_dir):
 _S = {k: f"length(regexp_replace(text, '[^{c}]', '', 'g'))" for k, c in classify.SCRIPTS.items()}
 
 
-@query("classify_script", f"SELECT doc_id, round(coalesce({_S['latin']} / nullif({' + '.join(_S.values())}, 0), 0), 6) AS latin, round(0.5 + 0.5 * greatest(0.0, least(1.0, (length(text) - 50) / 1950.0)), 6) AS grade FROM documents")
+@query(
+    "classify_script",
+    rf"""
+WITH t AS (SELECT doc_id, text, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS letters, {', '.join(f'{v} AS s_{k}' for k, v in _S.items())} FROM documents),
+b AS (SELECT *, greatest({', '.join(f's_{k}' for k in _S)}) AS best FROM t), c AS (SELECT *, coalesce(best / nullif(letters, 0), 0) AS share FROM b)
+SELECT doc_id, CASE WHEN share > 0.3 THEN CASE {' '.join(f"WHEN s_{k} = best THEN '{k}'" for k in _S)} END END AS script,
+  round(CASE WHEN share > 0.3 THEN least(1.0, share * 1.5) ELSE 0 END, 6) AS confidence,
+  round(0.5 + 0.5 * greatest(0.0, least(1.0, (length(text) - 50) / 1950.0)), 6) AS grade FROM c""",
+)
 def classify_script(spark, sf_dir):
-    """Share of Latin letters and a grade by length of every document."""
-    body = F.col("text")
-    return docs(spark, sf_dir).select("doc_id", F.round(classify.script_share(body, "latin"), 6).alias("latin"), F.round(classify.length_grade(F.length(body)), 6).alias("grade"))
+    """Dominant script and a grade by length of every document."""
+    kind, confidence = classify.script(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", kind.alias("script"), F.round(confidence, 6).alias("confidence"), F.round(classify.length_grade(F.length("text")), 6).alias("grade"))
 
 
 @query(
