@@ -1,6 +1,7 @@
 """Fuzzy line deduplication across documents.
 
-Lines are normalised and fingerprinted by SimHash over their words. Fingerprints
+Lines are normalised and fingerprinted by SimHash over their words, long words
+weighing more than short ones, which nearly all lines share. Fingerprints
 within ``BUDGET`` bits meet through the pigeonhole blocks of the fingerprint join;
 the lines behind them are verified by edit similarity. Connected lines form a
 group, of which one occurrence stays: that of the smallest document id, first line.
@@ -34,16 +35,21 @@ TILE = 512
 BROADCAST_LINES = 1_000_000
 
 _DIGITS = re.compile(r"\d+")
-_NOT_WORD = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
+
+
+def line_words(line: str) -> list[str]:
+    """The runs of letters and digits in lower case, each number in them as 0."""
+    line = line.lower()
+    return _WORD.findall(_DIGITS.sub("0", line) if _DIGITS.search(line) else line)
 
 
 def normalised(line: str) -> str:
-    """Lower case, each number as 0, anything but letters and digits as one space."""
-    return _NOT_WORD.sub(" ", _DIGITS.sub("0", line.lower())).strip()
+    return " ".join(line_words(line))
 
 
 class _Hashes(dict):
-    """Word -> 64-bit hash, remembered."""
+    """Word -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
@@ -63,32 +69,34 @@ def line_prints(text: str) -> tuple[list[int], np.ndarray, np.ndarray, int]:
 
     numbers, keys, words, sizes, with_word = [], [], [], [], 0
     for i, line in enumerate(text.split("\n")):
-        norm = normalised(line)
-        split = norm.split(" ") if norm else []
-        with_word += bool(line.strip())
+        split = line_words(line)
+        with_word += bool(split or line.strip())
         if len(split) >= MIN_WORDS:
             numbers.append(i)
-            keys.append(xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass")))
+            keys.append(xxhash.xxh3_64_intdigest(" ".join(split).encode("utf-8", "surrogatepass")))
             words += split
             sizes.append(len(split))
     prints = np.zeros(len(sizes), np.uint64)
     if sizes:
         hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+        weights = np.clip(np.fromiter(map(len, words), np.int64, len(words)) - 2, 1, 255).astype(np.uint8)
         starts = np.cumsum([0, *sizes])
         at = 0
         while at < len(sizes):  # bounded slices: 64 bytes a word
             upto = max(at + 1, int(np.searchsorted(starts, starts[at] + 100_000, "right")) - 1)
             piece = hashes[starts[at] : starts[upto]]
             bits = np.unpackbits(piece.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            counts = np.add.reduceat(bits, starts[at:upto] - starts[at], axis=0, dtype=np.int64)
-            on = counts * 2 > np.diff(starts[at : upto + 1])[:, None]
+            weight = weights[starts[at] : starts[upto]]
+            first = starts[at:upto] - starts[at]
+            counts = np.add.reduceat(bits * weight[:, None], first, axis=0, dtype=np.int32)
+            on = counts * 2 > np.add.reduceat(weight, first, dtype=np.int32)[:, None]
             prints[at:upto] = np.packbits(on, axis=1).view(">u8").reshape(-1)
             at = upto
     return numbers, np.array(keys, np.uint64).view(np.int64), prints.view(np.int64), with_word
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel over whole strings (Myers, 1999; Hyyrö, 2003)."""
+def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
+    """Levenshtein distance, bit-parallel over whole strings (Myers, 1999; Hyyrö, 2003); any number above ``most`` if it is more."""
     same = len(os.path.commonprefix([a, b]))
     a, b = a[same:], b[same:]
     same = len(os.path.commonprefix([a[::-1], b[::-1]]))
@@ -99,8 +107,11 @@ def edit_distance(a: str, b: str) -> int:
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, high, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
-    up, down = full, 0
+    up, down, left = full, 0, len(b)
     for c in b:
+        if score - left > most:  # each character left can take one off at best
+            return score - left
+        left -= 1
         eq = where.get(c, 0)
         vertical = eq | down
         horizontal = (((eq & up) + up) ^ up) | eq
@@ -113,7 +124,7 @@ def edit_distance(a: str, b: str) -> int:
 
 def similar(a: str, b: str) -> bool:
     most = (1 - SIMILARITY) * max(len(a), len(b)) + 1e-9
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
 def _joined(prints: np.ndarray, texts: list[str], labels: np.ndarray, split: int) -> np.ndarray:
@@ -165,46 +176,45 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _line_texts(docs: DataFrame, suspects: DataFrame, text_col: str) -> DataFrame:
-    """Rows (line, norm) of the suspects, once each."""
+    """Rows (line, norm) of the suspects (line, text_key, no), once each: read where they stand first."""
     spark = docs.sparkSession
-    wanted = spark.sparkContext.broadcast({r["line"] for r in suspects.select("line").collect()}) if suspects.count() <= BROADCAST_LINES else None
+    places = suspects.groupBy("text_key").agg(F.collect_list(F.struct("no", "line")).alias("places"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    chosen = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
+    sent = None
+    if suspects.count() <= BROADCAST_LINES:
+        sent = spark.sparkContext.broadcast({r["text_key"]: [tuple(p) for p in r["places"]] for r in places.collect()})
+        chosen = chosen.withColumn("places", F.lit(None).cast("array<struct<no: int, line: bigint>>"))
+    else:
+        chosen = chosen.join(places, "text_key")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        given: set[int] = set()
         for part in batches:
             found: dict[int, str] = {}
-            for text in part["text"]:
-                for line in text.split("\n"):
-                    norm = normalised(line)
-                    if norm.count(" ") >= MIN_WORDS - 1:
-                        key = int(np.uint64(xxhash.xxh3_64_intdigest(norm.encode("utf-8", "surrogatepass"))).astype(np.int64))
-                        if (wanted is None or key in wanted.value) and key not in given:
-                            found[key] = norm
-                            if len(given) < 500_000:
-                                given.add(key)
+            for key, text, own in zip(part["text_key"], part["text"], part["places"], strict=True):
+                wanted = sent.value.get(key, ()) if sent is not None else [(p["no"], p["line"]) for p in own]
+                if wanted:
+                    split = text.split("\n")
+                    found.update((line, normalised(split[no])) for no, line in wanted)
             if found:
                 yield plain(pd.DataFrame({"line": np.array(list(found), np.int64), "norm": list(found.values())}))
 
-    out = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(rows, "line long, norm string")
-    out = out if wanted else out.join(suspects.select("line"), "line", "left_semi")
-    return out.groupBy("line").agg(F.first("norm").alias("norm"))
+    return chosen.mapInPandas(rows, "line long, norm string").groupBy("line").agg(F.first("norm").alias("norm"))
 
 
-def line_groups(docs: DataFrame, found: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key. ``found``: (line, fp), written."""
-    lines = scratch.keep(found.groupBy("line").agg(F.first("fp").alias("fp")), "lines")
+def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
+    """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key. ``lines``: (line, fp, at), written."""
     prints = scratch.keep(lines.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "prints")
     reps = prints.select("fp", F.col("fp").alias("rep"))
     families = scratch.keep(components(fingerprint_links(reps, scratch, BUDGET), scratch), "families")
     # fingerprints alone in their family, but shared by several lines, are families too
     family = F.coalesce("component", "fp")
     suspects = prints.join(families, prints["fp"] == families["node"], "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select("fp", family.alias("family"))
-    suspects = scratch.keep(lines.join(scratch.keep(suspects, "suspect_prints"), "fp").select("line", "fp", "family"), "suspects")
+    suspects = scratch.keep(lines.join(scratch.keep(suspects, "suspect_prints"), "fp").select("line", "fp", "family", "at.text_key", "at.no"), "suspects")
     sizes = scratch.keep(suspects.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "sizes")
     placed = (
-        suspects.join(_line_texts(docs, suspects, text_col), "line")
+        suspects.select("line", "fp", "family")
+        .join(_line_texts(docs, suspects, text_col), "line")
         .join(sizes, "family")
         .select("family", "tiles", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int").alias("tile"), "line", "fp", "norm")
     )
@@ -252,11 +262,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch = Scratch(docs.sparkSession, "lines")
     rows = scratch.keep(occurrences(docs, id_col, text_col), "rows")
     found = rows.select("id_key", "text_key", F.explode("found").alias("f")).select("id_key", "text_key", "f.no", "f.line", "f.fp")
-    groups = line_groups(docs, found.select("line", "fp"), scratch, text_col)
-    groups = scratch.keep(groups, "groups")
     at = F.struct("id_key", "text_key", "no")
-    first = found.groupBy("line").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"))
-    first = first.join(groups, first["line"] == groups["node"], "left").select("line", F.coalesce("component", "line").alias("group"), "at", "n")
+    lines = scratch.keep(found.groupBy("line").agg(F.first("fp").alias("fp"), F.min(at).alias("at"), F.count(F.lit(1)).alias("n")), "lines")
+    groups = scratch.keep(line_groups(docs, lines, scratch, text_col), "groups")
+    first = lines.join(groups, lines["line"] == groups["node"], "left").select("line", F.coalesce("component", "line").alias("group"), "at", "n")
     first = scratch.keep(first, "first")
     keepers = scratch.keep(first.groupBy("group").agg(F.min("at").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("group", "kept"), "keepers")
     repeated = scratch.keep(first.join(keepers, "group").select("line", "kept"), "repeated")
