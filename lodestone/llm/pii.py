@@ -165,16 +165,23 @@ def disclosures(docs: DataFrame, rows: DataFrame, scratch: Scratch, text_col: st
         .where(F.col("n_pair") >= SUPPORT)
     )
     pairs = scratch.keep(pairs, "pairs")
+    total = F.lit(float(max(1, rows.select("text_key").distinct().count())))
+    whole = F.log2(total / F.col("n_entity"))
+
+    def share(n_term):
+        return F.when(whole > 0, F.log2(total * F.col("n_pair") / (n_term * F.col("n_entity"))) / whole).otherwise(0.0)
+
+    # A term is in at least as many texts as in texts with an entity. Pairs that fall short by that count
+    # fall short by the whole corpus's, so common words need not be counted there.
+    held = texts.select(F.explode(F.array_distinct("terms.term")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_held"))
+    pairs = scratch.keep(pairs.join(held, "term").where(share(F.col("n_held")) >= DISCLOSURE).drop("n_held"), "near_pairs")
     candidates = scratch.keep(pairs.select("term").distinct(), "candidates")
     n_term = (
         _term_texts(docs, candidates, text_col).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
         if not candidates.isEmpty()
         else candidates.select("term", F.lit(0).cast("long").alias("n_term"))
     )
-    total = rows.select("text_key").distinct().count()
-    information = F.log2(F.lit(float(max(total, 1))) * F.col("n_pair") / (F.col("n_term") * F.col("n_entity")))
-    whole = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    scored = pairs.join(n_term, "term").select("entity", "term", "n_pair", "n_term", "n_entity", F.when(whole > 0, information / whole).otherwise(0.0).alias("share"))
+    scored = pairs.join(n_term, "term").select("entity", "term", "n_pair", "n_term", "n_entity", share(F.col("n_term")).alias("share"))
     return scratch.keep(scored.where(F.col("share") >= DISCLOSURE), "disclosures")
 
 
