@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import evidence, ranking
@@ -114,12 +117,13 @@ def reference_report(spark, sf_dir):
     "evidence_union",
     f"""
 WITH h AS ({_HITS}) SELECT query_id, id, 'vector' AS kind FROM h WHERE rank <= 5
-UNION ALL SELECT query_id, id, 'graph' FROM h WHERE rank <= 5 AND id % 2 = 0""",
+UNION ALL SELECT query_id, id, 'graph' FROM h WHERE rank <= 5 AND similarity >= 0.3""",
 )
 def evidence_union(spark, sf_dir):
     """Vector and graph evidence in one list."""
-    hits = vector.vec_topk(spark, sf_dir).where("rank <= 5").select("query_id", "id")
-    return hits.withColumn("kind", F.lit("vector")).unionByName(hits.where("id % 2 = 0").withColumn("kind", F.lit("graph")))
+    hits = vector.vec_topk(spark, sf_dir).where("rank <= 5")
+    kinds = ((hits, "vector"), (hits.where("similarity >= 0.3"), "graph"))
+    return reduce(DataFrame.unionByName, (h.select("query_id", "id", F.lit(k).alias("kind")) for h, k in kinds))
 
 
 @query("eval_baseline")

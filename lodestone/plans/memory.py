@@ -47,11 +47,11 @@ def memory_prune(spark, sf_dir):
     return rows.where(_decayed(rows) < 0.1).select("id")
 
 
-@query("memory_scopes", f"WITH {_M} SELECT id, scope, importance FROM m WHERE (scope = 'session' AND conv_id % 7 = 3) OR (scope = 'user' AND role = 'user') OR scope = 'global'")
+@query("memory_scopes", f"WITH {_M} SELECT id, scope, importance FROM m WHERE (scope = 'session' AND conv_id = 3) OR (scope = 'user' AND role = 'user') OR scope = 'global'")
 def memory_scopes(spark, sf_dir):
     """What a context may see: its session, its user, and the global scope."""
     session, user, everyone = (F.col("scope") == s for s in ("session", "user", "global"))
-    return memories(spark, sf_dir).where(reduce(lambda a, b: a | b, [session & (F.col("conv_id") % 7 == 3), user & (F.col("role") == "user"), everyone])).select("id", "scope", "importance")
+    return memories(spark, sf_dir).where(reduce(lambda a, b: a | b, [session & (F.col("conv_id") == 3), user & (F.col("role") == "user"), everyone])).select("id", "scope", "importance")
 
 
 @query("memory_search", f"WITH {_M} SELECT id, r FROM (SELECT id, scope, row_number() OVER (PARTITION BY scope ORDER BY importance DESC, id) AS r FROM m WHERE contains(lower(text), 'the')) WHERE r <= 10")

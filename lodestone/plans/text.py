@@ -35,11 +35,11 @@ def upsert_last_wins(spark, sf_dir):
     return docs(spark, sf_dir).groupBy("source", "lang").agg(F.max("doc_id").alias("doc_id"), F.max_by("n_chars", "doc_id").alias("n_chars"))
 
 
-@query("delete_by_source", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE 'src' || (b.item_id % 20) = d.source AND b.item_id < 5)")
-def delete_by_source(spark, sf_dir):
-    """What is left after deleting the documents of a list of sources."""
-    gone = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
-    return docs(spark, sf_dir).join(gone, "source", "left_anti").select("doc_id", "source")
+@query("delete_listed", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
+def delete_listed(spark, sf_dir):
+    """What is left after deleting the documents of a list."""
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return docs(spark, sf_dir).join(gone, "doc_id", "left_anti").select("doc_id", "source")
 
 
 @query("count_by_source", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, count(DISTINCT lang) AS langs FROM documents GROUP BY 1")
