@@ -118,5 +118,30 @@ FROM rows GROUP BY conv_id
 """
 
 
+_OP8_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8))),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+dup AS (SELECT doc_id, count(*) AS n_dup_lines FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM l) WHERE r > 1 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS (SELECT doc_id, host, text, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+t AS (SELECT DISTINCT host, text, n_words FROM m),
+k AS (SELECT host, text, n_words, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS key,
+    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+  FROM (SELECT host, text, n_words, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lim AS (SELECT host, greatest({quality.MIN_DOCS}, count(*) * {quality.MIN_SHARE}) AS most FROM t GROUP BY 1),
+above AS (SELECT host, key, most FROM k JOIN lim USING (host) GROUP BY host, key, most HAVING count(DISTINCT text) > most),
+own AS (SELECT host, text FROM k JOIN above USING (host, key) GROUP BY host, text, n_words HAVING sum(words) <= n_words * {quality.OWN_SHARE}),
+tpl AS (SELECT host, key FROM k JOIN above USING (host, key) JOIN own USING (host, text) GROUP BY host, key, most HAVING count(DISTINCT text) > most),
+gone AS (SELECT host, text, sum(words) AS removed FROM k JOIN tpl USING (host, key) GROUP BY 1, 2),
+v AS (SELECT m.*, CAST(n_words - coalesce(removed, 0) AS BIGINT) AS words_left, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m LEFT JOIN gone USING (host, text))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_left, NOT base_failed AND words_left >= n_words * {quality.LEFT_SHARE} AS kept FROM v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": _OP1_SQL}
+    return {"op1_chat_format": _OP1_SQL, "op8_quality_rules": _OP8_SQL}
