@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import mmap
 import os
 import re
@@ -29,10 +30,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import Scratch
+
 #: Words in the lexicon at most.
 LEXICON_WORDS = 1 << 15
-#: Words that a worker remembers at most, and their length at most.
-MEMO_WORDS, MEMO_LENGTH = 400_000, 48
+#: Words that a worker remembers at most, parts of words likewise, and their length at most.
+MEMO_WORDS, MEMO_PARTS, MEMO_LENGTH = 300_000, 100_000, 48
 
 #: Unicode white space, as the splitting pattern of the vocabulary means it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -338,11 +341,11 @@ class Encoder(dict):
 
     def forget(self) -> None:
         """Keep the words learnt first, which frequent words are among, within bounds."""
-        for memory, fresh in ((self, self._fresh), (self.parts, self._fresh_parts)):
+        for memory, fresh, most in ((self, self._fresh, MEMO_WORDS), (self.parts, self._fresh_parts, MEMO_PARTS)):
             for key in fresh:
                 if len(key) > MEMO_LENGTH:
                     del memory[key]
-            while len(memory) > MEMO_WORDS:
+            while len(memory) > most:
                 memory.popitem()
 
     def units(self, text: str) -> Iterator[tuple[list[str], int | None]]:
@@ -416,19 +419,24 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def build(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, words: int = LEXICON_WORDS) -> Broadcast:
     """Vocabulary and compiled lexicon of the ``words`` most frequent words of ``docs``, broadcast.
 
-    Counts cover all documents. At most ``words`` short words reach the driver.
+    Counts cover all documents. Words are taken by classes of like frequency, as many
+    whole classes as fit, so at most ``words`` short words reach the driver.
     """
     spark = docs.sparkSession
     with open(vocabulary or default_vocabulary(), "rb") as f:
         content = f.read()
     vocab = Vocabulary(content)
-    frequent = (
-        word_counts(docs, text_col)
-        .where((F.col("n") > 1) & (F.length("word") <= MEMO_LENGTH))
-        .orderBy(F.desc("n"), "word")
-        .limit(words)
-        .select("word")
-    )
+    # The cut is found from counts of words by size class, so that no task sends more than its share of the lexicon.
+    level = F.floor(F.log2("n") * 16)
+    repeated = word_counts(docs, text_col).where((F.col("n") > 1) & (F.length("word") <= MEMO_LENGTH)).select("word", level.alias("level"))
+    repeated = Scratch(spark, "bpe").keep(repeated, "words")
+    cut, taken = math.inf, 0
+    for row in repeated.groupBy("level").count().orderBy(F.desc("level")).collect():
+        taken += row["count"]
+        if taken > words:
+            break
+        cut = row["level"]
+    frequent = repeated.where(F.col("level") >= cut).select("word") if cut < math.inf else repeated.select("word").limit(0)
     lexicon = compile_lexicon({w.encode(): vocab.unit(w) for (w,) in frequent.collect()})
     return spark.sparkContext.broadcast({"key": hash((content, lexicon)), "vocabulary": content, "lexicon": lexicon})
 

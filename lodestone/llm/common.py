@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,6 +134,13 @@ def link_labels(labels, left, right):
             labels[:] = jumped
 
 
+def pieces(batches: Iterator, rows: int = 1000) -> Iterator:
+    """Batches of pandas rows cut into smaller ones, so that what a task builds for its rows stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
 def plain(frame):
     """A pandas frame with its strings as objects: Arrow-backed ones may lie in no chunk or in several, which Arrow serialisation refuses."""
     import pandas as pd

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, components, plain
+from lodestone.llm.common import Scratch, components, pieces, plain
 from lodestone.llm.simhash import NO_ID, fingerprint_links
 
 #: Lines of fewer words are left alone.
@@ -35,17 +35,29 @@ TILE = 512
 BROADCAST_LINES = 1_000_000
 
 _DIGITS = re.compile(r"\d+")
-_WORD = re.compile(r"[^\W_]+")
 
 
-def line_words(line: str) -> list[str]:
-    """The runs of letters and digits in lower case, each number in them as 0."""
-    line = line.lower()
-    return _WORD.findall(_DIGITS.sub("0", line) if _DIGITS.search(line) else line)
+class _Letters(dict):
+    """Translation of characters: letters, digits and line breaks stay, all others become a space."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code if code == 10 or chr(code).isalnum() else 32
+        return self[code]
+
+
+_LETTERS = _Letters()
+
+
+def line_words(text: str) -> list[list[str]]:
+    """For each line of a text its runs of letters and digits in lower case, each number in them as 0."""
+    text = text.lower().translate(_LETTERS)
+    if _DIGITS.search(text):
+        text = _DIGITS.sub("0", text)
+    return [line.split() for line in text.split("\n")]
 
 
 def normalised(line: str) -> str:
-    return " ".join(line_words(line))
+    return " ".join(line_words(line)[0])
 
 
 class _Hashes(dict):
@@ -55,7 +67,7 @@ class _Hashes(dict):
         import xxhash
 
         h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 400_000:
+        if len(self) < 150_000:
             self[word] = h
         return h
 
@@ -67,10 +79,9 @@ def line_prints(text: str) -> tuple[list[int], np.ndarray, np.ndarray, int]:
     """(line numbers, line keys, fingerprints) of the lines that take part, and the number of lines with a word."""
     import xxhash
 
-    numbers, keys, words, sizes, with_word = [], [], [], [], 0
-    for i, line in enumerate(text.split("\n")):
-        split = line_words(line)
-        with_word += bool(split or line.strip())
+    numbers, keys, words, sizes = [], [], [], []
+    with_word = sum(1 for line in text.split("\n") if line and not line.isspace())
+    for i, split in enumerate(line_words(text)):
         if len(split) >= MIN_WORDS:
             numbers.append(i)
             keys.append(xxhash.xxh3_64_intdigest(" ".join(split).encode("utf-8", "surrogatepass")))
@@ -129,24 +140,18 @@ def similar(a: str, b: str) -> bool:
 
 def _joined(prints: np.ndarray, texts: list[str], labels: np.ndarray, split: int) -> np.ndarray:
     """Labels after verifying pairs within ``BUDGET`` bits; across ``split`` only, if there is one."""
-    parent = list(range(len(labels)))
-    roots: dict = {}
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for i, label in enumerate(labels.tolist()):
-        parent[i] = roots.setdefault(label, i)
+    _, labels = np.unique(labels, return_inverse=True)  # a copy: numbers of groups
     for i in range(split if split else len(prints)):
         lo = split if split else i + 1
         near = np.flatnonzero(np.bitwise_count(prints[lo:] ^ prints[i]) <= BUDGET) + lo
-        for j in near.tolist():
-            a, b = root(i), root(j)
-            if a != b and similar(texts[i], texts[j]):
-                parent[max(a, b)] = min(a, b)
-    return np.array([root(i) for i in range(len(labels))])
+        near = near[labels[near] != labels[i]]
+        while len(near):
+            j, near = near[0], near[1:]
+            if similar(texts[i], texts[j]):
+                labels[labels == labels[j]] = labels[i]
+                near = near[labels[near] != labels[i]]
+    _, first, group = np.unique(labels, return_index=True, return_inverse=True)
+    return first[group]
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +162,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = "id_key long, text_key long, n_lines int, found array<struct<no: int, line: bigint, fp: bigint>>"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in pieces(batches):
             found, n_lines = [], []
             for text in part["text"]:
                 numbers, keys, prints, with_word = line_prints(text)

@@ -12,13 +12,14 @@ puts a general label in its place, or removes it.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, plain
+from lodestone.llm.common import Scratch, pieces, plain
 
 KINDS = ("email", "ip", "card", "phone")
 #: Share of an entity's information from which a term discloses it.
@@ -108,7 +109,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = f"doc_id long, text_key long, spans array<{_SPAN}>, entities array<string>, terms array<struct<term: string, start: int, end: int>>"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in pieces(batches):
             spans, entities, words = [], [], []
             for text in part["text"]:
                 found = base_spans(text)
@@ -125,22 +126,34 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 BROADCAST_TERMS = 200_000
 
 
-def _term_texts(docs: DataFrame, candidates: DataFrame, text_col: str) -> DataFrame:
-    """Rows (term, text_key) of all texts, for the candidate terms."""
+def term_texts(docs: DataFrame, candidates: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows (term, n_term): in how many distinct texts of ``docs`` each candidate term stands."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     wanted = spark.sparkContext.broadcast({r["term"] for r in candidates.collect()}) if candidates.count() <= BROADCAST_TERMS else None
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in pieces(batches):
+            found = [list(_distinct_words(x, wanted.value if wanted else None)) for x in part["text"]]
+            held = [bool(f) for f in found]
+            if any(held):
+                yield pd.DataFrame({"text_key": part["text_key"][held], "terms": pd.Series(found, index=part.index)[held]})
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter[str] = Counter()
         for part in batches:
-            for at in range(0, len(part), 500):
-                piece = part.iloc[at : at + 500]
-                found = [(t, k) for k, x in zip(piece["text_key"], piece["text"], strict=True) for t in _distinct_words(x, wanted.value if wanted else None)]
-                if found:
-                    yield plain(pd.DataFrame(found, columns=["term", "text_key"]))
+            for terms in part["terms"]:
+                total.update(terms)
+            if len(total) > 500_000:
+                yield plain(pd.DataFrame({"term": list(total.keys()), "n": list(total.values())}))
+                total.clear()
+        if total:
+            yield plain(pd.DataFrame({"term": list(total.keys()), "n": list(total.values())}))
 
-    out = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).mapInPandas(rows, "term string, text_key long")
-    return out if wanted else out.join(candidates, "term", "left_semi")
+    texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).mapInPandas(rows, "text_key long, terms array<string>").dropDuplicates(["text_key"])
+    counts = texts.select("terms").mapInPandas(summed, "term string, n long")
+    counts = counts if wanted else counts.join(candidates, "term", "left_semi")
+    return counts.groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def _distinct_words(text: str, wanted: set[str] | None) -> set[str]:
@@ -176,12 +189,9 @@ def disclosures(docs: DataFrame, rows: DataFrame, scratch: Scratch, text_col: st
     held = texts.select(F.explode(F.array_distinct("terms.term")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_held"))
     pairs = scratch.keep(pairs.join(held, "term").where(share(F.col("n_held")) >= DISCLOSURE).drop("n_held"), "near_pairs")
     candidates = scratch.keep(pairs.select("term").distinct(), "candidates")
-    n_term = (
-        _term_texts(docs, candidates, text_col).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-        if not candidates.isEmpty()
-        else candidates.select("term", F.lit(0).cast("long").alias("n_term"))
-    )
-    scored = pairs.join(n_term, "term").select("entity", "term", "n_pair", "n_term", "n_entity", share(F.col("n_term")).alias("share"))
+    if candidates.isEmpty():
+        return candidates.select(F.lit("").alias("entity"), "term").limit(0)
+    scored = pairs.join(term_texts(docs, candidates, text_col), "term").select("entity", "term", "n_pair", "n_term", "n_entity", share(F.col("n_term")).alias("share"))
     return scratch.keep(scored.where(F.col("share") >= DISCLOSURE), "disclosures")
 
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, plain
+from lodestone.llm.common import Scratch, pieces, plain
 
 #: A line is above a host's limit if it is in more than this many of its distinct texts
 MIN_DOCS = 50
@@ -116,7 +116,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     schema = "doc_id long, host string, text_key long, " + ", ".join(f"{m} long" for m in MEASURES) + ", base_failed boolean, lines array<struct<key: bigint, words: int>>"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in pieces(batches):
             texts = [t or "" for t in part["text"]]
             out = pd.DataFrame([measure(t) for t in texts], columns=MEASURES, index=part.index, dtype="int64")
             out.insert(0, "doc_id", part["doc_id"])
@@ -225,7 +225,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     has_chars = chars_col is not None and chars_col in docs.columns
 
     def cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for part in pieces(batches):
+            part = part.copy()
             texts, keep = [], []
             for whole, own_host, lines in zip(part[text_col], part["__host"], part["__lines"], strict=True):
                 whole = whole or ""

@@ -56,6 +56,7 @@ def test_memory_is_bounded(spark, monkeypatch):
     with open(bpe.default_vocabulary(), "rb") as f:
         encoder = bpe.Encoder(f.read(), bpe.compile_lexicon({}))
     monkeypatch.setattr(bpe, "MEMO_WORDS", 20)
+    monkeypatch.setattr(bpe, "MEMO_PARTS", 20)
     assert [(i, x.tolist()) for i, t in enumerate(corpus()) for x in encoder.encode_many([t])] == whole
     assert len(encoder) <= 20 and len(encoder.parts) <= 20
 
