@@ -161,38 +161,51 @@ def _distinct_words(text: str, wanted: set[str] | None) -> set[str]:
     return words & wanted if wanted is not None else {w for w in words if len(w) >= TERM_CHARS}
 
 
-def disclosures(docs: DataFrame, rows: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """(entity, term, n_pair, n_term, n_entity, share): terms that disclose entities of ``docs``; written.
+def disclosures(docs: DataFrame, rows: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(disclosures, places): terms that disclose entities of ``docs``, and the texts where they do.
 
+    Rows (entity, term, n_pair, n_term, n_entity, share), written, and rows (text_key, term).
     ``rows`` is the written result of :func:`found_spans`. Counts are of distinct texts.
     """
-    texts = rows.where(F.size("entities") > 0).dropDuplicates(["text_key"])
+    held = rows.where(F.size("entities") > 0).dropDuplicates(["text_key"])
+    texts = scratch.keep(held.select("text_key", "entities", F.array_distinct("terms.term").alias("terms")), "texts")
     entities = texts.select("text_key", F.explode("entities").alias("entity"))
     supported = scratch.keep(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "supported")
-    pairs = (
-        texts.select(F.explode("entities").alias("entity"), F.array_distinct("terms.term").alias("terms"))
-        .join(supported, "entity")
-        .select("entity", "n_entity", F.explode("terms").alias("term"))
-        .groupBy("entity", "n_entity", "term")
-        .agg(F.count(F.lit(1)).alias("n_pair"))
-        .where(F.col("n_pair") >= SUPPORT)
-    )
-    pairs = scratch.keep(pairs, "pairs")
     total = F.lit(float(max(1, rows.select("text_key").distinct().count())))
     whole = F.log2(total / F.col("n_entity"))
 
-    def share(n_term):
-        return F.when(whole > 0, F.log2(total * F.col("n_pair") / (n_term * F.col("n_entity"))) / whole).otherwise(0.0)
-
-    # A term is in at least as many texts as in texts with an entity. Pairs that fall short by that count
-    # fall short by the whole corpus's, so common words need not be counted there.
-    held = texts.select(F.explode(F.array_distinct("terms.term")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_held"))
-    pairs = scratch.keep(pairs.join(held, "term").where(share(F.col("n_held")) >= DISCLOSURE).drop("n_held"), "near_pairs")
+    def share(n_pair, n_term):
+        return F.when(whole > 0, F.log2(total * n_pair / (n_term * F.col("n_entity"))) / whole).otherwise(0.0)
+
+    # A term is in at least as many texts of the corpus as of those with an entity, and meets an entity in
+    # at most all of its texts. What falls short by these bounds falls short by the true counts, so an entity
+    # is joined with the terms rare enough for it only. The bound grows with the entity: none passes the largest's.
+    def near(n_entity, n_term):
+        most = F.log2(total / n_entity)
+        return F.when(most > 0, F.log2(total / n_term) / most).otherwise(0.0) >= DISCLOSURE - 1e-9
+
+    terms = texts.select("text_key", F.explode("terms").alias("term"))
+    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_held")).where(F.col("n_held") >= SUPPORT)
+    largest = supported.where(F.col("n_entity") < total).agg(F.max("n_entity")).first()[0]
+    if largest is None:
+        return _none(scratch)
+    counted = scratch.keep(counted.where(near(F.lit(largest), F.col("n_held"))), "counted")
+    placed = scratch.keep(terms.join(counted, "term"), "placed")
+    held_by = scratch.keep(entities.join(supported, "entity"), "held_by")
+    met = scratch.keep(held_by.join(placed, "text_key").where(near(F.col("n_entity"), F.col("n_held"))), "met")
+    pairs = met.groupBy("entity", "n_entity", "term", "n_held").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= SUPPORT)
+    pairs = scratch.keep(pairs.where(share(F.col("n_pair"), F.col("n_held")) >= DISCLOSURE).drop("n_held"), "pairs")
     candidates = scratch.keep(pairs.select("term").distinct(), "candidates")
     if candidates.isEmpty():
-        return candidates.select(F.lit("").alias("entity"), "term").limit(0)
-    scored = pairs.join(term_texts(docs, candidates, text_col), "term").select("entity", "term", "n_pair", "n_term", "n_entity", share(F.col("n_term")).alias("share"))
-    return scratch.keep(scored.where(F.col("share") >= DISCLOSURE), "disclosures")
+        return _none(scratch)
+    scored = pairs.join(term_texts(docs, candidates, text_col), "term").where(share(F.col("n_pair"), F.col("n_term")) >= DISCLOSURE)
+    scored = scratch.keep(scored.select("entity", "term", "n_pair", "n_term", "n_entity", share(F.col("n_pair"), F.col("n_term")).alias("share")), "disclosures")
+    return scored, met.select("text_key", "entity", "term").join(scored.select("entity", "term"), ["entity", "term"]).select("text_key", "term").distinct()
+
+
+def _none(scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    schema = "entity string, term string, n_pair long, n_term long, n_entity long, share double"
+    return scratch.spark.createDataFrame([], schema), scratch.spark.createDataFrame([], "text_key long, term string")
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,18 +218,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     scratch = Scratch(docs.sparkSession, "pii")
     rows = scratch.keep(found_spans(docs, id_col, text_col), "rows")
-    telling = disclosures(docs, rows, scratch, text_col).select("entity", "term")
-    hits = (
-        rows.where(F.size("entities") > 0)
-        .dropDuplicates(["text_key"])
-        .select("text_key", F.explode("entities").alias("entity"), F.array_distinct("terms.term").alias("terms"))
-        .join(telling.select("entity").distinct(), "entity", "left_semi")
-        .select("text_key", "entity", F.explode("terms").alias("term"))
-        .join(telling, ["entity", "term"], "left_semi")
-        .groupBy("text_key")
-        .agg(F.collect_set("term").alias("telling"))
-    )
-    hits = scratch.keep(hits, "hits")
+    _, places = disclosures(docs, rows, scratch, text_col)
+    hits = scratch.keep(places.groupBy("text_key").agg(F.collect_set("term").alias("telling")), "hits")
     added = F.transform(
         F.filter("terms", lambda t: F.array_contains("telling", t["term"])),
         lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit("term").alias("kind")),
