@@ -1,15 +1,15 @@
 """Fuzzy line deduplication across documents.
 
-Lines are normalised and fingerprinted by SimHash over their words, long words
-weighing more than short ones, which nearly all lines share. Fingerprints
-within ``BUDGET`` bits meet through the pigeonhole blocks of the fingerprint join;
-the lines behind them are verified by edit similarity. Connected lines form a
-group, of which one occurrence stays: that of the smallest document id, first line.
-
-Exact repeats of a normalised line are one node throughout. Only lines whose
-fingerprint has company fetch their texts. A large family is verified in tiles of
-at most about ``TILE`` lines: first inside each tile, then between tiles, where
-lines already known to be connected need no further proof.
+Every line that isn't blank takes part. Lines are normalised; exact repeats of a
+normalised line are one node throughout. Different lines long enough to be told
+apart are also linked if their edit similarity reaches ``SIMILARITY``: they meet
+in the buckets of a MinHash signature over their character n-grams, so scripts
+without spaces count like any other, and are verified there. Connected lines form
+a group, of which one occurrence stays: that of the smallest document id, first line.
+
+Only lines in buckets with company fetch their texts. A large bucket is verified in
+tiles of at most about ``TILE`` lines: first inside each tile, then between tiles,
+where lines already known to be connected need no further proof.
 """
 
 from __future__ import annotations
@@ -23,13 +23,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import minhash
 from lodestone.llm.common import Scratch, components, pieces, plain
-from lodestone.llm.simhash import NO_ID, fingerprint_links
+from lodestone.llm.simhash import NO_ID
 
-#: Lines of fewer words are left alone.
+#: Lines of fewer words and of fewer characters go as exact repeats only.
 MIN_WORDS = 5
+MIN_CHARS = 16
 SIMILARITY = 0.8
-BUDGET = 4
+#: Characters of a gram, and minima that two lines must share to meet.
+GRAM = 5
+ROWS = 3
+#: Bits in which the sketches of lines may differ. Lines without a common gram differ in 32 +- 4.
+BUDGET = 26
 TILE = 512
 #: Keys of lines whose text is needed are sent to the tasks if they are at most so many.
 BROADCAST_LINES = 1_000_000
@@ -60,50 +66,55 @@ def normalised(line: str) -> str:
     return " ".join(line_words(line)[0])
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) < 150_000:
-            self[word] = h
-        return h
+def line_keys(text: str) -> tuple[list[int], np.ndarray, list[str | None]]:
+    """(line numbers, line keys, normalised lines) of the lines that aren't blank; None for those too short to be fuzzy.
 
+    A short line's key keeps its numbers, which may be all that it says; that of a
+    line without letters or digits is of its characters.
+    """
+    import xxhash
 
-_HASHES = _Hashes()
+    numbers, keys, norms = [], [], []
+    split = line_words(text)
+    for i, line in enumerate(text.split("\n")):
+        if not line or line.isspace():
+            continue
+        norm = " ".join(split[i]) if i < len(split) else ""
+        if len(norm) >= MIN_CHARS or norm.count(" ") >= MIN_WORDS - 1:
+            own = norm
+        else:
+            continue
+        numbers.append(i)
+        keys.append(xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")))
+        norms.append(norm)
+    return numbers, np.array(keys, np.uint64).view(np.int64), norms
+
+
+def line_signatures(norms: list[str]) -> np.ndarray:
+    """MinHash signatures of normalised lines over their grams of ``GRAM`` characters; a shorter line is one gram."""
+    sizes = np.fromiter(map(len, norms), np.int64, len(norms))
+    # filled up by line breaks, no gram reaches from one line into the next
+    padded = "".join(norm if len(norm) >= GRAM else norm.ljust(GRAM, "\n") for norm in norms)
+    codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.maximum(sizes, GRAM)
+    grams = np.zeros(max(0, len(codes) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + len(grams)] + np.uint64(1)
+    starts = np.cumsum(sizes) - sizes
+    own = np.ones(len(codes), bool)
+    for k in range(1, GRAM):  # grams that begin in a line's last characters
+        own[starts + sizes - k] = False
+    own = own[: len(grams)]
+    counts = sizes - GRAM + 1
+    return minhash.signatures(minhash.mixed(grams[own]), np.cumsum(counts) - counts)
 
 
 def line_prints(text: str) -> tuple[list[int], np.ndarray, np.ndarray, int]:
-    """(line numbers, line keys, fingerprints) of the lines that take part, and the number of lines with a word."""
-    import xxhash
-
-    numbers, keys, words, sizes = [], [], [], []
-    with_word = sum(1 for line in text.split("\n") if line and not line.isspace())
-    for i, split in enumerate(line_words(text)):
-        if len(split) >= MIN_WORDS:
-            numbers.append(i)
-            keys.append(xxhash.xxh3_64_intdigest(" ".join(split).encode("utf-8", "surrogatepass")))
-            words += split
-            sizes.append(len(split))
-    prints = np.zeros(len(sizes), np.uint64)
-    if sizes:
-        hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-        weights = np.clip(np.fromiter(map(len, words), np.int64, len(words)) - 2, 1, 255).astype(np.uint8)
-        starts = np.cumsum([0, *sizes])
-        at = 0
-        while at < len(sizes):  # bounded slices: 64 bytes a word
-            upto = max(at + 1, int(np.searchsorted(starts, starts[at] + 100_000, "right")) - 1)
-            piece = hashes[starts[at] : starts[upto]]
-            bits = np.unpackbits(piece.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            weight = weights[starts[at] : starts[upto]]
-            first = starts[at:upto] - starts[at]
-            counts = np.add.reduceat(bits * weight[:, None], first, axis=0, dtype=np.int32)
-            on = counts * 2 > np.add.reduceat(weight, first, dtype=np.int32)[:, None]
-            prints[at:upto] = np.packbits(on, axis=1).view(">u8").reshape(-1)
-            at = upto
-    return numbers, np.array(keys, np.uint64).view(np.int64), prints.view(np.int64), with_word
+    """(line numbers, line keys, sketches) of the lines that may be fuzzy repeats, and the number of lines that aren't blank."""
+    numbers, keys, norms = line_keys(text)
+    fuzzy = [i for i, norm in enumerate(norms) if norm is not None]
+    prints = minhash.sketches(line_signatures([norms[i] for i in fuzzy])) if fuzzy else np.zeros(0, np.uint64)
+    return [numbers[i] for i in fuzzy], keys[fuzzy], prints.view(np.int64), len(numbers)
 
 
 def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
@@ -138,36 +149,20 @@ def similar(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
-def _joined(prints: np.ndarray, texts: list[str], labels: np.ndarray, split: int) -> np.ndarray:
-    """Labels after verifying pairs within ``BUDGET`` bits; across ``split`` only, if there is one."""
-    _, labels = np.unique(labels, return_inverse=True)  # a copy: numbers of groups
-    for i in range(split if split else len(prints)):
-        lo = split if split else i + 1
-        near = np.flatnonzero(np.bitwise_count(prints[lo:] ^ prints[i]) <= BUDGET) + lo
-        near = near[labels[near] != labels[i]]
-        while len(near):
-            j, near = near[0], near[1:]
-            if similar(texts[i], texts[j]):
-                labels[labels == labels[j]] = labels[i]
-                near = near[labels[near] != labels[i]]
-    _, first, group = np.unique(labels, return_index=True, return_inverse=True)
-    return first[group]
-
-
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_key, text_key, n_lines, found), one per document row; ``found``: (no, line, fp) of lines that take part.
+    """Rows (id_key, text_key, n_lines, found), one per document row; ``found``: (no, line, fuzzy) of lines that aren't blank.
 
     ``id_key`` is the id; for a null id, a number above all ids drawn from the text.
     """
-    schema = "id_key long, text_key long, n_lines int, found array<struct<no: int, line: bigint, fp: bigint>>"
+    schema = "id_key long, text_key long, n_lines int, found array<struct<no: int, line: bigint, fuzzy: boolean>>"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in pieces(batches):
             found, n_lines = [], []
             for text in part["text"]:
-                numbers, keys, prints, with_word = line_prints(text)
-                found.append([{"no": n, "line": k, "fp": f} for n, k, f in zip(numbers, keys.tolist(), prints.tolist(), strict=True)])
-                n_lines.append(with_word)
+                numbers, keys, norms = line_keys(text)
+                found.append([{"no": n, "line": k, "fuzzy": norm is not None} for n, k, norm in zip(numbers, keys.tolist(), norms, strict=True)])
+                n_lines.append(len(numbers))
             yield pd.DataFrame({"id_key": part["id_key"], "text_key": part["text_key"], "n_lines": n_lines, "found": found})
 
     return _keyed(docs, id_col, text_col).select("id_key", "text_key", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(rows, schema)
@@ -207,68 +202,58 @@ def _line_texts(docs: DataFrame, suspects: DataFrame, text_col: str) -> DataFram
     return chosen.mapInPandas(rows, "line long, norm string").groupBy("line").agg(F.first("norm").alias("norm"))
 
 
+def signed(docs: DataFrame, lines: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows (node, fp, buckets) of the lines (line, text_key, no), read where they stand first; maybe more than once, all equal."""
+    places = lines.groupBy("text_key").agg(F.collect_list(F.struct("no", "line")).alias("places"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    chosen = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(places, "text_key").select("text", "places")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in pieces(batches, 200):
+            keys, norms = [], []
+            for text, own in zip(part["text"], part["places"], strict=True):
+                split = line_words(text)
+                for p in own:
+                    keys.append(p["line"])
+                    norms.append(" ".join(split[p["no"]]))
+            at = 0
+            while at < len(keys):  # bounded slices, by characters
+                upto, size = at, 0
+                while upto < len(keys) and (upto == at or size + len(norms[upto]) <= 1_000_000):
+                    size += len(norms[upto])
+                    upto += 1
+                found = line_signatures(norms[at:upto])
+                yield pd.DataFrame({"node": keys[at:upto], "fp": minhash.sketches(found).view(np.int64), "buckets": list(minhash.buckets(found, ROWS))})
+                at = upto
+
+    return chosen.mapInPandas(rows, "node long, fp long, buckets array<long>")
+
+
 def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key. ``lines``: (line, fp, at), written."""
-    prints = scratch.keep(lines.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "prints")
-    reps = prints.select("fp", F.col("fp").alias("rep"))
-    families = scratch.keep(components(fingerprint_links(reps, scratch, BUDGET), scratch), "families")
-    # fingerprints alone in their family, but shared by several lines, are families too
-    family = F.coalesce("component", "fp")
-    suspects = prints.join(families, prints["fp"] == families["node"], "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select("fp", family.alias("family"))
-    suspects = scratch.keep(lines.join(scratch.keep(suspects, "suspect_prints"), "fp").select("line", "fp", "family", "at.text_key", "at.no"), "suspects")
-    sizes = scratch.keep(suspects.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")), "sizes")
-    placed = (
-        suspects.select("line", "fp", "family")
-        .join(_line_texts(docs, suspects, text_col), "line")
-        .join(sizes, "family")
-        .select("family", "tiles", F.pmod(F.xxhash64("line"), F.col("tiles")).cast("int").alias("tile"), "line", "fp", "norm")
-    )
-    placed = scratch.keep(placed, "placed")
-
-    def inside(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("line", ignore_index=True)
-        labels = _joined(part["fp"].to_numpy().view(np.uint64), part["norm"].tolist(), np.arange(len(part)), 0)
-        return plain(pd.DataFrame({"family": part["family"], "tiles": part["tiles"], "tile": part["tile"], "line": part["line"], "fp": part["fp"], "norm": part["norm"], "label": part["line"].to_numpy()[labels]}))
-
-    tiled = scratch.keep(placed.groupBy("family", "tile").applyInPandas(inside, "family long, tiles int, tile int, line long, fp long, norm string, label long"), "tiled")
-
-    def between(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["tile", "line"], ignore_index=True)
-        split = int((part["tile"] == part["tile"].iloc[0]).sum())
-        if split == len(part):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        labels = _joined(part["fp"].to_numpy().view(np.uint64), part["norm"].tolist(), part["label"].to_numpy(), split)
-        line = part["line"].to_numpy()
-        moved = line[labels] != line
-        return pd.DataFrame({"a": line[moved], "b": line[labels[moved]]})
-
-    crossed = (
-        tiled.where("tiles > 1")
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-        .where("other <> tile")
-        .select("family", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "line", "fp", "norm", "label")
-    )
-    links = crossed.groupBy("family", "i", "j").applyInPandas(between, "a long, b long").union(
-        tiled.where("line <> label").select(F.col("line").alias("a"), F.col("label").alias("b"))
-    )
-    return components(links, scratch)
+    """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key. ``lines``: (line, fuzzy, at), written."""
+    first = lines.where("fuzzy").select("line", "at.text_key", "at.no")
+    met = minhash.met_in_buckets(scratch.keep(signed(docs, first, text_col).dropDuplicates(["node"]), "signed"), scratch)
+    wanted = scratch.keep(first.join(met.select(F.col("node").alias("line")).distinct(), "line"), "wanted")
+    texts = scratch.keep(_line_texts(docs, wanted, text_col).select(F.col("line").alias("node"), F.col("norm").alias("own")), "texts")
+    placed = scratch.keep(met.join(texts, "node").select("family", "node", "fp", "own"), "placed")
+    return components(minhash.verified_links(placed, scratch, TILE, BUDGET, similar), scratch)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_key, text_key, n_lines, removed), one per document row, written.
 
-    ``n_lines``: lines with a word. ``removed``: (line, kept_doc, kept_line) of the
+    ``n_lines``: lines that aren't blank. ``removed``: (line, kept_doc, kept_line) of the
     lines to remove, by line: number from 0, and the occurrence that stays (its
     document null if that has no id). Of a group, the occurrence in the document of
     the smallest id stays; rows with a null id come last, of equal ids the one with
     the smaller text hash is first; rows equal in both are one document. Lines of
-    fewer than ``MIN_WORDS`` words after normalising never go.
+    fewer than ``MIN_WORDS`` words and ``MIN_CHARS`` characters go as exact repeats only.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = scratch.keep(occurrences(docs, id_col, text_col), "rows")
-    found = rows.select("id_key", "text_key", F.explode("found").alias("f")).select("id_key", "text_key", "f.no", "f.line", "f.fp")
+    found = rows.select("id_key", "text_key", F.explode("found").alias("f")).select("id_key", "text_key", "f.no", "f.line", "f.fuzzy")
     at = F.struct("id_key", "text_key", "no")
-    lines = scratch.keep(found.groupBy("line").agg(F.first("fp").alias("fp"), F.min(at).alias("at"), F.count(F.lit(1)).alias("n")), "lines")
+    lines = scratch.keep(found.groupBy("line").agg(F.first("fuzzy").alias("fuzzy"), F.min(at).alias("at"), F.count(F.lit(1)).alias("n")), "lines")
     groups = scratch.keep(line_groups(docs, lines, scratch, text_col), "groups")
     first = lines.join(groups, lines["line"] == groups["node"], "left").select("line", F.coalesce("component", "line").alias("group"), "at", "n")
     first = scratch.keep(first, "first")

@@ -100,3 +100,19 @@ def test_repeated_and_nameless_rows(spark):
     assert [r["doc_id"] for r in lines.dedup(docs).collect()] == [5, 5]
     assert lines.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_fuzzy_repeats_are_found_by_edit_similarity_alone(spark):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 8)))
+    rows, n = [], 0
+    for size in (8, 12, 20):
+        for _ in range(60):
+            base = [word() for _ in range(size)]
+            copy = list(base)
+            copy[rnd.randrange(size)] = word()
+            if lines.similar(" ".join(base), " ".join(copy)):
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+                n += 1
+    removed = lines.report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 1").count()
+    assert n > 150 and removed >= 0.95 * n
