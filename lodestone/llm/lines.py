@@ -83,7 +83,7 @@ def line_keys(text: str) -> tuple[list[int], np.ndarray, list[str | None]]:
         if len(norm) >= MIN_CHARS or norm.count(" ") >= MIN_WORDS - 1:
             own = norm
         else:
-            continue
+            norm, own = None, "\0" + (" ".join(line.lower().translate(_LETTERS).split()) or "\0" + " ".join(line.split()))
         numbers.append(i)
         keys.append(xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")))
         norms.append(norm)

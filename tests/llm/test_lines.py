@@ -116,3 +116,13 @@ def test_fuzzy_repeats_are_found_by_edit_similarity_alone(spark):
                 n += 1
     removed = lines.report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed = 1").count()
     assert n > 150 and removed >= 0.95 * n
+
+
+def test_short_and_unspaced_lines_take_part(spark):
+    rows = [
+        (1, "All rights reserved.\nchapter 1\n* * *\n這是一個沒有空格的很長的句子用來測試模糊比對的功能\n短い行"),
+        (2, "all rights reserved\nchapter 2\n* * *\n這是一個沒有空格的很長的句子用來測試模糊比對的作用\n短い行"),
+        (3, "Chapter 1"),
+    ]
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(0, 1, 0), (2, 1, 2), (3, 1, 3), (4, 1, 4)], 3: [(0, 1, 1)]}
