@@ -111,6 +111,15 @@ def chunks_to_documents(spark, sf_dir):
     return docs(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list(piece)).alias("p")).select("source", F.array_join(F.transform("p", lambda x: x["content"]), "|").alias("joined"))
 
 
+@query("documents_from_chunks", f"WITH t AS (SELECT doc_id, {_W} AS w FROM documents) SELECT doc_id, array_to_string(w, ' ') AS content FROM t WHERE len(w) > 0")
+def documents_from_chunks(spark, sf_dir):
+    """Whole documents put together again from their chunks, each without the words it shares with the one before."""
+    own = F.when(F.col("chunk_index") == 0, F.col("content")).otherwise(F.array_join(F.slice(F.split("content", " "), 65, 512), " "))
+    pieces = chunk_windows(spark, sf_dir).select("doc_id", F.struct("chunk_index", own.alias("own")).alias("piece"))
+    joined = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list("piece")).alias("p"))
+    return joined.select("doc_id", F.array_join(F.transform("p", lambda x: x["own"]), " ").alias("content"))
+
+
 @query(
     "query_terms",
     rf"""

@@ -25,3 +25,9 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).columns == ["query_id", "id", "similarity", "rank"]
     assert set(registry.oracle_sql()) <= set(registry.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_documents_come_back_from_their_chunks(spark):
+    texts = {r["doc_id"]: " ".join((r["text"] or "").split()) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["content"] for r in registry.queries()["documents_from_chunks"](spark, DIR).collect()}
+    assert max(map(len, got.values())) > 4000 and got == {d: t for d, t in texts.items() if t}
