@@ -232,10 +232,13 @@ def signed(docs: DataFrame, lines: DataFrame, text_col: str = "text") -> DataFra
 def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
     """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key. ``lines``: (line, fuzzy, at), written."""
     first = lines.where("fuzzy").select("line", "at.text_key", "at.no")
-    met = minhash.met_in_buckets(scratch.keep(signed(docs, first, text_col).dropDuplicates(["node"]), "signed"), scratch)
+    with_buckets = scratch.keep(signed(docs, first, text_col).dropDuplicates(["node"]), "signed")
+    met = minhash.met_in_buckets(with_buckets, scratch)
+    scratch.drop(with_buckets)
     wanted = scratch.keep(first.join(met.select(F.col("node").alias("line")).distinct(), "line"), "wanted")
     texts = scratch.keep(_line_texts(docs, wanted, text_col).select(F.col("line").alias("node"), F.col("norm").alias("own")), "texts")
     placed = scratch.keep(met.join(texts, "node").select("family", "node", "fp", "own"), "placed")
+    scratch.drop(met, wanted, texts)
     return components(minhash.verified_links(placed, scratch, TILE, BUDGET, similar), scratch)
 
 

@@ -132,6 +132,7 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
     by = ("family", "tile")
     tiled = dealt.repartition(*by).sortWithinPartitions(*by, "node").mapInPandas(inside, f"family long, tiles int, tile int, node long, fp long, own {own}, label long")
     tiled = scratch.keep(tiled, "tiled")
+    scratch.drop(sizes)
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, bounds in _whole_groups(batches, ["family", "i", "j"]):
@@ -157,7 +158,13 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
 
 
 def met_in_buckets(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (family, node, fp), written: nodes of ``signed`` (node, fp, buckets) in every bucket where they have company."""
+    """Rows (family, node, fp), written: nodes of ``signed`` (node, fp, buckets) in the buckets where they have company.
+
+    Of buckets with the same nodes one is enough.
+    """
     keyed = signed.select("node", "fp", F.explode("buckets").alias("family"))
-    crowded = scratch.keep(keyed.groupBy("family").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("family"), "crowded")
-    return scratch.keep(keyed.join(crowded, "family").select("family", "node", "fp"), "met")
+    found = keyed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
+    crowded = scratch.keep(found.groupBy("n", "low", "who").agg(F.min("family").alias("family")).select("family"), "crowded")
+    met = scratch.keep(keyed.join(crowded, "family").select("family", "node", "fp"), "met")
+    scratch.drop(crowded)
+    return met
