@@ -15,16 +15,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import default_vocabulary
-from lodestone.llm.common import plain
+from lodestone.llm.common import with_computed
 
 #: What a turn's text takes part in the loss for.
 LOSS_ROLES = ("assistant",)
@@ -141,28 +140,28 @@ def format_conversations(
     )
     whole = rows.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
-    def formatted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _tokenizer(shared, template)
-        for part in batches:
-            out = []
-            for conv, turns in zip(part["conv_id"], part["turns"], strict=True):
-                pairs = [(t["role"], t["text"]) for t in turns]
-                text, spans = template.render(pairs)
-                out.append((conv, text, *masked(tokenizer, text, spans, [r in loss_roles for r, _ in pairs])))
-            frame = pd.DataFrame(out, columns=["conv_id", "formatted", "ids", "loss_mask", "loss_spans"])
-            frame["conv_id"] = part["conv_id"].to_numpy()
-            yield plain(frame)
+    def formatted(conversations: list) -> tuple:
+        tokenizer, out = _tokenizer(shared, template), []
+        for turns in conversations:
+            pairs = [(t["role"], t["text"]) for t in turns]
+            text, spans = template.render(pairs)
+            out.append((text, *masked(tokenizer, text, spans, [r in loss_roles for r, _ in pairs])))
+        return tuple(zip(*out, strict=True))
 
-    return whole.mapInPandas(formatted, "conv_id long, formatted string, ids array<int>, loss_mask array<int>, loss_spans array<array<int>>")
+    ints = pa.list_(pa.int32())
+    new = [("formatted", "string", pa.string()), ("ids", "array<int>", ints), ("loss_mask", "array<int>", ints), ("loss_spans", "array<array<int>>", pa.list_(ints))]
+    return with_computed(whole, [F.col("turns")], new, formatted).drop("turns")
 
 
 def read_back(formatted: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
     """Rows (conv_id, turns, loss_text, formatted_chars): the turns parsed out of ``formatted``, and the unescaped text under the mask."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            turns = [[{"role": r, "text": t} for r, t in template.parse(x)] for x in part["formatted"]]
-            loss = ["".join(template.unescape(x[a:b]) for a, b in spans) for x, spans in zip(part["formatted"], part["loss_spans"], strict=True)]
-            yield plain(pd.DataFrame({"conv_id": part["conv_id"], "turns": turns, "loss_text": loss, "formatted_chars": [len(x) for x in part["formatted"]]}))
+    def back(texts: list, spans: list) -> tuple:
+        turns = [[{"role": r, "text": t} for r, t in template.parse(x)] for x in texts]
+        loss = ["".join(template.unescape(x[a:b]) for a, b in own) for x, own in zip(texts, spans, strict=True)]
+        return turns, loss, [len(x) for x in texts]
 
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInPandas(rows, "conv_id long, turns array<struct<role: string, text: string>>, loss_text string, formatted_chars long")
+    turn = pa.struct([("role", pa.string()), ("text", pa.string())])
+    new = [("turns", "array<struct<role: string, text: string>>", pa.list_(turn)), ("loss_text", "string", pa.string()), ("formatted_chars", "long", pa.int64())]
+    chosen = formatted.select("conv_id", "formatted", "loss_spans")
+    return with_computed(chosen, [F.col("formatted"), F.col("loss_spans")], new, back).drop("formatted", "loss_spans")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -134,6 +136,48 @@ def link_labels(labels, left, right):
             labels[:] = jumped
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the ``wanted`` ones that no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows handed to a function of :func:`with_computed` at once.
+PIECE = 1000
+
+
+def with_computed(df: DataFrame, inputs: list[Column], new: list[tuple[str, str, pa.DataType]], compute: Callable) -> DataFrame:
+    """``df`` with new columns that ``compute`` makes of ``inputs`` in Python.
+
+    ``new``: (name, Spark type, Arrow type) of each, names that ``df`` doesn't have.
+    ``compute`` gets the inputs of up to ``PIECE`` rows as Python lists and returns
+    the new columns as lists or Arrow arrays. The columns of ``df`` itself stay Arrow
+    data throughout: longs beside nulls keep all their digits.
+    """
+    own, names = len(df.columns), [n for n, *_ in new]
+    schema = StructType(df.schema.fields + [StructField(n, _parsed(t)) for n, t, _ in new])
+    sent = free_names(df, *(f"input{i}" for i in range(len(inputs))))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE):
+                part = batch.slice(at, PIECE)
+                made = compute(*(part.column(i).to_pylist() for i in range(own, part.num_columns)))
+                arrays = [m if isinstance(m, pa.Array) else pa.array(m, t) for m, (_, _, t) in zip(made, new, strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:own], *arrays], names=[*part.schema.names[:own], *names])
+
+    return df.select("*", *(c.alias(n) for c, n in zip(inputs, sent, strict=True))).mapInArrow(rows, schema)
+
+
+def _parsed(ddl: str):
+    return StructType.fromDDL(f"x {ddl}").fields[0].dataType
+
+
 def pieces(batches: Iterator, rows: int = 1000) -> Iterator:
     """Batches of pandas rows cut into smaller ones, so that what a task builds for its rows stays small."""
     for batch in batches:

@@ -3,14 +3,14 @@
 ``fingerprints`` hashes the word shingles of each whole text; ``near_duplicates``
 links fingerprints that differ in a few bits and labels the connected groups.
 
-The join traverses pairs of trie nodes together. Spark carries the top of the
-traversal: the 64 bits are cut into blocks and, for every choice of ``CLEAN``
-blocks, a trie is read with these blocks first. Two fingerprints within the
-error budget agree on at least ``CLEAN`` blocks, so in one of the orders both lie
-below the same node at that depth. The node is the shuffle key. Below it, tasks
-descend pairs of nodes bit by bit, add up differing bits and drop a pair of nodes
-once the budget is exceeded. A node with more than ``TILE`` fingerprints is dealt
-out as pairs of subsets of at most about ``TILE``, so no task gets a whole hot node.
+All distinct fingerprints make one binary trie, and pairs of its nodes are traversed
+together from the pair (root, root) down. A pair carries the bits in which its two
+prefixes differ so far; it is dropped once they exceed the error budget, since no
+fingerprint below can make up for them. Spark traverses the top, ``STRIDE`` bits a
+round: a table of open node pairs is joined with the nodes' children. A pair whose
+nodes hold at most ``TILE`` fingerprints each is handed to a task, which goes on bit by
+bit. No node is ever whole in a task beyond that size, however many fingerprints crowd
+below one prefix.
 
 Tasks return a spanning star of each linked group they see, never all pairs.
 """
@@ -18,24 +18,24 @@ Tasks return a spanning star of each linked group they see, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, components, link_labels
+from lodestone.llm.common import Scratch, components, link_labels, with_computed
 
 SEED = 42
 BITS = 64
-BLOCKS = (11, 11, 11, 11, 10, 10)
-CLEAN = 2
-#: Room for the clean blocks' bits in a key, below the tag.
-KEY_BITS = 24
-TILE = 1024
-#: Ids at or above this are stand-ins for groups whose documents have no id.
-NO_ID = 1 << 62
+#: Bits that Spark goes down in a round; divides ``BITS``.
+STRIDE = 4
+#: Fingerprints of a node that a task takes at most.
+TILE = 16384
+#: Pairs of nodes that a task holds at once.
+FRONT = 1 << 18
+#: Pairs of fingerprints below which a pair of nodes is compared outright.
+LEAF = 32
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -70,39 +70,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     a word get 0. A bit is set if it is set in more than half of the hashes.
     """
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            fp = np.array([fingerprint(t, words) for t in part["text"]], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": fp})
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        hashed, "doc_id long, fp long"
-    )
-
-
-def _clean_key(fp, first: tuple[int, ...]):
-    """Column: the clean blocks' bits of ``fp``, tagged by the choice of blocks."""
-    tops = np.cumsum((0, *BLOCKS))
-    key = F.lit(0).cast("long")
-    for i in first:
-        block = F.shiftrightunsigned(fp, BITS - int(tops[i + 1])).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1))
-        key = F.shiftleft(key, BLOCKS[i]).bitwiseOR(block)
-    return key.bitwiseOR(F.lit(sum(1 << i for i in first) << KEY_BITS))
-
-
-def _permute(fp: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """Each fingerprint's bits in the order of its trie."""
-    out = np.zeros(len(fp), np.uint64)
-    tops = np.cumsum((0, *BLOCKS))
-    for first in combinations(range(len(BLOCKS)), CLEAN):
-        rows = tag == sum(1 << i for i in first)
-        if rows.any():
-            word, x = np.zeros(int(rows.sum()), np.uint64), fp[rows]
-            for i in (*first, *(i for i in range(len(BLOCKS)) if i not in first)):
-                block = (x >> np.uint64(BITS - int(tops[i + 1]))) & np.uint64((1 << BLOCKS[i]) - 1)
-                word = (word << np.uint64(BLOCKS[i])) | block
-            out[rows] = word
-    return out
+    def hashed(texts: list) -> tuple:
+        return (pa.array(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)),)
+
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return with_computed(ids, [F.col("text")], [("fp", "long", pa.int64())], hashed).drop("text")
 
 
 def _leaf_pairs(alo, ahi, blo, bhi):
@@ -118,104 +90,131 @@ def _leaf_pairs(alo, ahi, blo, bhi):
         at = upto
 
 
-def trie_links(words: np.ndarray, pairs: np.ndarray, depth: int, budget: int, leaf: int = 64) -> np.ndarray:
-    """Labels that connect entries of ``words`` within ``budget`` differing bits.
+def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, spent: int, budget: int, seen: dict | None = None) -> np.ndarray:
+    """Labels that connect the fingerprints below a pair of trie nodes within ``budget`` bits.
 
-    ``words``: 64-bit values, ascending within each range that ``pairs`` names as
-    (lo, hi, lo, hi): two trie nodes of equal depth, or one node twice. Nodes share
-    their top ``depth`` bits. Returns an index per entry; equal ones are connected.
+    ``left``, ``right``: ascending fingerprints of two nodes that lie ``depth`` bits
+    deep and differ in ``spent`` bits so far; ``right`` is None for a node with itself.
+    Returns an index per fingerprint, of ``left``, then ``right``; equal ones are
+    connected. ``seen``, if given, counts the node pairs visited and pruned.
     """
-    labels = np.arange(len(words))
-    alo, ahi, blo, bhi = (pairs[:, i].astype(np.int64) for i in range(4))
-    spent = np.zeros(len(alo), np.int64)
-    for bit in range(BITS - 1 - depth, -2, -1):
-        small = ((ahi - alo) * (bhi - blo) <= leaf) if bit >= 0 else np.ones(len(alo), bool)
+    words = left if right is None else np.concatenate([left, right])
+    labels, n = np.arange(len(words)), len(left)
+    whole = (0, n, 0, n) if right is None else (0, n, n, len(words))
+    stack = [(BITS - 1 - depth, *(np.array([x]) for x in (*whole, spent)))]
+    ones: dict[int, np.ndarray] = {}
+    while stack:
+        bit, alo, ahi, blo, bhi, cost = stack.pop()
+        if len(alo) > FRONT:  # depth first in halves, so that the open pairs stay bounded
+            half = len(alo) // 2
+            stack += [(bit, *(x[half:] for x in (alo, ahi, blo, bhi, cost))), (bit, *(x[:half] for x in (alo, ahi, blo, bhi, cost)))]
+            continue
+        small = ((ahi - alo) * (bhi - blo) <= LEAF) if bit >= 0 else np.ones(len(alo), bool)
         for i, j in _leaf_pairs(alo[small], ahi[small], blo[small], bhi[small]):
             near = (np.bitwise_count(words[i] ^ words[j]) <= budget) & (i != j)
             if near.any():
                 link_labels(labels, i[near], j[near])
-        alo, ahi, blo, bhi, spent = (x[~small] for x in (alo, ahi, blo, bhi, spent))
+        alo, ahi, blo, bhi, cost = (x[~small] for x in (alo, ahi, blo, bhi, cost))
         if not len(alo):
-            break
-        ones = np.concatenate(([0], np.cumsum((words >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)))
-        amid, bmid = ahi - (ones[ahi] - ones[alo]), bhi - (ones[bhi] - ones[blo])
-        apart = alo != blo
-        parts = [
-            (alo, amid, blo, bmid, spent, None),
-            (amid, ahi, bmid, bhi, spent, None),
-            (alo, amid, bmid, bhi, spent + 1, None),
-            (amid, ahi, blo, bmid, spent + 1, apart),  # of a node with itself, this is the one before
+            continue
+        if bit not in ones:
+            ones[bit] = np.concatenate(([0], np.cumsum((words >> np.uint64(bit)) & np.uint64(1)).astype(np.int64)))
+        own = ones[bit]
+        amid, bmid = ahi - (own[ahi] - own[alo]), bhi - (own[bhi] - own[blo])
+        children = [
+            (alo, amid, blo, bmid, cost, None),
+            (amid, ahi, bmid, bhi, cost, None),
+            (alo, amid, bmid, bhi, cost + 1, None),
+            (amid, ahi, blo, bmid, cost + 1, alo != blo),  # of a node with itself, this is the one before
         ]
-        kept = [[], [], [], [], []]
-        for *part, only in parts:
-            ok = (part[1] > part[0]) & (part[3] > part[2]) & (part[4] <= budget)
+        kept: list[list[np.ndarray]] = [[], [], [], [], []]
+        for *child, only in children:
+            there = (child[1] > child[0]) & (child[3] > child[2])
             if only is not None:
-                ok &= only
-            for out, x in zip(kept, part, strict=True):
+                there &= only
+            ok = there & (child[4] <= budget)
+            if seen is not None:
+                seen["visited"] = seen.get("visited", 0) + int(there.sum())
+                seen["pruned"] = seen.get("pruned", 0) + int((there & ~ok).sum())
+            for out, x in zip(kept, child, strict=True):
                 out.append(x[ok])
-        alo, ahi, blo, bhi, spent = (np.concatenate(x) for x in kept)
+        stack.append((bit - 1, *(np.concatenate(x) for x in kept)))
     return labels
 
 
-def _stars(part: pd.DataFrame, budget: int) -> pd.DataFrame:
-    """Spanning stars of all whole groups in ``part``."""
-    fp = part["fp"].to_numpy().astype(np.uint64)
-    key = part["key"].to_numpy()
-    group = part[["key", "i", "j"]]
-    start = np.flatnonzero(np.concatenate(([True], (group.iloc[1:].to_numpy() != group.iloc[:-1].to_numpy()).any(axis=1))))
-    group_no = np.zeros(len(part), np.int64)
-    group_no[start[1:]] = 1
-    group_no = np.cumsum(group_no)
-    second = (part["own"] != part["i"]).to_numpy()
-    words = _permute(fp, key >> KEY_BITS)
-    order = np.lexsort((words, second, group_no))
-    words, ids = words[order], part["rep"].to_numpy()[order]
-    first = np.bincount(group_no, weights=~second, minlength=len(start)).astype(np.int64)
-    size = np.bincount(group_no, minlength=len(start))
-    split = (part["i"] != part["j"]).to_numpy()[start]
-    lo, mid, hi = start, start + first, start + size
-    pairs = np.where(split[:, None], np.stack([lo, mid, mid, hi], 1), np.stack([lo, hi, lo, hi], 1))
-    pairs = pairs[(pairs[:, 1] > pairs[:, 0]) & (pairs[:, 3] > pairs[:, 2]) & (size > 1)]
-    labels = trie_links(words, pairs, sum(sorted(BLOCKS)[:CLEAN]), budget)
-    joined = labels != np.arange(len(labels))
-    return pd.DataFrame({"a": ids[joined], "b": ids[labels[joined]]})
-
-
-def fingerprint_links(reps: DataFrame, scratch: Scratch, budget: int = 4) -> DataFrame:
-    """Edges (a, b) between ``rep`` ids that connect all fingerprints within ``budget`` bits.
-
-    ``reps`` has distinct rows (fp, rep), written, not a plan. Exact for any
-    ``budget`` up to the number of blocks less ``CLEAN``.
+def _prefix(fp: Column, depth: int) -> Column:
+    return F.shiftrightunsigned(fp, BITS - depth)
+
+
+def node_pairs(prints: DataFrame, scratch: Scratch, budget: int) -> list[tuple[int, DataFrame]]:
+    """(depth, rows (a, b, spent), written) of the pairs of trie nodes that are left to tasks.
+
+    ``prints``: distinct rows (fp), written. ``a`` and ``b`` are prefixes of ``depth``
+    bits, a <= b or, as longs, in either order but once; each holds at most ``TILE``
+    fingerprints, and they differ in ``spent`` bits, no more than ``budget``.
     """
-    if budget > len(BLOCKS) - CLEAN:
-        raise ValueError(f"at most {len(BLOCKS) - CLEAN} bits: more would need other blocks")
     fp = F.col("fp")
-    keys = F.explode(F.array(*(_clean_key(fp, c) for c in combinations(range(len(BLOCKS)), CLEAN))))
-    keyed = reps.select("fp", "rep", keys.alias("key"))
-    hot = scratch.keep(keyed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "hot")
-    own = F.when(F.col("tiles").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    dealt = (
-        keyed.join(hot, "key", "left")
-        .select("key", "fp", "rep", own.alias("own"), F.coalesce("tiles", F.lit(1)).alias("tiles"))
-        .select("key", "fp", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "rep")
-    )
-
-    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for part in batches:
-            part = part if held is None else pd.concat([held, part], ignore_index=True)
-            last = part[["key", "i", "j"]].iloc[-1].to_numpy()
-            same = (part[["key", "i", "j"]].to_numpy() == last).all(axis=1)
-            held = part[same].reset_index(drop=True)
-            if not same.all():
-                yield _stars(part[~same].reset_index(drop=True), budget)
-        if held is not None:
-            yield _stars(held, budget)
-
-    return (
-        dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(linked, "a long, b long").distinct()
-    )
+    n = prints.count()
+    if n <= TILE:
+        root = scratch.spark.createDataFrame([(0, 0, 0)], "a long, b long, spent int")
+        return [(0, scratch.keep(root, "pairs"))]
+    opened = scratch.keep(scratch.spark.createDataFrame([(0, 0, 0)], "a long, b long, spent int"), "opened")
+    out, depth = [], 0
+    while not opened.isEmpty():
+        parents = opened.select(F.col("a").alias("parent")).union(opened.select("b")).distinct()
+        depth += STRIDE
+        below = prints.select(_prefix(fp, depth).alias("node"), (_prefix(fp, depth - STRIDE) if depth > STRIDE else F.lit(0).cast("long")).alias("parent"))
+        nodes = below.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("n")).join(parents, "parent", "left_semi")
+        nodes = scratch.keep(nodes, "nodes")
+        x, y = (nodes.select(F.col("parent").alias(k), F.col("node").alias(f"{k}_node"), F.col("n").alias(f"{k}_n")) for k in "ab")
+        spent = (F.col("spent") + F.bit_count(F.col("a_node").bitwiseXOR(F.col("b_node"))) - F.bit_count(F.col("a").bitwiseXOR(F.col("b")))).cast("int")
+        # of a node with itself, each pair of children is met once
+        children = opened.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("a_node") <= F.col("b_node")))
+        children = children.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), spent.alias("spent"), (F.greatest("a_n", "b_n") <= TILE).alias("ready")).where(F.col("spent") <= budget)
+        children = scratch.keep(children, "children")
+        out.append((depth, children.where("ready").select("a", "b", "spent")))
+        opened = children.where(~F.col("ready")).select("a", "b", "spent")
+    return out
+
+
+def fingerprint_links(prints: DataFrame, scratch: Scratch, budget: int = 4) -> DataFrame:
+    """Edges (a, b) between fingerprints that connect all of them within ``budget`` bits.
+
+    ``prints``: distinct rows (fp), written, not a plan. Exact for any ``budget``.
+    """
+
+    def linked(depth: int):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    part = batch.slice(i, 1)
+                    a, b = part.column(0)[0].as_py(), part.column(1)[0].as_py()
+                    left, right = (part.column(k).flatten().to_numpy().view(np.uint64) for k in (3, 4))
+                    words = np.concatenate([left, right]) if a != b else left
+                    labels = trie_links(left, right if a != b else None, depth, part.column(2)[0].as_py(), budget)
+                    moved = np.flatnonzero(labels != np.arange(len(labels)))
+                    words = words.view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(words[moved]), pa.array(words[labels[moved]])], names=["a", "b"])
+
+        return rows
+
+    spark, out = scratch.spark, None
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    unsigned = lambda x: x.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  signed order of these is the unsigned one
+    for depth, pairs in node_pairs(prints, scratch, budget):
+        n = pairs.count()
+        if not n:
+            continue
+        node = _prefix(F.col("fp"), depth) if depth else F.lit(0).cast("long")
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        packed = prints.select(node.alias("node"), unsigned(F.col("fp")).alias("fp")).join(wanted, "node", "left_semi")
+        packed = packed.groupBy("node").agg(F.transform(F.sort_array(F.collect_list("fp")), unsigned).alias("fps"))  # at most TILE each
+        packed = scratch.keep(packed, "packed")
+        x, y = (packed.select(F.col("node").alias(k), F.col("fps").alias(f"{k}_fps")) for k in "ab")
+        dealt = pairs.join(x, "a").join(y, "b").select("a", "b", "spent", "a_fps", "b_fps").repartition(min(n, tasks), "a", "b")
+        links = dealt.mapInArrow(linked(depth), "a long, b long")
+        out = links if out is None else out.unionByName(links)
+    return out.distinct() if out is not None else spark.createDataFrame([], "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
@@ -224,23 +223,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable over links of at most ``budget``
     differing fingerprint bits. Repeated rows and exact copies share a fingerprint
     and are one node of the join. Documents without a word have fingerprint zero
-    and link like any other. A row with a null id takes part; if no document of
-    its group has an id, ``component_id`` is null. Ids are below 2**62. Columns
+    and link like any other. Any long is an id. A row with a null id takes part; if
+    no document of its group has an id, ``component_id`` is null. Columns
     beyond the two named are not read. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.keep(fingerprints(docs, id_col, text_col, words), "prints")
-    stand_in = F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit(NO_ID - 1))
-    reps = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).select("fp", F.coalesce("rep", stand_in).alias("rep")), "reps")
-    groups = components(fingerprint_links(reps, scratch, budget), scratch)
-    component = F.coalesce("component", "rep")
-    labelled = scratch.keep(
-        reps.join(groups, reps["rep"] == groups["node"], "left").select(
-            "fp", F.when(component < NO_ID, component).alias("component_id")
-        ),
-        "labelled",
-    )
-    return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = scratch.keep(fingerprints(docs, id_col, text_col, words), "rows")
+    prints = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    groups = components(fingerprint_links(prints.select("fp"), scratch, budget), scratch)
+    grouped = prints.join(groups, prints["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    grouped = scratch.keep(grouped, "grouped")
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    labelled = scratch.keep(grouped.join(least, "component").select("fp", "component_id"), "labelled")
+    return rows.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:

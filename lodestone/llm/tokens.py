@@ -12,15 +12,14 @@ Counts of the sections therefore add up to the document's tokens.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import SLICE_CHARS, encoder_of
+from lodestone.llm.common import with_computed
 
 RULES = ("first", "most")
 
@@ -73,31 +72,27 @@ def section_tokens(
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    names = [f"f{i}" for i in range(len(fields))]
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(*columns: list) -> tuple:
         encoder = encoder_of(shared)
         token_bytes = np.array(list(map(len, encoder.vocabulary.bytes)), np.int64)
-        for part in batches:
-            texts = [[t or "" for t in part[n]] for n in names]
-            at = 0
-            while at < len(part):
-                upto, size = at, 0
-                while upto < len(part) and size < SLICE_CHARS:
-                    size += sum(len(column[upto]) for column in texts)
-                    upto += 1
-                out = []
-                whole = [separator.join(column[i] for column in texts) for i in range(at, upto)]
-                for i, text, ids in zip(range(at, upto), whole, encoder.encode_many(whole), strict=True):
-                    starts, ends = token_spans(text, ids, token_bytes)
-                    lengths = [len(column[i]) + len(separator) for column in texts]
-                    by_field, _ = attributed(starts, ends, np.cumsum([0, *lengths[:-1]]), len(text), rule)
-                    by_line, crossing = attributed(starts, ends, line_starts(text), len(text), rule)
-                    out.append((len(ids), by_field.tolist(), by_line.tolist(), crossing))
-                frame = pd.DataFrame(out, columns=["n_tokens", "field_tokens", "section_tokens", "n_crossing"])
-                frame.insert(0, "doc_id", part["doc_id"].iloc[at:upto].to_numpy())
-                yield frame
-                at = upto
-
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(n) for c, n in zip(fields, names, strict=True)))
-    return chosen.mapInPandas(rows, "doc_id long, n_tokens long, field_tokens array<int>, section_tokens array<int>, n_crossing long")
+        texts, out, at = [[t or "" for t in column] for column in columns], [], 0
+        while at < len(texts[0]):
+            upto, size = at, 0
+            while upto < len(texts[0]) and size < SLICE_CHARS:
+                size += sum(len(column[upto]) for column in texts)
+                upto += 1
+            whole = [separator.join(column[i] for column in texts) for i in range(at, upto)]
+            for i, text, ids in zip(range(at, upto), whole, encoder.encode_many(whole), strict=True):
+                starts, ends = token_spans(text, ids, token_bytes)
+                lengths = [len(column[i]) + len(separator) for column in texts]
+                by_field, _ = attributed(starts, ends, np.cumsum([0, *lengths[:-1]]), len(text), rule)
+                by_line, crossing = attributed(starts, ends, line_starts(text), len(text), rule)
+                out.append((len(ids), by_field.tolist(), by_line.tolist(), crossing))
+            at = upto
+        return tuple(zip(*out, strict=True))
+
+    counts = pa.list_(pa.int32())
+    new = [("n_tokens", "long", pa.int64()), ("field_tokens", "array<int>", counts), ("section_tokens", "array<int>", counts), ("n_crossing", "long", pa.int64())]
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"field{i}") for i, c in enumerate(fields)))
+    return with_computed(named, [F.col(f"field{i}") for i in range(len(fields))], new, rows).select("doc_id", *(n for n, *_ in new))

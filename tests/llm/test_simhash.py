@@ -52,26 +52,63 @@ def test_matches_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == brute(rows)
 
 
-def test_hot_nodes_are_tiled(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 8)
-    rnd = random.Random(5)
+def signed(v):
+    return v - (1 << 64) if v >> 63 else v
+
+
+def crowded(seed=5):
+    """Families of fingerprints a few bits apart, and others."""
+    rnd = random.Random(seed)
     base = [rnd.getrandbits(64) for _ in range(3)]
     values = {b ^ sum(1 << rnd.randrange(64) for _ in range(rnd.randint(0, 3))) for b in base for _ in range(60)}
-    values |= {rnd.getrandbits(64) for _ in range(50)}
-    rows = [(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(sorted(values))]
-    scratch = simhash.Scratch(spark, "test")
-    reps = scratch.keep(spark.createDataFrame(rows, "fp long, rep long"), "reps")
-    got = {r["node"]: r["component"] for r in simhash.components(simhash.fingerprint_links(reps, scratch), scratch).collect()}
-    by_id = sorted(values)
-    comp = list(range(len(by_id)))
+    return sorted(values | {rnd.getrandbits(64) for _ in range(50)})
+
+
+def groups_of(values, links):
+    comp = {v: v for v in values}
     changed = True
     while changed:
         changed = False
-        for i, x in enumerate(by_id):
-            for j, y in enumerate(by_id):
-                if (x ^ y).bit_count() <= 4 and comp[i] > comp[j]:
-                    comp[i], changed = comp[j], True
-    assert {i: got.get(i, i) for i in range(len(by_id))} == dict(enumerate(comp))
+        for a, b in links:
+            low = min(comp[a], comp[b])
+            if (comp[a], comp[b]) != (low, low):
+                comp[a] = comp[b] = low
+                changed = True
+    return comp
+
+
+@pytest.mark.parametrize(("tile", "budget"), [(8, 4), (60, 9), (16384, 0)])
+def test_node_pairs_are_traversed_by_spark_and_tasks(spark, monkeypatch, tile, budget):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    values = crowded()
+    scratch = simhash.Scratch(spark, "test")
+    prints = scratch.keep(spark.createDataFrame([(signed(v),) for v in values], "fp long"), "prints")
+    found = [(r["a"], r["b"]) for r in simhash.fingerprint_links(prints, scratch, budget).collect()]
+    near = [(signed(x), signed(y)) for i, x in enumerate(values) for y in values[:i] if (x ^ y).bit_count() <= budget]
+    own = [signed(v) for v in values]
+    assert groups_of(own, found) == groups_of(own, near)
+
+
+def test_inner_nodes_are_visited_and_pruned():
+    import numpy as np
+
+    rnd = random.Random(3)
+    values = sorted({rnd.getrandbits(64) for _ in range(4000)})
+    values = np.array(sorted({*values, *(v ^ 1 << rnd.randrange(64) for v in values[::10])}), np.uint64)
+    seen = {}
+    labels = simhash.trie_links(values, None, 0, 0, 4, seen)
+    near = np.array([[(int(x) ^ int(y)).bit_count() <= 4 for y in values[:300]] for x in values[:300]])
+    assert seen["visited"] > 10 * len(values) and seen["pruned"] > len(values)
+    assert all(labels[i] == labels[j] for i, j in zip(*np.nonzero(near)))
+    assert len(set(labels.tolist())) == len(values) - 400
+
+
+def test_any_long_is_an_id(spark):
+    ids = [(1 << 53) + 1, None, (1 << 60) + 3, 1 << 62, -(1 << 60) - 1, (1 << 63) - 1]
+    docs = spark.createDataFrame([(d, f"some words of text {i} that differ {i * i} quite {i * 7} well") for i, d in enumerate(ids)], SCHEMA).coalesce(1)
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted(map(str, (r["doc_id"] for r in got))) == sorted(map(str, ids))
+    assert all(r["component_id"] == r["doc_id"] for r in got)
 
 
 def test_edges_of_the_table(spark):
@@ -80,9 +117,3 @@ def test_edges_of_the_table(spark):
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fingerprint string"))
     found = sorted(((r["doc_id"], r["component_id"]) for r in got.collect()), key=str)
     assert found == sorted([(7, 7), (7, 7), (None, 7), (None, None), (9, 9)], key=str)
-
-
-@pytest.mark.parametrize("bits", [5, 9])
-def test_budget_beyond_the_blocks_is_refused(spark, bits):
-    with pytest.raises(ValueError):
-        simhash.fingerprint_links(spark.createDataFrame([], "fp long, rep long"), simhash.Scratch(spark, "test"), bits)
