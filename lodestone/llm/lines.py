@@ -16,29 +16,28 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import minhash
-from lodestone.llm.common import Scratch, components, pieces, plain
-from lodestone.llm.simhash import NO_ID
+from lodestone.llm.common import Scratch, components, free_names, with_computed
 
 #: Lines of fewer words and of fewer characters go as exact repeats only.
 MIN_WORDS = 5
 MIN_CHARS = 16
 SIMILARITY = 0.8
-#: Characters of a gram, and minima that two lines must share to meet.
+#: Characters of a gram, minima of a signature, and minima that two lines must share to meet.
 GRAM = 5
+HASHES = 36
 ROWS = 3
-#: Bits in which the sketches of lines may differ. Lines without a common gram differ in 32 +- 4.
-BUDGET = 26
+#: Bits in which the sketches of lines may differ. Lines without a common gram differ in 18 +- 3 of 36.
+BUDGET = 16
 TILE = 512
-#: Keys of lines whose text is needed are sent to the tasks if they are at most so many.
-BROADCAST_LINES = 1_000_000
+#: Characters whose grams are hashed at once.
+SLICE_CHARS = 1_000_000
 
 _DIGITS = re.compile(r"\d+")
 
@@ -106,15 +105,7 @@ def line_signatures(norms: list[str]) -> np.ndarray:
         own[starts + sizes - k] = False
     own = own[: len(grams)]
     counts = sizes - GRAM + 1
-    return minhash.signatures(minhash.mixed(grams[own]), np.cumsum(counts) - counts)
-
-
-def line_prints(text: str) -> tuple[list[int], np.ndarray, np.ndarray, int]:
-    """(line numbers, line keys, sketches) of the lines that may be fuzzy repeats, and the number of lines that aren't blank."""
-    numbers, keys, norms = line_keys(text)
-    fuzzy = [i for i, norm in enumerate(norms) if norm is not None]
-    prints = minhash.sketches(line_signatures([norms[i] for i in fuzzy])) if fuzzy else np.zeros(0, np.uint64)
-    return [numbers[i] for i in fuzzy], keys[fuzzy], prints.view(np.int64), len(numbers)
+    return minhash.signatures(minhash.mixed(grams[own]), np.cumsum(counts) - counts, HASHES)
 
 
 def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
@@ -146,104 +137,100 @@ def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
 
 def similar(a: str, b: str) -> bool:
     most = (1 - SIMILARITY) * max(len(a), len(b)) + 1e-9
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(" "), b.split(" ")
+    # words replaced where they stand are an upper bound of the distance
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= most:
+        return True
     return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
+def _signed(norms: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(sketches, bucket keys) of the normalised lines that may be fuzzy repeats, hashed in bounded slices."""
+    fuzzy = [n for n in norms if n is not None]
+    prints, keys, at = [np.zeros(0, np.uint64)], [np.zeros((0, HASHES // ROWS), np.int64)], 0
+    while at < len(fuzzy):
+        upto, size = at, 0
+        while upto < len(fuzzy) and (upto == at or size + len(fuzzy[upto]) <= SLICE_CHARS):
+            size += len(fuzzy[upto])
+            upto += 1
+        found = line_signatures(fuzzy[at:upto])
+        prints.append(minhash.sketches(found))
+        keys.append(minhash.buckets(found, ROWS))
+        at = upto
+    return np.concatenate(prints).view(np.int64), np.concatenate(keys)
+
+
+def _lists(sizes, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)), values)
+
+
+_FOUND = "array<struct<no: int, line: bigint, fp: bigint, buckets: array<bigint>>>"
+
+
+def _key(docs: DataFrame, id_col: str, text_col: str) -> list:
+    """Columns that tell document rows apart: (no_id, id_key, text_key)."""
+    no_id = F.col(id_col).isNull()
+    return [no_id.alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("id_key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")]
+
+
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_key, text_key, n_lines, found), one per document row; ``found``: (no, line, fuzzy) of lines that aren't blank.
+    """Rows (no_id, id_key, text_key, n_lines, found), one per document row.
 
-    ``id_key`` is the id; for a null id, a number above all ids drawn from the text.
+    ``found``: (no, line, fp, buckets) of lines that aren't blank; a line without buckets goes as exact repeat only.
     """
-    schema = "id_key long, text_key long, n_lines int, found array<struct<no: int, line: bigint, fuzzy: boolean>>"
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in pieces(batches):
-            found, n_lines = [], []
-            for text in part["text"]:
-                numbers, keys, norms = line_keys(text)
-                found.append([{"no": n, "line": k, "fuzzy": norm is not None} for n, k, norm in zip(numbers, keys.tolist(), norms, strict=True)])
-                n_lines.append(len(numbers))
-            yield pd.DataFrame({"id_key": part["id_key"], "text_key": part["text_key"], "n_lines": n_lines, "found": found})
-
-    return _keyed(docs, id_col, text_col).select("id_key", "text_key", F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(rows, schema)
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``id_key`` and ``text_key``."""
-    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    id_key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + text_key.bitwiseAND(F.lit(NO_ID - 1)))
-    return docs.withColumn("id_key", id_key).withColumn("text_key", text_key)
-
-
-def _line_texts(docs: DataFrame, suspects: DataFrame, text_col: str) -> DataFrame:
-    """Rows (line, norm) of the suspects (line, text_key, no), once each: read where they stand first."""
-    spark = docs.sparkSession
-    places = suspects.groupBy("text_key").agg(F.collect_list(F.struct("no", "line")).alias("places"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
-    sent = None
-    if suspects.count() <= BROADCAST_LINES:
-        sent = spark.sparkContext.broadcast({r["text_key"]: [tuple(p) for p in r["places"]] for r in places.collect()})
-        chosen = chosen.withColumn("places", F.lit(None).cast("array<struct<no: int, line: bigint>>"))
-    else:
-        chosen = chosen.join(places, "text_key")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            found: dict[int, str] = {}
-            for key, text, own in zip(part["text_key"], part["text"], part["places"], strict=True):
-                wanted = sent.value.get(key, ()) if sent is not None else [(p["no"], p["line"]) for p in own]
-                if wanted:
-                    split = text.split("\n")
-                    found.update((line, normalised(split[no])) for no, line in wanted)
-            if found:
-                yield plain(pd.DataFrame({"line": np.array(list(found), np.int64), "norm": list(found.values())}))
-
-    return chosen.mapInPandas(rows, "line long, norm string").groupBy("line").agg(F.first("norm").alias("norm"))
-
-
-def signed(docs: DataFrame, lines: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (node, fp, buckets) of the lines (line, text_key, no), read where they stand first; maybe more than once, all equal."""
-    places = lines.groupBy("text_key").agg(F.collect_list(F.struct("no", "line")).alias("places"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(places, "text_key").select("text", "places")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in pieces(batches, 200):
-            keys, norms = [], []
-            for text, own in zip(part["text"], part["places"], strict=True):
-                split = line_words(text)
-                for p in own:
-                    keys.append(p["line"])
-                    norms.append(" ".join(split[p["no"]]))
-            at = 0
-            while at < len(keys):  # bounded slices, by characters
-                upto, size = at, 0
-                while upto < len(keys) and (upto == at or size + len(norms[upto]) <= 1_000_000):
-                    size += len(norms[upto])
-                    upto += 1
-                found = line_signatures(norms[at:upto])
-                yield pd.DataFrame({"node": keys[at:upto], "fp": minhash.sketches(found).view(np.int64), "buckets": list(minhash.buckets(found, ROWS))})
-                at = upto
-
-    return chosen.mapInPandas(rows, "node long, fp long, buckets array<long>")
-
-
-def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, text_col: str = "text") -> DataFrame:
-    """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key. ``lines``: (line, fuzzy, at), written."""
-    first = lines.where("fuzzy").select("line", "at.text_key", "at.no")
-    with_buckets = scratch.keep(signed(docs, first, text_col).dropDuplicates(["node"]), "signed")
-    met = minhash.met_in_buckets(with_buckets, scratch)
-    scratch.drop(with_buckets)
-    wanted = scratch.keep(first.join(met.select(F.col("node").alias("line")).distinct(), "line"), "wanted")
-    texts = scratch.keep(_line_texts(docs, wanted, text_col).select(F.col("line").alias("node"), F.col("norm").alias("own")), "texts")
+
+    def rows(texts: list) -> tuple:
+        read = [line_keys(t) for t in texts]
+        norms = [n for _, _, own in read for n in own]
+        fuzzy = np.array([n is not None for n in norms], bool)
+        sketches, keys = _signed(norms)
+        prints = np.zeros(len(norms), np.int64)
+        prints[fuzzy] = sketches
+        numbers = np.fromiter((i for own, *_ in read for i in own), np.int32)
+        lines = np.concatenate([own for _, own, _ in read])
+        buckets = _lists(fuzzy * keys.shape[1], pa.array(keys.ravel()))
+        sizes = [len(own) for own, *_ in read]
+        found = pa.StructArray.from_arrays([pa.array(numbers), pa.array(lines), pa.array(prints), buckets], ["no", "line", "fp", "buckets"])
+        return sizes, _lists(sizes, found)
+
+    struct = pa.struct([("no", pa.int32()), ("line", pa.int64()), ("fp", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+    chosen = docs.select(*_key(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return with_computed(chosen, [F.col("text")], [("n_lines", "int", pa.int32()), ("found", _FOUND, pa.list_(struct))], rows).drop("text")
+
+
+def _line_texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (node, own) of the lines at ``places`` (node, at), read where they stand first, once each."""
+    wanted = places.groupBy("at.no_id", "at.id_key", "at.text_key").agg(F.collect_list(F.struct("at.no", "node")).alias("places"))
+    chosen = docs.select(*_key(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = chosen.join(wanted, ["no_id", "id_key", "text_key"]).select("text", "places")
+
+    def read(texts: list, places: list) -> tuple:
+        out = []
+        for text, own in zip(texts, places, strict=True):
+            split = text.split("\n")
+            out.append([normalised(split[p["no"]]) for p in own])
+        return (out,)
+
+    made = with_computed(found, [F.col("text"), F.col("places")], [("norms", "array<string>", pa.list_(pa.string()))], read)
+    texts = made.select(F.explode(F.arrays_zip("places.node", "norms")).alias("x")).select(F.col("x.node").alias("node"), F.col("x.norms").alias("own"))
+    return texts.dropDuplicates(["node"])
+
+
+def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str = "text") -> DataFrame:
+    """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key. ``lines``: (line, at, fp, buckets), written."""
+    met = minhash.met_in_buckets(lines.select(F.col("line").alias("node"), "buckets"), scratch)
+    suspects = met.select("node").distinct()
+    places = scratch.keep(lines.select(F.col("line").alias("node"), "at", "fp").join(suspects, "node", "left_semi"), "places")
+    texts = _line_texts(docs, places, id_col, text_col).join(places.select("node", "fp"), "node")
     placed = scratch.keep(met.join(texts, "node").select("family", "node", "fp", "own"), "placed")
-    scratch.drop(met, wanted, texts)
+    scratch.drop(met, places)
     return components(minhash.verified_links(placed, scratch, TILE, BUDGET, similar), scratch)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_key, text_key, n_lines, removed), one per document row, written.
+    """Rows (no_id, id_key, text_key, n_lines, removed), one per document row.
 
     ``n_lines``: lines that aren't blank. ``removed``: (line, kept_doc, kept_line) of the
     lines to remove, by line: number from 0, and the occurrence that stays (its
@@ -253,30 +240,34 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     fewer than ``MIN_WORDS`` words and ``MIN_CHARS`` characters go as exact repeats only.
     """
     scratch = Scratch(docs.sparkSession, "lines")
+    key = ["no_id", "id_key", "text_key"]
     rows = scratch.keep(occurrences(docs, id_col, text_col), "rows")
-    found = rows.select("id_key", "text_key", F.explode("found").alias("f")).select("id_key", "text_key", "f.no", "f.line", "f.fuzzy")
-    at = F.struct("id_key", "text_key", "no")
-    lines = scratch.keep(found.groupBy("line").agg(F.first("fuzzy").alias("fuzzy"), F.min(at).alias("at"), F.count(F.lit(1)).alias("n")), "lines")
-    groups = scratch.keep(line_groups(docs, lines, scratch, text_col), "groups")
-    first = lines.join(groups, lines["line"] == groups["node"], "left").select("line", F.coalesce("component", "line").alias("group"), "at", "n")
-    first = scratch.keep(first, "first")
-    keepers = scratch.keep(first.groupBy("group").agg(F.min("at").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("group", "kept"), "keepers")
+    found = rows.select(*key, F.explode("found").alias("f")).select(*key, "f.no", "f.line", "f.fp", "f.buckets")
+    at = F.struct(*key, "no")
+    # a line's copies have equal sketches and buckets
+    lines = found.groupBy("line").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"))
+    lines = scratch.keep(lines, "lines")
+    groups = scratch.keep(line_groups(docs, lines, scratch, id_col, text_col), "groups")
+    first = lines.join(groups, lines["line"] == groups["node"], "left").select("line", F.coalesce("component", "line").alias("group"), "component", "at", "n")
+    # a line without copies and without a group stays where it is
+    first = scratch.keep(first.where((F.col("n") > 1) | F.col("component").isNotNull()).select("line", "group", "at"), "first")
+    keepers = first.groupBy("group").agg(F.min("at").alias("kept"))
     repeated = scratch.keep(first.join(keepers, "group").select("line", "kept"), "repeated")
     removed = (
-        found.join(repeated, "line")
+        found.select(*key, "no", "line").join(repeated, "line")
         .where(at != F.col("kept"))
-        .select("id_key", "text_key", F.struct(F.col("no").alias("line"), F.when(F.col("kept.id_key") < NO_ID, F.col("kept.id_key")).alias("kept_doc"), F.col("kept.no").alias("kept_line")).alias("r"))
-        .groupBy("id_key", "text_key")
+        .select(*key, F.struct(F.col("no").alias("line"), F.when(~F.col("kept.no_id"), F.col("kept.id_key")).alias("kept_doc"), F.col("kept.no").alias("kept_line")).alias("r"))
+        .groupBy(*key)
         .agg(F.array_sort(F.collect_set("r")).alias("removed"))
     )
     removed = scratch.keep(removed, "removed")
     none = F.array().cast("array<struct<line: int, kept_doc: bigint, kept_line: int>>")
-    return rows.select("id_key", "text_key", "n_lines").join(removed, ["id_key", "text_key"], "left").select("id_key", "text_key", "n_lines", F.coalesce("removed", none).alias("removed"))
+    return rows.select(*key, "n_lines").join(removed, key, "left").select(*key, "n_lines", F.coalesce("removed", none).alias("removed"))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_lines, n_removed, removed), one per document row; see :func:`repeats`."""
-    doc_id = F.when(F.col("id_key") < NO_ID, F.col("id_key"))
+    """Rows (doc_id, n_lines, n_removed, removed), one per document row; see :func:`repeats`. Any long is an id."""
+    doc_id = F.when(~F.col("no_id"), F.col("id_key"))
     return repeats(docs, id_col, text_col).select(doc_id.alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
@@ -286,11 +277,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
     Documents that lost no line stay as they are, null and empty texts too.
     ``chars_col``, where the table has it, becomes the code points of the new text.
     """
-    gone = repeats(docs, id_col, text_col).where(F.size("removed") > 0).select("id_key", "text_key", F.col("removed.line").alias("__gone")).dropDuplicates(["id_key", "text_key"])
-    keyed = _keyed(docs.withColumnsRenamed({c: f"__{c}" for c in docs.columns if c in ("id_key", "text_key")}), f"__{id_col}" if id_col in ("id_key", "text_key") else id_col, text_col)
-    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    out = keyed.join(gone, ["id_key", "text_key"], "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left))
-    out = out.where(F.col("__gone").isNull() | F.col(text_col).rlike(r"\S"))
+    key = ["no_id", "id_key", "text_key"]
+    names = free_names(docs, *key, "gone")
+    gone = repeats(docs, id_col, text_col).where(F.size("removed") > 0).select(*(F.col(k).alias(n) for k, n in zip(key, names, strict=False)), F.col("removed.line").alias(names[3]))
+    gone = gone.dropDuplicates(names[:3])
+    keyed = docs.select("*", *(c.alias(n) for c, n in zip(_key(docs, id_col, text_col), names, strict=False)))
+    lost = F.col(names[3])
+    left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    out = keyed.join(gone, names[:3], "left").withColumn(text_col, F.when(lost.isNull(), F.col(text_col)).otherwise(left))
+    out = out.where(lost.isNull() | F.col(text_col).rlike(r"\S"))
     if chars_col and chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("__gone").isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
-    return out.select(*(F.col(f"__{c}").alias(c) if c in ("id_key", "text_key") else F.col(c) for c in docs.columns))
+        out = out.withColumn(chars_col, F.when(lost.isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(docs.schema[chars_col].dataType)))
+    return out.select(*(F.col(c) for c in docs.columns))

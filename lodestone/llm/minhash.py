@@ -43,28 +43,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Signatures (sets x HASHES) of sets of hashed ``values``; set i runs from ``starts[i]`` and none is empty."""
-    out = np.empty((len(starts), HASHES), np.uint32)
+def signatures(values: np.ndarray, starts: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """Signatures (sets x ``hashes``) of sets of hashed ``values``; set i runs from ``starts[i]`` and none is empty."""
+    out = np.empty((len(starts), hashes), np.uint32)
     ends, at = np.append(starts[1:], len(values)), 0
     while at < len(starts):  # slices that stay in the processor's cache
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + 16_384, "right")))
         piece, first = values[starts[at] : ends[upto - 1]].astype(np.uint32), starts[at:upto] - starts[at]
-        for j in range(HASHES):
+        for j in range(hashes):
             out[at:upto, j] = np.minimum.reduceat((piece ^ _XORS[j]) * _FACTORS[j], first)
         at = upto
     return out
 
 
 def sketches(found: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, as 64-bit numbers."""
-    bits = (mixed(found.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    """One bit of each minimum, as 64-bit numbers; fewer minima leave the last bits zero."""
+    bits = np.zeros((len(found), HASHES), np.uint8)
+    bits[:, : found.shape[1]] = mixed(found.astype(np.uint64)) & np.uint64(1)
     return np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
 def buckets(found: np.ndarray, rows: int) -> np.ndarray:
-    """Signed 64-bit bucket keys (sets x HASHES // rows); keys of different runs differ."""
-    out = np.empty((len(found), HASHES // rows), np.uint64)
+    """Signed 64-bit bucket keys (sets x minima // rows); keys of different runs differ."""
+    out = np.empty((len(found), found.shape[1] // rows), np.uint64)
     for k in range(out.shape[1]):
         key = np.full(len(found), k + 1, np.uint64)
         for j in range(k * rows, (k + 1) * rows):
@@ -157,14 +158,22 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
     return links.union(tiled.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))).distinct()
 
 
+#: Keys of buckets with company are broadcast if they are at most so many (16 bytes each, twice that as a hash table).
+BROADCAST_BUCKETS = 1_000_000
+
+
 def met_in_buckets(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (family, node, fp), written: nodes of ``signed`` (node, fp, buckets) in the buckets where they have company.
+    """Rows (family, node), written: nodes of ``signed`` (node, buckets; distinct nodes) in the buckets where they have company.
 
     Of buckets with the same nodes one is enough.
     """
-    keyed = signed.select("node", "fp", F.explode("buckets").alias("family"))
-    found = keyed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
-    crowded = scratch.keep(found.groupBy("n", "low", "who").agg(F.min("family").alias("family")).select("family"), "crowded")
-    met = scratch.keep(keyed.join(crowded, "family").select("family", "node", "fp"), "met")
+    keyed = signed.select("node", F.explode("buckets").alias("family"))
+    crowded = scratch.keep(keyed.groupBy("family").count().where("count > 1").select("family"), "crowded")
+    few = crowded.count() <= BROADCAST_BUCKETS
+    all_met = scratch.keep(keyed.join(F.broadcast(crowded) if few else crowded, "family").select("family", "node"), "all_met")
     scratch.drop(crowded)
+    alike = all_met.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("who"))
+    alone = scratch.keep(alike.groupBy("n", "low", "who").agg(F.min("family").alias("family")).select("family"), "alone")
+    met = scratch.keep(all_met.join(alone, "family").select("family", "node"), "met")
+    scratch.drop(all_met, alone)
     return met

@@ -2,25 +2,23 @@ import random
 
 import pytest
 
-from lodestone.llm import lines
+from lodestone.llm import lines, minhash
 
 SCHEMA = "doc_id long, text string, n_chars long, text_key string"
 
 
 def brute(rows):
-    """doc_id -> removed (line, kept doc, kept line), and the kept text, comparing all lines."""
+    """doc_id -> removed (line, kept doc, kept line), by comparing all lines by edit similarity alone; and if any are similar."""
     found = []
     for d, t in rows:
-        for i, line in enumerate((t or "").split("\n")):
-            norm = lines.normalised(line)
-            if len(norm.split()) >= lines.MIN_WORDS:
-                found.append((d, i, norm))
-    norms = sorted({n for *_, n in found})
-    prints = {n: int(lines.line_prints(n)[2][0]) for n in norms}
-    group = {n: n for n in norms}
-    mask = (1 << 64) - 1
+        numbers, keys, norms = lines.line_keys(t or "")
+        found += [(d, i, k, n) for i, k, n in zip(numbers, keys.tolist(), norms, strict=True)]
+    norms = {k: n for *_, k, n in found if n is not None}
+    keys = sorted({k for *_, k, _ in found})
+    group = {k: k for k in keys}
+    fuzzy = sorted(norms)
+    links = [(a, b) for i, a in enumerate(fuzzy) for b in fuzzy[:i] if lines.similar(norms[a], norms[b])]
     changed = True
-    links = [(a, b) for i, a in enumerate(norms) for b in norms[:i] if ((prints[a] ^ prints[b]) & mask).bit_count() <= lines.BUDGET and lines.similar(a, b)]
     while changed:
         changed = False
         for a, b in links:
@@ -29,12 +27,12 @@ def brute(rows):
                 group[a] = group[b] = low
                 changed = True
     keep = {}
-    for d, i, n in found:
-        keep[group[n]] = min(keep.get(group[n], (d, i)), (d, i))
+    for d, i, k, _ in found:
+        keep[group[k]] = min(keep.get(group[k], (d, i)), (d, i))
     gone = {d: [] for d, _ in rows}
-    for d, i, n in found:
-        if keep[group[n]] != (d, i):
-            gone[d].append((i, *keep[group[n]]))
+    for d, i, k, _ in found:
+        if keep[group[k]] != (d, i):
+            gone[d].append((i, *keep[group[k]]))
     return gone, bool(links)
 
 
@@ -56,10 +54,10 @@ def corpus(seed=7):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("tile", "limit"), [(lines.TILE, lines.BROADCAST_LINES), (4, -1)])
+@pytest.mark.parametrize(("tile", "limit"), [(lines.TILE, minhash.BROADCAST_BUCKETS), (4, -1)])
 def test_matches_brute_force(spark, monkeypatch, tile, limit):
     monkeypatch.setattr(lines, "TILE", tile)
-    monkeypatch.setattr(lines, "BROADCAST_LINES", limit)
+    monkeypatch.setattr(minhash, "BROADCAST_BUCKETS", limit)
     rows = corpus()
     gone, fuzzy = brute(rows)
     assert fuzzy and any(gone.values())
@@ -92,6 +90,23 @@ def test_edit_distance():
         assert lines.edit_distance(a, b) == plain(a, b)
 
 
+def test_any_long_is_an_id(spark):
+    ids = [(1 << 53) + 1, None, (1 << 60) + 3, 1 << 62, -(1 << 60) - 1]
+    docs = spark.createDataFrame([(d, f"one line that all of these texts share\nand {'abcde'[i]} of its own {'vwxyz'[i] * 30}", i) for i, d in enumerate(ids)], "doc_id long, text string, gone int").coalesce(1)
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in lines.report(docs).collect()}
+    assert got == {d: [] if d == min(x for x in ids if x) else [(0, -(1 << 60) - 1, 0)] for d in ids}
+    assert {(r["doc_id"], r["gone"]) for r in lines.dedup(docs).collect()} == {(d, i) for i, d in enumerate(ids)}
+
+
+def test_words_replaced_in_place_are_within_the_distance():
+    rnd = random.Random(2)
+    for _ in range(500):
+        a = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for _ in range(rnd.randint(1, 20))]
+        b = [w if rnd.random() < 0.85 else "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))) for w in a]
+        x, y = " ".join(a), " ".join(b)
+        assert lines.similar(x, y) == (lines.edit_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9)
+
+
 def test_repeated_and_nameless_rows(spark):
     text = "the very same line of text here\nand one more line of its own"
     rows = [(5, text), (5, text), (None, text), (9, "THE very same line, of text here!")]
