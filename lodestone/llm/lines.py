@@ -30,11 +30,11 @@ MIN_WORDS = 5
 MIN_CHARS = 16
 SIMILARITY = 0.8
 #: Characters of a gram, minima of a signature, and minima that two lines must share to meet.
-GRAM = 5
+GRAM = 7
 HASHES = 36
 ROWS = 3
 #: Bits in which the sketches of lines may differ. Lines without a common gram differ in 18 +- 3 of 36.
-BUDGET = 16
+BUDGET = 14
 TILE = 512
 #: Characters whose grams are hashed at once.
 SLICE_CHARS = 1_000_000
@@ -166,7 +166,7 @@ def _lists(sizes, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)), values)
 
 
-_FOUND = "array<struct<no: int, line: bigint, fp: bigint, buckets: array<bigint>>>"
+_FOUND = "array<struct<no: int, line: bigint, fp: bigint, size: int, buckets: array<bigint>>>"
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -178,7 +178,7 @@ def _key(docs: DataFrame, id_col: str, text_col: str) -> list:
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (no_id, id_key, text_key, n_lines, found), one per document row.
 
-    ``found``: (no, line, fp, buckets) of lines that aren't blank; a line without buckets goes as exact repeat only.
+    ``found``: (no, line, fp, size, buckets) of lines that aren't blank; a line without buckets goes as exact repeat only.
     """
 
     def rows(texts: list) -> tuple:
@@ -192,10 +192,11 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         lines = np.concatenate([own for _, own, _ in read])
         buckets = _lists(fuzzy * keys.shape[1], pa.array(keys.ravel()))
         sizes = [len(own) for own, *_ in read]
-        found = pa.StructArray.from_arrays([pa.array(numbers), pa.array(lines), pa.array(prints), buckets], ["no", "line", "fp", "buckets"])
+        lengths = np.fromiter((len(n or "") for n in norms), np.int32, len(norms))
+        found = pa.StructArray.from_arrays([pa.array(x) for x in (numbers, lines, prints, lengths)] + [buckets], ["no", "line", "fp", "size", "buckets"])
         return sizes, _lists(sizes, found)
 
-    struct = pa.struct([("no", pa.int32()), ("line", pa.int64()), ("fp", pa.int64()), ("buckets", pa.list_(pa.int64()))])
+    struct = pa.struct([("no", pa.int32()), ("line", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("buckets", pa.list_(pa.int64()))])
     chosen = docs.select(*_key(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return with_computed(chosen, [F.col("text")], [("n_lines", "int", pa.int32()), ("found", _FOUND, pa.list_(struct))], rows).drop("text")
 
@@ -219,8 +220,8 @@ def _line_texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str)
 
 
 def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str = "text") -> DataFrame:
-    """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key. ``lines``: (line, at, fp, buckets), written."""
-    met = minhash.met_in_buckets(lines.select(F.col("line").alias("node"), "buckets"), scratch)
+    """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key. ``lines``: (line, at, fp, size, buckets), written."""
+    met = minhash.met_in_buckets(lines.select(F.col("line").alias("node"), "fp", "size", "buckets"), scratch, TILE, BUDGET, SIMILARITY)
     suspects = met.select("node").distinct()
     places = scratch.keep(lines.select(F.col("line").alias("node"), "at", "fp").join(suspects, "node", "left_semi"), "places")
     texts = _line_texts(docs, places, id_col, text_col).join(places.select("node", "fp"), "node")
@@ -242,10 +243,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch = Scratch(docs.sparkSession, "lines")
     key = ["no_id", "id_key", "text_key"]
     rows = scratch.keep(occurrences(docs, id_col, text_col), "rows")
-    found = rows.select(*key, F.explode("found").alias("f")).select(*key, "f.no", "f.line", "f.fp", "f.buckets")
+    found = rows.select(*key, F.explode("found").alias("f")).select(*key, "f.no", "f.line", "f.fp", "f.size", "f.buckets")
     at = F.struct(*key, "no")
-    # a line's copies have equal sketches and buckets
-    lines = found.groupBy("line").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets"))
+    # a line's copies have equal sketches, sizes and buckets
+    lines = found.groupBy("line").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
     lines = scratch.keep(lines, "lines")
     groups = scratch.keep(line_groups(docs, lines, scratch, id_col, text_col), "groups")
     first = lines.join(groups, lines["line"] == groups["node"], "left").select("line", F.coalesce("component", "line").alias("group"), "component", "at", "n")

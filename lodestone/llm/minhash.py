@@ -162,18 +162,39 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
 BROADCAST_BUCKETS = 1_000_000
 
 
-def met_in_buckets(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (family, node), written: nodes of ``signed`` (node, buckets; distinct nodes) in the buckets where they have company.
+def met_in_buckets(signed: DataFrame, scratch: Scratch, tile: int, budget: int, ratio: float) -> DataFrame:
+    """Rows (family, node), written: nodes of ``signed`` in the buckets where they have likely company.
 
-    Of buckets with the same nodes one is enough.
+    ``signed``: rows (node, fp, size, buckets) of distinct nodes. Company is likely if
+    sketches differ in ``budget`` bits at most and the smaller size is ``ratio`` of the
+    larger at least. Of buckets with the same nodes one is enough. Buckets of more than
+    ``tile`` nodes are left as they are: they are dealt out where they are verified.
     """
-    keyed = signed.select("node", F.explode("buckets").alias("family"))
+    keyed = signed.select("node", "fp", "size", F.explode("buckets").alias("family"))
     crowded = scratch.keep(keyed.groupBy("family").count().where("count > 1").select("family"), "crowded")
     few = crowded.count() <= BROADCAST_BUCKETS
-    all_met = scratch.keep(keyed.join(F.broadcast(crowded) if few else crowded, "family").select("family", "node"), "all_met")
+    all_met = scratch.keep(keyed.join(F.broadcast(crowded) if few else crowded, "family").select("family", "node", "fp", "size"), "all_met")
     scratch.drop(crowded)
     alike = all_met.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("who"))
-    alone = scratch.keep(alike.groupBy("n", "low", "who").agg(F.min("family").alias("family")).select("family"), "alone")
-    met = scratch.keep(all_met.join(alone, "family").select("family", "node"), "met")
+    alone = scratch.keep(alike.groupBy("n", "low", "who").agg(F.min("family").alias("family")).select("family", "n"), "alone")
+
+    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, bounds in _whole_groups(batches, ["family"]):
+            fp, size, keep = part["fp"].to_numpy().view(np.uint64), part["size"].to_numpy(float), np.zeros(len(part), bool)
+            lengths = np.diff(bounds)
+            lo = bounds[:-1][lengths == 2]
+            keep[lo] = (np.bitwise_count(fp[lo] ^ fp[lo + 1]) <= budget) & (np.minimum(size[lo], size[lo + 1]) >= ratio * np.maximum(size[lo], size[lo + 1]))
+            keep[lo + 1] = keep[lo]
+            for lo, hi in zip(bounds[:-1][lengths > 2].tolist(), bounds[1:][lengths > 2].tolist(), strict=True):
+                f, z = fp[lo:hi], size[lo:hi]
+                near = (np.bitwise_count(f[:, None] ^ f) <= budget) & (np.minimum(z[:, None], z) >= ratio * np.maximum(z[:, None], z))
+                np.fill_diagonal(near, False)
+                keep[lo:hi] = near.any(axis=1)
+            if keep.any():
+                yield part.loc[keep, ["family", "node"]]
+
+    dealt = all_met.join(alone, "family")
+    small = dealt.where(F.col("n") <= tile).select("family", "node", "fp", "size").repartition("family").sortWithinPartitions("family").mapInPandas(likely, "family long, node long")
+    met = scratch.keep(small.unionByName(dealt.where(F.col("n") > tile).select("family", "node")), "met")
     scratch.drop(all_met, alone)
     return met

@@ -130,13 +130,17 @@ m AS (SELECT doc_id, host, text, len(words) AS n_words, CAST(coalesce(list_sum(l
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
 t AS (SELECT DISTINCT host, text, n_words FROM m),
-k AS (SELECT host, text, n_words, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS key,
-    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
-  FROM (SELECT host, text, n_words, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+s AS (SELECT host, text, n_words, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM (SELECT host, text, n_words, unnest(string_split(text, chr(10))) AS line FROM t)),
+n AS (SELECT *, array_to_string(ws, ' ') AS key, list_transform(range(1, len(ws) - {quality.GRAM} + 2), lambda i: array_to_string(ws[i:i + {quality.GRAM} - 1], ' ')) AS grams FROM s WHERE len(ws) > 0),
+k AS (SELECT host, text, n_words, key, len(ws) AS words, CASE WHEN len(grams) = 0 THEN 'K' || key ELSE 'L' || list_min(grams) END AS low, CASE WHEN len(grams) = 0 THEN 'K' || key ELSE 'H' || list_max(grams) END AS high FROM n),
 lim AS (SELECT host, greatest({quality.MIN_DOCS}, count(*) * {quality.MIN_SHARE}) AS most FROM t GROUP BY 1),
-above AS (SELECT host, key, most FROM k JOIN lim USING (host) GROUP BY host, key, most HAVING count(DISTINCT text) > most),
-own AS (SELECT host, text FROM k JOIN above USING (host, key) GROUP BY host, text, n_words HAVING sum(words) <= n_words * {quality.OWN_SHARE}),
-tpl AS (SELECT host, key FROM k JOIN above USING (host, key) JOIN own USING (host, text) GROUP BY host, key, most HAVING count(DISTINCT text) > most),
+u AS (SELECT DISTINCT host, text, key, low, high FROM k),
+marks AS (SELECT host, text, key, unnest(list_distinct(['K' || key, low, high])) AS mark FROM u),
+above AS (SELECT host, mark, most FROM marks JOIN lim USING (host) GROUP BY host, mark, most HAVING count(*) > most),
+sh AS (SELECT DISTINCT host, text, key FROM marks JOIN above USING (host, mark)),
+own AS (SELECT host, text, any_value(n_words) - sum(words) >= {quality.OWN_WORDS} AS counts FROM k JOIN sh USING (host, text, key) GROUP BY 1, 2),
+tpl AS (SELECT u.host, u.key FROM u JOIN above a ON a.host = u.host AND a.mark = 'K' || u.key JOIN own o ON o.host = u.host AND o.text = u.text
+  GROUP BY u.host, u.key, most HAVING sum(CAST(counts AS INT)) > most AND sum(CAST(counts AS INT)) >= count(*) * {quality.OWN_SHARE}),
 gone AS (SELECT host, text, sum(words) AS removed FROM k JOIN tpl USING (host, key) GROUP BY 1, 2),
 v AS (SELECT m.*, CAST(n_words - coalesce(removed, 0) AS BIGINT) AS words_left, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m LEFT JOIN gone USING (host, text))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_left, NOT base_failed AND words_left >= n_words * {quality.LEFT_SHARE} AS kept FROM v

@@ -27,20 +27,25 @@ def brute_measures(text):
 def brute_kept(rows):
     """doc_id -> (words left, kept), counting lines of all distinct texts with plain dicts."""
     norm = lambda x: " ".join(w.lower() for w in WORD.findall(x))
+
+    def marks(line):
+        words = line.split(" ")
+        windows = [" ".join(words[i : i + quality.GRAM]).encode() for i in range(len(words) - quality.GRAM + 1)]
+        return {("line", line)} | ({("low", min(windows)), ("high", max(windows))} if windows else set())
+
     texts = {(s or "", t or "") for _, t, s in rows}
     size = Counter(h for h, _ in texts)
     limit = {h: max(quality.MIN_DOCS, n * quality.MIN_SHARE) for h, n in size.items()}
     held = {x: [(norm(y), len(WORD.findall(y))) for y in x[1].split("\n") if norm(y)] for x in texts}
-    count = Counter((x[0], y) for x in texts for y in {k for k, _ in held[x]})
+    count = Counter((x[0], m) for x in texts for k in {k for k, _ in held[x]} for m in marks(k))
     above = {k for k, n in count.items() if n > limit[k[0]]}
     own = defaultdict(int)
     for x in texts:
-        n = sum(w for _, w in held[x])
-        frequent = sum(w for k, w in held[x] if (x[0], k) in above)
-        if frequent <= n * quality.OWN_SHARE:
+        n = sum(w for k, w in held[x] if not any((x[0], m) in above for m in marks(k)))
+        if n >= quality.OWN_WORDS:
             for k in {k for k, _ in held[x]}:
                 own[x[0], k] += 1
-    template = {k for k in above if own[k] > limit[k[0]]}
+    template = {(h, m[1]) for h, m in above if m[0] == "line" and own[h, m[1]] > limit[h] and own[h, m[1]] >= quality.OWN_SHARE * count[h, m]}
     out = {}
     for d, t, s in rows:
         x = (s or "", t or "")
@@ -65,6 +70,21 @@ def corpus():
     return [(i, t, s) for i, (t, s) in enumerate(rows)]
 
 
+def test_depletion_rejects_boilerplate_and_spares_families():
+    rows = corpus()
+    found = brute_kept(rows)
+    boiler = rows[7 + 90 + 70 : 7 + 90 + 72]
+    assert [found[d][1] for d, _, s in boiler] == [False, True]  # of host a all template, of host b unknown
+    assert sum(found[d][1] for d, _, _ in rows[97:167]) == 70  # the family's lines are not template
+    heavy = []
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    shared = [" ".join(word() for _ in range(40)) for _ in range(3)]
+    for i in range(60):  # nine tenths of every page are the site's
+        heavy.append((i, "\n".join([*shared, " ".join(word() for _ in range(13))]), "h"))
+    assert not any(kept for _, kept in brute_kept(heavy).values())
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(d, t, "en", s, len(t or ""), "clash") for d, t, s in rows], SCHEMA)
 
@@ -98,6 +118,14 @@ def test_clean_applies_the_verdict_both_ways(spark, monkeypatch):
     assert any(t != texts[d] for d, t in runs[0].items())
 
 
+def test_any_long_is_an_id_and_names_may_clash(spark):
+    ids = [(1 << 53) + 1, None, (1 << 60) + 3, 1 << 62, -(1 << 60) - 1]
+    rows = [(d, " ".join(f"word{i}{j}" for j in range(30)), None, "s", None if i == 1 else (1 << 60) + i) for i, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own_host string, source string, own_lines long").coalesce(1)
+    assert sorted(map(str, (r["doc_id"] for r in quality.assess(docs).collect()))) == sorted(map(str, ids))
+    assert sorted(map(str, quality.clean(docs).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert quality.assess(frame(spark, [])).count() == 0
     assert quality.clean(frame(spark, [])).count() == 0
