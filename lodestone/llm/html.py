@@ -5,25 +5,28 @@ subtree (tags, classes and text) goes to Spark, which counts in how many differe
 pages of a host it stands. Subtrees above the limit are the site's template and are
 deleted, beside elements that can't be main text by their tag, role or class.
 
-Pages count as different by the text of their article, so copies of one page don't
-make a template of its article. Prose that stands directly in the article is never
-deleted as template: passages that many articles share are still their text.
+Pages count as different by the longest block of their article, so copies and edited
+copies of one page don't make a template of its text. Prose that stands directly in
+the article is deleted as template only at its beginning or end, and only if half of
+the host's different pages have it there: passages that articles share are their text.
+An element that holds the article is never dropped by its class, role or count.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
-
-import pandas as pd
+from collections.abc import Callable
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, plain
+from lodestone.llm.common import Scratch, free_names, with_computed
 
-#: A subtree is template if more than this many different pages of the host have it.
-MIN_PAGES = 20
+#: A subtree is template if more than this many different pages of the host have it
+MIN_PAGES = 5
+#: and more than this share of them; prose at the edge of an article needs the larger share.
+MIN_SHARE, PROSE_SHARE = 0.05, 0.5
 #: Template hashes are sent to the tasks if they are at most so many.
 BROADCAST_TEMPLATES = 500_000
 
@@ -131,8 +134,10 @@ def parse(html: str) -> Element:
     return root
 
 
-def _unwanted(e: Element, in_article: bool) -> bool:
-    """By tag, role or class. A header inside the article is left to :func:`_pruned`."""
+def _unwanted(e: Element, in_article: bool, holders: set[int]) -> bool:
+    """By tag, role or class; never what holds an article. A header inside the article is left to :func:`_pruned`."""
+    if id(e) in holders:
+        return False
     if e.tag in DROP or (e.tag == "header" and not in_article):
         return True
     if e.tag in ("html", "body", "main", "#root") or not e.attributes:
@@ -141,9 +146,45 @@ def _unwanted(e: Element, in_article: bool) -> bool:
     return role in ROLES or bool(words & HINTS)
 
 
+#: An article in one of these is not the page's.
+_ASIDES = frozenset("aside footer nav form dialog template noscript".split())
+#: Words of classes whose articles are readers' or other pages'.
+_OTHERS = frozenset("comment comments disqus replies respond related recommended sidebar ad ads advert adverts sponsor sponsored promo".split())
+
+
+def _holders(root: Element) -> set[int]:
+    """``id()`` of the page's outermost articles, else of its main elements, and of all that they stand in."""
+    for tag in ("article", "main"):
+        found: set[int] = set()
+        stack: list = [(root, None)]
+        while stack:
+            e, above = stack.pop()
+            here = (id(e), above)  # a chain up to the root
+            if e.tag == tag:
+                while here and here[0] not in found:
+                    found.add(here[0])
+                    here = here[1]
+                continue
+            for c in e.children:
+                # whole words only: a layout named after its sidebar still holds the article
+                if isinstance(c, Element) and c.tag not in _ASIDES and not (c.attributes and _names(c) & _OTHERS):
+                    stack.append((c, here))
+        if found:
+            return found
+    return set()
+
+
+def _names(e: Element) -> set[str]:
+    """Classes and id of an element, whole, and the last word of each ("post-comments": comments; "has-sidebar": none)."""
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(e.attributes)}
+    whole = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    return {w for name in whole for w in [name, *name.replace("_", "-").split("-")[-1:]] if not name.startswith(("has-", "with-", "no-"))}
+
+
 def _pruned(root: Element) -> Element:
     """The tree without elements that can't be main text."""
 
+    holders = _holders(root)
     stack = [(root, False)]
     while stack:
         e, inside = stack.pop()
@@ -151,7 +192,7 @@ def _pruned(root: Element) -> Element:
         kept = []
         for c in e.children:
             if isinstance(c, Element):
-                if _unwanted(c, inside):
+                if _unwanted(c, inside, holders):
                     kept.append(" " if c.tag not in BLOCK else Element("hr"))
                     continue
                 if c.tag == "header":  # of an article: its headings are text
@@ -217,17 +258,40 @@ _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre table thead tbod
 def _candidates(root: Element) -> list[Element]:
     """Block elements that may be template: none in an article's prose, and not what holds the whole page or article."""
     out, stack = [], [(c, False) for c in root.children if isinstance(c, Element)]
+    holders = _holders(root)
     while stack:
         e, strict = stack.pop()
         if strict and e.tag in _PROSE:
             continue
-        whole = e.tag in ("html", "body", "main", "article")
-        if e.tag in BLOCK and not whole and e.tag != "hr":
+        if e.tag in BLOCK and e.tag not in ("html", "body", "main", "article", "hr") and id(e) not in holders:
             out.append(e)
         stack.extend((c, strict or e.tag in ("main", "article")) for c in e.children if isinstance(c, Element))
     return out
 
 
+def _edges(articles: list[Element]) -> list[Element]:
+    """The prose elements of the articles, outermost ones, in page order."""
+    out, stack = [], [c for a in reversed(articles) for c in reversed(a.children) if isinstance(c, Element)]
+    while stack:
+        e = stack.pop()
+        if e.tag in _PROSE:
+            out.append(e)
+        else:
+            stack.extend(c for c in reversed(e.children) if isinstance(c, Element))
+    return out
+
+
+def _peeled(prose: list[Element], template: Callable[[int], bool]) -> set[int]:
+    """``id()`` of the prose elements from the beginning and from the end that are template, up to the first that isn't."""
+    gone: set[int] = set()
+    for run in (prose, prose[::-1]):
+        for e in run:
+            if not template(e.key):
+                break
+            gone.add(id(e))
+    return gone
+
+
 def blocks(articles: list[Element], dropped: set[int] | frozenset[int] = frozenset()) -> list[str]:
     """The texts of the blocks, in page order, without the elements whose ``id()`` is in ``dropped``."""
     out: list[str] = []
@@ -260,12 +324,14 @@ def blocks(articles: list[Element], dropped: set[int] | frozenset[int] = frozens
     return out
 
 
-def read(html: str | None) -> tuple[list[Element], list[Element]]:
-    """The page's article elements, pruned, and the candidates for template, hashed before that."""
+def read(html: str | None) -> tuple[list[Element], list[Element], list[Element]]:
+    """The page's article elements, pruned, the candidates for template, and the articles' prose; all hashed before pruning."""
     root = parse(html or "")
     _hashed(root)
     candidates = _candidates(root)
-    return _articles(_pruned(root)), candidates
+    articles = _articles(_pruned(root))
+    strict = [a for a in articles if a.tag in ("article", "main")]
+    return articles, candidates, _edges(strict)
 
 
 def host_of(url):
@@ -273,27 +339,44 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def subtree_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (host, page, keys): per page row, the hash of its article's text and those of candidate subtrees, once each."""
+def page_keys(html: str) -> tuple[int, list[int], list[int]]:
+    """(hash of the longest block of the article, keys of candidate subtrees, keys of prose at the article's edges)."""
+    import xxhash
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+    articles, candidates, prose = read(html)
+    longest = max(blocks(articles), key=lambda b: (len(b), b), default="")
+    # only runs at the edges can go; each page sends a bounded number of either
+    edge = [e.key for e in prose[:EDGE]] + [e.key for e in prose[-EDGE:]]
+    return xxhash.xxh3_64_intdigest(longest.encode("utf-8", "surrogatepass")) - (1 << 63), sorted({e.key for e in candidates}), sorted(set(edge))
 
-        for part in batches:
-            page, keys = [], []
-            for html in part["html"]:
-                articles, candidates = read(html)
-                page.append(xxhash.xxh3_64_intdigest("\n".join(blocks(articles)).encode("utf-8", "surrogatepass")) - (1 << 63))
-                keys.append(sorted({e.key for e in candidates}))
-            yield plain(pd.DataFrame({"host": part["host"], "page": page, "keys": keys}))
 
-    return pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(rows, "host string, page long, keys array<long>")
+#: Prose elements from either end of an article that may be template.
+EDGE = 8
+
+
+def subtree_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Rows (host, page, keys, prose): per page row, see :func:`page_keys`; keys once each."""
+    longs = pa.list_(pa.int64())
+    new = [("page", "long", pa.int64()), ("keys", "array<long>", longs), ("prose", "array<long>", longs)]
+    chosen = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    return with_computed(chosen, [F.col("html")], new, lambda texts: tuple(zip(*map(page_keys, texts), strict=True))).drop("html")
 
 
 def templates(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (host, key), written: subtrees in more than ``MIN_PAGES`` different pages of the host."""
-    seen = subtree_hashes(pages, url_col, html_col).select("host", "page", F.explode("keys").alias("key")).distinct()
-    return scratch.keep(seen.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MIN_PAGES).select("host", "key"), "templates")
+    """Rows (host, key, prose), written: subtrees in more different pages of the host than the limits; ``prose``: at edges only."""
+    found = scratch.keep(subtree_hashes(pages, url_col, html_col), "hashes")
+    totals = found.groupBy("host").agg(F.countDistinct("page").alias("total"))
+    seen = [found.select("host", "page", F.explode(c).alias("key"), F.lit(c == "prose").alias("prose")) for c in ("keys", "prose")]
+    counts = seen[0].union(seen[1]).distinct().groupBy("host", "key", "prose").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MIN_PAGES)
+    share = F.when(F.col("prose"), PROSE_SHARE).otherwise(MIN_SHARE)
+    return scratch.keep(counts.join(totals, "host").where(F.col("n") > F.col("total") * share).select("host", "key", "prose"), "templates")
+
+
+def _without(html: str, is_template: Callable[[int], bool], is_prose: Callable[[int], bool]) -> str:
+    articles, candidates, prose = read(html)
+    dropped = {id(e) for e in candidates if is_template(e.key)}
+    edge = {id(e) for e in prose[:EDGE] + prose[-EDGE:]}
+    return "\n".join(blocks(articles, dropped | (_peeled(prose, is_prose) & edge)))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
@@ -302,49 +385,37 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     Null and empty pages give an empty text, and so do pages with nothing but
     template. The article's headings stay. White space within a block becomes one
     space; ``<br>`` is white space. Cells of a table row are joined by a space.
-    Repeated rows get equal texts; a null URL is a host of its own.
+    Repeated rows get equal texts; a null URL is a host of its own. All other columns
+    stay as they are; an empty table gives no rows.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     found = templates(pages, scratch, url_col, html_col)
     names = [c for c in pages.columns if c not in (html_col, text_col)]
-    host = host_of(F.col(url_col))
+    html_name, host_name, keys_name, page_name = free_names(pages, "whole_page", "own_host", "own_keys", "page_key")
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    tagged = pages.select(*names, html.alias(html_name), host_of(F.col(url_col)).alias(host_name))
     shared = None
     if found.count() <= BROADCAST_TEMPLATES:
-        shared = spark.sparkContext.broadcast({(r["host"], r["key"]) for r in found.collect()})
-        tagged = pages.select(*names, F.col(html_col).alias("__html"), host.alias("__host"), F.lit(None).cast("array<bigint>").alias("__keys"))
+        shared = spark.sparkContext.broadcast({(r["host"], r["key"], r["prose"]) for r in found.collect()})
+        tagged = tagged.withColumn(keys_name, F.lit(None).cast("array<struct<key: bigint, prose: boolean>>"))
     else:  # too many to send: the page's own hashes meet the templates in a join
-        keyed = pages.select("*", F.xxhash64(html_col).alias("__page"), host.alias("__host"))
-        own = subtree_hashes_by(keyed, html_col).join(found.select(F.col("host").alias("__host"), "key"), ["__host", "key"])
-        own = scratch.keep(own.groupBy("__host", "__page").agg(F.collect_set("key").alias("__keys")), "own")
-        tagged = keyed.join(own, ["__host", "__page"], "left").select(*names, F.col(html_col).alias("__html"), "__host", "__keys")
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            texts = []
-            for html, own_host, keys in zip(part["__html"], part["__host"], part["__keys"], strict=True):
-                articles, candidates = read(html)
-                if shared is not None:
-                    dropped = {id(e) for e in candidates if (own_host, e.key) in shared.value}
-                else:
-                    template = set() if keys is None else set(keys)
-                    dropped = {id(e) for e in candidates if e.key in template}
-                texts.append("\n".join(blocks(articles, dropped)))
-            out = part[names].copy()
-            out[text_col] = texts
-            yield plain(out)
-
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in names), f"`{text_col}` string"])
-    return tagged.mapInPandas(rows, schema)
-
-
-def subtree_hashes_by(keyed: DataFrame, html_col: str) -> DataFrame:
-    """Distinct rows (__host, __page, key) of candidate subtrees, for pages known by ``__page``."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            keys = [sorted({e.key for e in read(html)[1]}) for html in part["html"]]
-            yield plain(pd.DataFrame({"__host": part["__host"], "__page": part["__page"], "keys": keys}))
-
-    out = keyed.select("__host", "__page", F.col(html_col).alias("html")).mapInPandas(rows, "__host string, __page long, keys array<long>")
-    return out.select("__host", "__page", F.explode("keys").alias("key")).distinct()
+        keyed = pages.select(F.xxhash64(html).alias("page"), host_of(F.col(url_col)).alias("host"), html.alias("html")).dropDuplicates(["page", "host"])
+        own = with_computed(keyed, [F.col("html")], [("keys", "array<long>", pa.list_(pa.int64())), ("prose", "array<long>", pa.list_(pa.int64()))], lambda texts: tuple(zip(*(page_keys(t)[1:] for t in texts), strict=True)))
+        own = [own.select("host", "page", F.explode(c).alias("key"), F.lit(c == "prose").alias("prose")) for c in ("keys", "prose")]
+        own = own[0].union(own[1]).join(found, ["host", "key", "prose"]).groupBy(F.col("host").alias(host_name), F.col("page").alias(page_name)).agg(F.collect_set(F.struct("key", "prose")).alias(keys_name))
+        tagged = tagged.withColumn(page_name, F.xxhash64(html_name)).join(scratch.keep(own, "own"), [host_name, page_name], "left")
+
+    def texts(htmls: list, hosts: list, keys: list) -> tuple:
+        out = []
+        for html, host, own in zip(htmls, hosts, keys, strict=True):
+            if shared is not None:
+                out.append(_without(html, lambda k, h=host: (h, k, False) in shared.value, lambda k, h=host: (h, k, True) in shared.value))
+            else:
+                mine = {(x["key"], x["prose"]) for x in own or ()}
+                out.append(_without(html, lambda k, m=mine: (k, False) in m, lambda k, m=mine: (k, True) in m))
+        return (out,)
+
+    made_name = free_names(tagged, text_col)[0]
+    made = with_computed(tagged, [F.col(html_name), F.col(host_name), F.col(keys_name)], [(made_name, "string", pa.string())], texts)
+    return made.select(*(F.col(f"`{c}`") for c in names), F.col(made_name).alias(text_col))

@@ -1,12 +1,16 @@
-"""Personal data: patterns, and terms that give protected entities away.
-
-Patterns find e-mail addresses, IP addresses, card and phone numbers. Each distinct
-value found is a protected entity. Terms may reveal it too: over the distinct texts
-of the corpus, a term ``t`` tells about an entity ``e`` the pointwise information
-``log2(N * n(t,e) / (n(t) * n(e)))`` of the ``log2(N / n(e))`` bits that make up
-``e``. Where that share reaches ``DISCLOSURE``, with ``n(t,e)`` of at least
-``SUPPORT`` texts, the term is sanitised in texts that hold the entity: ``redact``
-puts a general label in its place, or removes it.
+"""Personal data: patterns, secrets, and terms that give protected entities away.
+
+Patterns find e-mail addresses, IP addresses, card and phone numbers, and secrets: long
+random-looking strings such as keys and tokens. Each distinct value found is a protected
+entity, and so is what it belongs to: the domain of an address, the network of an IP
+address, the issuer of a card, the area of a phone number. So a value that stands in a
+single text still counts toward its owner. Terms may reveal an entity too: over the
+distinct texts of the corpus, a term ``t`` tells about an entity ``e`` the pointwise
+information ``log2(N * n(t,e) / (n(t) * n(e)))`` of the ``log2(N / n(e))`` bits that
+make up ``e``. Where that share reaches ``DISCLOSURE``, with ``n(t,e)`` of at least
+``SUPPORT`` texts, the term is sanitised in texts that hold the entity: ``redact`` puts
+a general label in its place, or removes it. A pair seen in one text alone says nothing
+of a connection: any word that stands nowhere else would be one.
 """
 
 from __future__ import annotations
@@ -16,18 +20,23 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, pieces, plain
+from lodestone.llm.common import Scratch, free_names, pieces, plain, with_computed
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the method adds.
+ADDED = ("secret", "term")
 #: Share of an entity's information from which a term discloses it.
 DISCLOSURE = 0.8
 #: Distinct texts that must hold term and entity together.
-SUPPORT = 3
-#: Characters of a term at least.
-TERM_CHARS = 4
+SUPPORT = 2
+#: Bits of information that an owner must have to be protected: what many texts share identifies nobody.
+OWNER_BITS = 8
+#: Characters of a secret at least, and digits among them.
+SECRET_CHARS, SECRET_DIGITS = 24, 4
 
 # An e-mail match starts at the first of the local characters before an @ that is not
 # part of the match before; so each @ is looked at once, whatever stands around it.
@@ -37,6 +46,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{24,}+={0,2}")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 
 
@@ -78,10 +88,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
+def secret_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, kind number) of secrets: runs of key characters with digits and letters mixed, outside ``taken``."""
+    out, found = [], sorted(taken)
+    for m in _SECRET.finditer(text):
+        value = m[0]
+        digits = sum(c.isdigit() for c in value)
+        letters = sum(c.isalpha() for c in value)
+        if digits >= SECRET_DIGITS and letters >= SECRET_DIGITS and len(set(value)) >= 8 and not any(s < m.end() and m.start() < e for s, e, _ in found):
+            out.append((*m.span(), len(KINDS)))
+    return out
+
+
 def entity(text: str, start: int, end: int, kind: int) -> str:
     """The protected value: kind, and the match in one way of writing."""
     value = text[start:end]
-    return f"{KINDS[kind]}:{value.lower() if kind < 2 else re.sub('[^0-9]', '', value)}"
+    return f"{(*KINDS, *ADDED)[kind]}:{value.lower() if kind < 2 else value if kind >= len(KINDS) else re.sub('[^0-9]', '', value)}"
+
+
+def entities(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """The protected values of a text, and what they belong to."""
+    out = set()
+    for span in spans:
+        own = entity(text, *span)
+        out.add(own)
+        kind, value = own.split(":", 1)
+        if kind == "email":
+            out.add(f"domain:{value.rpartition('@')[2]}")
+        elif kind == "ip":
+            out.add(f"network:{value.rpartition('.')[0]}")
+        elif kind in ("card", "phone"):
+            out.add(f"{'issuer' if kind == 'card' else 'area'}:{value[:6 if kind == 'card' else 4]}")
+    return out
+
+
+OWNERS = ("domain", "network", "issuer", "area")
 
 
 def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
@@ -93,7 +134,7 @@ def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int,
         while upcoming and upcoming[0] < e:
             cover = max(cover, (upcoming[1], upcoming[0]))
             upcoming = next(it, None)
-        if e - s >= TERM_CHARS and s >= cover[0]:
+        if s >= cover[0]:
             out.append((m[0].lower(), s, e))
     return out
 
@@ -106,20 +147,26 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ``terms`` has every occurrence of a word in texts with an entity, else nothing.
     """
-    schema = f"doc_id long, text_key long, spans array<{_SPAN}>, entities array<string>, terms array<struct<term: string, start: int, end: int>>"
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in pieces(batches):
-            spans, entities, words = [], [], []
-            for text in part["text"]:
-                found = base_spans(text)
-                spans.append([{"start": s, "end": e, "kind": KINDS[k]} for s, e, k in found])
-                entities.append(sorted({entity(text, *x) for x in found}))
-                words.append([{"term": t, "start": s, "end": e} for t, s, e in terms(text, found)] if found else [])
-            yield pd.DataFrame({"doc_id": part["doc_id"], "text_key": part["text_key"], "spans": spans, "entities": entities, "terms": words})
 
+    def rows(texts: list) -> tuple:
+        spans, held, words = [], [], []
+        for text in texts:
+            found = base_spans(text)
+            found = sorted([*found, *secret_spans(text, found)], key=lambda x: (x[0], x[2]))
+            spans.append([{"start": s, "end": e, "kind": (*KINDS, *ADDED)[k]} for s, e, k in found])
+            held.append(sorted(entities(text, found)))
+            words.append([{"term": t, "start": s, "end": e} for t, s, e in terms(text, found)] if found else [])
+        return spans, held, words
+
+    place = [("start", pa.int32()), ("end", pa.int32())]
+    new = [
+        ("spans", f"array<{_SPAN}>", pa.list_(pa.struct([*place, ("kind", pa.string())]))),
+        ("entities", "array<string>", pa.list_(pa.string())),
+        ("terms", "array<struct<term: string, start: int, end: int>>", pa.list_(pa.struct([("term", pa.string()), *place]))),
+    ]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInPandas(rows, schema)
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return with_computed(chosen, [F.col("text")], new, rows).drop("text")
 
 
 #: Candidate terms are sent to the tasks if they are at most so many.
@@ -158,7 +205,7 @@ def term_texts(docs: DataFrame, candidates: DataFrame, text_col: str = "text") -
 
 def _distinct_words(text: str, wanted: set[str] | None) -> set[str]:
     words = set(_WORD.findall(text.lower()))
-    return words & wanted if wanted is not None else {w for w in words if len(w) >= TERM_CHARS}
+    return words & wanted if wanted is not None else words
 
 
 def disclosures(docs: DataFrame, rows: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -170,9 +217,10 @@ def disclosures(docs: DataFrame, rows: DataFrame, scratch: Scratch, text_col: st
     held = rows.where(F.size("entities") > 0).dropDuplicates(["text_key"])
     texts = scratch.keep(held.select("text_key", "entities", F.array_distinct("terms.term").alias("terms")), "texts")
     entities = texts.select("text_key", F.explode("entities").alias("entity"))
-    supported = scratch.keep(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "supported")
     total = F.lit(float(max(1, rows.select("text_key").distinct().count())))
     whole = F.log2(total / F.col("n_entity"))
+    protected = (F.col("n_entity") >= SUPPORT) & (~F.substring_index("entity", ":", 1).isin(*OWNERS) | (whole >= OWNER_BITS))
+    supported = scratch.keep(entities.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(protected), "supported")
 
     def share(n_pair, n_term):
         return F.when(whole > 0, F.log2(total * n_pair / (n_term * F.col("n_entity"))) / whole).otherwise(0.0)
@@ -209,11 +257,10 @@ def _none(scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, spans, n_email, n_ip, n_card, n_phone), one per document row.
+    """Rows (doc_id, text_key, spans, n_email, n_ip, n_card, n_phone), one per document row.
 
-    ``spans``: array of (start, end, kind) by start, then kind as in ``KINDS``;
-    ``term`` is the kind of disclosing terms, which never overlap the patterns'
-    spans and come after them. Offsets are code points of the whole text, ends
+    ``spans``: array of (start, end, kind) by start, then kind as in ``KINDS`` and ``ADDED``;
+    ``term`` is the kind of disclosing terms. Neither they nor secrets overlap the patterns' spans. Offsets are code points of the whole text, ends
     exclusive. Null and empty texts have no spans. Repeated rows get equal results.
     """
     scratch = Scratch(docs.sparkSession, "pii")
@@ -226,7 +273,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     spans = F.when(F.col("telling").isNull(), F.col("spans")).otherwise(_by_start(F.concat("spans", added)))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.join(hits, "text_key", "left").select("doc_id", spans.alias("spans"), *counts)
+    return rows.join(hits, "text_key", "left").select("doc_id", "text_key", spans.alias("spans"), *counts)
 
 
 def _is(kind: str):
@@ -235,7 +282,7 @@ def _is(kind: str):
 
 def _by_start(spans):
     """Spans by start, then kind as listed."""
-    rank = {k: i for i, k in enumerate((*KINDS, "term"))}
+    rank = {k: i for i, k in enumerate((*KINDS, *ADDED))}
     number = F.create_map(*(F.lit(x) for kv in rank.items() for x in kv))
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), number[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
@@ -246,7 +293,7 @@ def written(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "term": "[TERM]"}
 
 
 def redacted(text: str | None, spans: list, remove_terms: bool = False) -> str:
@@ -262,12 +309,16 @@ def redacted(text: str | None, spans: list, remove_terms: bool = False) -> str:
 
 
 def redact(docs: DataFrame, detected: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove_terms: bool = False) -> DataFrame:
-    """``docs`` with the detected spans of each text replaced. ``detected``: rows (doc_id, spans) with distinct ids."""
+    """``docs`` with the detected spans of each text replaced. ``detected``: the result of :func:`detect` for these texts.
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            part[text_col] = [redacted(t, [] if s is None else list(s), remove_terms) for t, s in zip(part[text_col], part["__spans"], strict=True)]
-            yield plain(part.drop(columns="__spans"))
+    Rows and all other columns stay as they are, null texts too; an empty table gives no rows.
+    """
+    key_name, spans_name, new_name = free_names(docs, "text_key", "found_spans", "new_text")
+    spans = detected.where(F.size("spans") > 0).select(F.col("text_key").alias(key_name), F.col("spans").alias(spans_name)).dropDuplicates([key_name])
+    joined = docs.select("*", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias(key_name)).join(spans, key_name, "left")
+
+    def rows(texts: list, found: list) -> tuple:
+        return ([redacted(t, own, remove_terms) if own else t for t, own in zip(texts, found, strict=True)],)
 
-    spans = detected.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    return docs.join(spans, docs[id_col] == spans["__id"], "left").drop("__id").mapInPandas(rows, docs.schema)
+    made = with_computed(joined, [F.col(text_col), F.col(spans_name)], [(new_name, "string", pa.string())], rows)
+    return made.select(*(F.col(new_name if c == text_col else f"`{c}`").alias(c) for c in docs.columns))

@@ -26,6 +26,11 @@ def text(page):
         ("<p title='<p>x</p>'>a</p", "a"),
         ("<article><p>a</p><script>never closed <p>b</p>", "a"),
         ("<article><div hidden>h</div><p>a&nbsp;b  c</p></article><article>second</article>", "a b c\nsecond"),
+        ("<div class='layout has-sidebar'><article><p>Hello world</p></article></div>", "Hello world"),
+        ("<div class='page-with-header'><main><p>Hello</p></main></div>", "Hello"),
+        ("<article class='post share-enabled'><p>Hello</p></article>", "Hello"),
+        ("<section id='advertisement-law'><article><p>On adverts</p></article></section>", "On adverts"),
+        ("<article><p>a</p></article><div class='comments'><article><p>first!</p></article></div>", "a"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ],
 )
@@ -60,6 +65,58 @@ def test_templates_go_and_copies_stay(spark, monkeypatch):
     assert runs[0] == runs[1] == {i: e for i, (_, _, e) in enumerate(rows)}
 
 
+def brute(rows):
+    """Main text of each (url, html) with templates counted in plain dicts."""
+    from collections import defaultdict
+    from urllib.parse import urlsplit
+
+    seen, total, out = defaultdict(set), defaultdict(set), []
+    for url, page in rows:
+        host, (longest, keys, prose) = urlsplit(url or "").hostname or "", html.page_keys(page or "")
+        total[host].add(longest)
+        for kind, found in ((False, keys), (True, prose)):
+            for k in found:
+                seen[host, k, kind].add(longest)
+    template = {x for x, p in seen.items() if len(p) > html.MIN_PAGES and len(p) > (html.PROSE_SHARE if x[2] else html.MIN_SHARE) * len(total[x[0]])}
+    for url, page in rows:
+        host = urlsplit(url or "").hostname or ""
+        articles, candidates, prose = html.read(page or "")
+        gone = {id(e) for e in candidates if (host, e.key, False) in template}
+        for run in (prose, prose[::-1]):
+            for e in run[: html.EDGE]:
+                if (host, e.key, True) not in template:
+                    break
+                gone.add(id(e))
+        out.append("\n".join(html.blocks(articles, gone)))
+    return out
+
+
+def test_matches_brute_force_and_edges_go(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    own = lambda: " ".join(word() for _ in range(20))
+    rows, expected = [], []
+    for i in range(60):
+        host = "ab"[i % 2]
+        body = [own() for _ in range(rnd.randint(1, 4))]
+        box = "<div><p>Read more here</p></div>" if i % 3 else ""
+        rows.append((f"http://{host}.example/{i}", f"<body><div class='wrap with-header'><article><p>{body[0]}</p>{box}" + "".join(f"<p>{b}</p>" for b in [*body[1:], "Write to us for our letter.", "All rights reserved."][: rnd.choice((3, 9))]) + "</article></div></body>"))
+    for i in range(30):  # edited copies of one page share their prose, which stays
+        rows.append((f"http://c.example/{i}", f"<article><p>one long paragraph {'that all of them share ' * 5}</p><p>edit {i}</p><p>the end</p></article>"))
+    found = brute(rows)
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame([(i, u, p) for i, (u, p) in enumerate(rows)], "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(found))
+    assert all("Read more" not in t and "All rights" not in t for t in found[:60]) and all(t.endswith("the end") for t in found[60:])
+    assert sum("Read more" in p for _, p in rows) >= 30 and sum("All rights" in p for _, p in rows) >= 20
+
+
+def test_ids_stay_exact_and_names_may_clash(spark):
+    rows = [((1 << 60) + 1, "http://a.b/", "<p>x", "h", None), (None, None, "<p>y", None, 5), ((1 << 60) + 3, "u", None, "k", (1 << 60) + 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, own_host string, whole_page long").coalesce(1)
+    got = html.extract(pages).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [type(got[0])(page_id=a, url=b, own_host=d, whole_page=e, text=t) for (a, b, _, d, e), t in zip(rows, ("x", "y", ""), strict=True)]))
+
+
 def test_pages_without_an_article(spark, monkeypatch):
     monkeypatch.setattr(html, "MIN_PAGES", 5)
     rows = [(i, "http://h.example/", f"<body><div><p>Site name</p><p>Slogan</p></div><p>own text {i}</p></body>", "") for i in range(8)]
@@ -68,6 +125,6 @@ def test_pages_without_an_article(spark, monkeypatch):
 
 
 def test_long_page_is_linear_and_empty_table(spark):
-    for page in ("<p>" * 100_000, "<" * 200_000, "<a b='" * 5_000, "</p>" * 100_000, "&" * 200_000, "<!--" * 50_000):
+    for page in ("<p>" * 100_000, "<" * 200_000, "<a b='" * 5_000, "</p>" * 100_000, "&" * 200_000, "<!--" * 50_000, "<div>" * 100_000 + "<article>x"):
         text(page)
     assert html.extract(spark.createDataFrame([], SCHEMA)).count() == 0

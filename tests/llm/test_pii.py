@@ -58,14 +58,14 @@ def test_disclosing_terms(spark):
     for r in pii.detect(spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, spans string")).collect():
         found[r["doc_id"]] = [(s["start"], s["end"], s["kind"]) for s in r["spans"]]
     texts = {t or "" for _, t in rows}
-    held = {t: ({pii.entity(t, *x) for x in pii.base_spans(t)}, {w for w, _, _ in pii.terms(t, pii.base_spans(t))}) for t in texts}
+    held = {t: (pii.entities(t, pii.base_spans(t)), {w for w, _, _ in pii.terms(t, pii.base_spans(t))}) for t in texts}
     n_e, n_t, n_te = Counter(), Counter(), Counter()
     for e, w in held.values():
         n_e.update(e)
         n_t.update(w)
         n_te.update((x, y) for x in e for y in w)
     n = len(texts)
-    telling = {p for p, c in n_te.items() if c >= pii.SUPPORT and n_e[p[0]] >= pii.SUPPORT and math.log2(n * c / (n_t[p[1]] * n_e[p[0]])) >= pii.DISCLOSURE * math.log2(n / n_e[p[0]])}
+    telling = {p for p, c in n_te.items() if c >= pii.SUPPORT and (p[0].split(":")[0] not in pii.OWNERS or math.log2(n / n_e[p[0]]) >= pii.OWNER_BITS) and math.log2(n * c / (n_t[p[1]] * n_e[p[0]])) >= pii.DISCLOSURE * math.log2(n / n_e[p[0]])}
     assert ("email:ann@example.org", "zebrastein") in telling and not any(t == "common" for _, t in telling)
     names = list(PATTERNS)
     for d, t in rows:
@@ -86,8 +86,30 @@ def test_both_ways_of_counting_terms_agree(spark, monkeypatch):
     assert "term" in runs[0][0]
 
 
+def test_rare_values_count_toward_their_owners(spark):
+    rows = [(i, f"write to Lee at person{i}@lee.example for more word{i}") for i in range(4)] + [(10 + i, f"nothing of note, other{i} here") for i in range(1100)]
+    found = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == {"email", "term"} for i in range(4)) and all(not found[10 + i] for i in range(1100))
+
+
+def test_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert [(s, e) for s, e, _ in pii.secret_spans(f"k={key}==", [])] == [(2, 44)]
+    assert [(s, e) for s, e, _ in pii.secret_spans(f"key: {key}.", [])] == [(5, 45)]
+    assert pii.secret_spans("chpfheitschverheiten" * 2 + " 12345678901234567890123456", []) == []
+
+
+def test_any_long_is_an_id(spark):
+    ids = [(1 << 53) + 1, None, (1 << 60) + 3, 1 << 62, -(1 << 60) - 1]
+    docs = spark.createDataFrame([(d, f"m{i}@a{i}.org", "x", None if i else 1 << 60) for i, d in enumerate(ids)], "doc_id long, text string, text_key string, new_text long").coalesce(1)
+    found = pii.detect(docs)
+    assert sorted(map(str, (r["doc_id"] for r in found.collect()))) == sorted(map(str, ids))
+    out = pii.redact(docs, found).collect()
+    assert {(r["doc_id"], r["text"], r["text_key"], r["new_text"]) for r in out} == {(d, "[EMAIL]", "x", None if i else 1 << 60) for i, d in enumerate(ids)}
+
+
 def test_redaction_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "mail a@b.co now or call +49 (30) 123456"), (2, None)], "doc_id long, text string")
     out = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.detect(docs)).collect()}
-    assert out == {1: "mail [EMAIL] now or call [PHONE]", 2: ""}
+    assert out == {1: "mail [EMAIL] now or call [PHONE]", 2: None}  # a null text stays null
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
