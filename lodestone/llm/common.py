@@ -28,6 +28,22 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+#: Folders of intermediate tables that this driver has made and not deleted.
+_BASES: list[str] = []
+
+
+def made_so_far() -> int:
+    """A mark for :func:`drop_made_since`."""
+    return len(_BASES)
+
+
+def drop_made_since(spark: SparkSession, mark: int) -> None:
+    """Delete the intermediate tables made since ``mark``, once nothing is left to read them."""
+    while len(_BASES) > mark:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_BASES.pop())  # noqa: SLF001
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # noqa: SLF001
+
+
 class Scratch:
     """Intermediate tables as Parquet below the shared folder.
 
@@ -39,6 +55,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _BASES.append(self.base)
 
     def path(self, name: str) -> str:
         self._n += 1

@@ -204,9 +204,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[int, float], id_c
     return fit_rates(rows, n, targets)
 
 
-#: Domains of the labels table, and the share of tokens wanted of toxic text.
+#: Domains of the labels table, and the shares of tokens wanted of them.
 DOMAINS = ("poor", "good", "toxic")
-TARGETS = {2: 0.0}
+TARGETS = {0: 0.15, 1: 0.85, 2: 0.0}
+#: Targets that only take toxic text out; the others keep their proportion.
+WITHOUT_TOXIC = {2: 0.0}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

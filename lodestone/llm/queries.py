@@ -71,7 +71,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posteriors and fitted rate of every document; toxic text is wanted no more."""
+    """Posteriors and fitted rate of every document; shares are wanted of all domains, none of toxic text."""
     labels = mixing.label_domains(table(spark, sf_dir, "labels"))
     mixed = mixing.mix(table(spark, sf_dir, "documents"), labels, mixing.TARGETS)
     domain = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1

@@ -55,6 +55,19 @@ def test_each_stage_against_brute_force(spark, tmp_path, monkeypatch):
     assert sorted(map(str, again.collect())) == sorted(map(str, seen[-1]))
 
 
+def test_empty_table_and_long_ids(spark, tmp_path):
+    empty = str(tmp_path / "empty")
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    some = str(tmp_path / "some")
+    ids = [(1 << 53) + 1, None, (1 << 60) + 3, 1 << 62, -(1 << 60) - 1]
+    rows = [(d, " ".join("abcde"[i] * 3 + "klmnopqrst"[j % 10] + "uvw"[j // 10] for j in range(30)), "en", "s", 1 if d else None) for i, d in enumerate(ids)]
+    spark.createDataFrame(rows, COLUMNS).coalesce(1).write.parquet(f"{some}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{some}/labels.parquet")
+    assert sorted(map(str, (r["doc_id"] for r in corpus_pipeline.run(spark, some).collect()))) == sorted(map(str, ids))
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "encode"]
     assert lines.MIN_WORDS == 5 and bpe.LEXICON_WORDS <= 1 << 16
