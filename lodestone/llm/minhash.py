@@ -49,17 +49,24 @@ def signatures(values: np.ndarray, starts: np.ndarray, hashes: int = HASHES) ->
     ends, at = np.append(starts[1:], len(values)), 0
     while at < len(starts):  # slices that stay in the processor's cache
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + 16_384, "right")))
-        piece, first = values[starts[at] : ends[upto - 1]].astype(np.uint32), starts[at:upto] - starts[at]
+        piece, first = values[starts[at] : ends[upto - 1]].astype(np.uint32, copy=False), starts[at:upto] - starts[at]
+        buffer = np.empty_like(piece)
         for j in range(hashes):
-            out[at:upto, j] = np.minimum.reduceat((piece ^ _XORS[j]) * _FACTORS[j], first)
+            np.bitwise_xor(piece, _XORS[j], out=buffer)
+            np.multiply(buffer, _FACTORS[j], out=buffer)
+            out[at:upto, j] = np.minimum.reduceat(buffer, first)
         at = upto
     return out
 
 
 def sketches(found: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, as 64-bit numbers; fewer minima leave the last bits zero."""
-    bits = np.zeros((len(found), HASHES), np.uint8)
-    bits[:, : found.shape[1]] = mixed(found.astype(np.uint64)) & np.uint64(1)
+    """64 bits of the minima, as 64-bit numbers: the first bit of each, then the second of each, and so on."""
+    scrambled = mixed(found.astype(np.uint64))
+    n = found.shape[1]
+    bits = np.empty((len(found), HASHES), np.uint8)
+    for at in range(0, HASHES, n):
+        level, upto = np.uint64(at // n), min(n, HASHES - at)
+        bits[:, at : at + upto] = (scrambled[:, :upto] >> level) & np.uint64(1)
     return np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
 
 
