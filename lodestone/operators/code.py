@@ -7,9 +7,11 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import markup
+
 # Words that look like calls and aren't.
 NOT_CALLS = ("if", "for", "while", "return", "print", "len", "str", "int", "def", "class", "with", "not", "and", "or", "in")
 
@@ -85,7 +87,7 @@ def import_checks(wanted: DataFrame, stdlib: DataFrame, installed: DataFrame, de
 def endpoint_checks(asked: DataFrame, routes: DataFrame) -> DataFrame:
     """``asked`` (method, path) with verdict and confidence against ``routes`` (method, template).
 
-    Candidates meet on the number of path segments, so templates are not tried on every path.
+    A missing route is told less surely, at 0.5, where no routes are known at all. Candidates meet on the number of path segments, so templates are not tried on every path.
     """
     segments = lambda c: F.size(F.split(c, "/"))
     pattern = F.concat(F.lit("^"), F.regexp_replace("template", r"\{[^}]*\}", "[^/]+"), F.lit("$"))
@@ -96,18 +98,87 @@ def endpoint_checks(asked: DataFrame, routes: DataFrame) -> DataFrame:
     score = F.when(hit & same & (F.col("path") == F.col("template")), 3).when(hit & same, 2).when(hit, 1).otherwise(0)
     best = pairs.groupBy("method", "path").agg(F.max(score).alias("s"))
     verdict = F.when(F.col("s") == 3, "exact").when(F.col("s") == 2, "template").when(F.col("s") == 1, "wrong_method").otherwise("missing")
-    confidence = F.when(F.col("s") == 3, 1.0).when(F.col("s") == 2, 0.95).when(F.col("s") == 1, 0.9).otherwise(0.8)
+    known = routes.agg((F.count(F.lit(1)) > 0).alias("known"))
+    confidence = F.when(F.col("s") == 3, 1.0).when(F.col("s") == 2, 0.95).when(F.col("s") == 1, 0.9).when(F.col("known"), 0.8).otherwise(0.5)
+    best = best.crossJoin(known)  # one row beside each
     return best.select("method", "path", verdict.alias("verdict"), confidence.alias("confidence"))
 
 
-def suggestions(unknown: DataFrame, names: list[str], n: int = 5, cutoff: float = 0.6) -> DataFrame:
-    """``unknown`` (name) with similar: known names alike by matching blocks. ``names`` is a project's symbol list, sent to the tasks."""
+def suggestions(unknown: DataFrame, names: DataFrame, n: int = 5, cutoff: float = 0.6) -> DataFrame:
+    """(name, similar): up to ``n`` known names (name) alike by matching blocks, for each unknown one that has any.
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Names meet on shared pairs of letters first: a ratio of ``cutoff`` needs letters in
+    common, and names without a common pair of neighbours don't look alike. Only such
+    candidates are compared.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.lower(F.substring(c, i, F.lit(2)))))
+    asked = unknown.select("name").distinct()
+    left = asked.select("name", F.explode(grams(F.col("name"))).alias("gram"))
+    right = names.select(F.col("name").alias("known")).distinct()
+    right = right.select("known", F.explode(grams(F.col("known"))).alias("gram"))
+    long_, short = F.greatest(F.length("name"), F.length("known")), F.least(F.length("name"), F.length("known"))
+    # twice the shorter length over both is the most the ratio can be
+    pairs = left.join(right, "gram").where(2.0 * short / (short + long_) >= cutoff).select("name", "known").distinct()
+
+    def rated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            yield pd.DataFrame({"name": part["name"].astype(object), "similar": [difflib.get_close_matches(x, names, n, cutoff) for x in part["name"]]})
-
-    return unknown.select("name").mapInPandas(rows, "name string, similar array<string>")
+            yield part.assign(ratio=[difflib.SequenceMatcher(None, b, a).ratio() for a, b in zip(part["name"], part["known"], strict=True)]).astype({"name": object, "known": object})
+
+    good = pairs.mapInPandas(rated, "name string, known string, ratio double").where(F.col("ratio") >= cutoff)
+    ranked = good.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("ratio"), F.desc("known")))).where(F.col("r") <= n)
+    return ranked.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "known"))), lambda x: x["known"]).alias("similar"))
+
+
+def symbol_lines(files: DataFrame) -> DataFrame:
+    """(path, name, kind, line): classes, functions and methods by the look of their first lines; for languages without a parser at hand."""
+    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("at", "code"))
+    name = F.regexp_extract("code", r"^\s*(?:async\s+)?(?:def|class|function)\s+([A-Za-z_]\w*)", 1)
+    kind = F.when(F.col("code").rlike(r"^\s*class\b"), "class").when(F.col("code").rlike(r"^\s+"), "method").otherwise("function")
+    return lines.where(name != "").select("path", name.alias("name"), kind.alias("kind"), (F.col("at") + 1).alias("line"))
+
+
+def routes(files: DataFrame) -> DataFrame:
+    """(path, method, template) of route decorators."""
+    lines = files.select("path", F.explode(F.split("text", "\n")).alias("code"))
+    pattern = r"^\s*@\w+\.(get|post|put|delete|patch)\(\s*[\"']([^\"']+)[\"']"
+    return lines.where(F.col("code").rlike(pattern)).select("path", F.upper(F.regexp_extract("code", pattern, 1)).alias("method"), F.regexp_extract("code", pattern, 2).alias("template"))
+
+
+# The ways in which a text refers to code, and words that are no symbols.
+REFERENCES = {
+    "function_call": r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(",
+    "class_name": r"\b([A-Z][a-zA-Z0-9]*)\b",
+    "file_path": r"(?:^|[\s`\"'])([a-zA-Z0-9_./-]+\.(?:py|ts|tsx|js|jsx|json|yaml|yml|md))",
+    "api_endpoint": r"(?:GET|POST|PUT|DELETE|PATCH)\s+(/[a-zA-Z0-9_/-]+(?:\{[^}]+\})?)",
+    "import": r"(?:from|import)\s+([a-zA-Z0-9_.]+)",
+    "qualified_name": r"\b([A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+)\b",
+}
+NO_SYMBOLS = ("the", "and", "for", "with", "this", "that", "from", "import", "class", "def", "return", "if", "else", "get", "post", "put", "delete", "patch", "call", "use")
+
+
+def references(texts: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, kind, name): what a text refers to, each name once for each kind; common words left out."""
+    found = F.array(*(F.struct(F.lit(kind).alias("kind"), F.array_distinct(F.regexp_extract_all(text_col, F.lit(p), 1)).alias("names")) for kind, p in REFERENCES.items()))
+    rows = texts.select(key, F.explode(found).alias("f")).select(key, "f.kind", F.explode("f.names").alias("name"))
+    return rows.where(~F.lower("name").isin(*NO_SYMBOLS))
+
+
+def path_checks(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``asked`` (path) with verdict and confidence: known, outside, similar (a file of that name elsewhere) or missing."""
+    path = markup.normal_path(F.col("path"))
+    rows = asked.select("path", path.alias("normal"), markup.base_name(path).alias("base"))
+    files = known.select(F.col("path").alias("normal"), F.lit(True).alias("there")).distinct()
+    names = known.select(markup.base_name(F.col("path")).alias("base"), F.lit(True).alias("alike")).distinct()
+    outside = F.exists(F.split("normal", "/"), lambda x: x == "..")
+    verdict = F.when(F.col("there"), "known").when(outside, "outside").when(F.col("alike"), "similar").otherwise("missing")
+    confidence = F.when(F.col("there") | outside, 1.0).when(F.col("alike"), 0.85).otherwise(0.8)
+    return rows.join(files, "normal", "left").join(names, "base", "left").select("path", verdict.alias("verdict"), F.coalesce(confidence, F.lit(0.8)).alias("confidence"))
+
+
+def or_whole_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``chunks`` (path, qualified, part, content), and each file without any as one chunk of its own."""
+    none = files.join(chunks.select("path"), "path", "left_anti").where(F.trim("text") != "")
+    return chunks.unionByName(none.select("path", F.lit("").alias("qualified"), F.lit(0).alias("part"), F.col("text").alias("content")))
 
 
 def code_chunks(files: DataFrame, table: DataFrame, max_chars: int = 1000) -> DataFrame:

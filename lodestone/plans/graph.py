@@ -204,10 +204,32 @@ def temporal_changes(spark, sf_dir):
     return graph.changed_between(facts(spark, sf_dir), "valid_at", start, end).select("l_orderkey", "l_linenumber")
 
 
-@query("graph_label_propagation")
-def graph_label_propagation(spark, sf_dir):
-    """Communities of the trade between customers and suppliers after five rounds of label propagation."""
+_TRADE = "l AS (SELECT 'C:' || o_custkey AS a, 'S:' || l_suppkey AS b, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2)"
+
+
+def _trade(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     trade = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, "l_orderkey")
-    links = trade.groupBy(_id("C", "o_custkey").alias("a"), _id("S", "l_suppkey").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return graph.label_propagation(links, 5)
+    return trade.groupBy(_id("C", "o_custkey").alias("a"), _id("S", "l_suppkey").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
+def _propagated(rounds: int) -> str:
+    """Rounds of label propagation as a chain of common table expressions."""
+    steps = ["w AS (SELECT a, b, weight FROM l UNION ALL SELECT b, a, weight FROM l)", "g0 AS (SELECT DISTINCT a AS id, a AS label FROM w)"]
+    for i in range(rounds):
+        steps.append(f"v{i} AS (SELECT w.a AS id, g.label, sum(weight) AS votes FROM w JOIN g{i} g ON g.id = w.b GROUP BY 1, 2)")
+        steps.append(f"b{i} AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, label) AS r FROM v{i}) WHERE r = 1)")
+        steps.append(f"g{i + 1} AS (SELECT g.id, CASE WHEN (g.id[1] = 'C') = {'true' if i % 2 == 0 else 'false'} THEN b.label ELSE g.label END AS label FROM g{i} g JOIN b{i} b USING (id))")
+    return f"WITH {_TRADE}, {', '.join(steps)} SELECT id, label FROM g{rounds}"
+
+
+@query("graph_label_propagation", _propagated(6))
+def graph_label_propagation(spark, sf_dir):
+    """Communities of the trade between customers and suppliers, the two sides taking labels in turn."""
+    return graph.label_propagation(_trade(spark, sf_dir), 6, F.col("id").startswith("C"))
+
+
+@query("graph_louvain")
+def graph_louvain(spark, sf_dir):
+    """Communities of the trade by modularity, and communities of these."""
+    return graph.louvain(_trade(spark, sf_dir))

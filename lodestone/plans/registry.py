@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lodestone.plans import costs, evidence, fusion, graph, memory, telemetry, text, vector  # noqa: F401
+    from lodestone.plans import code, costs, decisions, evidence, fusion, graph, knowledge, memory, records, retrieval, strings, telemetry, text, vector  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -51,7 +51,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from lodestone.session import local_session
 
-    spark = local_session(cores=6, partitions=6)
+    spark = local_session(cores=int(os.environ.get("CORES", "6")), partitions=4)
     spark.sparkContext.setLogLevel("OFF")
     wanted, sqls = sys.argv[1:], entry.oracle_sql()
     for name, f in entry.queries().items():

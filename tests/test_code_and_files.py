@@ -16,7 +16,7 @@ def test_code_tables(spark):
     assert {tuple(r) for r in code.calls(df, table).collect()} == {("m.py", "load", "m.py:load"), ("x.js", "load", "m.py:load")}
     refs = spark.createDataFrame([("Store.get",), ("Other.load",), ("nothing",)], "name string")
     assert {r["name"]: (r["is_valid"], r["confidence"]) for r in code.symbol_checks(refs, table).collect()} == {"Store.get": (True, 1.0), "Other.load": (True, 0.9), "nothing": (False, 0.8)}
-    assert code.suggestions(spark.createDataFrame([("lod",)], "name string"), ["load", "Store"]).first()["similar"] == ["load"]
+    assert code.suggestions(spark.createDataFrame([("lod",)], "name string"), spark.createDataFrame([("load",), ("Store",)], "name string")).first()["similar"] == ["load"]
     chunks = {(r["qualified"], r["part"]): r["content"] for r in code.code_chunks(df, table, 30).collect()}
     assert chunks["load", 0] == "def load(x):" and chunks["load", 1] == "    return os.path.join(x)"
 
