@@ -35,7 +35,7 @@ from lodestone.llm.common import Scratch
 #: Words in the lexicon at most.
 LEXICON_WORDS = 1 << 15
 #: Words that a worker remembers at most, parts of words likewise, and their length at most.
-MEMO_WORDS, MEMO_PARTS, MEMO_LENGTH = 300_000, 100_000, 48
+MEMO_WORDS, MEMO_PARTS, MEMO_LENGTH = 150_000, 60_000, 48
 
 #: Unicode white space, as the splitting pattern of the vocabulary means it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -447,7 +447,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 #: Texts of about so many characters are encoded before a batch of rows is handed on.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def _sliced(batch: pa.RecordBatch, texts: list[str]) -> Iterator[tuple[int, int]]:
