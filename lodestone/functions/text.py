@@ -84,15 +84,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def window_chunks(tokens: Column, size: int, overlap: int) -> Column:
-    """Windows of ``size`` tokens, each ``size - overlap`` after the one before, until one reaches the end."""
-    step = size - overlap
-    n = F.size(tokens)
-    count = F.when(n == 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: i < count)
-    return F.transform(starts, lambda i: F.struct(i.alias("chunk_index"), F.array_join(F.slice(tokens, i * step + 1, size), " ").alias("content")))
-
-
 def estimated_chunks(tokens: Column, size: int) -> Column:
     """0 for nothing, 1 up to ``size``, else the tokens by four fifths of it, rounded up."""
     return F.when(tokens <= 0, 0).when(tokens <= size, 1).otherwise(F.ceil(tokens / (F.lit(0.8) * size))).cast("long")

@@ -60,8 +60,16 @@ SENSITIVE = ("password", "secret", "token", "key", "auth", "credential", "api_ke
 
 
 def redacted(props: Column) -> Column:
-    """A map of properties with the values of sensitive names replaced."""
-    return F.transform_values(props, lambda k, v: F.when(F.lower(k).rlike("|".join(SENSITIVE)), "[REDACTED]").otherwise(v))
+    """A map of properties with the values of sensitive names replaced, and a message by the hash of its first hundred characters and its length."""
+
+    def kept(entry: Column) -> Column:
+        key, value = entry["key"], entry["value"]
+        pair = lambda k, v: F.struct(k.alias("key"), v.cast("string").alias("value"))
+        digest = F.when(value == "", "").otherwise(F.sha2(F.substring(value, 1, 100), 256))
+        message = F.array(pair(F.lit("message_hash"), digest), pair(F.lit("message_length"), F.length(value)))
+        return F.when(F.lower(key).rlike("|".join(SENSITIVE)), F.array(pair(key, F.lit("[REDACTED]")))).when((key == "message") & value.isNotNull(), message).otherwise(F.array(pair(key, value)))
+
+    return F.map_from_entries(F.flatten(F.transform(F.map_entries(props), kept)))
 
 
 def baseline_delta(metrics: DataFrame, baseline: DataFrame, key: str, columns: list[str]) -> DataFrame:

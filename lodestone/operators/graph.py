@@ -97,9 +97,9 @@ def label_propagation(links: DataFrame, rounds: int, turn=None) -> DataFrame:
 def local_moves(links: DataFrame, rounds: int) -> tuple[DataFrame, list[float]]:
     """((id, label), modularity after each round): vertices move to the neighbouring community of the largest gain.
 
-    Half of the vertices, by hash, may move in a round, so that neighbours don't swap.
-    The labels are those of the best round; a round that doesn't raise the modularity
-    for both halves is the last.
+    Half of the vertices, by a hash of their own for each round, may move in a round, so
+    that neighbours don't swap. The labels are those of the best round; four rounds
+    without a gain are the last.
     """
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
     both = cut(both)
@@ -117,12 +117,12 @@ def local_moves(links: DataFrame, rounds: int) -> tuple[DataFrame, list[float]]:
         gain = F.round(F.col("inside") - F.col("degree") * (F.col("total") - F.when(stays, F.col("degree")).otherwise(0.0)) / twice, 9)
         # of equal gains staying is first, then the smallest label
         chosen = options.groupBy("id").agg(F.min(F.struct((-gain).alias("g"), (~stays).alias("s"), "label"))["label"].alias("chosen"))
-        moves = F.xxhash64("id", F.lit(7)) % 2 == i % 2
+        moves = F.xxhash64("id", F.lit(i)) % 2 == 0
         labels = cut(labels.join(chosen, "id").select("id", F.when(moves, F.col("chosen")).otherwise(F.col("label")).alias("label"), "degree"))
         history.append(modularity(links, labels).first()[0])
         if history[-1] >= max(history):
             best = labels
-        if i >= 3 and history[-1] <= history[-3] + 1e-9:
+        if i >= 3 and history[-1] <= max(history[:-4]) + 1e-9:
             break
     return best.select("id", "label"), history
 

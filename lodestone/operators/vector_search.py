@@ -66,7 +66,11 @@ def topk(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
                 out.append(pd.DataFrame({"query_id": q[i], "id": c[near], "similarity": sims[i][near]}))
         return pd.concat(out)
 
-    pairs = _packed(chosen(queries), "q", BLOCK).join(_packed(chosen(corpus), "c", BLOCK), "grp")
+    # every block of queries goes to every block of its group's rows under a key of its own, so no key is hot
+    rows = chosen(corpus)
+    blocks = rows.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    asked = _packed(chosen(queries), "q", BLOCK).join(blocks, "grp").select("grp", "q_block", "q_ids", "q_unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c_block"))
+    pairs = asked.join(_packed(rows, "c", BLOCK), ["grp", "c_block"])
     found = pairs.groupBy("grp", "q_block", "c_block").applyInPandas(best, "query_id long, id long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

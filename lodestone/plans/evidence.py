@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import evidence, ranking
@@ -73,10 +73,15 @@ def provider_chain(spark, sf_dir):
     return evidence.first_success(attempts, "page_id", "p", good).select("page_id", F.col("p").cast("long").alias("provider"))
 
 
-@query("props_redacted", "SELECT event_id, '{\"k\":\"' || json_extract_string(props, '$.k') || '\",\"api_key\":\"[REDACTED]\"}' AS props FROM events")
+@query(
+    "props_redacted",
+    """
+SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '","api_key":"[REDACTED]","message_hash":"' || sha256(substring(event_type || '-' || user_id, 1, 100)) || '","message_length":"' || length(event_type || '-' || user_id) || '"}' AS props FROM events""",
+)
 def props_redacted(spark, sf_dir):
-    """Event properties with a secret among them, redacted."""
-    props = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("api_key"), F.col("event_id").cast("string"))
+    """Event properties with a secret and a message among them, redacted."""
+    message = F.concat_ws("-", "event_type", "user_id")
+    props = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("api_key"), F.col("event_id").cast("string"), F.lit("message"), message)
     return table(spark, sf_dir, "events").select("event_id", F.to_json(evidence.redacted(props)).alias("props"))
 
 
@@ -117,16 +122,35 @@ def reference_report(spark, sf_dir):
     "evidence_union",
     f"""
 WITH h AS ({_HITS}) SELECT query_id, id, 'vector' AS kind FROM h WHERE rank <= 5
-UNION ALL SELECT query_id, id, 'graph' FROM h WHERE rank <= 5 AND similarity >= 0.3""",
+UNION ALL SELECT query_id, id, 'graph' FROM (SELECT q.vec_id AS query_id, e.event_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY e.value DESC, e.event_id) AS place FROM embeddings q JOIN events e ON e.user_id = q.vec_id WHERE q.vec_id % 20 = 0) WHERE place <= 5""",
 )
 def evidence_union(spark, sf_dir):
-    """Vector and graph evidence in one list."""
+    """Vector hits and what is linked to the query in one list, five of either."""
     hits = vector.vec_topk(spark, sf_dir).where("rank <= 5")
-    kinds = ((hits, "vector"), (hits.where("similarity >= 0.3"), "graph"))
+    asks = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"))
+    links = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), "value").join(asks, "query_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), "id"))
+    kinds = ((hits, "vector"), (links.withColumn("place", place).where("place <= 5"), "graph"))
     return reduce(DataFrame.unionByName, (h.select("query_id", "id", F.lit(k).alias("kind")) for h, k in kinds))
 
 
-@query("eval_baseline")
+def _evaluated(ranking_: str, name: str) -> str:
+    """Metrics at ten of a ranking (item_id, doc_id, rank) as common table expressions."""
+    return f"""
+j{name} AS (SELECT x.item_id, x.doc_id, x.rank, coalesce(grade, 0) AS grade FROM ({ranking_}) x LEFT JOIN rel ON rel.item_id = x.item_id AND rel.doc_id = x.doc_id WHERE x.rank <= 10),
+m{name} AS (SELECT item_id, coalesce(1.0 / min(CASE WHEN grade > 0 THEN rank END), 0) AS rr, sum(grade / log2(rank + 1)) AS dcg, count(*) FILTER (grade > 0) AS hits FROM j{name} GROUP BY 1),
+e{name} AS (SELECT b.item_id, round(coalesce(rr, 0), 6) AS rr, round(coalesce(dcg / idcg, 0), 6) AS ndcg, round(coalesce(hits, 0) / 10.0, 6) AS precision_at_k, round(coalesce(hits / n_rel, 0), 6) AS recall_at_k
+  FROM benchmark b LEFT JOIN m{name} m ON m.item_id = b.item_id LEFT JOIN ideal ON ideal.item_id = b.item_id LEFT JOIN n ON n.item_id = b.item_id)"""
+
+
+@query(
+    "eval_baseline",
+    f"""
+WITH {fusion._TERMS}, {fusion._FUSED}, {fusion._QRELS},
+ideal AS (SELECT item_id, sum(grade / log2(i + 1)) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY grade DESC, doc_id) AS i FROM rel) WHERE i <= 10 GROUP BY 1),
+n AS (SELECT item_id, count(*) AS n_rel FROM rel GROUP BY 1), {_evaluated('SELECT item_id, doc_id, rank FROM fr', 'a')}, {_evaluated('SELECT item_id, doc_id, dense_rank AS rank FROM r', 'b')}
+SELECT ea.item_id, {', '.join(f'round(ea.{c} - eb.{c}, 6) AS {c}_delta' for c in ('rr', 'ndcg', 'precision_at_k', 'recall_at_k'))} FROM ea JOIN eb ON eb.item_id = ea.item_id""",
+)
 def eval_baseline(spark, sf_dir):
     """Metrics of the fused ranking less those of the term-overlap ranking."""
     items = table(spark, sf_dir, "benchmark").select("item_id")

@@ -111,7 +111,7 @@ def graph_subgraph(spark, sf_dir):
     "graph_trails",
     f"""
 WITH RECURSIVE {_P},
-e AS (SELECT src, dst, src || '|' || rel || '|' || dst AS edge FROM p WHERE src[1] <> 'C'),
+e AS (SELECT src, dst, src || '|' || rel || '|' || dst AS edge FROM p),
 ways AS (SELECT src, dst, edge FROM e UNION ALL SELECT dst, src, edge FROM e),
 t(start, "end", hops, path, used) AS (
   SELECT 'R:' || r_regionkey, 'R:' || r_regionkey, 0, 'R:' || r_regionkey, []::VARCHAR[] FROM region
@@ -119,9 +119,8 @@ t(start, "end", hops, path, used) AS (
 SELECT start, "end", hops, path FROM t WHERE hops > 0""",
 )
 def graph_trails(spark, sf_dir):
-    """Walks of up to three edges from the regions through nations and suppliers."""
-    edges = part_of(spark, sf_dir).where("src NOT LIKE 'C%'")
-    return graph.trails(edges, vertices(spark, sf_dir).where("type = 'region'"), 3)
+    """Walks of up to three edges from the regions through nations, suppliers and customers."""
+    return graph.trails(part_of(spark, sf_dir), vertices(spark, sf_dir).where("type = 'region'"), 3)
 
 
 @query("graph_weighted", f"WITH {_SP} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(max(confidence), 6) AS weight FROM sp GROUP BY 1, 2")

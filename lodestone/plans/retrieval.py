@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, multi_vector, vector_search
+from lodestone.functions import text
+from lodestone.operators import chunking, graph, multi_vector, vector_search
 from lodestone.plans.graph import _BOTH, _P, _V, part_of
 from lodestone.plans.knowledge import ancestors, chunk_tree
 from lodestone.plans.registry import query
@@ -209,12 +210,10 @@ SELECT doc_id, tenant, CAST(i AS INTEGER) AS chunk_index, 'chunk_0_' || substrin
 )
 def index_job(spark, sf_dir):
     """Documents once for each tenant and content, in chunks with ids, sizes and the text that is embedded."""
-    from lodestone.functions import text
-
     first = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("tenant"), "text").agg(F.min("doc_id").alias("doc_id"))
-    chunks = first.select("doc_id", "tenant", F.explode(text.window_chunks(text.words(F.col("text")), 512, 64)).alias("c")).select("doc_id", "tenant", "c.chunk_index", "c.content")
+    chunks = chunking.windows(first, ["doc_id", "tenant"], F.col("text"), 512, 64)
     embedded = F.concat_ws("\n\n", F.concat(F.lit("Document: "), "doc_id"), "content")
-    return chunks.select("doc_id", "tenant", "chunk_index", text.chunk_id(F.col("tenant"), F.col("doc_id"), F.lit(0), F.col("chunk_index")).alias("chunk_id"), F.size(F.split("content", " ")).alias("tokens"), F.sha2(embedded, 256).alias("embedded_sha256"))
+    return chunks.select("doc_id", "tenant", "chunk_index", text.chunk_id(F.col("tenant"), F.col("doc_id"), F.lit(0), F.col("chunk_index")).alias("chunk_id"), "tokens", F.sha2(embedded, 256).alias("embedded_sha256"))
 
 
 @query(
@@ -226,9 +225,7 @@ SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, 'Document: ' || source || chr(
 )
 def context_reindex(spark, sf_dir):
     """The chunks of some tenants again in order, each with its context before it."""
-    from lodestone.functions import text
-
     rows = table(spark, sf_dir, "documents").where("source IN ('src1', 'src2')")
-    chunks = rows.select("doc_id", "source", F.explode(text.window_chunks(text.words(F.col("text")), 512, 64)).alias("c")).select("doc_id", "source", "c.chunk_index", "c.content")
+    chunks = chunking.windows(rows, ["doc_id", "source"], F.col("text"), 512, 64)
     content = F.concat_ws("\n\n", F.concat(F.lit("Document: "), "source"), F.concat(F.lit("Context: part "), F.col("chunk_index") + 1), "content")
     return chunks.select("doc_id", "chunk_index", content.alias("content"))

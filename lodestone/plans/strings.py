@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import markup, text
+from lodestone.operators import chunking
 from lodestone.plans.registry import query
 from lodestone.plans.text import docs
 from lodestone.sources import table
@@ -258,11 +259,11 @@ SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(least(512, len(w) - i * 4
 def section_chunks(spark, sf_dir):
     """Sections under their heading, whole where they fit into a chunk."""
     whole = markup.section_text(F.col("source"), F.col("text"))
-    rows = docs(spark, sf_dir).select("doc_id", whole.alias("whole"), text.words(whole).alias("w"))
-    chunks = rows.select("doc_id", "whole", F.size("w").alias("n"), F.explode(text.window_chunks(F.col("w"), 512, 64)).alias("c"))
-    fits = F.col("n") <= 512
-    content = F.when(fits, F.regexp_replace(F.regexp_replace("whole", r"^\s+", ""), r"\s+$", "")).otherwise(F.col("c.content"))
-    return chunks.select("doc_id", F.col("c.chunk_index").alias("chunk_index"), F.size(F.split("c.content", " ")).alias("tokens"), content.alias("content"))
+    rows = docs(spark, sf_dir).select("doc_id", whole.alias("whole"))
+    chunks = chunking.windows(rows, ["doc_id"], F.col("whole"), 512, 64)
+    # a section that fits is kept as it is, its white space too
+    single = chunks.groupBy("doc_id").agg(F.max("chunk_index").alias("last")).where("last = 0").join(rows, "doc_id").select("doc_id", F.regexp_replace(F.regexp_replace("whole", r"^\s+", ""), r"\s+$", "").alias("kept"))
+    return chunks.join(single, "doc_id", "left").select("doc_id", "chunk_index", "tokens", F.coalesce("kept", "content").alias("content"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import classify, text
+from lodestone.operators import chunking
 from lodestone.plans.registry import query
 from lodestone.sources import table
 
@@ -75,8 +76,7 @@ SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, array_to_string(w[i * 448 + 1:
 )
 def chunk_windows(spark, sf_dir):
     """Chunks of 512 words that overlap by 64."""
-    chunks = F.explode(text.window_chunks(text.words(F.col("text")), 512, 64)).alias("c")
-    return docs(spark, sf_dir).select("doc_id", chunks).select("doc_id", "c.chunk_index", "c.content")
+    return chunking.windows(docs(spark, sf_dir), ["doc_id"], F.col("text"), 512, 64).select("doc_id", "chunk_index", "content")
 
 
 @query(
@@ -88,9 +88,8 @@ SELECT doc_id, i // 2 AS parent_index, count(*) AS children, CAST(sum(len(w[i *
 )
 def chunk_hierarchy(spark, sf_dir):
     """Chunks of 256 words that overlap by a tenth, two to a parent."""
-    chunks = docs(spark, sf_dir).select("doc_id", F.explode(text.window_chunks(text.words(F.col("text")), 256, 25)).alias("c"))
-    tokens = F.size(F.split("c.content", " "))
-    return chunks.groupBy("doc_id", F.floor(F.col("c.chunk_index") / 2).alias("parent_index")).agg(F.count(F.lit(1)).alias("children"), F.sum(tokens).alias("tokens"))
+    chunks = chunking.windows(docs(spark, sf_dir), ["doc_id"], F.col("text"), 256, 25)
+    return chunks.groupBy("doc_id", F.floor(F.col("chunk_index") / 2).alias("parent_index")).agg(F.count(F.lit(1)).alias("children"), F.sum("tokens").alias("tokens"))
 
 
 @query("chunk_estimate", f"SELECT doc_id, CAST(CASE WHEN len({_W}) = 0 THEN 0 WHEN len({_W}) <= 512 THEN 1 ELSE ceil(len({_W}) / (CAST(0.8 AS DOUBLE) * 512)) END AS BIGINT) AS chunks FROM documents")
@@ -102,13 +101,14 @@ def chunk_estimate(spark, sf_dir):
 @query(
     "chunks_to_documents",
     f"""
-WITH t AS (SELECT doc_id, source, {_W} AS w FROM documents)
-SELECT source, string_agg(substring(array_to_string(w, ' '), 1, 20), '|' ORDER BY doc_id) AS joined FROM t GROUP BY source""",
+WITH t AS (SELECT doc_id, {_W} AS w FROM documents),
+c AS (SELECT doc_id, w, unnest(range(CASE WHEN len(w) <= 512 THEN 1 ELSE CAST(ceil((len(w) - 512) / 448.0) AS BIGINT) + 1 END)) AS i FROM t WHERE len(w) > 0)
+SELECT doc_id, count(*) AS chunks, sha256(string_agg(array_to_string(w[i * 448 + 1:i * 448 + 512], ' '), chr(10) ORDER BY i)) AS sha256 FROM c GROUP BY 1""",
 )
 def chunks_to_documents(spark, sf_dir):
-    """Pieces put together again in order."""
-    piece = F.struct("doc_id", F.substring(F.array_join(text.words(F.col("text")), " "), 1, 20).alias("content"))
-    return docs(spark, sf_dir).groupBy("source").agg(F.array_sort(F.collect_list(piece)).alias("p")).select("source", F.array_join(F.transform("p", lambda x: x["content"]), "|").alias("joined"))
+    """The whole contents of every document's chunks, in order."""
+    pieces = chunk_windows(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("p"))
+    return pieces.select("doc_id", F.size("p").cast("long").alias("chunks"), F.sha2(F.array_join(F.transform("p", lambda x: x["content"]), "\n"), 256).alias("sha256"))
 
 
 @query("documents_from_chunks", f"WITH t AS (SELECT doc_id, {_W} AS w FROM documents) SELECT doc_id, array_to_string(w, ' ') AS content FROM t WHERE len(w) > 0")
@@ -211,17 +211,19 @@ def _matches(patterns):
 @query(
     "route_questions",
     rf"""
-WITH t AS (SELECT conv_id, turn, 'what is the overview of ' || regexp_replace(text, '[^ -~]', ' ', 'g') AS q FROM conversations WHERE role = 'user'),
+WITH t AS (SELECT conv_id, turn, text AS q FROM conversations WHERE role = 'user' UNION ALL SELECT -1 - item_id, 0, CASE item_id % 4 WHEN 0 THEN 'What are the main themes of ' WHEN 1 THEN 'Who is the author of ' WHEN 2 THEN 'Compare all trends, and when was ' ELSE '' END || text FROM benchmark),
 m AS (SELECT conv_id, turn, {_matches(classify.GLOBAL)} AS wide, {_matches(classify.LOCAL)} AS narrow FROM t),
 s AS (SELECT *, wide / nullif(wide + narrow, 0) AS share FROM m)
 SELECT conv_id, turn, CASE WHEN share >= 0.7 THEN 'global' WHEN share <= 0.3 THEN 'local' ELSE 'hybrid' END AS route,
   round(CASE WHEN share IS NULL THEN 0.3 WHEN share >= 0.7 THEN least(0.9, 0.6 + share * 0.3) WHEN share <= 0.3 THEN least(0.9, 0.6 + (1 - share) * 0.3) ELSE 0.6 END, 6) AS confidence FROM s""",
 )
 def route_questions(spark, sf_dir):
-    """Whether each user turn, asked as a question, is about the corpus or about one thing."""
-    asked = F.concat(F.lit("what is the overview of "), F.regexp_replace("text", "[^ -~]", " "))
-    kind, confidence = classify.route(asked)
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", kind.alias("route"), F.round(confidence, 6).alias("confidence"))
+    """Whether each user turn, and each of some questions about passages, is about the corpus or about one thing."""
+    kind, confidence = classify.route(F.col("text"))
+    k = F.col("item_id") % 4
+    lead = F.when(k == 0, "What are the main themes of ").when(k == 1, "Who is the author of ").when(k == 2, "Compare all trends, and when was ").otherwise("")
+    asked = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.concat(lead, "text").alias("text"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text").union(asked).select("conv_id", "turn", kind.alias("route"), F.round(confidence, 6).alias("confidence"))
 
 
 _L = {k: f"len(list_intersect({_T}, {_list(v)}))" for k, v in classify.MARKERS.items()}

@@ -65,3 +65,32 @@ def ingest_once(stream: DataFrame, folder: str, checkpoint: str, key: str):
         rows.select(*batch.columns).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def publish(rows: DataFrame, folder: str) -> None:
+    """Add rows to the folder that a stream reads."""
+    rows.write.mode("append").parquet(folder)
+
+
+def stage(spark: SparkSession, source: str, schema: StructType, work, sink: str, checkpoint: str, key: str):
+    """Start one stage: what arrives in ``source`` goes through ``work`` to the ``sink``, each ``key`` once.
+
+    The checkpoint remembers what has been read, so a stage that is started again goes
+    on where it stopped, and a failed batch is worked on again: at least once, and with
+    :func:`ingest_once` as the sink in effect once.
+    """
+    arriving = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
+    return ingest_once(work(arriving), sink, checkpoint, key)
+
+
+def staged(spark: SparkSession, source: str, schema: StructType, stages: list, folder: str) -> DataFrame:
+    """Run stages (name, key, work) one behind the other until each has read all there is; the last one's rows.
+
+    Each stage reads what the one before wrote below ``folder``.
+    """
+    for name, key, work in stages:
+        out = f"{folder}/{name}"
+        stage(spark, source, schema, work, out, f"{folder}/{name}-checkpoint", key).awaitTermination()
+        found = spark.read.option("recursiveFileLookup", "true").parquet(out)
+        source, schema = out, found.schema
+    return found
