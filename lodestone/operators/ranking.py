@@ -21,13 +21,15 @@ def sparse_scores(queries: DataFrame, docs: DataFrame, query_key: str, doc_key:
 
 
 def reciprocal_rank_fusion(scores: DataFrame, query_key: str, doc_key: str, weights: dict[str, float], fetch: int, k: int = 60) -> DataFrame:
-    """Rows (query, doc, score, rank): each list's best ``fetch`` give weight / (k + rank)."""
-    lists = []
-    for column, weight in weights.items():
-        order = Window.partitionBy(query_key).orderBy(F.desc(column), doc_key)
-        ranked = scores.select(query_key, doc_key, F.row_number().over(order).alias("r")).where(F.col("r") <= fetch)
-        lists.append(ranked.select(query_key, doc_key, (F.lit(weight) / (F.lit(k) + F.col("r"))).alias("score")))
-    fused = reduce(DataFrame.unionByName, lists).groupBy(query_key, doc_key).agg(F.round(F.sum("score"), 9).alias("score"))
+    """Rows (query, doc, score, rank): each list's best ``fetch`` give weight / (k + rank).
+
+    All lists are ranked in one pass over the scores, which are dealt by query once.
+    """
+    places = {c: F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc(c), doc_key)) for c in weights}
+    ranked = scores.select(query_key, doc_key, *(p.alias(f"place_{c}") for c, p in places.items()))
+    ranked = ranked.where(F.least(*(F.col(f"place_{c}") for c in weights), F.lit(fetch + 1)) <= fetch)
+    parts = [F.when(F.col(f"place_{c}") <= fetch, F.lit(w) / (F.lit(k) + F.col(f"place_{c}"))).otherwise(0.0) for c, w in weights.items()]
+    fused = ranked.select(query_key, doc_key, F.round(reduce(lambda x, y: x + y, parts), 9).alias("score"))
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), doc_key)
     return fused.withColumn("rank", F.row_number().over(order))
 
