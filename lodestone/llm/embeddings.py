@@ -119,13 +119,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = scratch.keep(rows.select("vec_id", F.when(F.coalesce(finite, F.lit(False)), v).alias("vector")), "rows")
     usable = rows.where(F.col("vector").isNotNull())
-    node = F.xxhash64("vector")  # that no two different vectors share one is checked below
-    distinct = scratch.keep(usable.groupBy("vector").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least")).select("vector", node.alias("node"), "weight", "least"), "distinct")
-    per_size = distinct.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node").alias("nodes")).collect()
+    # numbers, not hashes, tell vectors apart; the written table keeps them
+    found = usable.groupBy("vector").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
+    distinct = scratch.keep(found.select("vector", F.monotonically_increasing_id().alias("node"), "weight", "least"), "distinct")
+    per_size = distinct.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
     counts = edges = None
     for size in per_size:  # vectors of one length; a table has one or few
-        if size["nodes"] != size["n"]:
-            raise ValueError("two different vectors share a 64-bit hash")
         own = distinct.where(F.size("vector") == size["size"])
         c, e = _links(own, size["n"], threshold, scratch)
         counts = c if counts is None else counts.unionByName(c)
@@ -134,13 +133,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     groups = scratch.keep(components(edges, scratch), "groups")
     linked = counts.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = distinct.join(linked, "node", "left").join(groups, "node", "left").select("node", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
+    nodes = distinct.join(linked, "node", "left").join(groups, "node", "left").select("node", "vector", "weight", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     nodes = scratch.keep(nodes, "nodes")
     least = scratch.keep(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    labelled = scratch.keep(nodes.join(least, "component").select("node", (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id"), "labelled")
-    found = rows.withColumn("node", F.when(F.col("vector").isNotNull(), node)).select("vec_id", "node", F.col("vector").isNull().alias("alone"))
+    labelled = scratch.keep(nodes.join(least, "component").select("vector", F.xxhash64("vector").alias("key"), (F.col("links") + F.col("weight") - 1).alias("n_links"), "component_id"), "labelled")
+    found = rows.select("vec_id", "vector", F.xxhash64("vector").alias("key"), F.col("vector").isNull().alias("alone"))
     component = F.when(F.col("alone"), F.col("vec_id")).otherwise(F.col("component_id"))
-    return found.join(labelled, "node", "left").select(
+    return found.join(labelled, ["key", "vector"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept")
     )
 
