@@ -35,6 +35,8 @@ HASHES = 33
 ROWS = 3
 #: Bits in which the sketches of lines may differ. Lines without a common gram differ in 32 +- 4 of 64.
 BUDGET = 21
+#: Minima that lines must share to be compared: of similarity 0.8 all but few share 18 of 33, others 3.
+LEAST = 11
 TILE = 512
 #: Characters whose grams are hashed at once.
 SLICE_CHARS = 1_000_000
@@ -171,20 +173,17 @@ def similar(a: str, b: str) -> bool:
     return _aligned(a.split(" "), b.split(" "), most) or edit_distance(a, b, most) <= most
 
 
-def _signed(norms: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(sketches, bucket keys) of the normalised lines that may be fuzzy repeats, hashed in bounded slices."""
-    fuzzy = [n for n in norms if n is not None]
-    prints, keys, at = [np.zeros(0, np.uint64)], [np.zeros((0, HASHES // ROWS), np.int64)], 0
-    while at < len(fuzzy):
+def signatures(norms: list[str]) -> np.ndarray:
+    """Signatures of normalised lines, hashed in bounded slices."""
+    out, at = [np.zeros((0, HASHES), np.uint32)], 0
+    while at < len(norms):
         upto, size = at, 0
-        while upto < len(fuzzy) and (upto == at or size + len(fuzzy[upto]) <= SLICE_CHARS):
-            size += len(fuzzy[upto])
+        while upto < len(norms) and (upto == at or size + len(norms[upto]) <= SLICE_CHARS):
+            size += len(norms[upto])
             upto += 1
-        found = line_signatures(fuzzy[at:upto])
-        prints.append(minhash.sketches(found))
-        keys.append(minhash.buckets(found, ROWS))
+        out.append(line_signatures(norms[at:upto]))
         at = upto
-    return np.concatenate(prints).view(np.int64), np.concatenate(keys)
+    return np.concatenate(out)
 
 
 def _lists(sizes, values: pa.Array) -> pa.ListArray:
@@ -210,9 +209,10 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         read = [line_keys(t) for t in texts]
         norms = [n for _, _, own in read for n in own]
         fuzzy = np.array([n is not None for n in norms], bool)
-        sketches, keys = _signed(norms)
+        signed = signatures([n for n in norms if n is not None])
+        keys = minhash.buckets(signed, ROWS)
         prints = np.zeros(len(norms), np.int64)
-        prints[fuzzy] = sketches
+        prints[fuzzy] = minhash.sketches(signed).view(np.int64)
         numbers = np.fromiter((i for own, *_ in read for i in own), np.int32)
         lines = np.concatenate([own for _, own, _ in read])
         buckets = _lists(fuzzy * keys.shape[1], pa.array(keys.ravel()))
@@ -252,7 +252,7 @@ def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str
     texts = _line_texts(docs, places, id_col, text_col).join(places.select("node", "fp"), "node")
     placed = scratch.keep(met.join(texts, "node").select("family", "node", "fp", "own"), "placed")
     scratch.drop(met, places)
-    return components(minhash.verified_links(placed, scratch, TILE, BUDGET, similar), scratch)
+    return components(minhash.verified_links(placed, scratch, TILE, BUDGET, similar, signatures, LEAST), scratch)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

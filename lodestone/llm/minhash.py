@@ -81,12 +81,15 @@ def buckets(found: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _joined(prints: np.ndarray, sets: list, labels: np.ndarray, split: int, budget: int, similar) -> np.ndarray:
-    """Labels after verifying pairs within ``budget`` bits; across ``split`` only, if there is one."""
+def _joined(near_to, sets: list, labels: np.ndarray, split: int, similar) -> np.ndarray:
+    """Labels after verifying pairs; across ``split`` only, if there is one.
+
+    ``near_to(i, lo)``: which of the sets from ``lo`` on are near enough to set i to be compared.
+    """
     _, labels = np.unique(labels, return_inverse=True)  # a copy: numbers of groups
-    for i in range(split if split else len(prints)):
+    for i in range(split if split else len(sets)):
         lo = split if split else i + 1
-        near = np.flatnonzero(np.bitwise_count(prints[lo:] ^ prints[i]) <= budget) + lo
+        near = np.flatnonzero(near_to(i, lo)) + lo
         near = near[labels[near] != labels[i]]
         while len(near):
             j, near = near[0], near[1:]
@@ -97,6 +100,13 @@ def _joined(prints: np.ndarray, sets: list, labels: np.ndarray, split: int, budg
     return first[group]
 
 
+def _near_by(prints: np.ndarray, budget: int, minima: np.ndarray | None, least: int):
+    """The test of :func:`_joined` by sketches, or by the number of equal minima where they are given."""
+    if minima is None:
+        return lambda i, lo: np.bitwise_count(prints[lo:] ^ prints[i]) <= budget
+    return lambda i, lo: (minima[lo:] == minima[i]).sum(axis=1) >= least
+
+
 def _whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """(rows, bounds): sorted batches cut so that no group of equal ``by`` is torn, and where groups begin, and the end."""
     held = None
@@ -111,9 +121,12 @@ def _whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tu
         yield held, np.array([0, len(held)])
 
 
-def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int, similar) -> DataFrame:
+def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int, similar, minima_of=None, least: int = 0) -> DataFrame:
     """Edges (a, b) that connect all nodes of one family that are ``similar`` and within ``budget`` bits.
 
+    ``minima_of``, if given, makes the signatures of a list of values of ``own``; then
+    ``least`` equal minima are asked for instead, which tells more than a sketch.
+
     ``placed``: rows (family, node, fp, own), written; a node may be in many families.
     ``similar`` compares two values of ``own``. A family of more than ``tile`` nodes is
     dealt out: each tile by itself, then pairs of tiles.
@@ -125,12 +138,14 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, bounds in _whole_groups(batches, ["family", "tile"]):
             prints, sets, labels = part["fp"].to_numpy().view(np.uint64), part["own"].tolist(), np.arange(len(part))
+            minima = minima_of(sets) if minima_of else None
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                near_to = _near_by(prints[lo:hi], budget, None if minima is None else minima[lo:hi], least)
                 if hi - lo == 2:
-                    if np.bitwise_count(prints[lo] ^ prints[lo + 1]) <= budget and similar(sets[lo], sets[lo + 1]):
+                    if near_to(0, 1)[0] and similar(sets[lo], sets[lo + 1]):
                         labels[lo + 1] = lo
                 elif hi - lo > 2:
-                    labels[lo:hi] = lo + _joined(prints[lo:hi], sets[lo:hi], labels[lo:hi], 0, budget, similar)
+                    labels[lo:hi] = lo + _joined(near_to, sets[lo:hi], labels[lo:hi], 0, similar)
             part["label"] = part["node"].to_numpy()[labels]
             # whole families need no second look, but for their links
             part = part[((part["tiles"] > 1) | (part["label"] != part["node"])).to_numpy()]
@@ -149,7 +164,9 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
                 split = int((group["tile"] == group["tile"].iloc[0]).sum())
                 if split == hi - lo:
                     continue
-                labels = _joined(group["fp"].to_numpy().view(np.uint64), group["own"].tolist(), group["label"].to_numpy(), split, budget, similar)
+                sets = group["own"].tolist()
+                near_to = _near_by(group["fp"].to_numpy().view(np.uint64), budget, minima_of(sets) if minima_of else None, least)
+                labels = _joined(near_to, sets, group["label"].to_numpy(), split, similar)
                 node = group["node"].to_numpy()
                 moved = node[labels] != node
                 yield pd.DataFrame({"a": node[moved], "b": node[labels[moved]]})
@@ -166,7 +183,7 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
 
 
 #: Keys of buckets with company are broadcast if they are at most so many (16 bytes each, twice that as a hash table).
-BROADCAST_BUCKETS = 1_000_000
+BROADCAST_BUCKETS = 500_000
 
 
 def met_in_buckets(signed: DataFrame, scratch: Scratch, tile: int, budget: int, ratio: float) -> DataFrame:
