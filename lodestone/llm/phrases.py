@@ -37,7 +37,9 @@ FEWEST_CELLS, MOST_CELLS = 16, 25
 #: Bytes of text for which there is a cell, below the bound.
 BYTES_A_CELL = 16
 #: Bytes of text that are counted at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
+#: The word counts of languages are broadcast if they are at most so many.
+BROADCAST_LANGUAGES = 100_000
 #: Cells of the sketch that make a row between tasks.
 CHUNK = 4096
 FULL = 255
@@ -246,6 +248,7 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: float = COVERED,
     most = held.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     percent = F.col("longer").cast("decimal(20,0)") * 100 >= F.col("f").cast("decimal(20,0)") * round(100 * covered)
     words = f.where("phrase = ''").select("lang", F.col("f").alias("n"))
+    words = F.broadcast(words) if words.count() <= BROADCAST_LANGUAGES else words
     kept = best.join(most, ["lang", "phrase"], "left").where(F.col("longer").isNull() | ~percent)
     return kept.join(words, "lang").select("lang", "phrase", F.col("f").alias("a"), F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
 
