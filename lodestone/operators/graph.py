@@ -1,20 +1,34 @@
 """Property-graph patterns, paths and communities on vertex and edge tables.
 
 Vertices: (id, type, name). Edges: (src, dst, rel). Loops are bounded by a number of
-hops; each hop is written to the shared folder of the session where it names one, so
-plans don't grow and lost executors don't cost earlier hops.
+hops; each hop is written to the shared folder of the session, so plans don't grow and
+lost executors don't cost earlier hops. Modularity is in :mod:`lodestone.operators.community`.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint where the session has a checkpoint folder, else as it is."""
+    """``df`` written below the session's ``spark.checkpoint.dir`` and read back, with a short plan and true sizes.
+
+    Where none is named, a local master gets a temporary folder; on a cluster other machines wouldn't see one.
+    """
     spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -94,67 +108,6 @@ def label_propagation(links: DataFrame, rounds: int, turn=None) -> DataFrame:
     return labels
 
 
-def local_moves(links: DataFrame, rounds: int) -> tuple[DataFrame, list[float]]:
-    """((id, label), modularity after each round): vertices move to the neighbouring community of the largest gain.
-
-    Half of the vertices, by a hash of their own for each round, may move in a round, so
-    that neighbours don't swap. The labels are those of the best round; four rounds
-    without a gain are the last.
-    """
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    both = cut(both)
-    degree = both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("degree"))
-    labels = cut(degree.select("id", F.col("id").alias("label"), "degree"))
-    twice = both.agg(F.sum("weight")).first()[0] or 1.0
-    best, history = labels, [modularity(links, labels).first()[0] or 0.0]
-    for i in range(rounds):
-        totals = labels.groupBy("label").agg(F.sum("degree").alias("total"))
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id"), "label").agg(F.sum("weight").alias("inside"))
-        own = labels.select("id", "label", F.lit(0.0).alias("inside"))
-        options = near.union(own).groupBy("id", "label").agg(F.sum("inside").alias("inside")).join(totals, "label")
-        options = options.join(labels.select("id", F.col("label").alias("now"), "degree"), "id")
-        stays = F.col("label") == F.col("now")
-        gain = F.round(F.col("inside") - F.col("degree") * (F.col("total") - F.when(stays, F.col("degree")).otherwise(0.0)) / twice, 9)
-        # of equal gains staying is first, then the smallest label
-        chosen = options.groupBy("id").agg(F.min(F.struct((-gain).alias("g"), (~stays).alias("s"), "label"))["label"].alias("chosen"))
-        moves = F.xxhash64("id", F.lit(i)) % 2 == 0
-        labels = cut(labels.join(chosen, "id").select("id", F.when(moves, F.col("chosen")).otherwise(F.col("label")).alias("label"), "degree"))
-        history.append(modularity(links, labels).first()[0])
-        if history[-1] >= max(history):
-            best = labels
-        if i >= 3 and history[-1] <= max(history[:-4]) + 1e-9:
-            break
-    return best.select("id", "label"), history
-
-
-def louvain(links: DataFrame, levels: int = 2, rounds: int = 8) -> DataFrame:
-    """(id, level, label): communities by local moves, then of the graph of communities, while modularity rises."""
-    found, placed, graph_links, score = None, None, links, None
-    for level in range(levels):
-        labels, history = local_moves(graph_links, rounds)
-        if score is not None and max(history) <= score + 1e-9:
-            break
-        score = max(history)
-        placed = labels if placed is None else placed.select("id", F.col("label").alias("inner")).join(labels.select(F.col("id").alias("inner"), "label"), "inner").select("id", "label")
-        placed = cut(placed)
-        rows = placed.select("id", F.lit(level).alias("level"), "label")
-        found = rows if found is None else found.union(rows)
-        ends = links.join(placed.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(placed.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
-        # weights within a community stay with it, as a loop
-        graph_links = cut(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("weight")))
-    return found
-
-
-def modularity(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: the modularity of a labelling."""
-    of = labels.select(F.col("id").alias("b"), F.col("label").alias("label_b"))
-    placed = links.join(labels.select(F.col("id").alias("a"), "label"), "a").join(of, "b")
-    ends = placed.select("label", "weight").union(placed.select("label_b", "weight")).groupBy("label").agg(F.sum("weight").alias("degree"))
-    inner = placed.agg(F.sum(F.when(F.col("label") == F.col("label_b"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("m"))
-    squares = ends.agg(F.sum(F.col("degree") * F.col("degree")).alias("squares"))
-    return inner.join(squares).select((F.col("inside") / F.col("m") - F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
-
-
 def communities(members: DataFrame, min_size: int, shown: int = 2) -> DataFrame:
     """(community, size, name) of ``members`` (community, id, name): the first names and how many others."""
     order = Window.partitionBy("community").orderBy("name", "id")

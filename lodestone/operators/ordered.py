@@ -1,47 +1,46 @@
-"""Operators whose result depends on the order of rows: a fold by group, in Python.
-
-Each takes groups that are small by nature (a conversation's memories, a video's
-transcript, a client's requests) and sorts them itself. The long-lived form of the
-rate limiter is a stream with state, in :mod:`lodestone.streaming`.
+"""Operators whose result depends on the order of rows.
+
+Folds by key pass their rows in order through :func:`carried`: Spark deals the rows out by key
+and sorts them, and a task goes through them batch by batch with the state of the key it is at.
+So it holds a batch and one small state, however many rows a key has; a hot key takes long, as
+each of its rows waits for the one before, but never more memory. The long-lived forms are
+streams with state, in :mod:`lodestone.streaming`. Merging of similar rows is in
+:mod:`lodestone.operators.merging`.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections import OrderedDict, deque
+from collections.abc import Callable, Iterator
+from typing import Any
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def merge_similar(memories: DataFrame, group: str, threshold: float = 0.9) -> DataFrame:
-    """(group, id, primary_id, importance, access_count, merged): greedy merging of near-equal memories.
+def carried(rows: DataFrame, key: str, order: list[str], inputs: list[str], begin: Callable[[], Any], step: Callable, new: tuple[str, str, pa.DataType]) -> DataFrame:
+    """``rows`` with a new column: what ``step(state, *inputs)`` returns for each, by key in the given order.
 
-    ``memories`` has id, importance, accessed_at, access_count and embedding. In order of
-    importance, then last access, both descending, then id, each memory not yet absorbed
-    absorbs the later ones whose cosine with it is ``threshold`` or more.
+    ``begin`` makes the state of a key, which ``step`` changes in place. ``new``: name, Spark
+    type and Arrow type of the column. Null keys are one key; no rows give none.
     """
+    name, kind, arrow = new
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = (), None
+        for batch in batches:
+            out = []
+            for k, *values in zip(*(batch.column(c).to_pylist() for c in (key, *inputs)), strict=True):
+                if (k,) != now:
+                    now, state = (k,), begin()
+                out.append(step(state, *values))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*batch.schema.names, name])
 
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["importance", "accessed_at", "id"], ascending=[False, False, True], ignore_index=True)
-        rows = np.stack([np.asarray(v, np.float64) for v in part["embedding"]])
-        norm = np.linalg.norm(rows, axis=1, keepdims=True)
-        unit = np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-        primary = np.full(len(part), -1)
-        for i in range(len(part)):
-            if primary[i] < 0:
-                near = np.flatnonzero((unit[i:] @ unit[i] >= threshold) & (primary[i:] < 0)) + i
-                primary[near] = i
-                primary[i] = i
-        part["primary_id"] = part["id"].to_numpy()[primary]
-        grouped = part.groupby("primary_id").agg(importance=("importance", "max"), access_count=("access_count", "sum"), merged=("id", "size")).reset_index()
-        grouped.insert(0, "grp", part["grp"].iloc[0])
-        return grouped
-
-    chosen = memories.select(F.col(group).cast("string").alias("grp"), F.col("id").cast("long").alias("id"), F.col("importance").cast("double").alias("importance"), "accessed_at", F.col("access_count").cast("long").alias("access_count"), "embedding")
-    return chosen.groupBy("grp").applyInPandas(merge, "grp string, primary_id long, importance double, access_count long, merged long")
+    return dealt.mapInArrow(fold, StructType([*rows.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields]))
 
 
 def transcript_chunks(segments: DataFrame, group: str, seconds: float) -> DataFrame:
@@ -50,23 +49,19 @@ def transcript_chunks(segments: DataFrame, group: str, seconds: float) -> DataFr
     The first chunk starts at 0, each later one where the one before ended.
     """
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        out, texts, begin, end = [], [], 0.0, 0.0
-        for row in part.sort_values("start").itertuples():
-            texts.append(row.text)
-            end = row.start + row.duration
-            if end - begin >= seconds:
-                out.append((begin, end, " ".join(texts)))
-                texts, begin = [], end
-        if texts:
-            out.append((begin, end, " ".join(texts)))
-        frame = pd.DataFrame(out, columns=["start", "end", "text"]).astype({"text": object})
-        frame.insert(0, "chunk", np.arange(len(out)))
-        frame.insert(0, "grp", part["grp"].iloc[0])
-        return frame
+    def step(state: dict, start: float, duration: float) -> dict:
+        end = start + duration
+        placed = {"chunk": state["chunk"], "begin": state["begin"], "end": end}
+        if end - state["begin"] >= seconds:
+            state.update(chunk=state["chunk"] + 1, begin=end)
+        return placed
 
     chosen = segments.select(F.col(group).cast("string").alias("grp"), F.col("start").cast("double").alias("start"), F.col("duration").cast("double").alias("duration"), "text")
-    return chosen.groupBy("grp").applyInPandas(fold, "grp string, chunk int, start double, end double, text string")
+    kind = pa.struct([("chunk", pa.int32()), ("begin", pa.float64()), ("end", pa.float64())])
+    placed = carried(chosen, "grp", ["start"], ["start", "duration"], lambda: {"chunk": 0, "begin": 0.0}, step, ("place", "struct<chunk:int,begin:double,end:double>", kind))
+    said = F.array_sort(F.collect_list(F.struct("start", "text")))
+    chunks = placed.groupBy("grp", F.col("place.chunk").alias("chunk")).agg(F.min("place.begin").alias("start"), F.max(F.struct("start", "place.end"))["end"].alias("end"), F.array_join(F.transform(said, lambda x: x["text"]), " ").alias("text"))
+    return chunks.select("grp", "chunk", "start", "end", "text")
 
 
 def sliding_log(times: list[float], window: float, most: int) -> list[bool]:
@@ -82,50 +77,78 @@ def sliding_log(times: list[float], window: float, most: int) -> list[bool]:
     return out
 
 
-def sliding_limit(events: DataFrame, key: str, seconds: str, tie: str, window: float, most: int) -> DataFrame:
-    """(key, tie, allowed): the sliding-log rate limit of each key over all its events."""
+def _allowed(log: deque, t: float, window: float, most: int) -> bool:
+    while log and log[0] <= t - window:
+        log.popleft()
+    if len(log) >= most:
+        return False
+    log.append(t)
+    return True
 
-    def limit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["seconds", "tie"])
-        return pd.DataFrame({key: part["key"], tie: part["tie"], "allowed": sliding_log(part["seconds"].tolist(), window, most)})
 
-    chosen = events.select(F.col(key).cast("long").alias("key"), F.col(tie).cast("long").alias("tie"), F.col(seconds).cast("double").alias("seconds"))
-    return chosen.groupBy("key").applyInPandas(limit, f"{key} long, {tie} long, allowed boolean")
+def sliding_limit(events: DataFrame, key: str, seconds: str, tie: str, window: float, most: int) -> DataFrame:
+    """(key, tie, allowed): the sliding-log rate limit of each key over all its events.
+
+    The state of a key is the times of its last ``most`` allowed events at most.
+    """
+    chosen = events.select(F.col(key).cast("long").alias(key), F.col(tie).cast("long").alias(tie), F.col(seconds).cast("double").alias("seconds"))
+    judged = carried(chosen, key, ["seconds", tie], ["seconds"], deque, lambda log, t: _allowed(log, t, window, most), ("allowed", "boolean", pa.bool_()))
+    return judged.select(key, tie, "allowed")
 
 
 def circuit_breaker(events: DataFrame, key: str, seconds: str, tie: str, failed: str, failures: int = 3, pause: float = 30.0) -> DataFrame:
     """(key, tie, rejected): calls refused while the circuit is open, ``pause`` seconds after ``failures`` failures in a row."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["seconds", "tie"])
-        count, until, rejected = 0, float("-inf"), []
-        for t, bad in zip(part["seconds"], part["failed"], strict=True):
-            rejected.append(t < until)
-            if not rejected[-1]:
-                count = count + 1 if bad else 0
-                if count >= failures:
-                    count, until = 0, t + pause
-        return pd.DataFrame({key: part["key"], tie: part["tie"], "rejected": rejected})
+    def step(state: dict, t: float, bad: bool | None) -> bool:
+        if t < state["until"]:
+            return True
+        state["count"] = state["count"] + 1 if bad else 0
+        if state["count"] >= failures:
+            state.update(count=0, until=t + pause)
+        return False
 
-    chosen = events.select(F.col(key).cast("long").alias("key"), F.col(tie).cast("long").alias("tie"), F.col(seconds).cast("double").alias("seconds"), F.col(failed).alias("failed"))
-    return chosen.groupBy("key").applyInPandas(fold, f"{key} long, {tie} long, rejected boolean")
+    chosen = events.select(F.col(key).cast("long").alias(key), F.col(tie).cast("long").alias(tie), F.col(seconds).cast("double").alias("seconds"), F.col(failed).alias("failed"))
+    judged = carried(chosen, key, ["seconds", tie], ["seconds", "failed"], lambda: {"count": 0, "until": float("-inf")}, step, ("rejected", "boolean", pa.bool_()))
+    return judged.select(key, tie, "rejected")
 
 
 def greedy_parents(children: DataFrame, doc: str, target: int) -> DataFrame:
     """(doc, chunk_index, parent_index) of ``children`` (doc, chunk_index, tokens): parents take children while the sum is within ``target``."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("chunk_index")
-        parent, size, out = 0, 0, []
-        for n in part["tokens"]:
-            if size and size + n > target:
-                parent, size = parent + 1, 0
-            size += n
-            out.append(parent)
-        return pd.DataFrame({doc: part["doc"], "chunk_index": part["chunk_index"], "parent_index": out})
-
-    chosen = children.select(F.col(doc).cast("long").alias("doc"), F.col("chunk_index").cast("int").alias("chunk_index"), F.col("tokens").cast("long").alias("tokens"))
-    return chosen.groupBy("doc").applyInPandas(fold, f"{doc} long, chunk_index int, parent_index int")
+    def step(state: dict, n: int) -> int:
+        if state["size"] and state["size"] + n > target:
+            state.update(parent=state["parent"] + 1, size=0)
+        state["size"] += n
+        return state["parent"]
+
+    chosen = children.select(F.col(doc).cast("long").alias(doc), F.col("chunk_index").cast("int").alias("chunk_index"), F.col("tokens").cast("long").alias("tokens"))
+    placed = carried(chosen, doc, ["chunk_index"], ["tokens"], lambda: {"parent": 0, "size": 0}, step, ("parent_index", "int", pa.int32()))
+    return placed.select(doc, "chunk_index", "parent_index")
+
+
+def cache_replay(requests: DataFrame, cache: str, key: str, seconds: str, tie: str, size: int, ttl: float) -> DataFrame:
+    """(cache, tie, hit): whether each request finds its key in a cache of ``size`` entries that live ``ttl`` seconds.
+
+    A miss stores the key. A hit makes an entry the most recently used one but doesn't lengthen
+    its life; storing drops what has expired first, then the least recently used beyond
+    ``size``. The state is the cache itself, so it is bounded by ``size``.
+    """
+
+    def step(entries: OrderedDict, k: str | None, t: float) -> bool:
+        if (until := entries.get(k)) is not None and until > t:
+            entries.move_to_end(k)
+            return True
+        entries.pop(k, None)
+        for gone in [x for x, end in entries.items() if end <= t]:
+            del entries[gone]
+        entries[k] = t + ttl
+        while len(entries) > size:
+            entries.popitem(last=False)
+        return False
+
+    chosen = requests.select(F.col(cache).alias(cache), F.col(key).cast("string").alias("key"), F.col(tie).cast("long").alias(tie), F.col(seconds).cast("double").alias("seconds"))
+    judged = carried(chosen, cache, ["seconds", tie], ["key", "seconds"], OrderedDict, step, ("hit", "boolean", pa.bool_()))
+    return judged.select(cache, tie, "hit")
 
 
 def boundary_chunks(docs: DataFrame, doc: str, text: str, size: int = 512, overlap: int = 64) -> DataFrame:

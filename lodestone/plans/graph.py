@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph
+from lodestone.operators import community, graph
 from lodestone.plans.registry import query
 from lodestone.sources import table
 
@@ -231,4 +231,17 @@ def graph_label_propagation(spark, sf_dir):
 @query("graph_louvain")
 def graph_louvain(spark, sf_dir):
     """Communities of the trade by modularity, and communities of these."""
-    return graph.louvain(_trade(spark, sf_dir))
+    return community.louvain(_trade(spark, sf_dir))
+
+
+@query("graph_leiden")
+def graph_leiden(spark, sf_dir):
+    """Connected communities of the trade, refined before they are merged."""
+    return community.leiden(_trade(spark, sf_dir))
+
+
+@query("graph_hierarchy")
+def graph_hierarchy(spark, sf_dir):
+    """Nations as communities of their customers and suppliers, grouped by their trade, and groups of these."""
+    customers = table(spark, sf_dir, "customer").select(_id("C", "c_custkey").alias("id"), _id("N", "c_nationkey").alias("label"))
+    return community.hierarchy(_trade(spark, sf_dir), customers.union(table(spark, sf_dir, "supplier").select(_id("S", "s_suppkey"), _id("N", "s_nationkey"))))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring
-from lodestone.operators import ordered
+from lodestone.operators import merging, ordered
 from lodestone.plans.registry import query
 from lodestone.plans.telemetry import metrics
 from lodestone.plans.text import docs
@@ -87,28 +87,88 @@ def memory_access(spark, sf_dir):
     return rows.join(hits, F.col("id") == F.col("hit"), "left").select("id", (F.col("access_count") + F.when(F.col("hit").isNull(), 0).otherwise(1)).alias("access_count"))
 
 
-@query("memory_merge")
-def memory_merge(spark, sf_dir):
-    """Greedy merging of near-equal vectors within each label."""
-    vectors = table(spark, sf_dir, "embeddings").select(
+def _merged_sql(threshold: float) -> str:
+    return f"""
+WITH RECURSIVE m AS (SELECT CAST(label AS VARCHAR) AS grp, vec_id AS id, (vec_id % 10) / 10.0 AS importance, vec_id % 5 AS access_count, CAST(embedding AS DOUBLE[]) AS v,
+    row_number() OVER (PARTITION BY label ORDER BY vec_id % 10 DESC, vec_id % 7 DESC, vec_id) AS r FROM embeddings),
+s AS (SELECT b.grp, b.r, list(a.r) AS near FROM m a JOIN m b ON a.grp = b.grp AND a.r < b.r WHERE list_cosine_similarity(a.v, b.v) >= {threshold} GROUP BY 1, 2),
+n AS (SELECT grp, r, coalesce(near, []) AS near FROM m LEFT JOIN s USING (grp, r)),
+w AS (SELECT DISTINCT grp, 0::BIGINT AS r, []::BIGINT[] AS kept FROM m
+  UNION ALL SELECT w.grp, n.r, CASE WHEN len(list_intersect(kept, near)) = 0 THEN list_append(kept, n.r) ELSE kept END FROM w JOIN n ON n.grp = w.grp AND n.r = w.r + 1),
+l AS (SELECT grp, arg_max(kept, r) AS kept FROM w GROUP BY 1),
+p AS (SELECT m.*, coalesce(list_min(list_intersect(near, kept)), m.r) AS first FROM m JOIN n USING (grp, r) JOIN l USING (grp))
+SELECT p.grp, max(o.id) AS primary_id, CAST(max(p.importance) AS DOUBLE) AS importance, CAST(sum(p.access_count) AS BIGINT) AS access_count, count(*) AS merged
+FROM p JOIN m o ON o.grp = p.grp AND o.r = p.first GROUP BY p.grp, p.first"""
+
+
+def _label_memories(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(
         "label", F.col("vec_id").alias("id"), ((F.col("vec_id") % 10) / 10.0).alias("importance"), (F.col("vec_id") % 7).alias("accessed_at"), (F.col("vec_id") % 5).alias("access_count"), "embedding"
     )
-    return ordered.merge_similar(vectors, "label", 0.9)
 
 
-@query("rate_limit_sliding")
+@query("memory_merge", _merged_sql(0.9))
+def memory_merge(spark, sf_dir):
+    """Greedy merging of near-equal vectors within each label."""
+    return merging.merge_similar(_label_memories(spark, sf_dir), "label", 0.9)
+
+
+@query("memory_merge_related", _merged_sql(0.3))
+def memory_merge_related(spark, sf_dir):
+    """The same for vectors that are merely related, of which there are many."""
+    return merging.merge_similar(_label_memories(spark, sf_dir), "label", 0.3)
+
+
+_EVENTS = """e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM
+  (SELECT event_id, user_id, event_type = 'error' AS failed, CAST(epoch_us(ts) // 1000000 AS DOUBLE) AS sec FROM events))"""
+
+
+@query(
+    "rate_limit_sliding",
+    f"""
+WITH RECURSIVE {_EVENTS},
+w AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, []::DOUBLE[] AS log, false AS allowed FROM e
+  UNION ALL SELECT user_id, i, event_id, CASE WHEN len(live) < 3 THEN list_append(live, sec) ELSE live END, len(live) < 3 FROM
+    (SELECT e.*, list_filter(w.log, lambda x: x > e.sec - 86400) AS live FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1))
+SELECT user_id, event_id, allowed FROM w WHERE i > 0""",
+)
 def rate_limit_sliding(spark, sf_dir):
     """Three events in any trailing day are allowed to each user."""
     return ordered.sliding_limit(metrics(spark, sf_dir), "user_id", "sec", "event_id", 86400, 3)
 
 
-@query("circuit_breaker")
+@query(
+    "circuit_breaker",
+    f"""
+WITH RECURSIVE {_EVENTS},
+w AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0 AS bad, -1e300 AS until, false AS rejected FROM e
+  UNION ALL SELECT user_id, i, event_id, CASE WHEN refused THEN bad WHEN next >= 2 THEN 0 ELSE next END, CASE WHEN NOT refused AND next >= 2 THEN sec + 21600 ELSE until END, refused FROM
+    (SELECT e.*, w.bad, w.until, e.sec < w.until AS refused, CASE WHEN e.failed THEN w.bad + 1 ELSE 0 END AS next FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1))
+SELECT user_id, event_id, rejected FROM w WHERE i > 0""",
+)
 def circuit_breaker(spark, sf_dir):
     """Calls refused for six hours after two errors in a row of a user."""
     events = metrics(spark, sf_dir).withColumn("failed", F.col("strategy") == "error")
     return ordered.circuit_breaker(events, "user_id", "sec", "event_id", "failed", 2, 21600.0)
 
 
+@query(
+    "cache_lru",
+    """
+WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY cache ORDER BY sec, event_id) AS i FROM
+  (SELECT event_id, user_id % 5 AS cache, CAST(user_id AS VARCHAR) AS key, CAST(epoch_us(ts) // 1000000 AS DOUBLE) AS sec FROM events)),
+w AS (SELECT DISTINCT cache, 0::BIGINT AS i, NULL::BIGINT AS event_id, false AS hit, []::STRUCT(k VARCHAR, u DOUBLE)[] AS held FROM e
+  UNION ALL SELECT cache, i, event_id, len(own) > 0, CASE WHEN len(own) > 0 THEN list_concat(list_filter(held, lambda x: x.k <> key), own)
+      ELSE list_concat(list_filter(held, lambda x: x.k <> key AND x.u > sec), [{'k': key, 'u': sec + 86400}])[-10:] END FROM
+    (SELECT e.*, w.held, list_filter(w.held, lambda x: x.k = e.key AND x.u > e.sec) AS own FROM w JOIN e ON e.cache = w.cache AND e.i = w.i + 1))
+SELECT cache, event_id, hit FROM w WHERE i > 0""",
+)
+def cache_lru(spark, sf_dir):
+    """Which requests five caches of ten entries, each living a day, would have answered."""
+    requests = metrics(spark, sf_dir).withColumn("cache", F.col("user_id") % 5)
+    return ordered.cache_replay(requests, "cache", "user_id", "sec", "event_id", 10, 86400.0)
+
+
 @query("chunk_boundaries")
 def chunk_boundaries(spark, sf_dir):
     """Chunks of every document that end with a paragraph or sentence."""

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from lodestone.operators import graph, ordered, vector_search
+from lodestone.operators import community, graph, merging, ordered, vector_search
 
 
 def test_merge_similar_is_greedy_not_transitive(spark):
@@ -12,10 +12,85 @@ def test_merge_similar_is_greedy_not_transitive(spark):
     a, b, c = [1.0, 0.0], [float(np.cos(0.4)), float(np.sin(0.4))], [float(np.cos(0.8)), float(np.sin(0.8))]
     rows = [("g", 1, 0.9, 5, 1, a), ("g", 2, 0.5, 5, 2, b), ("g", 3, 0.4, 5, 3, c), ("h", 4, 0.1, 1, 1, a), ("g", 5, 0.9, 4, 9, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "ctx string, id long, importance double, accessed_at int, access_count int, embedding array<double>")
-    got = {(r["grp"], r["primary_id"]): (r["importance"], r["access_count"], r["merged"]) for r in ordered.merge_similar(df, "ctx", 0.9).collect()}
+    got = {(r["grp"], r["primary_id"]): (r["importance"], r["access_count"], r["merged"]) for r in merging.merge_similar(df, "ctx", 0.9).collect()}
     assert got == {("g", 1): (0.9, 3, 2), ("g", 3): (0.4, 3, 1), ("h", 4): (0.1, 1, 1), ("g", 5): (0.9, 9, 1)}
 
 
+def greedy(rows, threshold):
+    """The fold itself: (id, importance, accessed, vector) of one group."""
+    rows = sorted(rows, key=lambda r: (-r[1], -r[2], r[0]))
+    unit = [None if r[3] is None or not any(r[3]) else np.array(r[3]) / np.linalg.norm(r[3]) for r in rows]
+    primary = {}
+    for i, r in enumerate(rows):
+        if r[0] not in primary:
+            primary[r[0]] = r[0]
+            if unit[i] is not None:
+                for j in range(i + 1, len(rows)):
+                    if rows[j][0] not in primary and unit[j] is not None and unit[i] @ unit[j] >= threshold:
+                        primary[rows[j][0]] = r[0]
+    return primary
+
+
+def test_primaries_equal_the_fold(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in ("x", "y", None):
+        angles = rng.uniform(0, 6, 60)  # dense on a circle: long chains of similar rows
+        rows += [(g, len(rows) + i, float(rng.integers(0, 4)), int(rng.integers(0, 3)), [float(np.cos(a)), float(np.sin(a)), 0.0]) for i, a in enumerate(angles)]
+    rows += [("x", 1000 + i, 1.0, 0, rows[i % 3][4]) for i in range(40)] + [("x", 2000, 9.0, 9, None), ("x", 2001, 9.0, 9, [0.0] * 3), ("y", 2002, 9.0, 9, None)]
+    df = spark.createDataFrame(rows, "ctx string, id long, importance double, accessed_at int, embedding array<double>")
+    expect = {}
+    for g in ("x", "y", None):
+        expect |= greedy([r[1:] for r in rows if r[0] == g], 0.9)
+    for block in (4096, 13):
+        got = merging.primaries(df, "ctx", 0.9, block).collect()
+        assert {r["id"]: r["primary_id"] for r in got} == expect and len(got) == len(rows)
+    assert merging.primaries(df.limit(0), "ctx").count() == 0
+
+
+def test_merged_metadata(spark):
+    rows = [("g", 1, 0.9, 5, 1, [1.0, 0.0], {"a": "1"}), ("g", 2, 0.5, 5, 2, [1.0, 0.1], {"a": "2", "b": "2"}), ("g", 3, 0.4, 5, 3, [1.0, 0.0], {"b": "3", "c": "3"}), ("g", 4, 0.4, 5, 3, [0.0, 1.0], None)]
+    df = spark.createDataFrame(rows, "ctx string, id long, importance double, accessed_at int, access_count int, embedding array<double>, meta map<string,string>")
+    got = {r["primary_id"]: (r["merged"], r["metadata"]) for r in merging.merge_similar(df, "ctx", 0.9, "meta").collect()}
+    assert got == {1: (3, {"a": "1", "b": "2", "c": "3"}), 4: (1, None)}
+
+
+def test_cache_replay_equals_a_cache(spark):
+    from collections import OrderedDict
+
+    rnd = random.Random(3)
+    rows = [(c, i, rnd.choice("abcdefgh"), float(rnd.randint(0, 60))) for c in (1, 2, None) for i in range(120)]
+    expect = {}
+    for c in (1, 2, None):
+        held = OrderedDict()
+        for _, i, k, t in sorted((r for r in rows if r[0] == c), key=lambda r: (r[3], r[1])):
+            if k in held and held[k] <= t:
+                held.pop(k)
+            expect[c, i] = k in held
+            if k not in held:
+                held[k] = t + 9
+                for gone in [x for x, u in held.items() if u <= t]:
+                    held.pop(gone)
+            held.move_to_end(k)
+            while len(held) > 4:
+                held.popitem(last=False)
+    df = spark.createDataFrame(rows, "c long, i long, k string, t double")
+    assert {(r["c"], r["i"]): r["hit"] for r in ordered.cache_replay(df, "c", "k", "t", "i", 4, 9.0).collect()} == expect
+    assert 50 < sum(expect.values()) < 300
+
+
+def test_state_is_carried_over_batches(spark):
+    import pyarrow as pa
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.range(500).selectExpr("IF(id % 5 = 4, NULL, id % 5) AS k", "id")
+        got = ordered.carried(df, "k", ["id"], ["id"], list, lambda s, i: s.append(i) or len(s), ("n", "long", pa.int64())).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(r["n"] == r["id"] // 5 + 1 for r in got) and len(got) == 500
+
+
 def test_transcript_chunks(spark):
     rows = [("v", 1.0, 4.0, "a"), ("v", 5.0, 6.0, "b"), ("v", 11.0, 3.0, "c"), ("w", 0.0, 30.0, "d")]
     df = spark.createDataFrame(rows, "video string, start double, duration double, text string")
@@ -64,7 +139,7 @@ def test_label_propagation_finds_cliques(spark):
     labels = graph.label_propagation(links, 5)
     found = {r["id"]: r["label"] for r in labels.collect()}
     assert len({found[f"a{i}"] for i in range(5)}) == len({found[f"b{i}"] for i in range(5)}) == 1 and len(set(found.values())) == 2
-    assert graph.modularity(links, labels).first()["modularity"] > 0.4
+    assert community.modularity(links, labels).first()["modularity"] > 0.4
 
 
 def test_blocks_of_vectors_do_not_change_the_result(spark, monkeypatch):

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import keyed, markup
-from lodestone.operators import chunking, code, evidence, graph, multi_vector
+from lodestone.operators import chunking, code, community, evidence, graph, multi_vector
 from lodestone.streaming import jobs
 
 
@@ -70,12 +70,12 @@ def cliques(seed=3, groups=4, size=6):
 def test_communities_by_modularity(spark):
     names, links = cliques()
     rows = spark.createDataFrame(links, "a string, b string, weight double")
-    labels, history = graph.local_moves(rows, 12)
-    assert max(history) > history[0] and abs(graph.modularity(rows, labels).first()[0] - max(history)) < 1e-9
-    levels = graph.louvain(rows, levels=3, rounds=12).collect()
+    labels, history = community.local_moves(rows, 12)
+    assert max(history) > history[0] and abs(community.modularity(rows, labels).first()[0] - max(history)) < 1e-9
+    levels = community.louvain(rows, levels=3, rounds=12).collect()
     top = max(r["level"] for r in levels)
     found = {r["id"]: r["label"] for r in levels if r["level"] == top}
-    assert graph.modularity(rows, spark.createDataFrame(list(found.items()), "id string, label string")).first()[0] > 0.6
+    assert community.modularity(rows, spark.createDataFrame(list(found.items()), "id string, label string")).first()[0] > 0.6
     assert all(len({found[x] for x in own}) == 1 for own in names) and len(set(found.values())) == len(names)
 
 
