@@ -61,7 +61,8 @@ def classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", tex
     """
     sample = labelled.select(F.col("doc_id").alias("__id"), F.col("domain").cast("double").alias("label")).dropna().dropDuplicates(["__id"])
     sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(MAX_LABELLED)
-    training = _words(docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select(F.col(text_col), "label"), text_col)
+    own = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__raw"))
+    training = _words(own.join(F.broadcast(sample), own["__doc"] == sample["__id"]).select("__raw", "label"), "__raw")
     tokens = Tokenizer(inputCol="__text", outputCol="__words")
     scratch = Scratch(docs.sparkSession, "mixing")
     prepared = scratch.keep(tokens.transform(training).select("label", "__words"), "training")

@@ -236,15 +236,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     labelled = scratch.keep(grouped.join(least, "component").select("fp", "component_id"), "labelled")
     return rows.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_per_group(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that lead their group, one per group.
-
-    The row whose id is its group's smallest stays; of repeated rows of that id, one.
-    Rows with a null id stay only if nothing in their group has an id, one per text.
-    """
-    lead = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__lead")).distinct()
-    kept = docs.join(lead, docs[id_col] == lead["__lead"], "left_semi").dropDuplicates([id_col])
-    nameless = groups.where(F.col("component_id").isNull()).limit(1)
-    return kept if nameless.isEmpty() else kept.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates())

@@ -68,6 +68,28 @@ def test_empty_table_and_long_ids(spark, tmp_path):
     assert sorted(map(str, (r["doc_id"] for r in corpus_pipeline.run(spark, some).collect()))) == sorted(map(str, ids))
 
 
+def test_ids_are_not_rows_and_names_clash(spark, tmp_path):
+    """Repeated ids of different texts, null ids, and columns that stages use themselves."""
+    folder, rnd = str(tmp_path), random.Random(2)
+    text = lambda: "\n".join(" ".join("".join(rnd.choice("abcdefghijklm") for _ in range(6)) for _ in range(12)) for _ in range(4))
+    one, two, three, four, five = (text() for _ in range(5))
+    rows = [(1, one), (5, one + " "), (5, two), (5, two), (None, one), (None, three), (None, three + " "), (None, four), (7, five), (6, five)]
+    extra = [(d, t, "en", "s", len(t), float(i), f"k{i}", i, "x", "y") for i, (d, t) in enumerate(rows)]
+    spark.createDataFrame(extra, COLUMNS + ", label double, __id string, text_key long, component_id string, `group` string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (5, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = corpus_pipeline.table(spark, folder, "documents")
+    kept = corpus_pipeline.near_dedup(spark, docs, folder)
+    assert kept.columns == docs.columns
+    found = sorted((str(r["doc_id"]), r["text"].strip()) for r in kept.collect())
+    assert found == sorted([("1", one), ("5", two), ("None", three), ("None", four), ("6", five)])
+    mixed = corpus_pipeline.mix_sources(spark, docs, folder)
+    assert mixed.columns == docs.columns and mixed.count() == len(rows)
+    # lines that others hold go before, so of each text one row is left for the later stages
+    out = corpus_pipeline.run(spark, folder).collect()
+    hashes = [hashlib.sha256(t.encode()).hexdigest() for t in (one, two, three, four, five)]
+    assert sorted(r["decoded_sha256"] for r in out) == sorted(hashes)
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "encode"]
     assert lines.MIN_WORDS == 5 and bpe.LEXICON_WORDS <= 1 << 16
