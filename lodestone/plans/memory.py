@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring
-from lodestone.operators import merging, ordered
+from lodestone.operators import delivery, merging, ordered
 from lodestone.plans.registry import query
 from lodestone.plans.telemetry import metrics
 from lodestone.plans.text import docs
@@ -152,6 +152,31 @@ def circuit_breaker(spark, sf_dir):
     return ordered.circuit_breaker(events, "user_id", "sec", "event_id", "failed", 2, 21600.0)
 
 
+@query(
+    "task_deliveries",
+    """
+WITH RECURSIVE m AS (SELECT event_id, user_id, CASE event_type WHEN 'signup' THEN 'ack' ELSE event_type END AS kind, CAST(epoch_us(ts) // 1000000 AS DOUBLE) AS sec FROM events),
+a AS (SELECT user_id, event_id, kind, sec FROM m WHERE sec <= 1706400000 UNION ALL SELECT DISTINCT user_id, 9223372036854775807, 'end', 1706400000 FROM m WHERE sec <= 1706400000),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM a),
+w AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::DOUBLE AS opened, 0 AS attempt, NULL::DOUBLE AS due, []::STRUCT(t DOUBLE, status VARCHAR, attempt INT)[] AS found FROM e
+  UNION ALL
+  SELECT user_id, i, CASE WHEN kind = 'end' OR opened IS NOT NULL AND NOT (kind = 'ack' OR fails) THEN opened WHEN opened IS NULL THEN sec END,
+    CASE WHEN opened IS NULL AND kind <> 'end' THEN 0 ELSE attempt END, CASE WHEN opened IS NULL OR kind = 'ack' THEN NULL WHEN waits THEN sec + 14400 * pow(2, attempt) ELSE due END,
+    list_concat(found, CASE WHEN kind = 'end' THEN [] WHEN opened IS NULL THEN [{'t': sec, 'status': 'delivered', 'attempt': 0}] WHEN kind = 'ack' THEN [{'t': sec, 'status': 'completed', 'attempt': attempt}]
+      WHEN fails THEN [{'t': sec, 'status': 'failed', 'attempt': attempt}] WHEN waits THEN [{'t': sec, 'status': 'waiting', 'attempt': attempt}] ELSE [] END)
+  FROM (SELECT *, kind = 'error' AND due IS NULL AND opened IS NOT NULL AND attempt >= 2 AS fails, kind = 'error' AND due IS NULL AND opened IS NOT NULL AND attempt < 2 AS waits FROM
+    (SELECT user_id, i, kind, sec, CASE WHEN ends THEN NULL ELSE opened END AS opened, attempt + again::INT AS attempt, CASE WHEN ends OR again THEN NULL ELSE due END AS due,
+        list_concat(CASE WHEN again THEN [{'t': due, 'status': 'retry', 'attempt': attempt + 1}] ELSE [] END, CASE WHEN ends THEN [{'t': opened + 86400, 'status': 'expired', 'attempt': attempt + again::INT}] ELSE [] END) AS found
+      FROM (SELECT e.user_id, e.i, e.kind, e.sec, w.opened, w.attempt, w.due, coalesce(w.opened + 86400 <= e.sec, false) AS ends, coalesce(w.due <= e.sec AND w.due < w.opened + 86400, false) AS again
+        FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1))))
+SELECT user_id, x.t AS at, x.status, x.attempt FROM (SELECT user_id, unnest(found) AS x FROM w)""",
+)
+def task_deliveries(spark, sf_dir):
+    """What becomes of each user's task: two retries four and eight hours after an error, a day to live, up to a date."""
+    events = metrics(spark, sf_dir).withColumn("kind", F.when(F.col("strategy") == "signup", "ack").otherwise(F.col("strategy")))
+    return delivery.delivered(events, "user_id", "sec", "event_id", "kind", delivery.Rules(2, 14400.0, 86400.0), 1706400000.0)
+
+
 @query(
     "cache_lru",
     """

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from lodestone.operators.delivery import Entry, Rules, advance, happen
 from lodestone.operators.ordered import sliding_log
 
 
@@ -48,6 +49,36 @@ def sliding_limit(events: DataFrame, key: str, seconds: str, tie: str, window: f
     return chosen.groupBy("key").applyInPandasWithState(limit, f"{key} long, {tie} long, allowed boolean", "log array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def deliveries(events: DataFrame, ts: str, key: str, tie: str, kind: str, rules: Rules, late: str = "0 seconds") -> DataFrame:
+    """(key, at, status, attempt): the transitions of :mod:`lodestone.operators.delivery` as they happen.
+
+    The open entry of a key is its state; its next timer is a timeout on event time, which
+    fires once the watermark has passed it, so a key of which nothing more is heard still has
+    its retry and its expiry. A restarted query goes on from the state of its checkpoint. Equal
+    to the batch form up to the last watermark if each key's events arrive in order of time.
+    """
+
+    def act(found_key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        entry = Entry(*state.get) if state.exists else Entry()
+        mark = state.getCurrentWatermarkMs() / 1000
+        out = []
+        if not state.hasTimedOut:
+            for row in pd.concat(list(parts)).sort_values(["seconds", "tie"]).itertuples():
+                out += happen(entry, row.seconds, row.kind or "", rules)
+        out += advance(entry, mark, rules)
+        timer = entry.next_timer(rules)
+        if timer is None:
+            state.remove()
+        else:
+            state.update((entry.opened, entry.attempt, entry.due))
+            state.setTimeoutTimestamp(max(int(timer * 1000), int(mark * 1000) + 1))
+        yield pd.DataFrame({key: [found_key[0]] * len(out), "at": [x[0] for x in out], "status": [x[1] for x in out], "attempt": [x[2] for x in out]}).astype({"status": object})
+
+    seconds = (F.unix_micros(F.col(ts)) / 1000000).alias("seconds")
+    chosen = events.withWatermark(ts, late).select(F.col(key).cast("long").alias("key"), ts, seconds, F.col(tie).cast("long").alias("tie"), F.col(kind).cast("string").alias("kind"))
+    return chosen.groupBy("key").applyInPandasWithState(act, f"{key} long, at double, status string, attempt int", "opened double, attempt int, due double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def ingest_once(stream: DataFrame, folder: str, checkpoint: str, key: str):
     """Start a query that appends rows whose key the folder hasn't yet.
 
