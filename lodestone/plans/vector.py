@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lodestone.operators import vector_search
+from lodestone.operators import vector_index, vector_search
+from lodestone.operators.graph import shared_folder
 from lodestone.plans.registry import query
 from lodestone.sources import table
 
@@ -35,6 +38,15 @@ def vec_topk(spark, sf_dir):
     return _search(spark, sf_dir, 8, 0.1)
 
 
+@query("vec_index_search", _ranked(8, 0.1))
+def vec_index_search(spark, sf_dir):
+    """The same out of an index on disk, built of most vectors, with the others appended, and all of its lists probed."""
+    vectors, folder = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    vector_index.create(vectors.where("vec_id % 5 <> 0"), "vec_id", "embedding", folder, lists=16)
+    vector_index.append(vectors.where("vec_id % 5 = 0"), "vec_id", "embedding", folder)
+    return vector_index.search(vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", folder, 16, 8, 0.1)
+
+
 @query("vec_topk_level", _ranked(5, 0.0, "AND q.vec_id % 4 = c.vec_id % 4"))
 def vec_topk_level(spark, sf_dir):
     """The same among vectors of the query's level."""
