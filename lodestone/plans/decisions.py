@@ -124,6 +124,7 @@ def lazy_confidence(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(confidence + 1e-9, 2).alias("confidence"))
 
 
+# Phrases of an answer and the confidence that each stands for.
 _PHRASES = [(("high confidence", "confident"), 0.8), (("medium confidence", "moderate"), 0.6), (("low confidence", "uncertain"), 0.4), (("insufficient", "not enough"), 0.3)]
 _SAID = ("With high confidence", "A moderate view", "It is uncertain", "Not enough is known", "Nothing on that")
 
@@ -144,6 +145,7 @@ def synthesis_confidence(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(F.least(F.lit(1.0), raised) + 1e-9, 2).alias("confidence"))
 
 
+# The steps of a plan.
 _STEPS = ("Understand the question intent", "Select retrieval strategy", "Gather evidence", "Synthesize response")
 
 
