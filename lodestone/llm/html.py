@@ -39,7 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 #: Elements that are never main text.
-DROP = frozenset("nav footer aside form script style noscript template head title iframe object embed svg canvas math audio video button select textarea input label dialog menu noembed noframes xmp".split())
+DROP = frozenset("nav footer aside form script style noscript template head title iframe object embed svg canvas audio video button select textarea input label dialog menu noembed noframes xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 #: Words of class names and ids that tell what an element is for.
 HINTS = frozenset(
@@ -47,6 +47,8 @@ HINTS = frozenset(
     " sidebar sidenav nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar footer masthead header"
     " comment comments disqus replies respond share sharing social related recommended newsletter subscribe signup login search skip widget".split()
 )
+#: Words of names that say only where an element stands or that it holds something.
+PARTS = frozenset("area bar block box button buttons column container content form group icons inner item items link links list panel post posts article articles row section slot text unit wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CLOSES_P = BLOCK - {"body", "html", "option", "optgroup"}
 #: A start tag ends an open element of these tags, up to a boundary.
@@ -67,14 +69,13 @@ class Element:
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes, self.children, self.key = tag, attributes, [], None
 
-    def hints(self) -> tuple[set[str], str]:
-        """(words of class and id, role)"""
+    def named(self) -> tuple[list[str], list[str], str, bool]:
+        """(classes, ids, role, whether it is hidden), names in lower case with words apart"""
         if not self.attributes:
-            return set(), ""
+            return [], [], "", False
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(self.attributes)}
-        named = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower()
-        hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        return set(_HINT.findall(named)) | ({"ad"} if hidden else set()), found.get("role", "").lower()
+        classes, ids = (re.sub(r"([a-z])([A-Z])", r"\1-\2", found.get(k, "")).lower().split() for k in ("class", "id"))
+        return classes, ids, found.get("role", "").lower(), "hidden" in found or found.get("aria-hidden", "").lower() == "true"
 
 
 def parse(html: str) -> Element:
@@ -134,6 +135,36 @@ def parse(html: str) -> Element:
     return root
 
 
+def _purpose(e: Element, in_article: bool) -> set[str]:
+    """The hints in the names of an element.
+
+    Prose (paragraphs, headings, lists, tables) is told by classes made of hints alone.
+    Other elements of an article are told by names that end in a hint or are made of
+    hints and parts ("share-box", not "share-price"), sections by such classes and by
+    ids of others' text, as ids of sections follow their headings. Elsewhere any word counts.
+    """
+    classes, ids, _, _ = e.named()
+    prose = e.tag in _PROSE
+    if prose:
+        ids = []
+    elif in_article and e.tag == "section":
+        ids = [i for i in ids if i in _OTHERS]
+    found: set[str] = set()
+    for name in classes + ids:
+        words = _HINT.findall(name)
+        hints = HINTS.intersection(words)
+        if prose:
+            told = all(w in HINTS or w.isdigit() for w in words)
+        elif in_article:
+            whole = words[-1:] and words[-1] in HINTS
+            told = not name.startswith(("has-", "with-", "no-")) and (whole or all(w in HINTS or w in PARTS or w.isdigit() for w in words))
+        else:
+            told = True
+        if told:
+            found |= hints
+    return found - _TOPS if prose and in_article else found
+
+
 def _unwanted(e: Element, in_article: bool, holders: set[int]) -> bool:
     """By tag, role or class; never what holds an article. A header inside the article is left to :func:`_pruned`."""
     if id(e) in holders:
@@ -142,10 +173,12 @@ def _unwanted(e: Element, in_article: bool, holders: set[int]) -> bool:
         return True
     if e.tag in ("html", "body", "main", "#root") or not e.attributes:
         return False
-    words, role = e.hints()
-    return role in ROLES or bool(words & HINTS)
+    _, _, role, hidden = e.named()
+    return hidden or role in ROLES or bool(_purpose(e, in_article) - (_TOPS if in_article else set()))
 
 
+#: Of what these name within an article the headings stay.
+_TOPS = frozenset({"header", "masthead"})
 #: An article in one of these is not the page's.
 _ASIDES = frozenset("aside footer nav form dialog template noscript".split())
 #: Words of classes whose articles are readers' or other pages'.
@@ -195,7 +228,7 @@ def _pruned(root: Element) -> Element:
                 if _unwanted(c, inside, holders):
                     kept.append(" " if c.tag not in BLOCK else Element("hr"))
                     continue
-                if c.tag == "header":  # of an article: its headings are text
+                if c.tag == "header" or (inside and id(c) not in holders and c.attributes and _purpose(c, True)):  # its headings are text
                     c.children = _headings(c)
                 stack.append((c, inside))
             kept.append(c)
@@ -340,18 +373,12 @@ def host_of(url):
 
 
 def page_keys(html: str) -> tuple[int, list[int], list[int]]:
-    """(hash of the longest block of the article, keys of candidate subtrees, keys of prose at the article's edges)."""
+    """(hash of the longest block of the article, keys of candidate subtrees, keys of the article's prose)."""
     import xxhash
 
     articles, candidates, prose = read(html)
     longest = max(blocks(articles), key=lambda b: (len(b), b), default="")
-    # only runs at the edges can go; each page sends a bounded number of either
-    edge = [e.key for e in prose[:EDGE]] + [e.key for e in prose[-EDGE:]]
-    return xxhash.xxh3_64_intdigest(longest.encode("utf-8", "surrogatepass")) - (1 << 63), sorted({e.key for e in candidates}), sorted(set(edge))
-
-
-#: Prose elements from either end of an article that may be template.
-EDGE = 8
+    return xxhash.xxh3_64_intdigest(longest.encode("utf-8", "surrogatepass")) - (1 << 63), sorted({e.key for e in candidates}), sorted({e.key for e in prose})
 
 
 def subtree_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -363,7 +390,7 @@ def subtree_hashes(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 
 def templates(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (host, key, prose), written: subtrees in more different pages of the host than the limits; ``prose``: at edges only."""
+    """Rows (host, key, prose), written: subtrees in more different pages of the host than the limits; ``prose``: goes at edges only."""
     found = scratch.keep(subtree_hashes(pages, url_col, html_col), "hashes")
     totals = found.groupBy("host").agg(F.countDistinct("page").alias("total"))
     seen = [found.select("host", "page", F.explode(c).alias("key"), F.lit(c == "prose").alias("prose")) for c in ("keys", "prose")]
@@ -375,8 +402,7 @@ def templates(pages: DataFrame, scratch: Scratch, url_col: str = "url", html_col
 def _without(html: str, is_template: Callable[[int], bool], is_prose: Callable[[int], bool]) -> str:
     articles, candidates, prose = read(html)
     dropped = {id(e) for e in candidates if is_template(e.key)}
-    edge = {id(e) for e in prose[:EDGE] + prose[-EDGE:]}
-    return "\n".join(blocks(articles, dropped | (_peeled(prose, is_prose) & edge)))
+    return "\n".join(blocks(articles, dropped | _peeled(prose, is_prose)))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:

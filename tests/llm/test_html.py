@@ -31,6 +31,10 @@ def text(page):
         ("<article class='post share-enabled'><p>Hello</p></article>", "Hello"),
         ("<section id='advertisement-law'><article><p>On adverts</p></article></section>", "On adverts"),
         ("<article><p>a</p></article><div class='comments'><article><p>first!</p></article></div>", "a"),
+        ("<article><p>a</p><p class='share-price'>b</p><p class=header-note>c</p><section id=related-work><h2 id=search>d</h2>e</section><div class='search-algorithms'>f</div>g <math><mi>x</mi></math></article>", "a\nb\nc\nd\ne\nf\ng x"),
+        ("<article><table class='header'><tr class=header><th class='header'>t</table><div class=section-header><h2>H</h2>by X</div><ul><li id=login>l</ul><section id=notices>n</section></article>", "t\nH\nl\nn"),
+        ("<article>a<div class='cookie-banner'>1</div><div class=relatedPosts>2</div><p class='ad'>3</p><p class='cookie-notice'>4</p><section id=comments>5</section><div class='post-comments'>6</div><div class=social-links>7</div><ul class=pagination><li>8</ul><section class=newsletter>9</section><p role=alert>10</p></article>", "a"),
+        ("<div class='top-nav-container'>menu</div><p class='search-result'>a</p><div id=site-footer-inner>f</div>", "a"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ],
 )
@@ -83,7 +87,7 @@ def brute(rows):
         articles, candidates, prose = html.read(page or "")
         gone = {id(e) for e in candidates if (host, e.key, False) in template}
         for run in (prose, prose[::-1]):
-            for e in run[: html.EDGE]:
+            for e in run:
                 if (host, e.key, True) not in template:
                     break
                 gone.add(id(e))
@@ -128,3 +132,10 @@ def test_long_page_is_linear_and_empty_table(spark):
     for page in ("<p>" * 100_000, "<" * 200_000, "<a b='" * 5_000, "</p>" * 100_000, "&" * 200_000, "<!--" * 50_000, "<div>" * 100_000 + "<article>x"):
         text(page)
     assert html.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_runs_of_template_go(spark):
+    shared = [f"<p>Clause {i} of our terms of use.</p>" for i in range(30)]
+    rows = [(i, "http://h.example/", f"<article><p>text of page {i} alone, which says more than any clause</p>{''.join(shared)}</article>", "") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"text of page {i} alone, which says more than any clause" for i in range(12)}
