@@ -54,13 +54,21 @@ def imports(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(found).alias("module"))
 
 
-def calls(files: DataFrame, table: DataFrame) -> DataFrame:
-    """(path, name, target): names called in a file that the symbol table has; the target is the first definition."""
+def called(files: DataFrame) -> DataFrame:
+    """(path, name): what looks like a call in a file, once each."""
     lines = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"^\s*(def|class|async def|function)\b"))
     names = F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(r"([A-Za-z_]\w*)\s*\("), 1)
-    called = files.select("path", F.explode(F.array_distinct(F.array_except(names, F.array(*map(F.lit, NOT_CALLS))))).alias("name"))
-    first = table.groupBy("name").agg(F.min(F.struct("path", "first_line", "qualified")).alias("d")).select("name", F.concat_ws(":", "d.path", "d.qualified").alias("target"))
-    return called.join(first, "name").select("path", "name", "target")
+    return files.select("path", F.explode(F.array_distinct(F.array_except(names, F.array(*map(F.lit, NOT_CALLS))))).alias("name"))
+
+
+def definitions(table: DataFrame) -> DataFrame:
+    """(name, target): the first place that defines each name."""
+    return table.groupBy("name").agg(F.min(F.struct("path", "first_line", "qualified")).alias("d")).select("name", F.concat_ws(":", "d.path", "d.qualified").alias("target"))
+
+
+def calls(files: DataFrame, table: DataFrame) -> DataFrame:
+    """(path, name, target): names called in a file that the symbol table has; the target is the first definition."""
+    return called(files).join(definitions(table), "name").select("path", "name", "target")
 
 
 def symbol_checks(references: DataFrame, table: DataFrame) -> DataFrame:
