@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lodestone.operators import code
+from lodestone.operators import code, code_index
+from lodestone.operators.graph import shared_folder
 from lodestone.plans.registry import query
-from lodestone.sources import table
+from lodestone.sources import files as files_of
+from lodestone.sources import ignore, table
 
 _TEXT = """'import os' || chr(10) || 'from m' || p_size || '.util import helper' || chr(10) || chr(10) || 'class Thing' || p_partkey || ':' || chr(10) || '    def run(self):' || chr(10)
   || '        return helper(self, build_' || (p_partkey + 1) || '())' || chr(10) || chr(10) || '@router.' || ['get', 'post', 'delete'][CAST(1 + p_partkey % 3 AS INT)] || '("/parts/' || p_size || '/{id}")' || chr(10)
@@ -144,3 +148,60 @@ def code_file_chunks(spark, sf_dir):
     text = F.array_join(F.expr("slice(split(text, '\n'), line, upto - line + 1)"), "\n")
     chunks = spans.select("path", F.col("name").alias("qualified"), F.lit(0).alias("part"), text.alias("content"))
     return code.or_whole_files(some.union(plain), chunks).select("path", "qualified", "content")
+
+
+def edited(spark, sf_dir):
+    """The files after a round of work: some are gone, some have moved, some define or call other names."""
+    k = F.regexp_extract("path", r"f(\d+)\.py$", 1).cast("long")
+    renamed = F.when(k % 7 == 0, F.replace("text", F.lit("def build_"), F.lit("def make_"))).otherwise(F.col("text"))
+    called = F.when(k % 5 == 0, F.concat(renamed, F.lit("run()\n"))).otherwise(renamed)
+    path = F.when(k % 13 == 0, F.concat(F.lit("lib/f"), k, F.lit(".py"))).otherwise(F.col("path"))
+    return files(spark, sf_dir).where(k % 11 != 0).select(path.alias("path"), called.alias("text"))
+
+
+_EDITED = f"""g AS (SELECT 'src/m' || p_size || '/f' || p_partkey || '.py' AS path, {_TEXT} AS text, p_partkey AS k FROM part),
+f AS (SELECT CASE WHEN k % 13 = 0 THEN 'lib/f' || k || '.py' ELSE path END AS path,
+  CASE WHEN k % 7 = 0 THEN replace(text, 'def build_', 'def make_') ELSE text END || CASE WHEN k % 5 = 0 THEN 'run()' || chr(10) ELSE '' END AS text FROM g WHERE k % 11 <> 0)"""
+
+
+@query(
+    "code_index_edges",
+    f"""
+WITH {_SYMBOLS.replace(_FILES, _EDITED)},
+d AS (SELECT name, path || ':' || CASE kind WHEN 'method' THEN 'Thing' || regexp_extract(path, 'f(\\d+)\\.py$', 1) || '.' ELSE '' END || name AS target FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, line) AS r FROM s WHERE name <> '') WHERE r = 1),
+c AS (SELECT DISTINCT path, unnest(regexp_extract_all(code, '([A-Za-z_]\\w*)\\s*\\(', 1)) AS name FROM l WHERE NOT regexp_matches(code, '^\\s*(def|class|async def|function)\\b'))
+SELECT c.path, c.name, target FROM c JOIN d ON d.name = c.name""",
+)
+def code_index_edges(spark, sf_dir):
+    """Calls out of an index that was made of the files and then brought to their edited state by what changed."""
+    folder = f"{shared_folder(spark)}/code-{uuid.uuid4().hex}"
+    code_index.create(spark, folder)
+    code_index.update(files(spark, sf_dir), folder)
+    code_index.update(edited(spark, sf_dir), folder)
+    return code_index.edges(spark, folder)
+
+
+# The ignore files of five repositories.
+_IGNORE = (
+    "# all but one folder of that name\nm8/\nm7\n!/src/m7\n",
+    "*.py\n!f1*.py\n",
+    "/src/m1*/\n!/src/m11/f2*.py\n",
+    "src/**/f?0.py\nf[!0-5]*.py\n",
+    "**/m2?/**\n\\#none\nm3\\?\n",
+)
+
+
+@query(
+    "code_scanned",
+    r"""
+WITH f AS (SELECT p_partkey % 5 AS repo, p_size AS m, CAST(p_partkey AS VARCHAR) AS k FROM part)
+SELECT repo, 'src/m' || m || '/f' || k || '.py' AS path, 'python' AS language FROM f WHERE CASE repo WHEN 0 THEN m <> 8 WHEN 1 THEN k[1] = '1'
+  WHEN 2 THEN CAST(m AS VARCHAR)[1] <> '1' WHEN 3 THEN NOT regexp_full_match(k, '[0-9]0') AND k[1] IN ('0', '1', '2', '3', '4', '5') ELSE m NOT BETWEEN 20 AND 29 END""",
+)
+def code_scanned(spark, sf_dir):
+    """Source files that the ignore file of their repository leaves."""
+    repo = F.regexp_extract("path", r"f(\d+)\.py$", 1).cast("long") % 5
+    texts = F.get(F.array(*map(F.lit, _IGNORE)), F.col("r_regionkey").cast("int"))
+    given = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("repo"), texts.alias("text"))
+    found = files_of.scanned(files(spark, sf_dir).select(repo.alias("repo"), "path"), ())
+    return ignore.kept(found, given, "repo")
