@@ -50,3 +50,27 @@ def boost(feedback: DataFrame, key: str, score: str, decay: str, enough: int = 1
         F.round(F.when(n < enough, F.lit(1.0)).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.5), 1 + F.lit(0.5) * mean))), 6).alias("boost"),
         F.round(F.when(n < enough, n / F.lit(float(enough))).otherwise(F.least(F.lit(1.0), n / F.lit(2.0 * enough))), 6).alias("confidence"),
     )
+
+
+def similar_boost(similar: DataFrame, feedback: DataFrame, key: str, score: str, decay: str, enough: int = 10) -> DataFrame:
+    """(query_id, based_on_queries, n, boost, confidence, decay_applied) of each query from the feedback of past ones like it.
+
+    ``similar`` has rows (query_id, id), a few of each query; ``feedback`` is of the past
+    queries (``key``) and added up by them first, so one with much of it is one row. The
+    boost is 1 and half the faded mean, within 0.5 and 1.5, and 1 below ``enough`` scores.
+    """
+    sums = feedback.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("c"), F.sum(F.col(score) * F.col(decay)).alias("s"), F.sum(decay).alias("w"))
+    joined = similar.join(sums, "id", "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("based_on_queries"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")
+    )
+    n = F.col("n")
+    mean = F.when(F.col("w") > 0, F.try_divide("s", "w")).otherwise(0.0)
+    boosted = F.greatest(F.lit(0.5), F.least(F.lit(1.5), 1 + F.lit(0.5) * mean))
+    return joined.select(
+        "query_id",
+        "based_on_queries",
+        "n",
+        F.round(F.when(n < enough, 1.0).otherwise(boosted), 6).alias("boost"),
+        F.round(F.when(n < enough, n / F.lit(float(enough))).otherwise(F.least(F.lit(1.0), n / F.lit(2.0 * enough))), 6).alias("confidence"),
+        (F.col("w") < n - 1e-9).alias("decay_applied"),
+    )

@@ -154,6 +154,13 @@ def _feedback(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), "event_type", "ts", ((F.col("event_id") % 21 - 10) / 10.0).alias("score"))
 
 
+def _faded(rows):
+    """``rows`` (ts) with the weight that their age leaves them."""
+    as_of = F.expr(AS_OF.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
+    age = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86400000000)
+    return rows.withColumn("decay", scoring.feedback_decay(age, 10))
+
+
 @query(
     "feedback_stats",
     f"""
@@ -178,9 +185,7 @@ SELECT query_id, n, round(CASE WHEN n < 10 THEN 1.0 ELSE greatest(0.5, least(1.5
 )
 def feedback_boost(spark, sf_dir):
     """Ranking boost of each query from feedback that fades after ten days."""
-    as_of = F.expr(AS_OF.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
-    age = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86400000000)
-    faded = _feedback(spark, sf_dir).where("event_type <> 'error'").withColumn("decay", scoring.feedback_decay(age, 10))
+    faded = _faded(_feedback(spark, sf_dir).where("event_type <> 'error'"))
     return history.boost(faded, "query_id", "score", "decay")
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import text
-from lodestone.operators import chunking, graph, multi_vector, vector_search
-from lodestone.plans.graph import _BOTH, _P, _V, part_of
+from lodestone.functions import classify, text
+from lodestone.operators import chunking, graph, grounding, history, multi_vector, vector_search
+from lodestone.plans.costs import _FEEDBACK, AS_OF, _faded, _feedback
+from lodestone.plans.graph import _BOTH, _P, _V, part_of, vertices
 from lodestone.plans.knowledge import ancestors, chunk_tree
 from lodestone.plans.registry import query
-from lodestone.plans.vector import _ranked, _search
+from lodestone.plans.vector import _pairs, _ranked, _search
 from lodestone.sources import table
 
 _SCOPED = "s AS (SELECT vec_id, embedding, vec_id % 4 AS scope, label AS owner FROM embeddings)"
@@ -116,85 +117,121 @@ def similar_queries(spark, sf_dir):
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where("rank <= 5")
 
 
-_SEEDS = "seeds AS (SELECT c_custkey % 20 AS query_id, 'C:' || c_custkey AS id FROM customer WHERE c_custkey % 100 < 3)"
-
-
-def _seeds(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_custkey % 100 < 3").select((F.col("c_custkey") % 20).alias("query_id"), F.concat(F.lit("C:"), "c_custkey").alias("id"))
-
-
-_LAZY = f"""{_V}, {_P}, {_BOTH}, {_SEEDS},
-one AS (SELECT query_id, ways.dst AS id FROM seeds JOIN ways ON ways.src = seeds.id),
-two AS (SELECT query_id, ways.dst AS id FROM one JOIN ways ON ways.src = one.id WHERE ways.dst[1] <> 'C'),
-e AS (SELECT query_id, id, min(seed) AS seed FROM (SELECT query_id, id, 0 AS seed FROM seeds UNION ALL SELECT query_id, id, 1 FROM one UNION ALL SELECT query_id, id, 1 FROM two) GROUP BY 1, 2),
-r AS (SELECT a.query_id, count(*) AS rels FROM e a JOIN p ON p.src = a.id JOIN e b ON b.query_id = a.query_id AND b.id = p.dst GROUP BY 1)"""
-
-
-def _expanded(spark, sf_dir):
-    """Rows (query_id, id, seed): seeds of each query and what lies within two hops, customers but for seeds left out."""
-    links = graph.undirected(part_of(spark, sf_dir)).distinct()
-    seeds = _seeds(spark, sf_dir)
-    one = seeds.join(links, seeds["id"] == links["src"]).select("query_id", F.col("dst").alias("id"))
-    two = one.join(links.where("dst NOT LIKE 'C%'"), one["id"] == links["src"]).select("query_id", F.col("dst").alias("id"))
-    return seeds.withColumn("seed", F.lit(0)).union(one.withColumn("seed", F.lit(1))).union(two.withColumn("seed", F.lit(1))).groupBy("query_id", "id").agg(F.min("seed").alias("seed"))
+@query(
+    "query_boost",
+    f"""
+WITH {_FEEDBACK}, p AS ({_pairs("AND c.vec_id IN (SELECT user_id FROM events)")}),
+h AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM p) WHERE r <= 5),
+d AS (SELECT query_id AS id, score, CAST(floor((epoch_us({AS_OF}) - epoch_us(ts)) / 86400000000.0) AS BIGINT) AS age FROM f),
+w AS (SELECT id, score, CASE WHEN age <= 10 THEN 1.0 ELSE exp(-(age - 10) / 10.0) END AS decay FROM d),
+g AS (SELECT h.query_id, count(DISTINCT h.id) AS based_on_queries, count(*) AS n, sum(score * decay) / sum(decay) AS mean, sum(decay) AS total FROM h JOIN w ON w.id = h.id GROUP BY 1)
+SELECT query_id, based_on_queries, n, round(CASE WHEN n < 10 THEN 1.0 ELSE greatest(0.5, least(1.5, 1 + 0.5 * mean)) END, 6) AS boost,
+  round(CASE WHEN n < 10 THEN n / 10.0 ELSE least(1.0, n / 20.0) END, 6) AS confidence, total < n - 1e-9 AS decay_applied FROM g""",
+)
+def query_boost(spark, sf_dir):
+    """Ranking boost of each query from the fading feedback of the five nearest past queries that have any."""
+    given = _feedback(spark, sf_dir)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    past = vectors.join(given.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    near = vector_search.topk(past, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, -1.0).select("query_id", "id")
+    return history.similar_boost(near, _faded(given), "query_id", "score", "decay")
+
+
+_QUESTIONS = """k AS (SELECT vec_id AS query_id, vec_id // 20 AS k FROM embeddings WHERE vec_id % 20 = 0),
+q AS (SELECT query_id, k % 4 AS kind, CASE k % 4 WHEN 0 THEN 'Give a summary of ' || n_name WHEN 1 THEN 'Which path leads from ' || n_name || ' to ' || r_name
+  WHEN 2 THEN 'Compare the graph of ' || n_name || ' across ' || r_name ELSE 'Who is customer ' || lpad(CAST(query_id AS VARCHAR), 9, '0') END AS question
+  FROM k JOIN nation ON n_nationkey = k % 25 JOIN region ON r_regionkey = n_regionkey)"""
+
+
+def questions(spark, sf_dir):
+    """Rows (query_id, question): each asking vector with a question about a nation, its region or a customer."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.floor(F.col("vec_id") / 20).alias("k"))
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("k") % 4
+    said = (
+        F.when(k == 0, F.concat(F.lit("Give a summary of "), "n_name"))
+        .when(k == 1, F.concat(F.lit("Which path leads from "), "n_name", F.lit(" to "), "r_name"))
+        .when(k == 2, F.concat(F.lit("Compare the graph of "), "n_name", F.lit(" across "), "r_name"))
+        .otherwise(F.concat(F.lit("Who is customer "), F.lpad(F.col("query_id").cast("string"), 9, "0")))
+    )
+    return asked.join(places, F.col("k") % 25 == F.col("n_nationkey")).select("query_id", said.alias("question"))
+
+
+_TERMS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9][A-Za-z0-9_-]{{2,}}'), lambda x: lower(x))"
+_LAZY = f"""{_V}, {_P}, {_BOTH}, {_QUESTIONS},
+qt AS (SELECT DISTINCT query_id, unnest({_TERMS.format("question")}) AS term FROM q), vt AS (SELECT DISTINCT id, unnest({_TERMS.format("name")}) AS term FROM v),
+seeds AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM (SELECT DISTINCT query_id, id FROM qt JOIN vt ON vt.term = qt.term
+  WHERE qt.term NOT IN ({', '.join(repr(w) for w in classify.STOPWORDS)}))) WHERE r <= 10),
+one AS (SELECT DISTINCT query_id, ways.dst AS id FROM seeds JOIN ways ON ways.src = seeds.id),
+two AS (SELECT DISTINCT query_id, ways.dst AS id FROM one JOIN ways ON ways.src = one.id),
+a AS (SELECT query_id, id, min(hop) AS hop FROM (SELECT query_id, id, 0 AS hop FROM seeds UNION ALL SELECT query_id, id, 1 FROM one UNION ALL SELECT query_id, id, 2 FROM two) GROUP BY 1, 2),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, id) AS place FROM a) WHERE place <= 50),
+r AS (SELECT x.query_id, p.src, p.rel, p.dst FROM e x JOIN p ON p.src = x.id JOIN e y ON y.query_id = x.query_id AND y.id = p.dst)"""
+
+
+def _entities(spark, sf_dir):
+    """(questions, their entities): seeds by terms and what lies within two hops of them."""
+    asked = questions(spark, sf_dir)
+    return asked, grounding.entities(grounding.seeds(asked, vertices(spark, sf_dir), classify.STOPWORDS), graph.undirected(part_of(spark, sf_dir)))
 
 
 @query(
     "lazy_query",
     f"""
-WITH {_LAZY}
-SELECT e.query_id, count(*) AS entities, count(*) FILTER (WHERE seed = 0) AS seeds, any_value(coalesce(rels, 0)) AS relationships,
-  round(least(1.0, count(*) / CAST(50 AS DOUBLE)) * 0.4 + 0.5 * 0.4 + CASE WHEN count(*) > 1 THEN least(1.0, any_value(coalesce(rels, 0)) / CAST(count(*) * (count(*) - 1) AS DOUBLE)) ELSE 0.0 END * 0.2 + 1e-9, 2) AS confidence
-FROM e LEFT JOIN r ON r.query_id = e.query_id GROUP BY e.query_id""",
+WITH {_LAZY}, n AS (SELECT query_id, count(*) AS entities, count(*) FILTER (WHERE hop = 0) AS seeds, string_agg(lower(name), ' ') AS names FROM e JOIN v ON v.id = e.id GROUP BY 1),
+c AS (SELECT query_id, count(*) AS rels FROM r GROUP BY 1),
+t AS (SELECT q.query_id, coalesce(entities, 0) AS entities, coalesce(seeds, 0) AS seeds, coalesce(rels, 0) AS rels, coalesce(names, '') AS names, regexp_extract_all(lower(question), '\\w{{3,}}') AS terms
+  FROM q LEFT JOIN n ON n.query_id = q.query_id LEFT JOIN c ON c.query_id = q.query_id)
+SELECT query_id, entities, seeds, rels AS relationships, CASE WHEN entities = 0 THEN 0.0 ELSE round(least(1.0, entities / CAST(50 AS DOUBLE)) * 0.4 + len(list_filter(terms, lambda x: contains(names, x))) / CAST(len(terms) AS DOUBLE) * 0.4
+  + CASE WHEN entities > 1 THEN least(1.0, rels / CAST(entities * (entities - 1) AS DOUBLE)) ELSE 0.0 END * 0.2 + 1e-9, 2) END AS confidence FROM t""",
 )
 def lazy_query(spark, sf_dir):
-    """Seeds, their neighbourhood, the relationships inside it and the confidence of an answer from them."""
-    entities = _expanded(spark, sf_dir)
-    edges = part_of(spark, sf_dir)
-    inner = entities.select("query_id", F.col("id").alias("src")).join(edges, "src").join(entities.select("query_id", F.col("id").alias("dst")), ["query_id", "dst"], "left_semi")
-    counts = inner.groupBy("query_id").agg(F.count(F.lit(1)).alias("relationships"))
-    found = entities.groupBy("query_id").agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("seed") == 0).alias("seeds")).join(counts, "query_id", "left")
-    n, rels = F.col("entities"), F.coalesce("relationships", F.lit(0))
-    density = F.when(n > 1, F.least(F.lit(1.0), rels / (n * (n - 1)))).otherwise(0.0)
-    confidence = F.round(F.least(F.lit(1.0), n / F.lit(50.0)) * 0.4 + 0.5 * 0.4 + density * 0.2 + 1e-9, 2)
-    return found.select("query_id", "entities", "seeds", rels.alias("relationships"), confidence.alias("confidence"))
+    """Seeds of each question, their neighbourhood, the relationships inside it and the confidence of an answer from them."""
+    asked, found = _entities(spark, sf_dir)
+    found = graph.cut(found)
+    return grounding.confidence(asked, found, grounding.relationships(found, part_of(spark, sf_dir)), vertices(spark, sf_dir))
 
 
 @query(
     "hybrid_retrieve",
     f"""
-WITH {_LAZY}, h AS ({_ranked(5, 0.0)}),
-g AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY seed, id) AS place FROM e)
-SELECT query_id, 'vector' AS kind, CAST(id AS VARCHAR) AS id, rank AS place FROM h UNION ALL SELECT query_id, 'graph', id, place FROM g WHERE place <= 5""",
+WITH {_LAZY}, h AS ({_ranked(5, 0.0)})
+SELECT query_id, 'vector' AS kind, CAST(id AS VARCHAR) AS id, rank AS place FROM h UNION ALL SELECT query_id, 'graph', id, place FROM e WHERE place <= 5""",
 )
 def hybrid_retrieve(spark, sf_dir):
-    """Vector hits and graph entities of the queries, five of each."""
+    """Vector hits and graph entities of the questions, five of each."""
     hits = _search(spark, sf_dir, 5, 0.0).select("query_id", F.lit("vector").alias("kind"), F.col("id").cast("string").alias("id"), F.col("rank").alias("place"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("seed", "id"))
-    found = _expanded(spark, sf_dir).withColumn("place", place).where("place <= 5").select("query_id", F.lit("graph").alias("kind"), "id", "place")
-    return hits.union(found)
+    return hits.union(_entities(spark, sf_dir)[1].where("place <= 5").select("query_id", F.lit("graph").alias("kind"), "id", "place"))
 
 
 @query(
     "orchestrated",
     f"""
-WITH {_LAZY}, h AS ({_ranked(5, 0.0)}), q AS (SELECT DISTINCT query_id FROM h UNION SELECT query_id FROM seeds),
-s AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'vector' WHEN query_id % 3 = 1 THEN 'graph' ELSE 'hybrid' END AS strategy FROM q),
-vh AS (SELECT query_id, count(*) AS n, max(similarity) AS best FROM h GROUP BY 1), g AS (SELECT query_id, least(5, count(*)) AS n FROM e GROUP BY 1)
+WITH {_LAZY}, h AS ({_ranked(5, 0.0)}), s AS (SELECT query_id, question, ['vector', 'graph', 'hybrid', 'vector'][kind + 1] AS strategy FROM q),
+vh AS (SELECT query_id, count(*) AS n, string_agg('[' || id || '] ' || coalesce(text, ''), chr(10) ORDER BY rank) AS said FROM h LEFT JOIN documents ON doc_id = id GROUP BY 1),
+g AS (SELECT query_id, count(*) AS n, string_agg('[' || e.id || '] ' || type || ' ' || name, chr(10) ORDER BY place) AS said FROM e JOIN v ON v.id = e.id WHERE place <= 5 GROUP BY 1)
 SELECT s.query_id, strategy, CASE WHEN strategy = 'graph' THEN 0 ELSE coalesce(vh.n, 0) END AS vector_hits, CASE WHEN strategy = 'vector' THEN 0 ELSE coalesce(g.n, 0) END AS graph_hits,
-  'strategy: ' || strategy || CASE WHEN strategy <> 'graph' AND vh.n > 0 THEN chr(10) || chr(10) || 'vector: ' || vh.n ELSE '' END || CASE WHEN strategy <> 'vector' AND g.n > 0 THEN chr(10) || chr(10) || 'graph: ' || g.n ELSE '' END AS prompt
+  'Question: ' || question || CASE WHEN strategy <> 'graph' AND vh.n > 0 THEN chr(10) || chr(10) || 'Passages:' || chr(10) || vh.said ELSE '' END || CASE WHEN strategy <> 'vector' AND g.n > 0 THEN chr(10) || chr(10) || 'Entities:' || chr(10) || g.said ELSE '' END AS prompt
 FROM s LEFT JOIN vh ON vh.query_id = s.query_id LEFT JOIN g ON g.query_id = s.query_id""",
 )
 def orchestrated(spark, sf_dir):
-    """For each query its strategy, the evidence that this calls for and the prompt made of it."""
-    hits = _search(spark, sf_dir, 5, 0.0).groupBy("query_id").agg(F.count(F.lit(1)).alias("v"))
-    found = _expanded(spark, sf_dir).groupBy("query_id").agg(F.least(F.lit(5), F.count(F.lit(1))).alias("g"))
-    strategy = F.get(F.array(*map(F.lit, ("vector", "graph", "hybrid"))), (F.col("query_id") % 3).cast("int"))
-    rows = hits.join(found, "query_id", "full").withColumn("strategy", strategy)
-    v = F.when(F.col("strategy") != "graph", F.coalesce("v", F.lit(0))).otherwise(0)
-    g = F.when(F.col("strategy") != "vector", F.coalesce("g", F.lit(0))).otherwise(0)
-    prompt = F.concat_ws("\n\n", F.concat(F.lit("strategy: "), "strategy"), F.when(v > 0, F.concat(F.lit("vector: "), v)), F.when(g > 0, F.concat(F.lit("graph: "), g)))
-    return rows.select("query_id", "strategy", v.cast("long").alias("vector_hits"), g.cast("long").alias("graph_hits"), prompt.alias("prompt"))
+    """For each question the strategy that its words call for, the evidence of that kind and the prompt made of both."""
+    asked, found = _entities(spark, sf_dir)
+    asked = asked.withColumn("strategy", classify.strategy(F.col("question")))
+
+    def said(rows, place, line):  # at most five lines of a question
+        lines = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("p"), line.alias("line")))).alias("l"))
+        return lines.select("query_id", F.size("l").cast("long").alias("n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("said"))
+
+    wants = lambda kind: asked.where(F.col("strategy").isin(kind, "hybrid")).select("query_id")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = _search(spark, sf_dir, 5, 0.0).join(wants("vector"), "query_id", "left_semi").join(texts, "id", "left")
+    passages = said(hits, "rank", F.concat(F.lit("["), "id", F.lit("] "), F.coalesce("text", F.lit("")))).select("query_id", F.col("n").alias("v"), F.col("said").alias("v_said"))
+    named = found.where("place <= 5").join(wants("graph"), "query_id", "left_semi").join(vertices(spark, sf_dir), "id")
+    places = said(named, "place", F.concat(F.lit("["), "id", F.lit("] "), "type", F.lit(" "), "name")).select("query_id", F.col("n").alias("g"), F.col("said").alias("g_said"))
+    rows = asked.join(passages, "query_id", "left").join(places, "query_id", "left")
+    prompt = F.concat_ws("\n\n", F.concat(F.lit("Question: "), "question"), F.concat(F.lit("Passages:\n"), "v_said"), F.concat(F.lit("Entities:\n"), "g_said"))
+    return rows.select("query_id", "strategy", F.coalesce("v", F.lit(0)).alias("vector_hits"), F.coalesce("g", F.lit(0)).alias("graph_hits"), prompt.alias("prompt"))
 
 
 _W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
