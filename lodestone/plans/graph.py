@@ -67,10 +67,10 @@ def graph_induced(spark, sf_dir):
     return graph.induced(part_of(spark, sf_dir), vertices(spark, sf_dir).where("type IN ('nation', 'supplier')"))
 
 
-@query("graph_orphans", f"WITH {_V}, {_O} SELECT id, type, name FROM v WHERE type = 'customer' AND id NOT IN (SELECT src FROM o UNION SELECT dst FROM o)")
+@query("graph_orphans", f"WITH {_V}, {_O} SELECT id, type, name FROM v WHERE id NOT IN (SELECT src FROM o UNION SELECT dst FROM o)")
 def graph_orphans(spark, sf_dir):
-    """Customers without an order."""
-    return graph.orphans(vertices(spark, sf_dir).where("type = 'customer'"), authored(spark, sf_dir))
+    """Vertices that no order touches."""
+    return graph.orphans(vertices(spark, sf_dir), authored(spark, sf_dir))
 
 
 @query("graph_type_counts", f"WITH {_V}, {_P} SELECT 'vertex' AS kind, type AS name, count(*) AS n FROM v GROUP BY type UNION ALL SELECT 'edge', rel, count(*) FROM p GROUP BY rel")

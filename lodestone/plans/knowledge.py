@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph
+from lodestone.operators.graph import shared_folder
 from lodestone.plans.graph import _BOTH, _O, _P, _V, _id, authored, part_of, vertices
 from lodestone.plans.registry import query
-from lodestone.sources import table
+from lodestone.sources import ontology, table
 
 _TERMS = ("1", "22", "africa", "zz9")
 
@@ -76,13 +79,13 @@ def traversal_result(spark, sf_dir):
 WITH RECURSIVE {_V}, {_P}, {_BOTH}, s AS (SELECT id FROM v WHERE type = 'nation' AND contains(name, '1')),
 d(id, hops) AS (SELECT id, 0 FROM s UNION SELECT ways.dst, hops + 1 FROM d JOIN ways ON ways.src = d.id WHERE hops < 1),
 m AS (SELECT id, min(hops) AS hops FROM d GROUP BY id)
-SELECT id, hops = 0 AS seed, row_number() OVER (ORDER BY hops, id) AS place FROM m WHERE hops = 0 OR id[1] <> 'C'""",
+SELECT * FROM (SELECT id, hops = 0 AS seed, row_number() OVER (ORDER BY hops, id) AS place FROM m) WHERE place <= 50""",
 )
 def seeds_first(spark, sf_dir):
-    """Seeds and what they touch, each entity once, the seeds first; customers left out."""
+    """The first fifty of seeds and what they touch, each entity once, the seeds first."""
     v = vertices(spark, sf_dir)
     seeds = v.where((F.col("type") == "nation") & F.contains("name", F.lit("1"))).select("id")
-    reached = graph.distances(part_of(spark, sf_dir), seeds, 1).where("hops = 0 OR id NOT LIKE 'C%'")
+    reached = graph.distances(part_of(spark, sf_dir), seeds, 1).orderBy("hops", "id").limit(50)
     return reached.select("id", (F.col("hops") == 0).alias("seed"), F.row_number().over(Window.orderBy("hops", "id")).alias("place"))
 
 
@@ -309,3 +312,52 @@ def ancestors(tree, level: int, steps: int):
 
 def unioned(frames):
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def ontology_file(spark, sf_dir):
+    """Path of an ontology in files that Spark writes of the parts: each below its brand within a type, and that below the type."""
+    base = "http://parts.example/o#"
+    kind, brand = F.col("p_type"), F.concat_ws("-", "p_type", F.replace("p_brand", F.lit("#"), F.lit("-")))
+    part = table(spark, sf_dir, "part")
+
+    def element(uri, parent, comment):
+        above = F.concat(F.lit(f'<rdfs:subClassOf rdf:resource="{base}'), parent, F.lit('"/>'))
+        return F.concat(F.lit(f'<owl:Class rdf:about="{base}'), uri, F.lit('">'), above, F.lit("<rdfs:comment>"), comment, F.lit("</rdfs:comment></owl:Class>"))
+
+    rows = part.select(element(F.concat(F.lit("part-"), "p_partkey"), brand, F.col("p_name")).alias("value"))
+    rows = rows.union(part.select(element(brand, kind, F.col("p_brand"))).distinct()).union(part.select(element(kind, F.lit("Part"), kind)).distinct())
+    sized = F.concat(F.lit(f'<owl:DatatypeProperty rdf:about="{base}size-of-'), kind, F.lit(f'"><rdfs:domain rdf:resource="{base}'), kind, F.lit('"/></owl:DatatypeProperty>'))
+
+    def documents(batches):
+        # each partition is a file, and each file a document of its own
+        yield pd.DataFrame({"value": ["<rdf:RDF>"]})
+        yield from batches
+        yield pd.DataFrame({"value": ["</rdf:RDF>"]})
+
+    path = f"{shared_folder(spark)}/ontology-{uuid.uuid4().hex}"
+    rows.union(part.select(sized).distinct()).mapInPandas(documents, "value string").write.text(path)
+    return path
+
+
+@query(
+    "ontology_classes",
+    """
+WITH b AS (SELECT 'part-' || p_partkey AS name, p_type || '-' || replace(p_brand, '#', '-') AS parent, p_name AS description FROM part UNION SELECT p_type || '-' || replace(p_brand, '#', '-'), p_type, p_brand FROM part UNION SELECT p_type, 'Part', p_type FROM part)
+SELECT name, 'http://parts.example/o#' || parent AS parent, CASE WHEN name IN (SELECT p_type FROM part) THEN 'size-of-' || name ELSE '' END AS properties, description FROM b""",
+)
+def ontology_classes(spark, sf_dir):
+    """Classes of an ontology file with parent, properties and description."""
+    found = ontology.classes(spark, ontology_file(spark, sf_dir))
+    return found.select("name", F.array_join("parents", " ").alias("parent"), F.array_join("properties", " ").alias("properties"), "description")
+
+
+@query(
+    "ontology_ancestors",
+    """
+WITH b AS (SELECT DISTINCT 'part-' || p_partkey AS p, p_type || '-' || replace(p_brand, '#', '-') AS b, p_type AS t FROM part)
+SELECT DISTINCT unnest([p, p, p, b, b, t]) AS name, unnest([b, t, 'Part', t, 'Part', 'Part']) AS ancestor, unnest([1, 2, 3, 1, 2, 1]) AS depth FROM b""",
+)
+def ontology_ancestors(spark, sf_dir):
+    """All classes above each class of an ontology file, at their depth."""
+    above = ontology.ancestors(ontology.classes(spark, ontology_file(spark, sf_dir)))
+    return above.select(ontology.local_name(F.col("uri")).alias("name"), ontology.local_name(F.col("ancestor")).alias("ancestor"), "depth")

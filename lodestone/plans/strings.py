@@ -8,7 +8,7 @@ from lodestone.functions import markup, text
 from lodestone.operators import chunking
 from lodestone.plans.registry import query
 from lodestone.plans.text import docs
-from lodestone.sources import table
+from lodestone.sources import files, table
 
 _W = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 
@@ -281,7 +281,7 @@ def chunks_with_context(spark, sf_dir):
     "overlaps_merged",
     """
 WITH p AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text) AS after FROM conversations),
-q AS (SELECT conv_id, turn, substring(text, 1, 30) AS a, CASE WHEN turn % 2 = 0 THEN substring(text, 11, 40) ELSE after END AS b FROM p WHERE after IS NOT NULL),
+q AS (SELECT conv_id, turn, text AS a, CASE WHEN turn % 2 = 0 THEN substring(text, 11) || ' ' || after ELSE after END AS b FROM p WHERE after IS NOT NULL),
 o AS (SELECT *, list_max(list_filter(range(0, least(length(a), length(b), 2000) + 1), lambda n: right(a, n) = left(b, n))) AS n FROM q)
 SELECT conv_id, turn, n AS overlap, trim(CASE WHEN n > 0 THEN a || substring(b, n + 1) ELSE a || ' ' || b END) AS merged FROM o""",
 )
@@ -291,7 +291,7 @@ def overlaps_merged(spark, sf_dir):
 
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
     pairs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", after.alias("after")).where("after IS NOT NULL")
-    pairs = pairs.select("conv_id", "turn", F.substring("text", 1, 30).alias("a"), F.when(F.col("turn") % 2 == 0, F.substring("text", 11, 40)).otherwise(F.col("after")).alias("b"))
+    pairs = pairs.select("conv_id", "turn", F.col("text").alias("a"), F.when(F.col("turn") % 2 == 0, F.concat(F.expr("substring(text, 11)"), F.lit(" "), "after")).otherwise(F.col("after")).alias("b"))
     sized = pairs.withColumn("n", markup.overlap(F.col("a"), F.col("b"), 2000))
     merged = F.when(F.col("n") > 0, F.concat("a", F.expr("substring(b, n + 1)"))).otherwise(F.concat_ws(" ", "a", "b"))
     return sized.select("conv_id", "turn", F.col("n").cast("long").alias("overlap"), F.trim(merged).alias("merged"))
@@ -315,14 +315,19 @@ def metadata_parsed(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.when(kind("$.title") == "STRING", title).alias("title"), F.when((kind("$.page_count") == "BIGINT") & (pages >= 0), pages).alias("page_count"))
 
 
-_PRICING = '{"a": {"input_per_1k": "0.5", "output_per_1k": 1.25}, "b": {"input_per_1k": "-1", "output_per_1k": 1}, "c": 7, "d": {"input_per_1k": "x", "output_per_1k": 1}, "e": {"input_per_1k": 0, "output_per_1k": 2}}'
-
-
-@query("pricing_parsed", "SELECT * FROM (VALUES ('a', 0.5::DOUBLE, 1.25::DOUBLE), ('e', 0.0, 2.0)) t(model, input_per_1k, output_per_1k) WHERE EXISTS (SELECT 1 FROM region)")
+@query(
+    "pricing_parsed",
+    """
+SELECT 'm' || p_partkey AS model, CAST(p_retailprice AS DECIMAL(18,9))::DOUBLE AS input_per_1k, CAST(p_size AS DOUBLE) AS output_per_1k FROM part WHERE p_partkey % 5 = 0 AND p_retailprice IS NOT NULL AND p_size IS NOT NULL
+UNION ALL SELECT 'm' || p_partkey, 0.0, 2.0 FROM part WHERE p_partkey % 5 = 4""",
+)
 def pricing_parsed(spark, sf_dir):
-    """Prices out of a setting; entries that are no prices, or negative, are passed over."""
-    raw = table(spark, sf_dir, "region").limit(1).select(F.from_json(F.lit(_PRICING), "map<string,string>").alias("m"))
-    rows = raw.select(F.explode("m").alias("model", "value")).select("model", *(F.expr(f"try_cast(get_json_object(value, '$.{c}') AS decimal(18,9))").alias(c) for c in ("input_per_1k", "output_per_1k")))
+    """Prices out of settings; entries that are no prices, or negative, are passed over."""
+    k = F.col("p_partkey")
+    pair = lambda a, b: F.concat(F.lit('{"input_per_1k": '), a, F.lit(', "output_per_1k": '), b, F.lit("}"))
+    forms = (pair(F.concat(F.lit('"'), F.col("p_retailprice").cast("decimal(18,9)"), F.lit('"')), F.col("p_size")), pair(F.lit('"-1"'), F.col("p_size")), F.lit("7"), pair(F.lit('"x"'), F.lit("1")), pair(F.lit("0"), F.lit("2")))
+    setting = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), k).alias("model"), F.get(F.array(*forms), (k % 5).cast("int")).alias("value"))
+    rows = setting.select("model", *(F.expr(f"try_cast(get_json_object(value, '$.{c}') AS decimal(18,9))").alias(c) for c in ("input_per_1k", "output_per_1k")))
     return rows.where("input_per_1k >= 0 AND output_per_1k >= 0").select("model", F.col("input_per_1k").cast("double").alias("input_per_1k"), F.col("output_per_1k").cast("double").alias("output_per_1k"))
 
 
@@ -351,25 +356,19 @@ def metadata_merged(spark, sf_dir):
 def video_ids(spark, sf_dir):
     """Ids out of four ways of writing a video's address; null where there is none."""
     own = F.substring(F.md5(F.col("event_id").cast("string")), 1, 11)
-    forms = [("https://www.youtube.com/watch?v=", "&t=3"), ("https://youtu.be/", "?x=1"), ("https://www.youtube.com/embed/", ""), ("https://www.youtube.com/v/", "/"), ("https://example.com/", "")]
+    forms = [("https://www.youtube.com/watch?v=", "&t=3"), ("https://youtu.be/", "?x=1"), ("https://www.youtube.com/embed/", ""), ("https://www.youtube.com/shorts/", "/"), ("https://example.com/", "")]
     url = F.get(F.array(*(F.concat(F.lit(a), own, F.lit(b)) for a, b in forms)), (F.col("event_id") % 5).cast("int"))
-    patterns = (r"[?&]v=([A-Za-z0-9_-]{11})", r"youtu\.be/([A-Za-z0-9_-]{11})", r"/embed/([A-Za-z0-9_-]{11})", r"/v/([A-Za-z0-9_-]{11})")
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(*(F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in patterns)).alias("video"))
-
-
-#: Kinds of files by their extension.
-FILE_TYPES = {"pdf": "pdf", "docx": "word", "doc": "word", "xlsx": "excel", "pptx": "powerpoint", "md": "markdown", "txt": "text", "html": "html"}
+    return table(spark, sf_dir, "events").select("event_id", files.video_id(url).alias("video"))
 
 
 @query(
     "file_types",
     f"""
 WITH f AS (SELECT p_partkey, 'Report.v2.' || ['PDF', 'docx', 'xlsx', 'md', 'exe', 'txt'][CAST(1 + p_partkey % 6 AS INT)] AS name FROM part)
-SELECT p_partkey, name, coalesce(map({[*FILE_TYPES]}, {[*FILE_TYPES.values()]})[lower(regexp_extract(name, '\\.([^.]+)$', 1))], 'unknown') AS type FROM f""",
+SELECT p_partkey, name, coalesce(map({[*files.KINDS]}, {[*files.KINDS.values()]})[lower(regexp_extract(name, '\\.([^.]+)$', 1))], 'unknown') AS type FROM f""",
 )
 def file_types(spark, sf_dir):
     """Kinds of files by the extension of their names."""
     ends = F.array(*map(F.lit, ("PDF", "docx", "xlsx", "md", "exe", "txt")))
     name = F.concat(F.lit("Report.v2."), F.get(ends, (F.col("p_partkey") % 6).cast("int")))
-    kinds = F.create_map(*(F.lit(x) for kv in FILE_TYPES.items() for x in kv))
-    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.coalesce(F.element_at(kinds, F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))), F.lit("unknown")).alias("type"))
+    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), files.kind(name, F.lit("")).alias("type"))

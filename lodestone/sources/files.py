@@ -54,8 +54,8 @@ def scanned(files: DataFrame, excluded: tuple[str, ...]) -> DataFrame:
 
 def video_id(url: Column) -> Column:
     """Id of a video in the usual forms of its URL; null in others."""
-    forms = (r"[?&]v=([A-Za-z0-9_-]{11})", r"youtu\.be/([A-Za-z0-9_-]{11})", r"/embed/([A-Za-z0-9_-]{11})", r"/shorts/([A-Za-z0-9_-]{11})")
-    return F.coalesce(*(F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in forms))
+    forms = (r"youtube\.com/watch\?(?:[^#]*&)?v=", r"youtu\.be/", r"youtube\.com/embed/", r"youtube\.com/shorts/")
+    return F.coalesce(*(F.nullif(F.regexp_extract(url, p + "([A-Za-z0-9_-]{11})", 1), F.lit("")) for p in forms))
 
 
 EVALUATION = (
