@@ -189,9 +189,17 @@ def or_whole_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.unionByName(none.select("path", F.lit("").alias("qualified"), F.lit(0).alias("part"), F.col("text").alias("content")))
 
 
-def code_chunks(files: DataFrame, table: DataFrame, max_chars: int = 1000) -> DataFrame:
-    """(path, qualified, part, content): each symbol's lines, in parts of at most ``max_chars`` characters of whole lines."""
+def code_chunks(files: DataFrame, table: DataFrame, max_chars: int = 1000, headers: bool = False) -> DataFrame:
+    """(path, qualified, part, content): each symbol's lines, in parts of at most ``max_chars`` characters of whole lines.
+
+    With ``headers`` the first line of its class stands before a method.
+    """
     joined = files.join(table, "path").withColumn("lines", F.slice(F.split("text", "\n"), F.col("first_line"), F.col("last_line") - F.col("first_line") + 1))
+    if headers:
+        classes = joined.where("kind = 'class'").groupBy("path", F.col("qualified").alias("parent")).agg(F.min(F.trim(F.col("lines")[0])).alias("header"))
+        owner = F.when(F.col("kind") == "method", F.regexp_replace("qualified", r"\.[^.]*$", ""))
+        joined = joined.withColumn("parent", owner).join(classes, ["path", "parent"], "left")
+        joined = joined.withColumn("lines", F.when(F.col("header").isNotNull(), F.concat(F.array("header"), "lines")).otherwise(F.col("lines")))
 
     def add(state, line):
         size = F.length(line) + 1
