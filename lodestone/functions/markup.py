@@ -66,6 +66,41 @@ def requirement(line: Column) -> Column:
     return F.when(~skipped & (entry != ""), entry)
 
 
+def _names(found: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (x != ""))))
+
+
+# Sections of package.json that name packages.
+_SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
+
+
+def json_packages(text: Column) -> Column:
+    """Sorted names of packages that a package.json declares; none where it doesn't parse, or a section is no object."""
+    sections = [F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{s}")), F.array().cast("array<string>")) for s in _SECTIONS]
+    return _names(F.concat(*sections))
+
+
+def toml_packages(text: Column) -> Column:
+    """Sorted names of packages that a pyproject.toml declares: the project's lists, required and optional, and the keys of Poetry's tables but ``python``.
+
+    Null and texts without such tables give none. Inline tables of lists and names in headers aren't understood.
+    """
+    string = r"\"[^\"\n]*\"|'[^'\n]*'"
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?m)({string})|#[^\n]*$", "$1")
+
+    def tables(header: str) -> Column:
+        return F.array_join(F.regexp_extract_all(plain, F.lit(rf"(?ms)^[ \t]*\[[ \t]*{header}[ \t]*\][ \t]*$(.*?)(?=^[ \t]*\[[^\n]*\][ \t]*$|\z)"), 1), "\n")
+
+    def listed(block: Column, key: str) -> Column:
+        lists = F.array_join(F.regexp_extract_all(block, F.lit(rf"(?m)^[ \t]*{key}[ \t]*=[ \t]*\[((?:{string}|[^\]\"'])*)\]"), 1), "\n")
+        return F.transform(F.regexp_extract_all(lists, F.lit(rf"({string})"), 1), lambda x: requirement(F.substring(x, 2, F.length(x) - 2)))
+
+    word = r"(?:[\w.-]+|\"[^\"\n]*\"|'[^'\n]*')"
+    poetry = F.concat(tables(r"tool\.poetry\.dependencies"), F.lit("\n"), tables(r"tool\.poetry\.group\.[\w-]+\.dependencies"))
+    keys = F.transform(F.regexp_extract_all(poetry, F.lit(rf"(?m)^[ \t]*({word})[ \t]*="), 1), lambda x: F.regexp_replace(x, "[\"']", ""))
+    return _names(F.concat(listed(tables("project"), "dependencies"), listed(tables(r"project\.optional-dependencies"), word), F.filter(keys, lambda x: F.lower(x) != "python")))
+
+
 def masked_proxy(url: Column) -> Column:
     """A proxy's URL without its credentials; what comes after the port goes with them."""
     parts = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#@]+)@([^/?#@]+)", 1)

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources import files as files_of
+
 SCHEMA = ["path", "name", "kind", "qualified", "first_line", "last_line"]
 _INSIDE = "\u0001"  # starts a line that lies inside a string
 
@@ -127,3 +129,10 @@ def braced(files: DataFrame) -> DataFrame:
     closed = F.contains("code", F.lit("{")) | F.endswith("code", F.lit(";")) | (F.col("kind") == "type_alias")
     alone = (F.col("net") == 0) & closed
     return _named(_ended(found.select("path", "level", F.col("line").alias("first_line"), "name", "kind", alone.alias("alone")), endings, ends))
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """``SCHEMA`` of source files (path, text), each by the rules of its language; files of other kinds have none."""
+    known = files_of.scanned(files.select("path", "text"), ())
+    python = F.col("language") == "python"
+    return indented(known.where(python)).unionByName(braced(known.where(~python)))

@@ -37,6 +37,18 @@ def ratio(events: DataFrame, keys: list[str], part: Column, floor: int = 0) -> D
     return out.withColumn("ratio", F.round(F.col("hits") / F.col("total"), 6))
 
 
+def guarded(alerts: DataFrame, traffic: DataFrame, keys: list[str], least: float, seconds: int) -> DataFrame:
+    """``alerts`` (keys, ...) with traffic, of those keys alone whose requests (rows of ``traffic``, with the keys) exceed ``least`` a second over ``seconds``."""
+    rates = traffic.groupBy(*keys).agg((F.count(F.lit(1)) / F.lit(seconds)).alias("rate")).where(F.col("rate") > least)
+    return alerts.join(rates.select(*keys, F.round("rate", 9).alias("traffic")), keys)
+
+
+def improvement(before: DataFrame, after: DataFrame, key: str, score: str) -> DataFrame:
+    """(key, pre, post, ratio): best score of ``after`` over that of ``before``, where both have rows of a key and the best before is above 0."""
+    best = lambda df, name: df.groupBy(key).agg(F.max(score).alias(name))
+    return best(before, "pre").where("pre > 0").join(best(after, "post"), key).withColumn("ratio", F.col("post") / F.col("pre"))
+
+
 def firing(ticks: DataFrame, keys: list[str], tick: str, condition: Column, step: int, hold: int) -> DataFrame:
     """(keys, first_tick, n_ticks): runs of ``hold`` or more ticks, ``step`` apart, that meet the condition."""
     on = ticks.where(condition)
