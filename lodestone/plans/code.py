@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import code, code_index
+from lodestone.functions import markup
+from lodestone.operators import code, code_index, scopes
 from lodestone.operators.graph import shared_folder
 from lodestone.plans.registry import query
 from lodestone.sources import files as files_of
@@ -205,3 +206,109 @@ def code_scanned(spark, sf_dir):
     given = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("repo"), texts.alias("text"))
     found = files_of.scanned(files(spark, sf_dir).select(repo.alias("repo"), "path"), ())
     return ignore.kept(found, given, "repo")
+
+
+def nested_files(spark, sf_dir):
+    """Rows (path, text): for each part a Python or TypeScript file with a class of ``p_size % 4`` methods, the first with a function inside, and a function after it."""
+    k, n, py = F.col("p_partkey"), (F.col("p_size") % 4).cast("int"), F.col("p_partkey") % 2 == 0
+    numbers = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    say = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
+    inner = lambda i, text: F.when(i == 1, F.lit(text)).otherwise(F.lit(""))
+    python = F.transform(numbers, lambda i: say("    def m", i, '(self, a="):",\n           b=(1,\n    2)):\n        """Says\nclass No:\n        """\n', inner(i, "        def inner():\n            return a\n"), "        return b\n\n"))
+    script = F.transform(numbers, lambda i: say("  async m", i, "(a, { b } = {}) {\n    // class No {\n", inner(i, "    const inner = (x) => {\n      return `}`;\n    };\n"), "    return a;\n  }\n\n"))
+    python = say("class Box", k, ':\n    size = "class No:"\n\n', F.array_join(python, ""), "def build", k, "():\n    return Box", k, "()\n")
+    script = say("export class Box", k, " {\n  size = 1;\n\n", F.array_join(script, ""), "}\nexport function build", k, "() {\n  return new Box", k, "();\n}\n")
+    path = say("src/m", F.col("p_size"), "/f", k, F.when(py, ".py").otherwise(".ts"))
+    return table(spark, sf_dir, "part").select(path.alias("path"), F.when(py, python).otherwise(script).alias("text"))
+
+
+# the same symbols counted out: a Python method takes 8 lines and 2 more around a function of its own, a script's 5 and 3
+_NESTED = """
+t AS (SELECT p_partkey AS k, p_size % 4 AS n, p_partkey % 2 = 0 AS py, 'src/m' || p_size || '/f' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.ts' END AS path FROM part),
+m AS (SELECT *, unnest(range(1, n + 1)) AS i FROM t),
+a AS (SELECT *, 4 + (i - 1) * CASE WHEN py THEN 8 ELSE 5 END + CASE WHEN i = 1 THEN 0 WHEN py THEN 2 ELSE 3 END AS lo, CASE WHEN py THEN 7 ELSE 4 END + CASE WHEN i > 1 THEN 0 WHEN py THEN 2 ELSE 3 END AS size FROM m),
+e AS (SELECT *, CASE WHEN n = 0 THEN 3 ELSE 3 + n * CASE WHEN py THEN 8 ELSE 5 END + CASE WHEN py THEN 2 ELSE 3 END END AS body FROM t),
+s AS (
+  SELECT path, 'Box' || k AS name, 'class' AS kind, 'Box' || k AS qualified, 1 AS first_line, CASE WHEN NOT py THEN body + 1 WHEN n = 0 THEN 2 ELSE body - 1 END AS last_line FROM e
+  UNION ALL SELECT path, 'm' || i, 'method', 'Box' || k || '.m' || i, lo, lo + size - 1 FROM a
+  UNION ALL SELECT path, 'inner', 'function', 'Box' || k || '.m1.inner', CASE WHEN py THEN lo + 6 ELSE lo + 2 END, CASE WHEN py THEN lo + 7 ELSE lo + 4 END FROM a WHERE i = 1
+  UNION ALL SELECT path, 'build' || k, 'function', 'build' || k, CASE WHEN py THEN body + 1 ELSE body + 2 END, CASE WHEN py THEN body + 2 ELSE body + 4 END FROM e)"""
+
+
+@query("code_scopes", f"WITH {_NESTED} SELECT path, name, kind, qualified, CAST(first_line AS INT) AS first_line, CAST(last_line AS INT) AS last_line FROM s")
+def code_scopes(spark, sf_dir):
+    """Symbols of nested files in two languages, with their scopes and last lines."""
+    return scopes.symbols(nested_files(spark, sf_dir))
+
+
+@query(
+    "code_method_chunks",
+    f"""
+WITH {_NESTED}, o AS (SELECT s.*, t.py, t.k FROM s JOIN t ON t.path = s.path)
+SELECT path, qualified, CAST(last_line - first_line + 1 + CASE WHEN kind = 'method' THEN 1 ELSE 0 END AS INT) AS n_lines,
+  CASE WHEN kind IN ('method', 'class') THEN CASE WHEN py THEN 'class Box' || k || ':' ELSE 'export class Box' || k || ' {{' END END AS header FROM o""",
+)
+def code_method_chunks(spark, sf_dir):
+    """Chunks of those symbols in whole: methods stand below the first line of their class."""
+    some = nested_files(spark, sf_dir)
+    chunks = code.code_chunks(some, scopes.symbols(some), 1_000_000, headers=True)
+    first = F.substring_index("content", "\n", 1)
+    return chunks.select("path", "qualified", F.size(F.split("content", "\n")).alias("n_lines"), F.when(first.rlike("^(export )?class "), first).alias("header"))
+
+
+@query(
+    "code_verdicts",
+    f"""
+WITH {_NESTED}, r AS (SELECT k, unnest(['Box' || k, 'build' || k, 'build' || k || 'x', 'Qqq' || k]) AS name, unnest(['class', 'class', 'function', NULL]) AS kind, unnest([1.0, 0.9, 0.85, 0.8]) AS confidence FROM t WHERE k % 20 = 0)
+SELECT name, kind, confidence = 1.0 AS is_valid, CAST(confidence AS DOUBLE) AS confidence FROM r""",
+)
+def code_verdicts(spark, sf_dir):
+    """Whether names in answers about every twentieth part are symbols of its files: right, of another kind, misspelt, unheard of."""
+    k = F.col("p_partkey")
+    said = [("Box", "", "class"), ("build", "", "class"), ("build", "x", "function"), ("Qqq", "", None)]
+    asked = F.explode(F.array(*(F.struct(F.concat(F.lit(a), k, F.lit(b)).alias("name"), F.lit(kind).cast("string").alias("kind")) for a, b, kind in said)))
+    references = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(asked.alias("r")).select("r.name", "r.kind")
+    return code.symbol_verdicts(references, scopes.symbols(nested_files(spark, sf_dir))).drop("similar")
+
+
+_MANIFEST = """
+[project]
+name = "p"  # not a package
+dependencies = ["first{k}[extra]>=1; python_version > '3'", 'second{s}', "third @ https://x.example/{k}"]
+[project.optional-dependencies]
+dev = ["fourth{s}~=2"]
+[tool.poetry.dependencies]
+python = "^3"
+fifth{k} = "1"
+"""
+_PACKAGE = '{"name": "p", "dependencies": {"first{k}": "1", "@x/second{s}": "2"}, "devDependencies": {"third": "*"}, "scripts": {"no": "x"}}'
+
+
+@query(
+    "declared_packages",
+    """
+SELECT p_partkey, unnest(CASE WHEN p_partkey % 2 = 0 THEN ['first' || p_partkey, 'second' || p_size, 'third', 'fourth' || p_size, 'fifth' || p_partkey] ELSE ['first' || p_partkey, '@x/second' || p_size, 'third'] END) AS package FROM part""",
+)
+def declared_packages(spark, sf_dir):
+    """Packages that the manifests of all parts declare, in TOML and in JSON."""
+    filled = lambda text: F.replace(F.replace(F.lit(text), F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{s}"), F.col("p_size").cast("string"))
+    names = F.when(F.col("p_partkey") % 2 == 0, markup.toml_packages(filled(_MANIFEST))).otherwise(markup.json_packages(filled(_PACKAGE)))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(names).alias("package"))
+
+
+@query(
+    "imports_checked",
+    """
+WITH m AS (SELECT p_partkey, unnest(['os', 'm' || p_size || '.util', 'first' || p_partkey, 'second_' || p_size || '.x', 'lost' || p_partkey]) AS module, unnest(['stdlib', 'local', 'declared', 'installed', 'missing']) AS origin FROM part)
+SELECT DISTINCT module, origin FROM m""",
+)
+def imports_checked(spark, sf_dir):
+    """Where imported modules come from: the language, what is installed or declared, the tree itself, or nowhere."""
+    parts, k, size = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    extra = F.concat(F.lit("import second_"), size, F.lit(".x\nimport first"), k, F.lit("\nfrom lost"), k, F.lit(" import y\n"))
+    own = files(spark, sf_dir).unionByName(parts.select(F.concat(F.lit("lib/f"), k).alias("path"), extra.alias("text")))
+    wanted = code.imports(own).select("module").distinct()
+    installed = parts.select(F.concat(F.lit("Second-"), size).alias("module")).distinct()
+    declared = declared_packages(spark, sf_dir).select(F.col("package").alias("module")).distinct()
+    local = files(spark, sf_dir).select(F.split("path", "/")[1].alias("module")).distinct()
+    return code.import_checks(wanted, spark.createDataFrame([("os",), ("sys",)], "module string"), installed, declared, local)

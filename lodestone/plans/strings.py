@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import markup, text
+from lodestone.functions import keyed, markup, text
 from lodestone.operators import chunking
 from lodestone.plans.registry import query
 from lodestone.plans.text import docs
@@ -372,3 +372,19 @@ def file_types(spark, sf_dir):
     ends = F.array(*map(F.lit, ("PDF", "docx", "xlsx", "md", "exe", "txt")))
     name = F.concat(F.lit("Report.v2."), F.get(ends, (F.col("p_partkey") % 6).cast("int")))
     return table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), files.kind(name, F.lit("")).alias("type"))
+
+
+_TRACE_KEY = bytes(range(32))
+
+
+@query(
+    "traces_sealed",
+    """
+SELECT conv_id, turn, sha256(text) AS opened_sha256, '<encrypted: InvalidTag>' AS by_another, CAST(ceil((28 + strlen(text)) * 4 / 3.0) AS BIGINT) AS least_chars, true AS safe FROM conversations WHERE text IS NOT NULL""",
+)
+def traces_sealed(spark, sf_dir):
+    """Turns sealed under one key: opened with it again, and with another in vain."""
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", keyed.sealed(_TRACE_KEY, F.col("text")).alias("s"))
+    opened = F.sha2(keyed.unsealed(_TRACE_KEY, F.col("s")), 256)
+    body = F.rtrim(F.substring("s", 5, 2**31 - 1), F.lit("="))
+    return rows.select("conv_id", "turn", opened.alias("opened_sha256"), keyed.unsealed(bytes(32), F.col("s")).alias("by_another"), F.length(body).cast("long").alias("least_chars"), F.col("s").rlike("^enc:[A-Za-z0-9_-]+=*$").alias("safe"))

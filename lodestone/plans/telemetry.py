@@ -137,3 +137,33 @@ SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY
 def sessions_ttl(spark, sf_dir):
     """Sessions that end after six hours without activity."""
     return telemetry.sessions(metrics(spark, sf_dir), "user_id", "ts", "6 hours")
+
+
+@query(
+    "telemetry_tenant_quality",
+    f"""
+WITH {_M}, g AS (SELECT user_id, sec // 86400 AS day, count(*) AS total, count(*) FILTER (strategy = 'purchase') AS passed FROM m WHERE strategy IN ('purchase', 'error') GROUP BY 1, 2),
+r AS (SELECT user_id, sec // 86400 AS day, count(*) / 86400 AS rate FROM m WHERE strategy IN ('view', 'click') GROUP BY 1, 2)
+SELECT g.user_id, g.day, round(passed / total, 6) AS pass_rate, round(rate, 9) AS traffic FROM g JOIN r ON r.user_id = g.user_id AND r.day = g.day WHERE passed / total < 0.5 AND rate > 0.00002""",
+)
+def telemetry_tenant_quality(spark, sf_dir):
+    """Days on which less than half of a tenant's gradings passed, while it asked more than once."""
+    rows, keys = metrics(spark, sf_dir).withColumn("day", F.floor(F.col("sec") / 86400)), ["user_id", "day"]
+    graded = telemetry.ratio(rows.where(F.col("strategy").isin("purchase", "error")), keys, F.col("strategy") == "purchase")
+    low = graded.where(F.col("hits") / F.col("total") < 0.5).select(*keys, F.col("ratio").alias("pass_rate"))
+    return telemetry.guarded(low, rows.where(F.col("strategy").isin("view", "click")), keys, 0.00002, 86400)
+
+
+@query(
+    "telemetry_tenant_latency",
+    f"""
+WITH {_M}, {_H.replace("strategy", "user_id")}, {_Q.format(q=0.95).replace("strategy", "user_id")},
+p AS (SELECT user_id, {_V} AS quantile FROM r WHERE n >= want AND below < want GROUP BY user_id),
+t AS (SELECT user_id, count(*) / 2592000 AS rate FROM m WHERE strategy IN ('view', 'click') GROUP BY 1)
+SELECT p.user_id, quantile, round(rate, 9) AS traffic FROM p JOIN t ON t.user_id = p.user_id WHERE quantile > 10 AND rate > 0.00001""",
+)
+def telemetry_tenant_latency(spark, sf_dir):
+    """Tenants whose 95th percentile is above ten seconds, with traffic enough over the thirty days."""
+    rows = metrics(spark, sf_dir)
+    slow = telemetry.quantile(telemetry.histogram(rows, ["user_id"], "latency"), ["user_id"], 0.95).where("quantile > 10")
+    return telemetry.guarded(slow, rows.where(F.col("strategy").isin("view", "click")), ["user_id"], 0.00001, 2592000)
