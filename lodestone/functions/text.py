@@ -44,6 +44,57 @@ def hrefs(html: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(html, F.lit('<a[^>]* href="([^"]*)"'), 1))
 
 
+def joined_url(base: Column, reference: Column) -> Column:
+    """A reference taken from the page at ``base``, as RFC 3986 resolves it: dot segments go, another scheme or host stays as it is. Empty segments of a relative path go too."""
+    page = F.regexp_replace(base, r"#[\s\S]*$", "")
+    origin = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    bare = F.regexp_replace(page, r"\?[\s\S]*$", "")
+    folder = F.regexp_replace(F.substring(bare, F.length(origin) + 1, F.length(bare)), r"[^/]*$", "")
+    said = F.trim(reference)
+    rest = F.regexp_extract(said, r"^([^?#]*)([\s\S]*)$", 2)
+    path = F.regexp_extract(said, r"^([^?#]*)", 1)
+
+    def step(done, part):
+        return F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    def without_dots(path):
+        parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        last = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+        return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last, F.lit("/")).otherwise(F.lit("")))
+
+    rooted = F.when(F.startswith(path, F.lit("/")), path).otherwise(F.regexp_replace(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path), "/{2,}", "/"))
+    scheme = F.regexp_extract(page, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    return (
+        F.when(said.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), said)
+        .when(F.startswith(said, F.lit("//")), F.concat(scheme, said))
+        .when(path == "", F.concat(F.when(F.startswith(said, F.lit("?")), bare).otherwise(page), rest))
+        .otherwise(F.concat(origin, without_dots(rooted), rest))
+    )
+
+
+def html_references(html: Column) -> Column:
+    """Targets of anchors, quoted either way or not at all, repeats included."""
+    found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), 1)
+    return F.transform(found, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
+
+
+def markdown_references(markdown: Column) -> Column:
+    """Targets of ``[text](target)``, repeats included."""
+    return F.regexp_extract_all(markdown, F.lit(r"\[[^\]]*\]\(([^)]+)\)"), 1)
+
+
+def site_links(references: Column, base: Column) -> Column:
+    """References resolved against their page, normalised, each once, in order; only those of the page's own host and port."""
+    urls = F.transform(references, lambda x: normalised_url(joined_url(base, x)))
+    return F.array_distinct(F.filter(urls, lambda u: u.isNotNull() & (F.lower(url_host(u)) == F.lower(url_host(base)))))
+
+
+def markdown_title(markdown: Column) -> Column:
+    """The first heading of the first level; null where there is none."""
+    return F.nullif(F.trim(F.regexp_extract(markdown, r"(?m)^#[ \t]+(\S.*)$", 1)), F.lit(""))
+
+
 def title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(html, "<title>([^<]*)</title>", 1)), F.lit(""))
 

@@ -16,9 +16,7 @@ def crawl(pages: DataFrame, start: DataFrame, max_depth: int, include: str | Non
     exclude is searched in them. Pages that aren't in the table end the way.
     """
     known = pages.select(text.normalised_url(F.col("url")).alias("url"), "html")
-    links = known.select(F.col("url").alias("src"), F.explode(text.hrefs(F.col("html"))).alias("href"))
-    absolute = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(F.regexp_extract("src", "^https?://[^/]+", 0), F.col("href")))
-    links = links.select("src", text.normalised_url(absolute).alias("dst")).where(text.url_host(F.col("src")) == text.url_host(F.col("dst"))).distinct()
+    links = known.select(F.col("url").alias("src"), F.explode(text.site_links(text.html_references(F.col("html")), F.col("url"))).alias("dst")).distinct()
     if include:
         links = links.where(F.col("dst").rlike(include))
     if exclude:

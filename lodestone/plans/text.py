@@ -154,6 +154,23 @@ def page_links(spark, sf_dir):
     )
 
 
+_TO = r"list_transform(regexp_extract_all(html, '<a[^>]* href=\"([^\"]*)\"', 1), lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN x ELSE regexp_extract(url, '^https?://[^/?#]+') || x END)"
+
+
+@query(
+    "page_site_links",
+    rf"""
+WITH l AS (SELECT page_id, url, unnest({_TO} || list_transform(range(1, 4), lambda i: regexp_extract(url, '^https?://[^/?#]+') || '/up' || i)) AS link FROM pages),
+n AS (SELECT DISTINCT page_id, url, regexp_replace(regexp_replace(link, '#.*$', ''), '/+$', '') AS link FROM l)
+SELECT page_id, link FROM n WHERE regexp_matches(link, '^https?://') AND lower(regexp_extract(link, '^https?://([^/?#]+)', 1)) = lower(regexp_extract(url, '^https?://([^/?#]+)', 1))""",
+)
+def page_site_links(spark, sf_dir):
+    """Links of every page within its site, with three more of a Markdown text that climbs to the root."""
+    climbed = F.lit("# Up\n[a](" + "../" * 9 + "up1/) and [b](" + "../" * 9 + "x/./../up2#part), [c](/y/../up3)")
+    found = F.concat(text.html_references(F.col("html")), text.markdown_references(climbed))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(text.site_links(found, F.col("url"))).alias("link"))
+
+
 @query(
     "page_filter",
     r"""
