@@ -1,9 +1,10 @@
+import hashlib
 import math
 import random
 import re
 from collections import Counter
 
-from lodestone.llm import pii
+from lodestone.llm import pii, queries
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -99,6 +100,19 @@ def test_secrets(spark):
     assert pii.secret_spans("chpfheitschverheiten" * 2 + " 12345678901234567890123456", []) == []
 
 
+def test_the_querys_base_holds_the_patterns_alone(spark, tmp_path):
+    """Secrets and terms are of the method: the hash of the base is that of texts without either."""
+    key, names = "sk9fK2mQ8xZ1vB7nL4pT6wR3", list(PATTERNS)
+    texts = [f"mail a@b.com key {key} from 10.0.0.1", f"key {key} alone", "call +1 555 123 4567", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op5_pii(spark, str(tmp_path)).collect()}
+    assert all("secret:" in got[d]["spans"] for d in (0, 1))
+    for d, text in enumerate(texts):
+        base = brute(text or "")
+        assert got[d]["base_sha256"] == hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()
+        assert [got[d][f"n_{n}"] for n in names] == [sum(k == i for _, k, _ in base) for i in range(4)]
+
+
 def test_any_long_is_an_id(spark):
     ids = [(1 << 53) + 1, None, (1 << 60) + 3, 1 << 62, -(1 << 60) - 1]
     docs = spark.createDataFrame([(d, f"m{i}@a{i}.org", "x", None if i else 1 << 60) for i, d in enumerate(ids)], "doc_id long, text string, text_key string, new_text long").coalesce(1)
