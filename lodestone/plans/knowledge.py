@@ -79,14 +79,14 @@ def traversal_result(spark, sf_dir):
 WITH RECURSIVE {_V}, {_P}, {_BOTH}, s AS (SELECT id FROM v WHERE type = 'nation' AND contains(name, '1')),
 d(id, hops) AS (SELECT id, 0 FROM s UNION SELECT ways.dst, hops + 1 FROM d JOIN ways ON ways.src = d.id WHERE hops < 1),
 m AS (SELECT id, min(hops) AS hops FROM d GROUP BY id)
-SELECT * FROM (SELECT id, hops = 0 AS seed, row_number() OVER (ORDER BY hops, id) AS place FROM m) WHERE place <= 50""",
+SELECT id, hops = 0 AS seed, row_number() OVER (ORDER BY hops, id) AS place FROM m""",
 )
 def seeds_first(spark, sf_dir):
-    """The first fifty of seeds and what they touch, each entity once, the seeds first."""
+    """Seeds and all that they touch, each entity once, the seeds first."""
     v = vertices(spark, sf_dir)
     seeds = v.where((F.col("type") == "nation") & F.contains("name", F.lit("1"))).select("id")
-    reached = graph.distances(part_of(spark, sf_dir), seeds, 1).orderBy("hops", "id").limit(50)
-    return reached.select("id", (F.col("hops") == 0).alias("seed"), F.row_number().over(Window.orderBy("hops", "id")).alias("place"))
+    reached = graph.numbered(graph.distances(part_of(spark, sf_dir), seeds, 1), "hops", "id")
+    return reached.select("id", (F.col("hops") == 0).alias("seed"), "place")
 
 
 @query(
