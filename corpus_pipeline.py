@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, lines, mixing, quality, shingles
+from lodestone.llm import bpe, lines, mixing, quality, shingles, simhash
 from lodestone.llm.common import Scratch, drop_made_since, free_names, made_so_far
 from lodestone.sources import table
 
@@ -25,8 +25,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest id of each group linked by 0.8 of its five-word shingles, rows without an id last."""
-    return shingles.one_per_group(docs, shingles.near_duplicates(docs))
+    """The row of the smallest id of each group linked by fingerprints, as in ``op9``, or by 0.8 of its five-word shingles, rows without an id last.
+
+    Near copies mostly differ in more than the four bits of the trie join, so shingles add the links that it can't see.
+    """
+    return shingles.one_per_group(docs, shingles.near_duplicates(docs, linked=simhash.text_groups(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

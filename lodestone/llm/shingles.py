@@ -47,12 +47,14 @@ def text_key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", linked: DataFrame | None = None) -> DataFrame:
     """Rows (doc_id, component_id, text_key, group), one per document row; ``component_id``: the smallest id of the linked group.
 
     Texts of the same words are one node, and so are all texts without a word. A row
     with a null id takes part; if no document of its group has an id, ``component_id``
     is null. ``group`` tells groups apart where ids can't, ``text_key`` the rows of one id.
+    ``linked``: rows (text_key, link) of texts that belong together whatever their shingles; their
+    groups and those of shingles are joined into one where they meet.
     """
     scratch = Scratch(docs.sparkSession, "shingles")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -85,7 +87,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(text_key(text_col).alias("text_key"), text.alias("text")).join(wanted, "text_key").select("node", "text").dropDuplicates(["node"])
     own = scratch.keep(with_computed(own, [F.col("text")], [("own", "array<long>", longs)], owned).drop("text"), "own")
     placed = scratch.keep(met.join(own, "node").join(nodes.select("node", "fp"), "node").select("family", "node", "fp", "own"), "placed")
-    groups = components(minhash.verified_links(placed, scratch, TILE, BUDGET, similar), scratch)
+    links = minhash.verified_links(placed, scratch, TILE, BUDGET, similar).select("a", "b")
+    if linked is not None:
+        held = scratch.keep(nodes.select("node", "text_key").join(linked, "text_key").select("node", "link"), "held")
+        least = held.groupBy("link").agg(F.min("node").alias("least"))
+        links = links.union(held.join(least, "link").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    groups = components(links, scratch)
     grouped = nodes.select("node", "rep").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("group"), "rep")
     grouped = scratch.keep(grouped, "grouped")
     first = scratch.keep(grouped.groupBy("group").agg(F.min("rep").alias("component_id")), "first")

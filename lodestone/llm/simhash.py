@@ -217,6 +217,20 @@ def fingerprint_links(prints: DataFrame, scratch: Scratch, budget: int = 4) -> D
     return out.distinct() if out is not None else spark.createDataFrame([], "a long, b long")
 
 
+def text_groups(docs: DataFrame, text_col: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
+    """Rows (text_key, link), one per different text: texts of one ``link`` are connected within ``budget`` bits, by the same join.
+
+    ``text_key`` is the hash of the whole text, null being empty.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash-texts")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    rows = scratch.keep(fingerprints(keyed, words=words).distinct(), "rows")
+    prints = scratch.keep(rows.select("fp").distinct(), "prints")
+    groups = components(fingerprint_links(prints, scratch, budget), scratch)
+    return rows.join(groups, rows["fp"] == groups["node"], "left").select(F.col("doc_id").alias("text_key"), F.coalesce("component", "fp").alias("link"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one per document row.
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import corpus_pipeline
-from lodestone.llm import bpe, lines, quality
+from lodestone.llm import bpe, lines, quality, shingles, simhash
 from lodestone.llm.common import Scratch
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_quality import brute_kept
@@ -90,6 +90,23 @@ def test_ids_are_not_rows_and_names_clash(spark, tmp_path):
     assert sorted(r["decoded_sha256"] for r in out) == sorted(hashes)
 
 
+def test_near_copies_by_fingerprints_and_by_shingles(spark, tmp_path):
+    """Both ways count: a text whose repeats rule its fingerprint, and one that shares shingles but few bits; groups of either meet."""
+    rnd, folder = random.Random(4), str(tmp_path)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(6))
+    said, more = [word() for _ in range(100)], [word() for _ in range(60)]
+    repeated = said * 40
+    loose = [*said, *(word() for _ in range(12))]
+    texts = [" ".join(repeated), " ".join(repeated + more), " ".join(loose), " ".join(said), " ".join(word() for _ in range(120))]
+    prints = [simhash.fingerprint(t) for t in texts]
+    sets = [shingles.shingles(t) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 and not shingles.similar(sets[0], sets[1])
+    assert (prints[2] ^ prints[3]).bit_count() > 4 and shingles.similar(sets[2], sets[3])
+    spark.createDataFrame([(i + 1, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    docs = corpus_pipeline.table(spark, folder, "documents")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, folder).collect()) == [1, 5]
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "mix_sources", "encode"]
     assert lines.MIN_WORDS == 5 and bpe.LEXICON_WORDS <= 1 << 16
