@@ -7,13 +7,17 @@ from their lineage by a reliable checkpoint. Nothing of a vertex or a community
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.graph import cut
+from lodestone.operators.graph import coded, cut
 
 #: Digits of a gain that count: sums of weights may differ in their last bits from run to run.
 DIGITS = 9
+#: Vertices up to which labels go to all tasks, at 24 bytes each; beyond, they are dealt out and joined.
+BROADCAST_VERTICES = 2_000_000
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -40,19 +44,28 @@ def local_moves(links: DataFrame, rounds: int = 12, start: DataFrame | None = No
     nothing. A vertex's loop stays with it wherever it goes, so it counts for its degree and
     for no gain.
     """
-    both = both_ways(links)
+    ids, both = coded(links, None if start is None else start.select(F.col("label").alias("id")))
+    # from here to the end vertices and labels are longs in the order of their ids; whose turn a round is comes from the ids
+    turns = reduce(lambda x, i: x.bitwiseOR(F.when(F.xxhash64("id", F.lit(i)) % 2 == 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")), range(rounds), F.lit(0).cast("long"))
+    names = ids.select("code", turns.alias("turns"))
     degree = both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("degree"))
-    first = degree.withColumn("label", F.col("id")) if start is None else degree.join(start, "id")
-    labels = cut(first.select("id", "label", "degree"))
-    near = cut(both.where("a <> b").join(labels.select(F.col("id").alias("a"), "degree"), "a").select("a", "b", "weight", "degree"))
+    if start is None:
+        first = degree.withColumn("label", F.col("id"))
+    else:
+        named = start.join(ids, "id").select(F.col("code").alias("vertex"), F.col("label").alias("id"))
+        first = degree.join(named.join(ids, "id").select(F.col("vertex").alias("id"), F.col("code").alias("label")), "id")
+    labels = cut(first.join(names.withColumnRenamed("code", "id"), "id").select("id", "label", "degree", "turns"))
+    small = labels.count() <= BROADCAST_VERTICES
+    sent = F.broadcast if small else (lambda x: x)
+    near = cut(both.where("a <> b").join(sent(labels.select(F.col("id").alias("a"), "degree")), "a").select("a", "b", "weight", "degree"))
     twice, loops = both.agg(F.sum("weight"), F.sum(F.when(F.col("a") == F.col("b"), F.col("weight")).otherwise(0.0))).first()
     twice, best, history, settled = twice or 1.0, labels, [], False
     for i in range(rounds + 1):
         totals = labels.groupBy("label").agg(F.sum("degree").alias("total"))
-        inside = near.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label", "degree", "weight", F.lit(False).alias("stays"))
+        inside = near.join(sent(labels.select(F.col("id").alias("b"), "label")), "b").select(F.col("a").alias("id"), "label", "degree", "weight", F.lit(False).alias("stays"))
         own = labels.select("id", "label", "degree", F.lit(0.0).alias("weight"), F.lit(True).alias("stays"))
         options = inside.union(own).groupBy("id", "label", "degree").agg(F.sum("weight").alias("inside"), F.max("stays").alias("stays"))
-        options = cut(options.join(totals, "label"))
+        options = cut(options.join(sent(totals), "label"))
         # the options to stay hold all that modularity needs: twice the links inside, and the squares of totals vertex by vertex
         now = options.where("stays").agg(F.sum("inside"), F.sum(F.col("degree") * F.col("total"))).first()
         history.append(((now[0] or 0.0) + (loops or 0.0)) / twice - (now[1] or 0.0) / (twice * twice))
@@ -64,10 +77,12 @@ def local_moves(links: DataFrame, rounds: int = 12, start: DataFrame | None = No
         gain = F.round(F.col("inside") - F.col("degree") * rest / twice, DIGITS)
         choice = F.min(F.struct((-gain).alias("g"), (~F.col("stays")).alias("leaves"), "label"))["label"]
         placed = options.groupBy("id", "degree").agg(choice.alias("chosen"), F.max(F.when(F.col("stays"), F.col("label"))).alias("was"))
-        moves = F.xxhash64("id", F.lit(i)) % 2 == 0
-        labels = cut(placed.select("id", F.when(moves, F.col("chosen")).otherwise(F.col("was")).alias("label"), "degree", (F.col("chosen") != F.col("was")).alias("wants")))
+        moves = F.col("turns").bitwiseAND(F.lit(1 << i).cast("long")) != 0
+        placed = placed.join(labels.select("id", "turns"), "id")
+        labels = cut(placed.select("id", F.when(moves, F.col("chosen")).otherwise(F.col("was")).alias("label"), "degree", "turns", (F.col("chosen") != F.col("was")).alias("wants")))
         settled = labels.where("wants").isEmpty()  # no vertex would rather be elsewhere, whoever's turn it is
-    return best.select("id", "label"), history
+    back = best.select(F.col("id").alias("code"), "label").join(ids, "code").select("id", F.col("label").alias("code"))
+    return cut(back.join(ids.select("code", F.col("id").alias("label")), "code").select("id", "label")), history
 
 
 def refine(links: DataFrame, labels: DataFrame, rounds: int = 12) -> DataFrame:
@@ -125,7 +140,7 @@ def _through(placed: DataFrame | None, labels: DataFrame) -> DataFrame:
 
 def louvain(links: DataFrame, levels: int = 4, rounds: int = 12) -> DataFrame:
     """(id, level, label): communities by local moves, then of the graph of communities, while modularity rises."""
-    found, placed, graph, score = None, None, links, None
+    found, placed, graph, score = None, None, cut(links.select("a", "b", "weight")), None
     for level in range(levels):
         labels, history = local_moves(graph, rounds)
         if score is not None and max(history) <= score + 1e-9:
@@ -175,7 +190,8 @@ def leiden(links: DataFrame, levels: int = 4, rounds: int = 12) -> DataFrame:
     parts may leave a community that merging it whole would have bound for good. The last
     partition is split where it isn't connected.
     """
-    graph, start, nodes, result = links, None, None, None
+    graph = whole = cut(links.select("a", "b", "weight"))
+    start = nodes = result = None
     for _ in range(levels):
         labels, _ = local_moves(graph, rounds, start)
         result = _through(nodes, labels)
@@ -186,7 +202,7 @@ def leiden(links: DataFrame, levels: int = 4, rounds: int = 12) -> DataFrame:
         # a part is named after the vertex that the others joined, and lies in its community
         start = cut(parts.select("label").distinct().join(labels.select(F.col("id").alias("label"), F.col("label").alias("community")), "label").select(F.col("label").alias("id"), F.col("community").alias("label")))
         graph = merged(graph, parts)
-    return connected(result, links)
+    return connected(result, whole)
 
 
 def hierarchy(links: DataFrame, labels: DataFrame, levels: int = 3, rounds: int = 12) -> DataFrame:
