@@ -18,6 +18,7 @@ def windows(df: DataFrame, keys: list[str], content: Column, size: int, overlap:
     split = df.select(*keys, text.words(F.coalesce(content, F.lit(""))).alias("all_words")).where(F.size("all_words") > 0)
     n = F.size("all_words")
     last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
-    rows = split.select(*keys, "all_words", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    own = F.slice("all_words", F.col("chunk_index") * step + 1, size)
-    return rows.select(*keys, "chunk_index", F.array_join(own, " ").alias("content"), F.least(F.lit(size), n - F.col("chunk_index") * step).alias("tokens"))
+    # a row takes its own words only: the words of the whole text aren't repeated beside each window
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("all_words", i * step + 1, size), " ").alias("said"), F.least(F.lit(size), n - i * step).alias("n")))
+    rows = split.select(*keys, F.explode(cut).alias("window"))
+    return rows.select(*keys, F.col("window.i").alias("chunk_index"), F.col("window.said").alias("content"), F.col("window.n").alias("tokens"))

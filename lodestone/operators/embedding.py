@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,36 +13,40 @@ from pyspark.sql.functions import pandas_udf
 from lodestone.functions import text
 
 
-def features(content: Column) -> Column:
-    """Lower-case words of a text and its pairs of neighbouring words, repeats included; none for null."""
-    words = text.words(F.lower(F.coalesce(content, F.lit(""))))
-    return F.concat(words, F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
-
-
-def codes(found: Column, size: int) -> Column:
-    """Twice the place of each feature, and one more where it counts negatively: both by its MD5."""
+#: Codes of features that a task remembers.
+REMEMBERED = 200_000
 
-    def code(feature):
-        digest = F.md5(feature)
-        number = lambda a, n: F.conv(F.substring(digest, a, n), 16, 10).cast("long")
-        return (number(1, 8) % size * 2 + number(9, 1) % 2).cast("int")
 
-    return F.transform(found, code)
+def code(feature: str, size: int) -> int:
+    """Twice the place of a feature, and one more where it counts negatively: both by its MD5."""
+    digest = hashlib.md5(feature.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+    return int.from_bytes(digest[:4], "big") % size * 2 + (digest[4] >> 4 & 1)
 
 
 def text_vectors(df: DataFrame, content: Column, size: int = 256, clip: int | None = None) -> DataFrame:
     """``df`` with vector, an array of ``size`` doubles of length one; all zeros for a text without words, and for null.
 
-    A narrow map: the places are hashed by built-in functions, tasks add them up batch by
-    batch. ``clip`` cuts texts to so many characters, as services with a limit do; whole
-    texts are taken without it.
+    Features are the lower-case words and the pairs of neighbouring ones, repeats included.
+    Words come out of built-in functions; tasks hash each feature once, as far as they
+    remember it, and add up text by text. ``clip`` cuts texts to so many characters, as
+    services with a limit do; whole texts are taken without it.
     """
+    known: dict[str, int] = {}
 
     @pandas_udf("array<double>")
-    def added(places: pd.Series) -> pd.Series:
+    def added(said: pd.Series) -> pd.Series:
         out = []
-        for row in places:
-            row = np.asarray(row, np.int64)
+        for words in said.str.split(" "):
+            words = words if words != [""] else []
+            found = [*words, *map(" ".join, zip(words, words[1:], strict=False))]
+            if len(known) > REMEMBERED:
+                known.clear()
+            row = np.empty(len(found), np.int64)
+            for i, x in enumerate(found):
+                c = known.get(x)
+                if c is None:
+                    c = known[x] = code(x, size)
+                row[i] = c
             total = np.bincount(row >> 1, 1.0 - 2.0 * (row & 1), size)
             norm = np.sqrt(total @ total)
             out.append(total / norm if norm > 0 else total)
@@ -48,4 +54,5 @@ def text_vectors(df: DataFrame, content: Column, size: int = 256, clip: int | No
 
     if clip is not None:
         content = F.substring(content, 1, clip)
-    return df.withColumn("vector", added(codes(features(content), size)))
+    # said to be nondeterministic, so that Spark doesn't work the vectors out again for each use of them
+    return df.withColumn("vector", added.asNondeterministic()(F.array_join(text.words(F.lower(F.coalesce(content, F.lit("")))), " ")))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import vector_search
+
 
 def slices(vector: Column, parts: int, width: int) -> Column:
     """A vector as ``parts`` token vectors of ``width`` components."""
@@ -47,8 +49,7 @@ def partitioned(vectors: DataFrame, id_col: str, vector_col: str, lists: int, sa
 def probed(index: DataFrame, centroids: list, queries: DataFrame, probes: int, k: int) -> DataFrame:
     """(query_id, id, similarity, rank): the nearest among rows in each query's ``probes`` nearest lists, itself left out.
 
-    Queries (id, vector) meet the lists they ask for by an equi-join; within a list
-    products are computed in blocks of the list's rows, never as rows of pairs.
+    Queries (id, vector) meet the lists they ask for as groups of a block search, so no pair of rows is a row.
     """
     centres = np.array(centroids)
 
@@ -59,26 +60,6 @@ def probed(index: DataFrame, centroids: list, queries: DataFrame, probes: int, k
             part = part.assign(lists=near.tolist())
             yield part
 
-    block = F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")  # a hot list is many tasks' work
     wanted = queries.select("id", unit(F.col("vector")).alias("vector")).mapInPandas(asked, "id long, vector array<double>, lists array<int>")
     wanted = wanted.select("id", "vector", F.explode("lists").alias("list"))
-    wanted = wanted.groupBy("list", F.pmod(F.xxhash64("id"), F.lit(16)).alias("q_block")).agg(F.collect_list(F.struct("id", "vector")).alias("queries"))
-    rows = index.groupBy("list", block.alias("block")).agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-
-    def nearest(batches):
-        import pandas as pd
-
-        for part in batches:
-            out = []
-            for queries_, rows_ in zip(part["queries"], part["rows"], strict=True):
-                ids, matrix = np.array([r["id"] for r in rows_], np.int64), np.stack([r["vector"] for r in rows_])
-                sims = np.round(np.stack([q["vector"] for q in queries_]) @ matrix.T, 6)
-                for q, own in zip(queries_, sims, strict=True):
-                    order = np.lexsort((ids, -own))
-                    order = order[ids[order] != q["id"]][:k]
-                    out.append(pd.DataFrame({"query_id": q["id"], "id": ids[order], "similarity": own[order]}))
-            if out:
-                yield pd.concat(out)
-
-    found = wanted.join(rows, "list").select("queries", "rows").mapInPandas(nearest, "query_id long, id long, similarity double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
+    return vector_search.topk(index.select("id", "vector", "list"), wanted, "id", "vector", k, -2.0, "list")

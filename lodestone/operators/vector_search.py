@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
+#: Queries of a block that a task compares at once.
+ASKED = 256
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -59,11 +61,19 @@ def topk(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k:
         out = []
         for row in part.itertuples():
             q, c = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.c_ids, np.int64)
-            sims = np.round(np.frombuffer(row.q_unit).reshape(len(q), -1) @ np.frombuffer(row.c_unit).reshape(len(c), -1).T, digits)
-            for i in range(len(q)):
-                near = np.flatnonzero((sims[i] >= threshold) & (c != q[i]))
-                near = near[np.lexsort((c[near], -sims[i][near]))][:k]
-                out.append(pd.DataFrame({"query_id": q[i], "id": c[near], "similarity": sims[i][near]}))
+            asked, held = np.frombuffer(row.q_unit).reshape(len(q), -1), np.frombuffer(row.c_unit).reshape(len(c), -1)
+            for at in range(0, len(q), ASKED):
+                sims = np.round(asked[at : at + ASKED] @ held.T, digits)
+                sims[~(sims >= threshold) | (c[None, :] == q[at : at + ASKED, None])] = -np.inf
+                # what reaches the k-th greatest, its equals included, is all that can be among the best
+                kth = np.partition(sims, len(c) - k, axis=1)[:, len(c) - k] if k < len(c) else np.full(len(sims), -np.inf)
+                i, j = np.nonzero((sims >= kth[:, None]) & (sims > -np.inf))
+                order = np.lexsort((c[j], -sims[i, j], i))
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, i)
+                kept = np.arange(len(i)) - first < k
+                i, j = i[kept], j[kept]
+                out.append(pd.DataFrame({"query_id": q[at + i], "id": c[j], "similarity": sims[i, j]}))
         return pd.concat(out)
 
     # every block of queries goes to every block of its group's rows under a key of its own, so no key is hot

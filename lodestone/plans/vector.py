@@ -117,9 +117,9 @@ def _chunk_vectors(spark, sf_dir):
 @query("chunk_vectors", f"WITH {_PLACES} SELECT id, count(*) AS places, round(max(abs(value) / norm), 9) AS peak, CAST(arg_min(place, (-abs(value), place)) AS INT) AS peak_at FROM u WHERE id >= 0 GROUP BY id")
 def chunk_vectors(spark, sf_dir):
     """Chunks of all documents as hashed vectors: how many places aren't zero, and the first of the greatest."""
-    places = F.filter(F.transform("vector", lambda x, i: F.struct(F.abs(x).alias("size"), (-i).alias("at"))), lambda s: s["size"] > 0)
-    rows = _chunk_vectors(spark, sf_dir).select("id", places.alias("p")).withColumn("top", F.array_max("p"))
-    return rows.where(F.size("p") > 0).select("id", F.size("p").cast("long").alias("places"), F.round("top.size", 9).alias("peak"), (-F.col("top.at")).alias("peak_at"))
+    sizes = _chunk_vectors(spark, sf_dir).select("id", F.transform("vector", F.abs).alias("sizes"))
+    rows = sizes.select("id", F.size(F.filter("sizes", lambda x: x > 0)).cast("long").alias("places"), F.array_max("sizes").alias("top"), "sizes")
+    return rows.where("places > 0").select("id", "places", F.round("top", 9).alias("peak"), (F.array_position("sizes", F.col("top")) - 1).cast("int").alias("peak_at"))
 
 
 @query(

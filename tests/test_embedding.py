@@ -30,3 +30,10 @@ def test_vectors(spark):
     assert all(abs(a - b) < 1e-12 for a, b in zip(clipped, plain("the CAT sat", 16), strict=True))
     assert embedding.text_vectors(df.limit(0), F.col("text")).count() == 0
     assert {len(r["vector"]) for r in embedding.text_vectors(df.where("text IS NULL"), F.col("text"), 8).collect()} == {8}
+
+
+def test_vectors_are_worked_out_once(spark):
+    """However often a plan uses the vectors, one Python node makes them."""
+    df = embedding.text_vectors(spark.createDataFrame([(1, "a b")], "id long, text string"), F.col("text"))
+    used = df.select("id", F.size(F.filter("vector", lambda x: x != 0)).alias("n"), F.array_max("vector").alias("top")).where("n > 0")
+    assert used._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and used.first()["n"] == 3

@@ -64,3 +64,19 @@ def test_empty_index_and_limits(spark, tmp_path):
     assert vector_index.search(none, "id", "v", str(tmp_path / "one"), 4, 5).count() == 0
     with pytest.raises(ValueError):
         vector_index.create(ask, "id", "v", str(tmp_path / "bad"), lists=0)
+
+
+def test_slices_of_queries_keep_equals_in_order(spark):
+    """More queries than a slice holds, equal similarities at the k-th place, and vectors without a direction."""
+    from lodestone.operators import vector_search
+
+    assert vector_search.ASKED < 300
+    rows = [(i, [float(i % 3), 1.0, 0.0] if i % 7 else [0.0, 0.0, 0.0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    unit = {i: [x / (sum(y * y for y in v) ** 0.5 or 1.0) for x in v] for i, v in rows}
+    got = {}
+    for r in vector_search.topk(df, df, "id", "v", 4, 0.5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["similarity"]))
+    for q, own in unit.items():
+        sims = sorted((-round(sum(a * b for a, b in zip(own, v, strict=True)), 6), i) for i, v in unit.items() if i != q)
+        assert sorted(got.get(q, [])) == [(k + 1, i, -s) for k, (s, i) in enumerate([x for x in sims if -x[0] >= 0.5][:4])], q
