@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import term_search
+from lodestone.operators.graph import cut
+
+
+def _terms(text_col: str) -> Column:
+    return F.split(F.lower(text_col), "[^a-z0-9]+")
+
 
 def term_counts(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """Rows (key, term, tf): lower-case runs of a-z and digits of three characters or more."""
-    words = F.filter(F.split(F.lower(text_col), "[^a-z0-9]+"), lambda x: F.length(x) >= 3)
+    words = F.filter(_terms(text_col), lambda x: F.length(x) >= 3)
     return df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -20,6 +27,15 @@ def sparse_scores(queries: DataFrame, docs: DataFrame, query_key: str, doc_key:
     return joined.groupBy(query_key, doc_key).agg(F.sum(F.col("q_tf") * F.col("tf")).alias("dot"), F.count(F.lit(1)).alias("overlap"))
 
 
+def best_scores(items: DataFrame, docs: DataFrame, item_key: str, doc_key: str, text_col: str, k: int) -> DataFrame:
+    """Rows (item, doc, dot, overlap) of :func:`sparse_scores`, those that can be among an item's best ``k`` by either score."""
+    asked = cut(term_counts(items, item_key, text_col))
+    single, repeated = term_search.by_id(docs.select(doc_key, text_col), doc_key)
+    # shorter words of a document meet no term of an item
+    best = term_search.best_scores(asked, single, item_key, doc_key, _terms(text_col), k)
+    return best.unionByName(sparse_scores(asked, term_counts(repeated, doc_key, text_col), item_key, doc_key))
+
+
 def reciprocal_rank_fusion(scores: DataFrame, query_key: str, doc_key: str, weights: dict[str, float], fetch: int, k: int = 60) -> DataFrame:
     """Rows (query, doc, score, rank): each list's best ``fetch`` give weight / (k + rank).
 
@@ -40,9 +56,13 @@ def shared_passages(items: DataFrame, docs: DataFrame, item_key: str, doc_key: s
     def grams(df: DataFrame, key: str) -> DataFrame:
         split = df.select(key, F.split("text", r"\s+").alias("w")).where(F.size("w") >= words)
         runs = F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.concat_ws(" ", F.slice("w", i, words)))
-        return split.select(key, F.explode(F.array_distinct(runs)).alias("gram"))
+        return split.select(key, F.explode(runs).alias("gram")).distinct()
 
-    return grams(items, item_key).join(grams(docs, doc_key), "gram").groupBy(item_key, doc_key).agg(F.count(F.lit(1)).alias("grade"))
+    single, repeated = term_search.by_id(docs.select(doc_key, "text"), doc_key)
+    said = items.select(item_key, F.split("text", r"\s+").alias("w"))
+    found = term_search.shared_runs(said, single, item_key, doc_key, F.split("text", r"\s+"), words)
+    joined = grams(items, item_key).join(grams(repeated, doc_key), "gram").groupBy(item_key, doc_key).agg(F.count(F.lit(1)).alias("grade"))
+    return found.unionByName(joined)
 
 
 def evaluate(queries: DataFrame, ranked: DataFrame, qrels: DataFrame, query_key: str, doc_key: str, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import evidence, ranking
+from lodestone.operators.graph import cut
 from lodestone.plans import fusion, vector
 from lodestone.plans.registry import query
 from lodestone.plans.telemetry import metrics
@@ -154,7 +155,7 @@ SELECT ea.item_id, {', '.join(f'round(ea.{c} - eb.{c}, 6) AS {c}_delta' for c in
 def eval_baseline(spark, sf_dir):
     """Metrics of the fused ranking less those of the term-overlap ranking."""
     items = table(spark, sf_dir, "benchmark").select("item_id")
-    scored, rel = fusion._scored(spark, sf_dir), fusion._qrels(spark, sf_dir)
+    scored, rel = cut(fusion._scored(spark, sf_dir, 20)), cut(fusion._qrels(spark, sf_dir))
     alone = ranking.reciprocal_rank_fusion(scored, "item_id", "doc_id", {"overlap": 1.0}, fetch=20)
-    new, old = (ranking.evaluate(items, ranked, rel, "item_id", "doc_id", 10) for ranked in (fusion._fused(spark, sf_dir), alone))
+    new, old = (ranking.evaluate(items, ranked, rel, "item_id", "doc_id", 10) for ranked in (fusion._fused(scored), alone))
     return evidence.baseline_delta(new, old, "item_id", ["rr", "ndcg", "precision_at_k", "recall_at_k"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring
 from lodestone.operators import ranking
+from lodestone.operators.graph import cut
 from lodestone.plans.registry import query
 from lodestone.sources import table
 
@@ -77,16 +78,12 @@ ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS gram FROM (S
 rel AS (SELECT item_id, doc_id, count(*) AS grade FROM ig JOIN dg USING (gram) GROUP BY 1, 2)"""
 
 
-def _terms(df, key):
-    return ranking.term_counts(df, key, "text")
+def _scored(spark, sf_dir, k):
+    return ranking.best_scores(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", "text", k)
 
 
-def _scored(spark, sf_dir):
-    return ranking.sparse_scores(_terms(table(spark, sf_dir, "benchmark"), "item_id"), _terms(table(spark, sf_dir, "documents"), "doc_id"), "item_id", "doc_id")
-
-
-def _fused(spark, sf_dir):
-    return ranking.reciprocal_rank_fusion(_scored(spark, sf_dir), "item_id", "doc_id", {"overlap": 0.7, "dot": 0.3}, fetch=20)
+def _fused(scored):
+    return ranking.reciprocal_rank_fusion(scored, "item_id", "doc_id", {"overlap": 0.7, "dot": 0.3}, fetch=20)
 
 
 def _qrels(spark, sf_dir):
@@ -97,13 +94,13 @@ def _qrels(spark, sf_dir):
 def sparse_topk(spark, sf_dir):
     """Best ten documents of each passage by the dot product of term counts."""
     order = Window.partitionBy("item_id").orderBy(F.desc("dot"), "doc_id")
-    return _scored(spark, sf_dir).select("item_id", "doc_id", "dot", F.row_number().over(order).alias("rank")).where("rank <= 10")
+    return _scored(spark, sf_dir, 10).select("item_id", "doc_id", "dot", F.row_number().over(order).alias("rank")).where("rank <= 10")
 
 
 @query("hybrid_rrf", f"WITH {_TERMS}, {_FUSED} SELECT item_id, doc_id, round(score, 9) AS score, rank FROM fr WHERE rank <= 10")
 def hybrid_rrf(spark, sf_dir):
     """Weighted reciprocal rank fusion of overlap and dot product."""
-    return _fused(spark, sf_dir).where("rank <= 10")
+    return _fused(_scored(spark, sf_dir, 20)).where("rank <= 10")
 
 
 @query("qrels_passages", f"WITH {_QRELS} SELECT item_id, doc_id, grade FROM rel")
@@ -125,4 +122,4 @@ FROM benchmark b LEFT JOIN m USING (item_id) LEFT JOIN ideal USING (item_id) LEF
 )
 def eval_metrics(spark, sf_dir):
     """Reciprocal rank, nDCG, precision and recall at ten of the fused ranking, by passage."""
-    return ranking.evaluate(table(spark, sf_dir, "benchmark").select("item_id"), _fused(spark, sf_dir), _qrels(spark, sf_dir), "item_id", "doc_id", 10)
+    return ranking.evaluate(table(spark, sf_dir, "benchmark").select("item_id"), _fused(_scored(spark, sf_dir, 20)), cut(_qrels(spark, sf_dir)), "item_id", "doc_id", 10)
