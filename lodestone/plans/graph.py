@@ -51,7 +51,7 @@ def authored(spark, sf_dir):
 
 
 def related(spark, sf_dir):
-    grouped = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg((F.avg(F.col("l_discount").cast("decimal(10,4)")).cast("double") * 10).alias("confidence"))
+    grouped = graph.spread(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg((F.avg(F.col("l_discount").cast("decimal(10,4)")).cast("double") * 10).alias("confidence"))
     return grouped.select(_id("S", "l_suppkey").alias("src"), F.lit("RELATED_TO").alias("rel"), _id("P", "l_partkey").alias("dst"), "confidence")
 
 
@@ -126,7 +126,7 @@ def graph_trails(spark, sf_dir):
 @query("graph_weighted", f"WITH {_SP} SELECT least(src, dst) AS a, greatest(src, dst) AS b, round(max(confidence), 6) AS weight FROM sp GROUP BY 1, 2")
 def graph_weighted(spark, sf_dir):
     """Undirected projection of suppliers and parts with weights."""
-    return graph.weighted(related(spark, sf_dir), "confidence").withColumn("weight", F.round("weight", 6))
+    return graph.weighted(related(spark, sf_dir), "confidence", table(spark, sf_dir, "lineitem").count()).withColumn("weight", F.round("weight", 6))
 
 
 _MEMBERS = "m AS (SELECT 'N:' || c_nationkey AS community, 'C:' || c_custkey AS id, c_name AS name FROM customer)"
