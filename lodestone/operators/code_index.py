@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import code
+from lodestone.operators.graph import cut
 
 TABLES = {
     "files": "path string, hash string",
@@ -98,6 +99,7 @@ def update(files: DataFrame, folder: str, symbols: Callable[[DataFrame], DataFra
     both = given.groupBy("path").agg(F.max("hash").alias("hash")).join(old, "path", "full")
     changed = keep(both.where(~F.col("hash").eqNullSafe(F.col("old"))), "files")
     texts = given.join(changed.where("hash IS NOT NULL"), ["path", "hash"], "left_semi").dropDuplicates(["path"]).select("path", "text")
+    texts = code.dealt(cut(texts), "path")  # found once for symbols, calls and chunks
 
     found = keep(symbols(texts), "symbols")
     keep(code.called(texts), "called")

@@ -2,7 +2,7 @@
 
 import json
 
-from lodestone.operators import code, crawl
+from lodestone.operators import code, crawl, graph, scopes
 from lodestone.sources import files
 
 SOURCE = "import os\nfrom a.b import c\n\nclass Store:\n    def get(self):\n        return load(1)\n\ndef load(x):\n    return os.path.join(x)\n"
@@ -53,3 +53,20 @@ def test_crawl(spark):
     df = spark.createDataFrame(rows, "url string, html string")
     got = {r["url"]: r["depth"] for r in crawl.crawl(df, df.where("url = 'http://h/a'"), 2, exclude="skip").collect()}
     assert got == {"http://h/a": 0, "http://h/b": 1, "http://h/c": 1, "http://h/d": 2}
+
+
+def test_files_are_dealt_out_by_their_number(spark, monkeypatch):
+    """However well code shrinks on its way, a task holds a bounded number of files."""
+    monkeypatch.setattr(code, "FILES_A_TASK", 10)
+    monkeypatch.setattr(graph, "ROWS_A_TASK", 40)
+    some = spark.createDataFrame([(f"f{i}.py", f"class A{i % 7}:\n    def run(self):\n        pass\n\ndef g{i}():\n    pass\n") for i in range(60)] + [("f1.py", "class B:\n    pass\n")], "path string, text string")
+    table = code.symbol_lines(some)
+    assert code.dealt(some, "path").rdd.getNumPartitions() == 7
+    counts = code.symbol_counts(table, 180)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+    assert sorted(map(tuple, counts.collect())) == [("class", 61, 60, 8), ("function", 60, 60, 60), ("method", 60, 60, 1)]
+    found = scopes.symbols(some.where("path <> 'f1.py'"))
+    plan = code.code_chunks(some, found, headers=True)
+    assert "REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString()
+    got = {(r["path"], r["qualified"]): r["content"] for r in plan.collect()}
+    assert len(got) == 3 * 59 and got["f9.py", "A2.run"] == "class A2:\n    def run(self):\n        pass" and got["f9.py", "g9"] == "def g9():\n    pass"
