@@ -14,7 +14,6 @@ from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,6 +150,10 @@ def cache_replay(requests: DataFrame, cache: str, key: str, seconds: str, tie: s
     return judged.select(cache, tie, "hit")
 
 
+#: Characters of chunks that a task holds before it hands them on.
+CHARS = 2_000_000
+
+
 def boundary_chunks(docs: DataFrame, doc: str, text: str, size: int = 512, overlap: int = 64) -> DataFrame:
     """(doc, chunk_index, start, end, content): windows of ``size`` words that retreat to a paragraph's or sentence's end.
 
@@ -159,13 +162,20 @@ def boundary_chunks(docs: DataFrame, doc: str, text: str, size: int = 512, overl
     half of it. The next one starts ``overlap`` words before, at least one word on.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"doc": pa.int64(), "chunk_index": pa.int32(), "start": pa.int32(), "end": pa.int32(), "content": pa.string()}
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
         word, stop = re.compile(r"\S+"), re.compile(r"[.!?](?=\s)")
         for part in batches:
-            out = []
-            for key, whole in zip(part["doc"], part["text"], strict=True):
+            out, chars = [], 0
+            # texts become strings one by one, and chunks leave before they fill the memory of the task
+            for key, whole in zip(part.column("doc"), part.column("text"), strict=True):
+                key, whole = key.as_py(), whole.as_py()
                 spans = [m.span() for m in word.finditer(whole or "")]
                 at = index = 0
                 while at < len(spans):
@@ -180,12 +190,16 @@ def boundary_chunks(docs: DataFrame, doc: str, text: str, size: int = 512, overl
                             end = cut
                     content = whole[begin:end].strip()
                     out.append((key, index, begin, end, content))
+                    chars += len(content)
+                    if chars >= CHARS:
+                        yield made(out)
+                        out, chars = [], 0
                     if last == len(spans) - 1:
                         break
                     taken = sum(1 for s, _ in spans[at : last + 1] if s < end)
                     at, index = at + max(1, taken - overlap), index + 1
             if out:
-                yield pd.DataFrame(out, columns=["doc", "chunk_index", "start", "end", "content"]).astype({"content": object})
+                yield made(out)
 
     chosen = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    return chosen.mapInPandas(rows, "doc long, chunk_index int, start int, end int, content string").withColumnRenamed("doc", doc)
+    return chosen.mapInArrow(rows, "doc long, chunk_index int, start int, end int, content string").withColumnRenamed("doc", doc)

@@ -152,3 +152,12 @@ def test_blocks_of_vectors_do_not_change_the_result(spark, monkeypatch):
     assert runs[0] == runs[1] and len(runs[0]) == 40
     sims = df.alias("q").where("q.id = 9").crossJoin(df.alias("c")).select(vector_search.cosine("q.v", "c.v").alias("s"), "c.id").where("id <> 9 and s is not null")
     assert [r["id"] for r in sims.orderBy("s", ascending=False).limit(4).collect()] == [r[1] for r in sorted((r for r in runs[0] if r[0] == 9), key=lambda r: r[3])]
+
+
+def test_chunks_leave_before_they_fill_a_task(spark, monkeypatch):
+    text = " ".join(f"w{i}." for i in range(40))
+    docs = spark.createDataFrame([(1, text), (2, None), (None, "a b"), (3, "")], "doc long, text string").coalesce(1)
+    whole = sorted(map(tuple, ordered.boundary_chunks(docs, "doc", "text", 8, 2).collect()), key=str)
+    monkeypatch.setattr(ordered, "CHARS", 30)
+    assert sorted(map(tuple, ordered.boundary_chunks(docs, "doc", "text", 8, 2).collect()), key=str) == whole
+    assert "MapInArrow" in ordered.boundary_chunks(docs, "doc", "text")._jdf.queryExecution().executedPlan().toString()
