@@ -169,7 +169,7 @@ def found_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return with_computed(chosen, [F.col("text")], new, rows).drop("text")
 
 
-#: Candidate terms are sent to the tasks if they are at most so many.
+#: Candidate terms, and the telling terms of all texts, are sent to the tasks if they are at most so many.
 BROADCAST_TERMS = 200_000
 
 
@@ -214,8 +214,8 @@ def disclosures(docs: DataFrame, rows: DataFrame, scratch: Scratch, text_col: st
     Rows (entity, term, n_pair, n_term, n_entity, share), written, and rows (text_key, term).
     ``rows`` is the written result of :func:`found_spans`. Counts are of distinct texts.
     """
-    held = rows.where(F.size("entities") > 0).dropDuplicates(["text_key"])
-    texts = scratch.keep(held.select("text_key", "entities", F.array_distinct("terms.term").alias("terms")), "texts")
+    held = rows.where(F.size("entities") > 0).select("text_key", "entities", F.array_distinct("terms.term").alias("terms"))
+    texts = scratch.keep(held.dropDuplicates(["text_key"]), "texts")
     entities = texts.select("text_key", F.explode("entities").alias("entity"))
     total = F.lit(float(max(1, rows.select("text_key").distinct().count())))
     whole = F.log2(total / F.col("n_entity"))
@@ -273,7 +273,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     spans = F.when(F.col("telling").isNull(), F.col("spans")).otherwise(_by_start(F.concat("spans", added)))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.join(hits, "text_key", "left").select("doc_id", "text_key", spans.alias("spans"), *counts)
+    few = (hits.agg(F.sum(F.size("telling"))).first()[0] or 0) <= BROADCAST_TERMS
+    return rows.join(F.broadcast(hits) if few else hits, "text_key", "left").select("doc_id", "text_key", spans.alias("spans"), *counts)
 
 
 def _is(kind: str):

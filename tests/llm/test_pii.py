@@ -127,3 +127,21 @@ def test_redaction_and_empty_table(spark):
     out = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.detect(docs)).collect()}
     assert out == {1: "mail [EMAIL] now or call [PHONE]", 2: None}  # a null text stays null
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_few_telling_terms_are_sent_to_the_texts(spark, monkeypatch):
+    rows = [(i, f"write to ann{i % 2}@corp{i % 2}.example about zyx{i % 2}project, text {'abcdefghijkl'[i]}") for i in range(12)]
+    rows += [(100 + i, f"plain text {i} of other things") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pii.detect(docs)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+        sent = sorted(map(str, found.collect()))
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", -1)
+        joined = pii.detect(docs)
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, joined.collect())) == sent
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("'term'" in r for r in sent)
