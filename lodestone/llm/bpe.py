@@ -56,6 +56,15 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def packed(ids: Iterable[int]) -> bytes:
+    """Ids as 32-bit numbers: joining them is joining bytes."""
+    return np.asarray(ids, np.int32).tobytes()
+
+
+def unpacked(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, np.int32)
+
+
 class Vocabulary:
     """Ids, merges and special tokens of a byte-level BPE vocabulary file (tokenizers' JSON)."""
 
@@ -87,6 +96,8 @@ class Vocabulary:
             self.bytes[i] = bytes(byte_of[c] for c in token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
+        self.lengths = np.fromiter(map(len, self.bytes), np.int64, size)
+        self.starts, self.letters_of_all = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(self.bytes), np.uint8)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the lowest-ranked pair is joined, leftmost first, until none is left."""
@@ -129,12 +140,16 @@ class Vocabulary:
         return [p for p in parts if p]
 
     def merge_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """:meth:`merge` of many pieces: those of like length step by step together, in arrays."""
-        out: list[tuple[int, ...]] = [()] * len(pieces)
+        """:meth:`merge` of many pieces."""
+        return [tuple(unpacked(p).tolist()) for p in self.merge_packed(pieces)]
+
+    def merge_packed(self, pieces: list[bytes]) -> list[bytes]:
+        """The same as packed ids: pieces of like length step by step together, in arrays."""
+        out = [b""] * len(pieces)
         by_size: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             if len(piece) < 2 or len(piece) > 64:
-                out[i] = tuple(self.merge(piece))
+                out[i] = packed(self.merge(piece))
             else:
                 by_size.setdefault(-(-len(piece) // 4) * 4, []).append(i)
         for size, rows in by_size.items():
@@ -144,7 +159,7 @@ class Vocabulary:
                     out[i] = ids
         return out
 
-    def _merge_rows(self, pieces: list[bytes], size: int) -> list[tuple[int, ...]]:
+    def _merge_rows(self, pieces: list[bytes], size: int) -> list[bytes]:
         none = len(self.ranks)
         length = np.fromiter(map(len, pieces), np.int64, len(pieces))
         raw = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(-1, size)
@@ -152,15 +167,16 @@ class Vocabulary:
         rank = np.where(inside[:, 1:], self.byte_ranks[raw[:, :-1].astype(np.int64) << 8 | raw[:, 1:]], none)
         symbol = np.where(inside, self.byte_ids[raw], -1)
         row = np.arange(len(pieces))
-        done: list[tuple[int, ...]] = [()] * len(pieces)
+        done = [b""] * len(pieces)
         while len(row):
             at = rank.argmin(axis=1)
             best = rank[np.arange(len(row)), at]
             over = best == none
             if over.any():
                 ended = symbol[over]
-                for i, ids, n in zip(row[over].tolist(), ended.tolist(), (ended >= 0).sum(axis=1).tolist(), strict=True):
-                    done[i] = tuple(ids[:n])
+                ids, width = packed(ended), ended.shape[1]
+                for k, (i, n) in enumerate(zip(row[over].tolist(), (ended >= 0).sum(axis=1).tolist(), strict=True)):
+                    done[i] = ids[4 * k * width : 4 * (k * width + n)]
                 row, rank, symbol, at, best = (x[~over] for x in (row, rank, symbol, at, best))
                 if not len(row):
                     break
@@ -278,7 +294,8 @@ class Lexicon:
         sizes = view[:64].cast("q").tolist()
         ends = np.cumsum([64, *sizes]).tolist()
         parts = [view[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        head, self._first, self._targets, self._skips, self._starts, self._ids = (p.cast("i") for p in parts[:6])
+        head, self._first, self._targets, self._skips, self._starts = (p.cast("i") for p in parts[:5])
+        self._ids = parts[5]
         self._final = parts[6]
         self._labels_at = ends[7]
         self._root = head[0]
@@ -298,6 +315,11 @@ class Lexicon:
                 stack.append((self._targets[at], word + self._map[self._labels_at + at : self._labels_at + at + 1]))
 
     def find(self, word: bytes) -> tuple[int, ...] | None:
+        ids = self.packed(word)
+        return None if ids is None else tuple(unpacked(ids).tolist())
+
+    def packed(self, word: bytes) -> bytes | None:
+        """A word's packed ids, or None."""
         if not self._sieve[hash(word) & 0xFFFFF]:  # spares the walk for nearly all words that aren't there
             return None
         state, rank = self._root, 0
@@ -310,40 +332,54 @@ class Lexicon:
             state = targets[at]
         if not self._final[state]:
             return None
-        return tuple(self._ids[self._starts[rank] : self._starts[rank + 1]])
+        return bytes(self._ids[4 * self._starts[rank] : 4 * self._starts[rank + 1]])
 
 
 class Encoder(dict):
-    """Texts to ids. The dict is its memory of words: word -> ids; ``parts`` that of the words' parts."""
+    """Texts to ids. The dict is its memory of words: word -> packed ids; ``parts`` that of the words' parts."""
 
     def __init__(self, vocabulary: bytes, lexicon: bytes):
         self.vocabulary, self.lexicon = Vocabulary(vocabulary), Lexicon(lexicon)
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, bytes] = {}
 
     def learn(self, units: set[str]) -> None:
         """Put the ids of all ``units`` into memory, those of new parts merged together."""
         fresh = [u for u in units if u not in self]  # in any order: ids don't depend on it
-        found = {u: self.lexicon.find(u.encode()) for u in fresh}
-        split = {u: self.vocabulary.pieces(u) for u in fresh if found[u] is None}
-        missing: dict[str, tuple[int, ...] | None] = {}
+        held, pieces_of, parts = self.lexicon.packed, self.vocabulary.pieces, self.parts
+        split: dict[str, list[str]] = {}
+        whole, missing = [], {}
+        for u in fresh:
+            ids = held(u.encode())
+            if ids is not None:
+                self[u] = ids
+            elif u.isalpha() or (u[0] == " " and u[1:].isalpha()):  # a single piece, which the lexicon hasn't
+                ids = parts.get(u)
+                if ids is not None:
+                    self[u] = ids
+                else:
+                    whole.append(u)
+                    missing[u] = None
+            else:
+                split[u] = pieces_of(u)
         for pieces in split.values():
             for piece in pieces:
-                if piece not in self.parts and piece not in missing:
-                    missing[piece] = self.lexicon.find(piece.encode())
+                if piece not in parts and piece not in missing:
+                    missing[piece] = held(piece.encode())
         unknown = [p for p, ids in missing.items() if ids is None]
-        missing.update(zip(unknown, self.vocabulary.merge_many([p.encode() for p in unknown]), strict=True))
-        self.parts |= missing
-        part = self.parts.__getitem__
+        missing.update(zip(unknown, self.vocabulary.merge_packed([p.encode() for p in unknown]), strict=True))
+        parts |= missing
+        for u in whole:
+            self[u] = missing[u]
         for u, pieces in split.items():
-            found[u] = part(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(part, pieces)))
-        self |= found
+            self[u] = b"".join([parts[p] for p in pieces])
         self._fresh, self._fresh_parts = fresh, list(missing)
 
     def forget(self) -> None:
         """Keep the words learnt first, which frequent words are among, within bounds."""
         for memory, fresh, most in ((self, self._fresh, MEMO_WORDS), (self.parts, self._fresh_parts, MEMO_PARTS)):
+            full = len(memory) - len(fresh) >= most
             for key in fresh:
-                if len(key) > MEMO_LENGTH:
+                if full or len(key) > MEMO_LENGTH:
                     del memory[key]
             while len(memory) > most:
                 memory.popitem()
@@ -365,18 +401,23 @@ class Encoder(dict):
         for text in split:
             parts = []
             for units, special in text:
-                parts.append(np.fromiter(chain.from_iterable(map(self.__getitem__, units)), np.int32))
+                parts += map(self.__getitem__, units)
                 if special is not None:
-                    parts.append(np.array([special], np.int32))
-            out.append(parts[0] if len(parts) == 1 else np.concatenate(parts))
+                    parts.append(packed([special]))
+            out.append(unpacked(b"".join(parts)))
         self.forget()
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ``ids``; ids that the vocabulary hasn't are passed over."""
-        table = self.vocabulary.bytes
-        size = len(table)
-        return b"".join([table[i] for i in ids if 0 <= i < size]).decode("utf-8", "replace")
+        vocabulary = self.vocabulary
+        ids = np.asarray(ids if isinstance(ids, np.ndarray) else list(ids), np.int64)
+        ids = ids[(ids >= 0) & (ids < len(vocabulary.bytes))]
+        sizes = vocabulary.lengths[ids]
+        ends = np.cumsum(sizes)
+        # where each byte stands among those of all tokens: its token's start, then on one by one
+        at = np.repeat(vocabulary.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return vocabulary.letters_of_all[at].tobytes().decode("utf-8", "replace")
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -480,7 +521,7 @@ def encode(docs: DataFrame, shared: Broadcast, text_col: str = "text", ids_col:
                 ids = encoder.encode_many(texts[lo:hi])
                 columns = [*part.columns, _lists(ids)]
                 if decoded_col:
-                    columns.append(pa.array([encoder.decode(x.tolist()) for x in ids], pa.string()))
+                    columns.append(pa.array([encoder.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *new])
 
     return docs.mapInArrow(encoded, schema)

@@ -80,3 +80,37 @@ def test_long_and_short_merging_agree():
 def test_word_counts_cover_everything(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, " a")], "doc_id long, text string")
     assert {r["word"]: r["n"] for r in bpe.word_counts(docs).collect()} == {"a": 1, " b": 1, " a": 2}
+
+
+def test_a_word_that_merges_whole_is_sought_once():
+    with open(bpe.default_vocabulary(), "rb") as f:
+        encoder = bpe.Encoder(f.read(), bpe.compile_lexicon({}))
+    sought = []
+
+    class Counted(bpe.Lexicon):
+        def find(self, word):
+            sought.append(word)
+            return super().find(word)
+
+        def packed(self, word):
+            sought.append(word)
+            return super().packed(word)
+
+    encoder.lexicon = Counted(bpe.compile_lexicon({}))
+    words = ["zebrafish", " qwertyish", " naïveté", " it's", "x,y"]
+    encoder.learn(set(words))
+    assert sought.count(b"zebrafish") == sought.count(b" qwertyish") == sought.count(" naïveté".encode()) == 1
+    assert {u: bpe.unpacked(encoder[u]).tolist() for u in words} == {u: encoder.vocabulary.unit(u) for u in words}
+
+
+def test_ids_outside_the_vocabulary_are_passed_over():
+    with open(bpe.default_vocabulary(), "rb") as f:
+        encoder = bpe.Encoder(f.read(), bpe.compile_lexicon({}))
+    ids = [-1, *encoder.vocabulary.unit("naïve"), 1 << 40, *encoder.vocabulary.special.values(), 10**7]
+    assert encoder.decode(ids) == encoder.decode(i for i in ids) == "naïve" + "".join(encoder.vocabulary.special)
+    assert encoder.decode([]) == encoder.decode(bpe.np.zeros(0, bpe.np.int32)) == ""
+    table = encoder.vocabulary.bytes
+    rnd = random.Random(5)
+    for _ in range(50):
+        ids = [rnd.randrange(len(table)) for _ in range(rnd.randint(0, 60))]
+        assert encoder.decode(ids) == b"".join(table[i] for i in ids).decode("utf-8", "replace")
