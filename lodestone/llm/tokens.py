@@ -75,7 +75,7 @@ def section_tokens(
 
     def rows(*columns: list) -> tuple:
         encoder = encoder_of(shared)
-        token_bytes = np.array(list(map(len, encoder.vocabulary.bytes)), np.int64)
+        token_bytes = encoder.vocabulary.lengths
         texts, out, at = [[t or "" for t in column] for column in columns], [], 0
         while at < len(texts[0]):
             upto, size = at, 0
