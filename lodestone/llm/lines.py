@@ -7,15 +7,19 @@ in the buckets of a MinHash signature over their character n-grams, so scripts
 without spaces count like any other, and are verified there. Connected lines form
 a group, of which one occurrence stays: that of the smallest document id, first line.
 
-Only lines in buckets with company fetch their texts. A large bucket is verified in
-tiles of at most about ``TILE`` lines: first inside each tile, then between tiles,
-where lines already known to be connected need no further proof.
+Bucket entries are dealt out as packed blocks of numbers, never as rows: most buckets
+hold one line, and such entries go no further. Of the rest, lines whose sketches are
+near form candidate groups, and only their texts are fetched, each once. A group is
+verified as a whole, likeliest pairs first: lines already known to be connected need
+no further proof. A group of more than ``TILE`` lines is verified bucket by bucket
+instead, in tiles: first inside each tile, then between tiles.
 """
 
 from __future__ import annotations
 
+import functools
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import minhash
-from lodestone.llm.common import Scratch, components, free_names, with_computed
+from lodestone.llm.common import PIECE, Scratch, components, free_names, plain, with_computed
 
 #: Lines of fewer words and of fewer characters go as exact repeats only.
 MIN_WORDS = 5
@@ -38,10 +42,12 @@ BUDGET = 21
 #: Minima that lines must share to be compared: of similarity 0.8 all but few share 18 of 33, others 3.
 LEAST = 11
 TILE = 512
-#: Characters whose grams are hashed at once.
+#: Characters that are normalised, or whose grams are hashed, at once.
 SLICE_CHARS = 1_000_000
-
-_DIGITS = re.compile(r"\d+")
+#: Lines whose bucket entries a task packs at once.
+PACKED_LINES = 100_000
+#: Bits of the map of wanted lines, at most (32 MB). Beyond some tens of millions of lines it lets others through, which a join drops.
+MAP_BITS = 1 << 28
 
 
 class _Letters(dict):
@@ -55,39 +61,78 @@ class _Letters(dict):
 _LETTERS = _Letters()
 
 
-def line_words(text: str) -> list[list[str]]:
-    """For each line of a text its runs of letters and digits in lower case, each number in them as 0."""
-    text = text.lower().translate(_LETTERS)
-    if _DIGITS.search(text):
-        text = _DIGITS.sub("0", text)
-    return [line.split() for line in text.split("\n")]
-
-
-def normalised(line: str) -> str:
-    return " ".join(line_words(line)[0])
+@functools.cache
+def _table(kind: type) -> np.ndarray:
+    """For each code point of up to 16 bits, or of any, what it becomes in a normalised line, before runs are shortened: itself, 0 or a space."""
+    out = np.full(0x10000 if kind is np.uint16 else 0x110000, 32, kind)
+    for code in range(len(out)):
+        c = chr(code)
+        if c.isalnum():
+            out[code] = 48 if c.isdecimal() else code
+    out[10] = 10
+    return out
+
+
+def normalised_lines(text: str) -> list[str]:
+    """Of each line of a text its runs of letters and digits in lower case, a space apart, each number in them as 0."""
+    text = text.lower()
+    coding, table = "utf-16-le", _table(np.uint16)
+    codes = np.frombuffer(text.encode(coding, "surrogatepass"), np.uint16)
+    if len(codes) > len(text):
+        coding, table = "utf-32-le", _table(np.uint32)
+        codes = np.frombuffer(text.encode(coding, "surrogatepass"), np.uint32)
+    codes = table[codes]
+    space, zero, end = codes == 32, codes == 48, codes == 10
+    keep = np.ones(len(codes), bool)
+    keep[:1] = ~space[:1]
+    keep[1:] = ~((space[1:] & (space[:-1] | end[:-1])) | (zero[1:] & zero[:-1]))
+    codes = codes[keep]
+    # of a run of spaces the first is left, at a line's end too
+    keep = codes != 32
+    keep[:-1] |= codes[1:] != 10
+    keep[-1:] = codes[-1:] != 32
+    return codes[keep].tobytes().decode(coding, "surrogatepass").split("\n")
+
+
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``SLICE_CHARS`` characters in all."""
+    at = 0
+    while at < len(sizes):
+        upto, size = at + 1, sizes[at]
+        while upto < len(sizes) and size + sizes[upto] <= SLICE_CHARS:
+            size += sizes[upto]
+            upto += 1
+        yield at, upto
+        at = upto
 
 
-def line_keys(text: str) -> tuple[list[int], np.ndarray, list[str | None]]:
-    """(line numbers, line keys, normalised lines) of the lines that aren't blank; None for those too short to be fuzzy.
+def read_lines(texts: list[str]) -> Iterator[tuple[list[int], list[int], list[str | None]]]:
+    """For each text (line numbers, line keys, normalised lines) of the lines that aren't blank; None for those too short to be fuzzy.
 
     A short line's key keeps its numbers, which may be all that it says; that of a
     line without letters or digits is of its characters.
     """
     import xxhash
 
-    numbers, keys, norms = [], [], []
-    split = line_words(text)
-    for i, line in enumerate(text.split("\n")):
-        if not line or line.isspace():
-            continue
-        norm = " ".join(split[i]) if i < len(split) else ""
-        if len(norm) >= MIN_CHARS or norm.count(" ") >= MIN_WORDS - 1:
-            own = norm
-        else:
-            norm, own = None, "\0" + (" ".join(line.lower().translate(_LETTERS).split()) or "\0" + " ".join(line.split()))
-        numbers.append(i)
-        keys.append(xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")))
-        norms.append(norm)
+    for lo, hi in _slices([len(t) for t in texts]):
+        made = iter(normalised_lines("\n".join(texts[lo:hi])))
+        for text in texts[lo:hi]:
+            numbers, keys, norms = [], [], []
+            for i, line in enumerate(text.split("\n")):
+                own = norm = next(made)
+                if len(norm) < MIN_CHARS and norm.count(" ") < MIN_WORDS - 1:
+                    if not line or line.isspace():
+                        continue
+                    norm, own = None, "\0" + (" ".join(line.lower().translate(_LETTERS).split()) or "\0" + " ".join(line.split()))
+                numbers.append(i)
+                keys.append(xxhash.xxh3_64_intdigest(own.encode("utf-8", "surrogatepass")))
+                norms.append(norm)
+            yield numbers, keys, norms
+
+
+def line_keys(text: str) -> tuple[list[int], np.ndarray, list[str | None]]:
+    """What :func:`read_lines` gives of one text, keys as signed numbers."""
+    ((numbers, keys, norms),) = read_lines([text])
     return numbers, np.array(keys, np.uint64).view(np.int64), norms
 
 
@@ -123,9 +168,11 @@ def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
     if not a or not b:
         return len(a) + len(b)
     where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    full, high, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    bit = 1
+    for c in a:
+        where[c] = where.get(c, 0) | bit
+        bit <<= 1
+    full, high, score = bit - 1, bit >> 1, len(a)
     up, down, left = full, 0, len(b)
     for c in b:
         if score - left > most:  # each character left can take one off at best
@@ -134,10 +181,14 @@ def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
         eq = where.get(c, 0)
         vertical = eq | down
         horizontal = (((eq & up) + up) ^ up) | eq
-        plus, minus = down | (~(horizontal | up) & full), up & horizontal
-        score += bool(plus & high) - bool(minus & high)
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
-        up, down = minus | (~(vertical | plus) & full), plus & vertical
+        # "& full ^ full" inverts within the string; ~ would make negative numbers, which are slow
+        plus, minus = down | (horizontal | up) & full ^ full, up & horizontal
+        if plus & high:
+            score += 1
+        elif minus & high:
+            score -= 1
+        plus = plus << 1 | 1
+        up, down = (minus << 1 | (vertical | plus) & full ^ full) & full, plus & vertical
     return score
 
 
@@ -175,14 +226,8 @@ def similar(a: str, b: str) -> bool:
 
 def signatures(norms: list[str]) -> np.ndarray:
     """Signatures of normalised lines, hashed in bounded slices."""
-    out, at = [np.zeros((0, HASHES), np.uint32)], 0
-    while at < len(norms):
-        upto, size = at, 0
-        while upto < len(norms) and (upto == at or size + len(norms[upto]) <= SLICE_CHARS):
-            size += len(norms[upto])
-            upto += 1
-        out.append(line_signatures(norms[at:upto]))
-        at = upto
+    out = [np.zeros((0, HASHES), np.uint32)]
+    out += [line_signatures(norms[lo:hi]) for lo, hi in _slices([len(n) for n in norms])]
     return np.concatenate(out)
 
 
@@ -190,69 +235,135 @@ def _lists(sizes, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)), values)
 
 
-_FOUND = "array<struct<no: int, line: bigint, fp: bigint, size: int, buckets: array<bigint>>>"
-
-
 def _key(docs: DataFrame, id_col: str, text_col: str) -> list:
     """Columns that tell document rows apart: (no_id, id_key, text_key)."""
     no_id = F.col(id_col).isNull()
     return [no_id.alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")).alias("id_key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")]
 
 
+_ROW = "no_id boolean, id_key long, text_key long, n_lines int, found array<struct<no: int, line: long>>"
+_FOUND = pa.list_(pa.struct([("no", pa.int32()), ("line", pa.int64())]))
+
+
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (no_id, id_key, text_key, n_lines, found), one per document row.
+    """Rows (no_id, id_key, text_key, n_lines, found) for each document row, and (family, node, label) for lines with likely company; the others null.
 
-    ``found``: (no, line, fp, size, buckets) of lines that aren't blank; a line without buckets goes as exact repeat only.
+    ``found``: (no, line) of lines that aren't blank. See :func:`minhash.company` for the rest.
     """
 
-    def rows(texts: list) -> tuple:
-        read = [line_keys(t) for t in texts]
-        norms = [n for _, _, own in read for n in own]
-        fuzzy = np.array([n is not None for n in norms], bool)
-        signed = signatures([n for n in norms if n is not None])
-        keys = minhash.buckets(signed, ROWS)
-        prints = np.zeros(len(norms), np.int64)
-        prints[fuzzy] = minhash.sketches(signed).view(np.int64)
-        numbers = np.fromiter((i for own, *_ in read for i in own), np.int32)
-        lines = np.concatenate([own for _, own, _ in read])
-        buckets = _lists(fuzzy * keys.shape[1], pa.array(keys.ravel()))
-        sizes = [len(own) for own, *_ in read]
-        lengths = np.fromiter((len(n or "") for n in norms), np.int32, len(norms))
-        found = pa.StructArray.from_arrays([pa.array(x) for x in (numbers, lines, prints, lengths)] + [buckets], ["no", "line", "fp", "size", "buckets"])
-        return sizes, _lists(sizes, found)
-
-    struct = pa.struct([("no", pa.int32()), ("line", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("buckets", pa.list_(pa.int64()))])
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, waiting, dealt = set(), [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE):
+                part = batch.slice(at, PIECE)
+                read = list(read_lines(part.column(3).to_pylist()))
+                sizes = [len(own) for own, *_ in read]
+                numbers, lines = (np.array([x for own in read for x in own[k]], t) for k, t in ((0, np.int32), (1, np.uint64)))
+                found = pa.StructArray.from_arrays([pa.array(numbers), pa.array(lines.view(np.int64))], ["no", "line"])
+                slots = pa.array((np.arange(dealt, dealt + len(read)) * 2654435761 % minhash.SLOTS).astype(np.int32))
+                dealt += len(read)
+                nothing = pa.nulls(len(read), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes, pa.int32()), _lists(sizes, found), slots, nothing], names=names)
+                # a line's copies are packed once
+                new = {k: n for _, keys, norms in read for k, n in zip(keys, norms, strict=True) if n is not None and k not in seen}
+                if new:
+                    seen.update(new)
+                    signed = signatures(list(new.values()))
+                    waiting.append(minhash.entries(np.fromiter(new, np.uint64, len(new)).view(np.int64), signed, np.fromiter(map(len, new.values()), float), ROWS))
+                if len(seen) >= PACKED_LINES:
+                    yield from packed(waiting)
+                    seen, waiting = set(), []
+        yield from packed(waiting)
+
+    def packed(waiting: list) -> Iterator[pa.RecordBatch]:
+        for slots, blocks in minhash.blocks(waiting):
+            nothing = [pa.nulls(len(slots), t) for t in (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), _FOUND)]
+            yield pa.RecordBatch.from_arrays([*nothing, slots, blocks], names=names)
+
+    names = ["no_id", "id_key", "text_key", "n_lines", "found", "slot", "block"]
     chosen = docs.select(*_key(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return with_computed(chosen, [F.col("text")], [("n_lines", "int", pa.int32()), ("found", _FOUND, pa.list_(struct))], rows).drop("text")
+    return minhash.company(chosen.mapInArrow(rows, f"{_ROW}, slot int, block binary"), _ROW, TILE, BUDGET, SIMILARITY)
 
 
-def _line_texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (node, own) of the lines at ``places`` (node, at), read where they stand first, once each."""
-    wanted = places.groupBy("at.no_id", "at.id_key", "at.text_key").agg(F.collect_list(F.struct("at.no", "node")).alias("places"))
-    chosen = docs.select(*_key(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = chosen.join(wanted, ["no_id", "id_key", "text_key"]).select("text", "places")
+def _bits(keys: np.ndarray, numbers: np.ndarray, size: int) -> np.ndarray:
+    """Places of lines in a map of ``size`` bits, a power of two."""
+    return minhash.mixed(keys.view(np.uint64) + numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(size - 1)
+
+
+def _wanted(places: DataFrame) -> np.ndarray:
+    """A map of the lines at ``places`` (no_id, id_key, text_key, no), in bytes: it has a bit for each of them, and some by chance."""
+    size = min(MAP_BITS, max(1 << 16, 1 << (16 * places.count()).bit_length()))
 
-    def read(texts: list, places: list) -> tuple:
-        out = []
-        for text, own in zip(texts, places, strict=True):
-            split = text.split("\n")
-            out.append([normalised(split[p["no"]]) for p in own])
-        return (out,)
+    def numbered(keys: list, numbers: list) -> tuple:
+        return (pa.array(_bits(np.array(keys, np.int64), np.array(numbers, np.int64), size).astype(np.int64)),)
 
-    made = with_computed(found, [F.col("text"), F.col("places")], [("norms", "array<string>", pa.list_(pa.string()))], read)
-    texts = made.select(F.explode(F.arrays_zip("places.node", "norms")).alias("x")).select(F.col("x.node").alias("node"), F.col("x.norms").alias("own"))
-    return texts.dropDuplicates(["node"])
+    def pack(table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[table["bit"].to_numpy() & 0xFFFF] = 1
+        return pa.table({"piece": table["piece"][:1], "bits": pa.array([np.packbits(bits).tobytes()])})
+
+    placed = with_computed(places.select(_place_key().alias("key"), "no"), [F.col("key"), F.col("no")], [("bit", "long", pa.int64())], numbered)
+    out = np.zeros(size >> 3, np.uint8)
+    pieces = placed.select("bit").distinct().withColumn("piece", F.shiftright("bit", 16))
+    for r in pieces.groupBy("piece").applyInArrow(pack, "piece long, bits binary").toLocalIterator():
+        out[r["piece"] << 13 : (r["piece"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _place_key():
+    return F.xxhash64("no_id", "id_key", "text_key")
+
+
+def _line_texts(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``places`` (no_id, id_key, text_key, no, ...), each with its normalised line ``own``. Texts stay where they are read; only lines move."""
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted(places))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE):
+                part = batch.slice(at, PIECE)
+                texts = part.column(4).to_pylist()
+                counts = np.array([t.count("\n") + 1 for t in texts])
+                doc = np.repeat(np.arange(len(texts)), counts)
+                no = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+                bit = _bits(part.column(3).to_numpy()[doc], no, 8 * len(bits))
+                hit = np.flatnonzero(bits[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                if not len(hit):
+                    continue
+                doc, no = doc[hit], no[hit]
+                split, own = {d: texts[d].split("\n") for d in np.unique(doc).tolist()}, []
+                chosen = [split[d][n] for d, n in zip(doc.tolist(), no.tolist(), strict=True)]
+                for lo, hi in _slices([len(c) for c in chosen]):
+                    own += normalised_lines("\n".join(chosen[lo:hi]))
+                taken = part.select(["no_id", "id_key", "text_key"]).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(no.astype(np.int32)), pa.array(own, pa.string())], names=[*key, "own"])
+
+    key = ["no_id", "id_key", "text_key", "no"]
+    keyed = docs.select(*_key(docs, id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = keyed.select("no_id", "id_key", "text_key", _place_key().alias("key"), "text").mapInArrow(read, "no_id boolean, id_key long, text_key long, no int, own string")
+    return found.join(places, key)
+
+
+def line_groups(docs: DataFrame, lines: DataFrame, met: DataFrame, scratch: Scratch, id_col: str, text_col: str = "text") -> DataFrame:
+    """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key.
+
+    ``lines``: (line, at, component, size), written: lines of candidate groups of ``size`` lines. ``met``: (family, node), the buckets where they met.
+    """
+    texts = scratch.keep(_line_texts(docs, lines.select("at.*", F.col("line").alias("node"), "component", "size"), id_col, text_col).select("node", "component", "size", "own"), "texts")
 
+    def verify(batches: Iterator) -> Iterator:
+        for part in minhash.verified_groups(batches, similar, signatures, SIMILARITY, LEAST):
+            yield plain(part)
 
-def line_groups(docs: DataFrame, lines: DataFrame, scratch: Scratch, id_col: str, text_col: str = "text") -> DataFrame:
-    """Rows (node, component): line keys that are fuzzy repeats of others, with their group's key. ``lines``: (line, at, fp, size, buckets), written."""
-    met = minhash.met_in_buckets(lines.select(F.col("line").alias("node"), "fp", "size", "buckets"), scratch, TILE, BUDGET, SIMILARITY)
-    suspects = met.select("node").distinct()
-    places = scratch.keep(lines.select(F.col("line").alias("node"), "at", "fp").join(suspects, "node", "left_semi"), "places")
-    texts = _line_texts(docs, places, id_col, text_col).join(places.select("node", "fp"), "node")
-    placed = scratch.keep(met.join(texts, "node").select("family", "node", "fp", "own"), "placed")
-    scratch.drop(met, places)
-    return components(minhash.verified_links(placed, scratch, TILE, BUDGET, similar, signatures, LEAST), scratch)
+    small = texts.where(F.col("size") <= TILE).select("component", "node", "own")
+    small = small.repartition("component").sortWithinPartitions("component", "node").mapInPandas(verify, "node long, component long")
+    large = texts.where(F.col("size") > TILE).select("node", F.lit(0).cast("long").alias("fp"), "own")
+    if large.isEmpty():
+        return small
+    own = scratch.keep(met.join(large.select("node").distinct(), "node", "left_semi").select("family", "node"), "met")
+    placed = scratch.keep(minhash.once_each(own).join(large.dropDuplicates(["node"]), "node").select("family", "node", "fp", "own"), "placed")
+    return small.union(components(minhash.verified_links(placed, scratch, TILE, BUDGET, similar, signatures, LEAST), scratch))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,14 +379,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     scratch = Scratch(docs.sparkSession, "lines")
     key = ["no_id", "id_key", "text_key"]
     rows = scratch.keep(occurrences(docs, id_col, text_col), "rows")
-    found = rows.select(*key, F.explode("found").alias("f")).select(*key, "f.no", "f.line", "f.fp", "f.size", "f.buckets")
+    rows, met = rows.where("family IS NULL").select(*key, "n_lines", "found"), rows.where("family IS NOT NULL").select("family", "node", "label")
+    near = scratch.keep(components(met, scratch, "node", "label"), "near")
+    near = near.join(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select(F.col("node").alias("line"), "component", "size")
+    found = rows.select(*key, F.explode("found").alias("f")).select(*key, "f.no", "f.line")
     at = F.struct(*key, "no")
-    # a line's copies have equal sketches, sizes and buckets
-    lines = found.groupBy("line").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
-    lines = scratch.keep(lines, "lines")
-    groups = scratch.keep(line_groups(docs, lines, scratch, id_col, text_col), "groups")
-    first = lines.join(groups, lines["line"] == groups["node"], "left").select("line", F.coalesce("component", "line").alias("group"), "component", "at", "n")
-    # a line without copies and without a group stays where it is
+    lines = found.groupBy("line").agg(F.min(at).alias("at"), F.count(F.lit(1)).alias("n"))
+    # a line without copies and without company stays where it is
+    lines = scratch.keep(lines.join(near, "line", "left").where((F.col("n") > 1) | F.col("component").isNotNull()), "lines")
+    groups = scratch.keep(line_groups(docs, lines.where(F.col("component").isNotNull()), met, scratch, id_col, text_col), "groups")
+    first = lines.drop("component").join(groups, lines["line"] == groups["node"], "left").select("line", F.coalesce("component", "line").alias("group"), "component", "at", "n")
     first = scratch.keep(first.where((F.col("n") > 1) | F.col("component").isNotNull()).select("line", "group", "at"), "first")
     keepers = first.groupBy("group").agg(F.min("at").alias("kept"))
     repeated = scratch.keep(first.join(keepers, "group").select("line", "kept"), "repeated")

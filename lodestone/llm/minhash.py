@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, plain
+from lodestone.llm.common import Scratch, link_labels, plain
 
 HASHES = 64
 _MASK = (1 << 64) - 1
@@ -182,6 +183,158 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
     return links.union(tiled.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))).distinct()
 
 
+def verified_groups(batches: Iterator[pd.DataFrame], similar, minima_of, ratio: float, least: int) -> Iterator[pd.DataFrame]:
+    """Rows (node, component): of sorted rows (component, node, own) the nodes with others to which ``similar`` pairs connect them.
+
+    Pairs are compared from the most equal minima to the ``least`` ones, and only if
+    nothing connects the two yet, so a group of n similar sets takes n - 1 proofs.
+    """
+    for part, bounds in _whole_groups(batches, ["component"]):
+        nodes, sets = part["node"].to_numpy(), part["own"].tolist()
+        minima, size, labels = minima_of(sets), np.fromiter(map(len, sets), float), list(range(len(part)))
+
+        def root(i: int, labels: list = labels) -> int:
+            while labels[i] != i:
+                labels[i] = i = labels[labels[i]]
+            return i
+
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            left, right, equal = [], [], []
+            for i in range(lo, hi - 1):
+                same = (minima[i + 1 : hi] == minima[i]).sum(axis=1)
+                z = size[i + 1 : hi]
+                near = np.flatnonzero((same >= least) & (np.minimum(z, size[i]) >= ratio * np.maximum(z, size[i]) - 1e-6))
+                left.append(np.full(len(near), i))
+                right.append(near + i + 1)
+                equal.append(same[near])
+            if not left:
+                continue
+            order = np.argsort(-np.concatenate(equal), kind="stable")
+            for i, j in zip(np.concatenate(left)[order].tolist(), np.concatenate(right)[order].tolist(), strict=True):
+                a, b = root(i), root(j)
+                if a != b and similar(sets[i], sets[j]):
+                    labels[max(a, b)] = min(a, b)
+        group = np.array([root(i) for i in range(len(part))])
+        shared = np.bincount(group, minlength=len(part))[group] > 1
+        out = pd.DataFrame({"node": nodes[shared], "component": nodes[group[shared]]}).drop_duplicates("node")
+        if len(out):
+            yield out
+
+
+#: Buckets are dealt out by the first bits of their keys.
+SLOTS = 4096
+#: Entries of buckets that are compared at once, about.
+ENTRIES = 200_000
+#: An entry of a bucket: the next 32 bits of its key, the node, its sketch, and the logarithm of its size in steps of a 2048th.
+_ENTRY = np.dtype([("key", "<u4"), ("node", "<i8"), ("fp", "<u8"), ("size", "<u2")])
+
+
+def entries(nodes: np.ndarray, signed: np.ndarray, sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, entries) of all buckets of ``nodes`` with the signatures ``signed``."""
+    keys = buckets(signed, rows).view(np.uint64)
+    out = np.empty(keys.shape, _ENTRY)
+    out["key"] = (keys >> np.uint64(20)).astype(np.uint32)
+    out["node"], out["fp"], out["size"] = nodes[:, None], sketches(signed)[:, None], np.log(sizes * 1.0)[:, None] * 2048
+    return (keys >> np.uint64(52)).astype(np.uint16).ravel(), out.ravel()
+
+
+def blocks(waiting: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(slots, blocks): what :func:`entries` gave, packed into one block a slot."""
+    if not waiting:
+        return
+    slots, own = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+    order = np.argsort(slots, kind="stable")
+    slots, own = slots[order], own[order]
+    begin = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
+    bounds = np.append(begin, len(slots))
+    for at in range(0, len(begin), 256):
+        cut = bounds[at : at + 257]
+        piece = pa.py_buffer(own[cut[0] : cut[-1]].tobytes())
+        offsets = pa.py_buffer(((cut - cut[0]) * _ENTRY.itemsize).astype(np.int32).tobytes())
+        yield pa.array(slots[cut[:-1]].astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, offsets, piece])
+
+
+def _met(held: list[tuple[int, bytes]], tile: int, budget: int, ratio: float) -> dict[str, np.ndarray]:
+    """family, node, label: nodes with likely company in the whole slots ``held``, linked to a label by their family's near pairs."""
+    own = np.frombuffer(b"".join(b for _, b in held), _ENTRY)
+    slots = np.repeat(np.array([s for s, _ in held], np.uint64), [len(b) // _ENTRY.itemsize for _, b in held])
+    family = slots << np.uint64(32) | own["key"]
+    order = np.argsort(family)
+    ordered = family[order]
+    same = ordered[1:] == ordered[:-1]
+    met = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    own, family = own[order[met]], ordered[met]
+    order = np.lexsort((own["node"], family))
+    own, family = own[order], family[order]
+    # copies of a node that other tasks have sent
+    new = np.concatenate(([True], (family[1:] != family[:-1]) | (own["node"][1:] != own["node"][:-1])))[: len(own)]
+    own, family = own[new], family[new]
+    begin = np.flatnonzero(np.concatenate(([True], family[1:] != family[:-1])))[: len(own)]
+    lengths = np.diff(np.append(begin, len(own)))
+    labels, company = np.arange(len(own)), np.zeros(len(own), bool)
+    fp, size, most = own["fp"].copy(), own["size"].astype(np.int64), int(-np.log(ratio) * 2048) + 2
+    for n in np.unique(lengths[lengths > 1]).tolist():
+        starts = begin[lengths == n]
+        if n > tile:  # left as they are
+            for at in starts.tolist():
+                labels[at : at + n], company[at : at + n] = at, True
+            continue
+        i, j = np.triu_indices(n, 1)
+        many = max(1, 2_000_000 // len(i))
+        for at in range(0, len(starts), many):
+            left, right = ((starts[at : at + many, None] + k).ravel() for k in (i, j))
+            near = (np.bitwise_count(fp[left] ^ fp[right]) <= budget) & (np.abs(size[left] - size[right]) <= most)
+            left, right = left[near], right[near]
+            company[left] = company[right] = True
+            link_labels(labels, left, right)
+    return {"family": family[company].view(np.int64), "node": own["node"][company], "label": own["node"][labels[company]]}
+
+
+def company(dealt: DataFrame, ddl: str, tile: int, budget: int, ratio: float) -> DataFrame:
+    """Rows ``ddl`` of ``dealt`` as they are, and (family, node, label) for nodes with likely company in a bucket; the others null.
+
+    ``dealt``: ``ddl``, slot, block; a row has a block of :func:`blocks` or the rest.
+    Company is likely if sketches differ in ``budget`` bits at most and the smaller size
+    is ``ratio`` of the larger at least. Near pairs connect a node to the label of its
+    family; in buckets of more than ``tile`` nodes all are taken for near.
+    """
+    own = len(dealt.columns) - 2
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if held:
+                made = _met(held, tile, budget, ratio)
+                count = len(made["node"])
+                if count:
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(count, t) for t in types), *(pa.array(made[k]) for k in added)], names=[*names, *added])
+
+        for batch in batches:
+            names, types = batch.schema.names[:own], batch.schema.types[:own]
+            block = batch.column(own + 1)
+            rest = batch.filter(block.is_null())
+            if rest.num_rows:
+                yield pa.RecordBatch.from_arrays([*rest.columns[:own], *(pa.nulls(rest.num_rows, pa.int64()) for _ in added)], names=[*names, *added])
+            sent = batch.filter(block.is_valid())
+            for slot, bytes_ in zip(sent.column(own).to_pylist(), sent.column(own + 1).to_pylist(), strict=True):
+                if n >= ENTRIES and slot != held[-1][0]:
+                    yield from found()
+                    held, n = [], 0
+                held.append((slot, bytes_))
+                n += len(bytes_) // _ENTRY.itemsize
+        yield from found()
+
+    added = ["family", "node", "label"]
+    return dealt.repartition("slot").sortWithinPartitions("slot").mapInArrow(rows, ", ".join([ddl, *(f"{k} long" for k in added)]))
+
+
+def once_each(met: DataFrame) -> DataFrame:
+    """Rows (family, node) of ``met``, written: of families with the same nodes one is enough."""
+    alike = met.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.bit_xor(F.xxhash64("node")).alias("who"))
+    return met.join(alike.groupBy("n", "low", "who").agg(F.min("family").alias("family")).select("family"), "family")
+
+
 #: Keys of buckets with company are broadcast if they are at most so many (16 bytes each, twice that as a hash table).
 BROADCAST_BUCKETS = 500_000
 

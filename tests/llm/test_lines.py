@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 
 from lodestone.llm import lines, minhash
@@ -141,3 +142,47 @@ def test_short_and_unspaced_lines_take_part(spark):
     ]
     got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: [], 2: [(0, 1, 0), (2, 1, 2), (3, 1, 3), (4, 1, 4)], 3: [(0, 1, 1)]}
+
+
+def test_lines_without_company_move_little(spark, monkeypatch):
+    """Bucket keys went through two shuffles and whole texts through one; now blocks of entries go through one, and candidate lines."""
+    monkeypatch.setattr(minhash, "BROADCAST_BUCKETS", -1)
+    rnd = random.Random(5)
+    line = lambda: "".join(rnd.choice("abcdefghij ") for _ in range(300))
+    texts = ["\n".join(line() for _ in range(10)) for _ in range(400)]
+    texts.append("\n".join(t.split("\n")[3][:-4] + "wxyz" for t in texts[:5]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).localCheckpoint()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(k, -1)
+    try:
+        before = written()
+        removed = lines.report(docs).where("n_removed > 0").select("doc_id", "n_removed").collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        moved = written() - before
+    finally:
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(k)
+    assert [tuple(r) for r in removed] == [(400, 5)]
+    assert moved < 1.5 * sum(map(len, texts)), moved / sum(map(len, texts))
+
+
+def test_a_group_takes_one_proof_a_line():
+    base = "a line of some length that many texts hold with one word of their own at its end namely "
+    own = [base + x for x in ("alpha", "bravo", "charlie", "delta", "echo", "foxtrot")] + ["another line that is like none of the others but has the same group number as they have"]
+    asked = []
+
+    def similar(a, b):
+        asked.append((a, b))
+        return lines.similar(a, b)
+
+    part = pd.DataFrame({"component": 1, "node": range(10, 10 + len(own)), "own": own})
+    (out,) = minhash.verified_groups(iter([part]), similar, lines.signatures, lines.SIMILARITY, lines.LEAST)
+    assert out.to_numpy().tolist() == [[n, 10] for n in range(10, 16)] and len(asked) == 5
+
+
+def test_normalised_lines():
+    text = "  A1\u0663\u06644b\u00a0 C--d_e \n\n12 300\n \u0130x \U0001d7d8\U0001d7d9 \u4e2d\u6587 "
+    assert lines.normalised_lines(text) == ["a0b c d e", "", "0 0", "i x 0 \u4e2d\u6587"]
+    assert lines.normalised_lines(text.split("\U0001d7d8")[0]) == ["a0b c d e", "", "0 0", "i x"]
+    assert lines.normalised_lines("") == [""]
