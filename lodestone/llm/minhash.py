@@ -183,40 +183,60 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
     return links.union(tiled.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))).distinct()
 
 
+#: Sets of a group whose pairs are put in order at once; in larger groups pairs are taken row by row, in passes of falling shares of equal minima.
+ORDERED = 128
+PASSES = (0.8, 0.65, 0.55, 0.45, 0)
+
+
+def _group_labels(sets: list, minima: np.ndarray, similar, ratio: float, least: int) -> np.ndarray:
+    """For each set the number of the first one to which ``similar`` pairs connect it."""
+    n, size = len(sets), np.fromiter(map(len, sets), float, len(sets))
+    labels = np.arange(n)
+    if n > ORDERED:
+        bounds = [minima.shape[1] + 1, *(max(least, int(share * minima.shape[1])) for share in PASSES)]
+    else:
+        bounds = [minima.shape[1] + 1, least]
+    for above, upto in zip(bounds[:-1], bounds[1:], strict=True):
+        left, right, equal = [], [], []
+        for i in range(n - 1):
+            rest = np.flatnonzero(labels[i + 1 :] != labels[i]) + i + 1
+            same, z = (minima[rest] == minima[i]).sum(axis=1), size[rest]
+            near = (same >= upto) & (same < above) & (np.minimum(z, size[i]) >= ratio * np.maximum(z, size[i]) - 1e-6)
+            rest, same = rest[near], same[near]
+            if n <= ORDERED:
+                left.append(np.full(len(rest), i))
+                right.append(rest)
+                equal.append(same)
+                continue
+            rest = rest[np.argsort(-same, kind="stable")]
+            while len(rest):
+                j, rest = rest[0], rest[1:]
+                if similar(sets[i], sets[j]):
+                    a, b = sorted((labels[i], labels[j]))
+                    labels[labels == b] = a
+                    rest = rest[labels[rest] != a]
+        if left:
+            order = np.argsort(-np.concatenate(equal), kind="stable")
+            for i, j in zip(np.concatenate(left)[order].tolist(), np.concatenate(right)[order].tolist(), strict=True):
+                if labels[i] != labels[j] and similar(sets[i], sets[j]):
+                    a, b = sorted((labels[i], labels[j]))
+                    labels[labels == b] = a
+    return labels
+
+
 def verified_groups(batches: Iterator[pd.DataFrame], similar, minima_of, ratio: float, least: int) -> Iterator[pd.DataFrame]:
     """Rows (node, component): of sorted rows (component, node, own) the nodes with others to which ``similar`` pairs connect them.
 
-    Pairs are compared from the most equal minima to the ``least`` ones, and only if
+    Pairs of ``least`` equal minima are compared, those of the most first, and only if
     nothing connects the two yet, so a group of n similar sets takes n - 1 proofs.
     """
     for part, bounds in _whole_groups(batches, ["component"]):
-        nodes, sets = part["node"].to_numpy(), part["own"].tolist()
-        minima, size, labels = minima_of(sets), np.fromiter(map(len, sets), float), list(range(len(part)))
-
-        def root(i: int, labels: list = labels) -> int:
-            while labels[i] != i:
-                labels[i] = i = labels[labels[i]]
-            return i
-
+        nodes, sets, labels = part["node"].to_numpy(), part["own"].tolist(), np.arange(len(part))
+        minima = minima_of(sets)
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            left, right, equal = [], [], []
-            for i in range(lo, hi - 1):
-                same = (minima[i + 1 : hi] == minima[i]).sum(axis=1)
-                z = size[i + 1 : hi]
-                near = np.flatnonzero((same >= least) & (np.minimum(z, size[i]) >= ratio * np.maximum(z, size[i]) - 1e-6))
-                left.append(np.full(len(near), i))
-                right.append(near + i + 1)
-                equal.append(same[near])
-            if not left:
-                continue
-            order = np.argsort(-np.concatenate(equal), kind="stable")
-            for i, j in zip(np.concatenate(left)[order].tolist(), np.concatenate(right)[order].tolist(), strict=True):
-                a, b = root(i), root(j)
-                if a != b and similar(sets[i], sets[j]):
-                    labels[max(a, b)] = min(a, b)
-        group = np.array([root(i) for i in range(len(part))])
-        shared = np.bincount(group, minlength=len(part))[group] > 1
-        out = pd.DataFrame({"node": nodes[shared], "component": nodes[group[shared]]}).drop_duplicates("node")
+            labels[lo:hi] = lo + _group_labels(sets[lo:hi], minima[lo:hi], similar, ratio, least)
+        shared = np.bincount(labels, minlength=len(part))[labels] > 1
+        out = pd.DataFrame({"node": nodes[shared], "component": nodes[labels[shared]]}).drop_duplicates("node")
         if len(out):
             yield out
 

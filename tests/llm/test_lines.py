@@ -167,7 +167,9 @@ def test_lines_without_company_move_little(spark, monkeypatch):
     assert moved < 1.5 * sum(map(len, texts)), moved / sum(map(len, texts))
 
 
-def test_a_group_takes_one_proof_a_line():
+@pytest.mark.parametrize("ordered", [minhash.ORDERED, 2])
+def test_a_group_takes_one_proof_a_line(monkeypatch, ordered):
+    monkeypatch.setattr(minhash, "ORDERED", ordered)
     base = "a line of some length that many texts hold with one word of their own at its end namely "
     own = [base + x for x in ("alpha", "bravo", "charlie", "delta", "echo", "foxtrot")] + ["another line that is like none of the others but has the same group number as they have"]
     asked = []
@@ -186,3 +188,11 @@ def test_normalised_lines():
     assert lines.normalised_lines(text) == ["a0b c d e", "", "0 0", "i x 0 \u4e2d\u6587"]
     assert lines.normalised_lines(text.split("\U0001d7d8")[0]) == ["a0b c d e", "", "0 0", "i x"]
     assert lines.normalised_lines("") == [""]
+
+
+def test_groups_beyond_a_task_are_verified_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(lines, "TILE", 4)
+    monkeypatch.setattr(lines, "GROUP", 3)
+    rows = corpus(8)
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)[0]
