@@ -11,8 +11,8 @@ Bucket entries are dealt out as packed blocks of numbers, never as rows: most bu
 hold one line, and such entries go no further. Of the rest, lines whose sketches are
 near form candidate groups, and only their texts are fetched, each once. A group is
 verified as a whole, likeliest pairs first: lines already known to be connected need
-no further proof. A group of more than ``GROUP`` lines is verified bucket by bucket
-instead, in tiles of ``TILE`` lines: first inside each tile, then between tiles.
+no further proof. A group of more than ``TILE`` lines is verified in tiles, first inside
+each tile, then between tiles; one of more than ``GROUP`` lines so in each of its buckets.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ BUDGET = 21
 #: Minima that lines must share to be compared: of similarity 0.8 all but few share 18 of 33, others 3.
 LEAST = 11
 TILE = 512
-#: Lines of a candidate group that one task verifies.
+#: Lines of a candidate group up to which it is dealt out in tiles as a whole, and closed in one task.
 GROUP = 8192
 #: Characters that are normalised, or whose grams are hashed, at once.
 SLICE_CHARS = 1_000_000
@@ -358,9 +358,13 @@ def line_groups(docs: DataFrame, lines: DataFrame, met: DataFrame, scratch: Scra
         for part in minhash.verified_groups(batches, similar, signatures, SIMILARITY, LEAST):
             yield plain(part)
 
-    small = texts.where(F.col("size") <= GROUP).select("component", "node", "own")
+    small = texts.where(F.col("size") <= TILE).select("component", "node", "own")
     small = small.repartition("component").sortWithinPartitions("component", "node").mapInPandas(verify, "node long, component long")
-    large = texts.where(F.col("size") > GROUP).select("node", F.lit(0).cast("long").alias("fp"), "own")
+    fp = F.lit(0).cast("long").alias("fp")
+    middle = texts.where((F.col("size") > TILE) & (F.col("size") <= GROUP)).select(F.col("component").alias("family"), "node", fp, "own")
+    if not middle.isEmpty():
+        small = small.union(minhash.closed(minhash.family_links(middle, scratch, TILE, BUDGET, similar, signatures, LEAST)))
+    large = texts.where(F.col("size") > GROUP).select("node", fp, "own")
     if large.isEmpty():
         return small
     own = scratch.keep(met.join(large.select("node").distinct(), "node", "left_semi").select("family", "node"), "met")

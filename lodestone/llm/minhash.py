@@ -123,7 +123,25 @@ def _whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tu
 
 
 def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int, similar, minima_of=None, least: int = 0) -> DataFrame:
-    """Edges (a, b) that connect all nodes of one family that are ``similar`` and within ``budget`` bits.
+    """Edges (a, b) of :func:`family_links`, each once."""
+    return family_links(placed, scratch, tile, budget, similar, minima_of, least).select("a", "b").distinct()
+
+
+def closed(links: DataFrame) -> DataFrame:
+    """Rows (node, component) of edges (family, a, b) that lie within families, a family to a task: for families of bounded size."""
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, bounds in _whole_groups(batches, ["family"]):
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                nodes, at = np.unique(part[["a", "b"]].to_numpy()[lo:hi], return_inverse=True)
+                left, right = at.reshape(-1, 2).T
+                yield pd.DataFrame({"node": nodes, "component": nodes[link_labels(np.arange(len(nodes)), left, right)]})
+
+    return links.repartition("family").sortWithinPartitions("family").mapInPandas(close, "node long, component long")
+
+
+def family_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int, similar, minima_of=None, least: int = 0) -> DataFrame:
+    """Edges (family, a, b) that connect all nodes of one family that are ``similar`` and within ``budget`` bits.
 
     ``minima_of``, if given, makes the signatures of a list of values of ``own``; then
     ``least`` equal minima are asked for instead, which tells more than a sketch.
@@ -170,7 +188,7 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
                 labels = _joined(near_to, sets, group["label"].to_numpy(), split, similar)
                 node = group["node"].to_numpy()
                 moved = node[labels] != node
-                yield pd.DataFrame({"a": node[moved], "b": node[labels[moved]]})
+                yield pd.DataFrame({"family": group["family"].to_numpy()[moved], "a": node[moved], "b": node[labels[moved]]})
 
     crossed = (
         tiled.where("tiles > 1")
@@ -179,8 +197,8 @@ def verified_links(placed: DataFrame, scratch: Scratch, tile: int, budget: int,
         .select("family", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "fp", "own", "label")
     )
     by = ("family", "i", "j")
-    links = crossed.repartition(*by).sortWithinPartitions(*by, "tile", "node").mapInPandas(between, "a long, b long")
-    return links.union(tiled.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))).distinct()
+    links = crossed.repartition(*by).sortWithinPartitions(*by, "tile", "node").mapInPandas(between, "family long, a long, b long")
+    return links.union(tiled.where("node <> label").select("family", F.col("node").alias("a"), F.col("label").alias("b")))
 
 
 #: Sets of a group whose pairs are put in order at once; in larger groups pairs are taken row by row, in passes of falling shares of equal minima.

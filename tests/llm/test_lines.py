@@ -190,9 +190,10 @@ def test_normalised_lines():
     assert lines.normalised_lines("") == [""]
 
 
-def test_groups_beyond_a_task_are_verified_in_tiles(spark, monkeypatch):
-    monkeypatch.setattr(lines, "TILE", 4)
-    monkeypatch.setattr(lines, "GROUP", 3)
+@pytest.mark.parametrize("group", [2, 1000])
+def test_groups_beyond_a_task_are_verified_in_tiles(spark, monkeypatch, group):
+    monkeypatch.setattr(lines, "TILE", 2)
+    monkeypatch.setattr(lines, "GROUP", group)
     rows = corpus(8)
     got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)[0]
