@@ -90,8 +90,11 @@ def grouped_parents(hits: DataFrame, parent: Column, k: int) -> DataFrame:
     """Small hits gathered into parents: (query_id, parent_id, n_children, score, rank).
 
     The score is the best child's plus 0.1 for each further child, 0.2 at most, and never above 1.
+    It is rounded as SQL does it, the product by 1000 to the nearest whole number and back: rounding
+    a score's decimal digits would send 0.5005, just below its half as a double, up instead.
     """
     grouped = hits.groupBy("query_id", parent.alias("parent_id")).agg(F.count(F.lit(1)).alias("n_children"), F.max("similarity").alias("best"))
-    score = F.round(F.least(F.lit(1.0), F.col("best") + F.least(F.lit(0.1) * (F.col("n_children") - 1), F.lit(0.2))), 3)
+    raw = F.least(F.lit(1.0), F.col("best") + F.least(F.lit(0.1) * (F.col("n_children") - 1), F.lit(0.2)))
+    score = F.round(raw * 1000) / 1000
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "parent_id")
     return grouped.select("query_id", "parent_id", "n_children", score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
