@@ -23,7 +23,7 @@ SELECT query_id, parent_id, n_children, score, row_number() OVER (PARTITION BY q
     assert rows(got.columns, got.collect()) == rows([d[0] for d in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["small_to_big_walk"])
+@pytest.mark.parametrize("name", ["vec_small_to_big", "small_to_big_walk"])
 def test_parents_of_hits_on_a_half(spark, tmp_path, name):
     # a cosine of 0.5005, which as a double lies just below its half
     vectors = [(0, [1.0, 0.0]), (41, [0.5005, (1 - 0.5005**2) ** 0.5]), (81, [0.5, 0.75**0.5]), (121, [0.4, 0.84**0.5])]
