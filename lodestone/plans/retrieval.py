@@ -107,14 +107,14 @@ def small_to_big_walk(spark, sf_dir):
 @query(
     "similar_queries",
     f"""
-WITH fb AS (SELECT DISTINCT user_id AS vec_id FROM events WHERE event_type <> 'error'), h AS ({_ranked(40, 0.0)})
-SELECT query_id, id, similarity, rank FROM (SELECT h.query_id, h.id, h.similarity, row_number() OVER (PARTITION BY h.query_id ORDER BY h.similarity DESC, h.id) AS rank FROM h JOIN fb ON fb.vec_id = h.id) WHERE rank <= 5""",
+WITH fb AS (SELECT DISTINCT user_id AS vec_id FROM events WHERE event_type <> 'error'), p AS ({_pairs("AND c.vec_id IN (SELECT vec_id FROM fb)")})
+SELECT query_id, id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM p WHERE similarity >= 0.0) WHERE rank <= 5""",
 )
 def similar_queries(spark, sf_dir):
-    """The five nearest earlier queries that have feedback other than corrections."""
-    given = table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("user_id").alias("id")).distinct()
-    near = _search(spark, sf_dir, 40, 0.0).join(given, "id", "left_semi").drop("rank")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where("rank <= 5")
+    """The five nearest earlier queries that have feedback other than corrections, out of all that have any."""
+    given = table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("user_id").alias("vec_id")).distinct()
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.topk(vectors.join(given, "vec_id", "left_semi"), vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, 0.0)
 
 
 @query(

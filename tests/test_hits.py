@@ -35,3 +35,13 @@ def test_parents_of_hits_on_a_half(spark, tmp_path, name):
     want = rows([d[0] for d in cur.description], cur.fetchall())
     df = registry.queries()[name](spark, str(tmp_path))
     assert rows(df.columns, df.collect()) == want
+
+
+def test_similar_queries_are_sought_among_all_with_feedback(spark, tmp_path):
+    # sixty nearer ones have none or corrections alone; of eight farther ones, six have some
+    vectors = [(0, [1.0, 0.0])] + [(i, [1.0, i / 1000]) for i in range(1, 61) if i % 20] + [(100 + i, [1.0, 0.5 + i / 100]) for i in range(1, 9)] + [(200, [-1.0, 0.0])]
+    events = [(i, "error") for i in range(1, 40)] + [(101, "error")] + [(i, t) for i in range(103, 109) for t in ("view", "error")] + [(200, "view"), (None, "view")]
+    for name, data, schema in (("embeddings", vectors, "vec_id long, embedding array<double>"), ("events", events, "user_id long, event_type string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted((r["rank"], r["id"]) for r in registry.queries()["similar_queries"](spark, str(tmp_path)).where("query_id = 0").collect())
+    assert got == [(1, 103), (2, 104), (3, 105), (4, 106), (5, 107)]
