@@ -1,18 +1,23 @@
 """Communities of weighted graphs by modularity: Louvain, Leiden and hierarchies of them.
 
-Links: (a, b, weight), undirected, each once; a loop is a link with a = b. All phases are
-joins and aggregations by vertex or community, round by round; a round's labels are cut
-from their lineage by a reliable checkpoint. Nothing of a vertex or a community is gathered.
+Links: (a, b, weight), undirected, each once; a loop is a link with a = b. Louvain and Leiden
+keep links in packed blocks and send out what is known of the vertices, a few numbers each
+(:mod:`lodestone.operators.packed_graph`), up to a bounded number of vertices. Beyond it, and
+where a phase is called alone, all are joins and aggregations by vertex or community, round by
+round, of the same result; a round's labels are cut from their lineage by a reliable
+checkpoint. No links are ever gathered.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.graph import coded, cut
+from lodestone.operators import packed_graph
+from lodestone.operators.graph import coded, coded_once, cut
 
 #: Digits of a gain that count: sums of weights may differ in their last bits from run to run.
 DIGITS = 9
@@ -35,6 +40,11 @@ def modularity(links: DataFrame, labels: DataFrame) -> DataFrame:
     return inner.join(squares).select((F.col("inside") / F.col("m") - F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
 
 
+def _turns(rounds: int) -> Column:
+    """Whose turn it is to move, by the hash of an id: a bit for each round."""
+    return reduce(lambda x, i: x.bitwiseOR(F.when(F.xxhash64("id", F.lit(i)) % 2 == 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")), range(rounds), F.lit(0).cast("long"))
+
+
 def local_moves(links: DataFrame, rounds: int = 12, start: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
     """((id, label), modularity after each round): vertices move to the neighbouring community of the largest gain.
 
@@ -46,8 +56,7 @@ def local_moves(links: DataFrame, rounds: int = 12, start: DataFrame | None = No
     """
     ids, both = coded(links, None if start is None else start.select(F.col("label").alias("id")))
     # from here to the end vertices and labels are longs in the order of their ids; whose turn a round is comes from the ids
-    turns = reduce(lambda x, i: x.bitwiseOR(F.when(F.xxhash64("id", F.lit(i)) % 2 == 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")), range(rounds), F.lit(0).cast("long"))
-    names = ids.select("code", turns.alias("turns"))
+    names = ids.select("code", _turns(rounds).alias("turns"))
     degree = both.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("degree"))
     if start is None:
         first = degree.withColumn("label", F.col("id"))
@@ -138,9 +147,56 @@ def _through(placed: DataFrame | None, labels: DataFrame) -> DataFrame:
     return cut(placed.select("id", F.col("label").alias("node")).join(up, "node").select("id", "label"))
 
 
+def _packed(links: DataFrame, rounds: int) -> tuple[DataFrame, packed_graph.Packed, np.ndarray, np.ndarray] | None:
+    """(ids, graph, turns, odd hashes) of written links with vertices as numbers in the order of their ids; None for too many of them."""
+    ids, one = coded_once(links.where("a IS NOT NULL AND b IS NOT NULL"))
+    n = ids.count()
+    if n > BROADCAST_VERTICES:
+        return None
+    one = one.select((F.col("a") - 1).alias("a"), (F.col("b") - 1).alias("b"), "weight")
+    known, inner = np.zeros((2, n), np.int64), one.where("a = b").groupBy("a").agg(F.sum("weight").alias("weight")).dropna().toPandas()
+    hashes = ids.select("code", _turns(rounds).alias("turns"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("odd")).toPandas()
+    known[:, hashes["code"].to_numpy(np.int64) - 1] = hashes[["turns", "odd"]].to_numpy(np.int64).T
+    loops = np.bincount(inner["a"].to_numpy(np.int64), inner["weight"].to_numpy(np.float64), n)
+    return ids, packed_graph.packed(one.where("a <> b"), np.arange(n), loops), known[0], known[1]
+
+
+def _labelled(ids: DataFrame, placed: list[np.ndarray]) -> DataFrame:
+    """(id, level, label) of the numbers that vertices have as labels, level by level."""
+    sent = ids.sparkSession.sparkContext.broadcast(placed)
+
+    def run(batches):
+        for part in batches:
+            at = part["code"].to_numpy() - 1
+            for level, labels in enumerate(sent.value):
+                yield part[["id"]].assign(level=level, code=labels[at] + 1)
+
+    rows = ids.mapInPandas(run, f"id {ids.schema['id'].dataType.simpleString()}, level int, code long")
+    return cut(rows.join(ids.select("code", F.col("id").alias("label")), "code").select("id", "level", "label"))
+
+
 def louvain(links: DataFrame, levels: int = 4, rounds: int = 12) -> DataFrame:
     """(id, level, label): communities by local moves, then of the graph of communities, while modularity rises."""
-    found, placed, graph, score = None, None, cut(links.select("a", "b", "weight")), None
+    links = cut(links.select("a", "b", "weight"))
+    if (known := _packed(links, rounds)) is None:
+        return _louvain_joined(links, levels, rounds)
+    ids, graph, turns, _ = known
+    found, score = [], None
+    for level in range(levels):
+        labels, history = packed_graph.moves(graph, turns[graph.names], rounds, graph.names)
+        if score is not None and max(history) <= score + 1e-9:
+            break
+        score = max(history)
+        found.append(labels if level == 0 else labels[np.searchsorted(graph.names, found[-1])])
+        if level == levels - 1 or (labels == graph.names).all():  # the graph of the communities would be this one
+            break
+        graph = packed_graph.merged(graph, labels)
+    return _labelled(ids, found)
+
+
+def _louvain_joined(links: DataFrame, levels: int, rounds: int) -> DataFrame:
+    """The same for any number of vertices."""
+    found, placed, graph, score = None, None, links, None
     for level in range(levels):
         labels, history = local_moves(graph, rounds)
         if score is not None and max(history) <= score + 1e-9:
@@ -190,7 +246,27 @@ def leiden(links: DataFrame, levels: int = 4, rounds: int = 12) -> DataFrame:
     parts may leave a community that merging it whole would have bound for good. The last
     partition is split where it isn't connected.
     """
-    graph = whole = cut(links.select("a", "b", "weight"))
+    links = cut(links.select("a", "b", "weight"))
+    if (known := _packed(links, rounds)) is None:
+        return _leiden_joined(links, levels, rounds)
+    ids, whole, turns, odd = known
+    graph, start, nodes = whole, whole.names, whole.names
+    for _ in range(levels):
+        labels, _ = packed_graph.moves(graph, turns[graph.names], rounds, start)
+        result = labels[np.searchsorted(graph.names, nodes)]
+        parts = packed_graph.refined(graph, odd[graph.names], rounds, labels)
+        if (parts == graph.names).all():
+            break
+        nodes = parts[np.searchsorted(graph.names, nodes)]
+        # a part is named after the vertex that the others joined, and lies in its community
+        start = labels[np.searchsorted(graph.names, np.unique(parts))]
+        graph = packed_graph.merged(graph, parts)
+    return _labelled(ids, [packed_graph.connected(whole, result)]).select("id", "label")
+
+
+def _leiden_joined(links: DataFrame, levels: int, rounds: int) -> DataFrame:
+    """The same for any number of vertices."""
+    graph = whole = links
     start = nodes = result = None
     for _ in range(levels):
         labels, _ = local_moves(graph, rounds, start)

@@ -209,7 +209,8 @@ _TRADE = "l AS (SELECT 'C:' || o_custkey AS a, 'S:' || l_suppkey AS b, count(*)
 def _trade(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     trade = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(orders, "l_orderkey")
-    return trade.groupBy(_id("C", "o_custkey").alias("a"), _id("S", "l_suppkey").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    counted = trade.groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return counted.select(_id("C", "o_custkey").alias("a"), _id("S", "l_suppkey").alias("b"), "weight")
 
 
 def _propagated(rounds: int) -> str:

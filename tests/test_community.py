@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import community
+from lodestone.operators import community, packed_graph
 
 SCHEMA = "a string, b string, weight double"
 
@@ -125,3 +125,24 @@ def test_hierarchy(spark):
     assert sorted((r["community"], r["entity_count"], r["child_count"]) for r in high) == sorted((low[c]["parent"], 16, 4) for c in "ae")
     none = community.hierarchy(links.limit(0), labels).collect()
     assert len(none) == 9 and all(r["parent"] is None for r in none)
+
+
+def test_packed_and_joined_graphs_agree(spark, monkeypatch):
+    # ids out of order, weights that aren't whole, loops, a pair apart and links to nowhere
+    rnd, drawn = random.Random(5), random_graph(5, groups=7, size=9)
+    named = {v: f"{rnd.randrange(10**6)}{v}" for e in drawn for v in e[:2]}
+    edges = [(named[a], named[b], w + rnd.random()) for a, b, w in drawn]
+    edges += [(x, x, 0.5) for x in list(named.values())[::9]] + [("p", "q", 1.0), ("p", None, 1.0), ("lone", "lone", 2.0)]
+    links = spark.createDataFrame(edges, SCHEMA)
+    monkeypatch.setattr(packed_graph, "BLOCK", 64)
+
+    def both():
+        jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+        before = jobs()
+        rows = sorted(map(tuple, community.louvain(links, 2, 5).collect())), sorted(map(tuple, community.leiden(links, 2, 5).collect()))
+        return rows, jobs() - before
+
+    packed, few = both()
+    monkeypatch.setattr(community, "BROADCAST_VERTICES", 10)
+    joined, many = both()
+    assert packed == joined and {r[1] for r in packed[0]} == {0, 1} and few < many / 2
