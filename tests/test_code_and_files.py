@@ -1,6 +1,8 @@
 """Code intelligence, files and crawling on small inputs."""
 
+import difflib
 import json
+import random
 
 from lodestone.operators import code, crawl, graph, scopes
 from lodestone.sources import files
@@ -70,3 +72,15 @@ def test_files_are_dealt_out_by_their_number(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan._jdf.queryExecution().executedPlan().toString()
     got = {(r["path"], r["qualified"]): r["content"] for r in plan.collect()}
     assert len(got) == 3 * 59 and got["f9.py", "A2.run"] == "class A2:\n    def run(self):\n        pass" and got["f9.py", "g9"] == "def g9():\n    pass"
+
+
+def test_suggestions_are_the_close_matches_of_all_names(spark, monkeypatch):
+    """In packs of a few names, with names that share letters but no two in a row, long names, odd characters and an empty one."""
+    monkeypatch.setattr(code, "ASKED", 3)
+    monkeypatch.setattr(code, "KNOWN", 9)
+    rnd = random.Random(8)
+    known = {"".join(rnd.choices("abcé𝄞_", k=rnd.randint(1, 8))) for _ in range(60)} | {"cab", "ab" * 40, "ba" * 38 + "c", "", "a\0b"}
+    asked = {"".join(rnd.choices("abcé𝄞_", k=rnd.randint(1, 8))) for _ in range(12)} | {"abc", "ab" * 39 + "c", "", "zzz"}
+    got = code.suggestions(spark.createDataFrame([(x,) for x in asked], "name string"), spark.createDataFrame([(x,) for x in known] + [(None,)], "name string"))
+    want = {x: difflib.get_close_matches(x, sorted(known), 5, 0.6) for x in asked}
+    assert {r["name"]: r["similar"] for r in got.collect()} == {x: y for x, y in want.items() if y}
